@@ -12,9 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.functions.arrays import log_normaliser
 from corpusloom.functions.numbers import whole
-from corpusloom.functions.text import seeded_draw
-from corpusloom.operators.ordering import row_index
-from corpusloom.operators.sampling import draw_numbers
+from corpusloom.operators.sampling import draw_with_replacement
 
 MAX_CLASSES = 4096
 
@@ -156,13 +154,8 @@ def overall_report(df: DataFrame) -> DataFrame:
 
 def draw_batches(df: DataFrame, key: str, batches: int, batch_size: int, seed: int) -> DataFrame:
     """``batches`` batches of rows drawn with replacement: ``batch_id`` and the row."""
-    indexed = row_index(df, key)
-    total = df.agg(F.count(F.lit(1)).alias("n"), F.lit(batches * batch_size).cast("long").alias("__draws"))
-    plan = draw_numbers(total, "__draws").select(
-        whole(F.col("draw"), batch_size).alias("batch_id"),
-        (seeded_draw(seed, F.lit("draw"), F.col("draw")) % F.col("n")).alias("row_index"),
-    )
-    return plan.join(indexed, "row_index").drop("row_index")
+    drawn = draw_with_replacement(df, key, batches * batch_size, seed)
+    return drawn.select(whole(F.col("draw"), batch_size).alias("batch_id"), *df.columns)
 
 
 def batch_mean_metrics(drawn: DataFrame) -> DataFrame:

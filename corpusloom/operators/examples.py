@@ -135,9 +135,12 @@ def require_nonempty(counts: DataFrame) -> DataFrame:
 
 
 def number_batches(df: DataFrame, key: str, batch_size: int) -> DataFrame:
-    """Consecutive rows by ``key`` form a batch: adds ``batch_id``."""
-    indexed = row_index(df, key, name="__index")
-    return indexed.withColumn("batch_id", whole(F.col("__index"), batch_size)).drop("__index")
+    """Consecutive rows by ``key`` form a batch: adds ``batch_id``.
+
+    Only the keys are numbered; the rows take their number by a join.
+    """
+    index = row_index(df.select(key), key, name="__index")
+    return df.join(index.select(key, whole(F.col("__index"), batch_size).alias("batch_id")), key)
 
 
 def pad_batch(df: DataFrame, pad: int = 0) -> DataFrame:

@@ -21,8 +21,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from corpusloom.functions.text import digest_number, seeded_key
 
 ID_BITS = 40
-ID_SHIFTS = (25, 10)  # at most 2^15 buckets at the top, 2^15 below each, 2^10 ids in a bucket
-DIGEST_SHIFTS = (36, 24)  # at most 2^12 buckets at the top, 2^12 below each
+ID_SHIFTS = (18,)  # at most 2^22 buckets of at most 2^18 ids
+DIGEST_SHIFTS = (28,)  # at most 2^20 buckets, filled evenly
+TIME_SHIFTS = (40, 24)  # some 12 days, then some 16 seconds
+CROWDED_ROWS = 1 << 22
 
 _OPS = {"sum": F.sum, "min": F.min, "max": F.max}
 
@@ -41,13 +43,24 @@ def digest_buckets(digest: Column, shifts: Sequence[int] = DIGEST_SHIFTS) -> lis
     return [F.shiftright(number, s) for s in shifts]
 
 
-def time_buckets(ts: Column, tie: Column) -> list[Column]:
+def time_buckets(df: DataFrame, ts: Column, tie: Column, by: Sequence[str] = ()) -> list[Column]:
     """Nested buckets for the order (timestamp, integer id).
 
-    The id levels keep a bucket bounded even if many rows share one timestamp.
+    Spans of time hold any number of rows, so they are counted first. Only if
+    one is crowded, say by a default date, two more levels split it: the exact
+    timestamp and the id.
     """
     micros = F.unix_micros(ts.cast("timestamp"))
-    return [F.shiftright(micros, 38), F.shiftright(micros, 20), micros, *id_buckets(tie)]
+    spans = [F.shiftright(micros, s) for s in TIME_SHIFTS]
+    if is_crowded(df, [*[F.col(b) for b in by], spans[-1]]):
+        return [*spans, micros, *id_buckets(tie)]
+    return spans
+
+
+def is_crowded(df: DataFrame, group: Sequence[Column], rows: int = CROWDED_ROWS) -> bool:
+    """Whether any group has more than ``rows`` rows; only the largest count reaches the driver."""
+    largest = df.groupBy(*group).count().agg(F.max("count")).first()[0]
+    return (largest or 0) > rows
 
 
 def running(
@@ -64,6 +77,10 @@ def running(
     ``buckets`` go from coarse to fine and must agree with ``order``: a row in a
     lower bucket sorts first. The first row of a group gets 0 for ``sum`` and
     null for ``min`` and ``max``. A null in ``by`` forms its own group.
+
+    The input is read twice, once for its key and value alone: pass a table, or
+    stage what is costly to compute. All columns of ``df`` pass the window, so
+    keep it narrow and join wide columns afterwards.
     """
     combine = _OPS[op]
     levels = [f"__level{i}" for i in range(len(buckets))]

@@ -16,6 +16,7 @@ from corpusloom.functions.text import seeded_draw
 from corpusloom.operators.ordering import row_index, shuffled_index
 
 DRAW_CHUNK = 1 << 16
+ROW_REPEATS = 1 << 12
 LIMIT_PRUNED_ROWS = 1000  # Spark prunes `row_number() <= n` before the shuffle up to this n
 
 
@@ -56,12 +57,35 @@ def draw_numbers(counts: DataFrame, how_many: str, by: Sequence[str] = ()) -> Da
 
 def draw_with_replacement(df: DataFrame, key: str, draws: int, seed: int) -> DataFrame:
     """``draws`` uniform picks: ``draw`` and the columns of the picked row."""
-    indexed = row_index(df, key)
-    total = df.agg(F.count(F.lit(1)).alias("n"), F.lit(draws).cast("long").alias("__draws"))
-    plan = draw_numbers(total, "__draws").select(
-        "draw", (seeded_draw(seed, F.lit("draw"), F.col("draw")) % F.col("n")).alias("row_index")
+    whole_table = df.withColumn("__all", F.lit(0))
+    sizes = whole_table.groupBy("__all").agg(F.count(F.lit(1)).alias("n"), F.lit(draws).cast("long").alias("max_n"))
+    numbers = draw_numbers(sizes, "max_n").withColumn(
+        "row_index", seeded_draw(seed, F.lit("draw"), F.col("draw")) % F.col("n")
     )
-    return plan.join(indexed, "row_index").select("draw", *df.columns)
+    return _gather(numbers, whole_table, key, ["__all"], sizes).select("draw", *df.columns)
+
+
+def _gather(numbers: DataFrame, df: DataFrame, key: str, by: Sequence[str], sizes: DataFrame) -> DataFrame:
+    """Rows of ``df`` at the drawn positions ``(by, row_index)``.
+
+    Only keys are numbered and drawn; full rows are fetched by key at the end.
+    Where few rows take many draws, each row is copied so often that a copy
+    serves some ``ROW_REPEATS`` draws: no task gets all draws of one row.
+    ``sizes`` has one row per listed group, so it may be broadcast.
+    """
+    by = list(by)
+    salts = (whole(F.col("max_n"), ROW_REPEATS) / F.greatest(F.col("n"), F.lit(1))).cast("long") + 1
+    salted = numbers.withColumn("__salt", F.col("draw") % salts).drop("n", "max_n", "position")
+    copies = F.broadcast(sizes.select(*by, F.sequence(F.lit(0).cast("long"), salts - 1).alias("__salts")))
+
+    def copied(rows: DataFrame) -> DataFrame:
+        return rows.join(copies, by).select(*rows.columns, F.explode("__salts").alias("__salt"))
+
+    index = row_index(df.select(*by, key), key, by)
+    chosen = salted.join(copied(index), [*by, "row_index", "__salt"]).drop("row_index")
+    if set(df.columns) <= {*by, key}:
+        return chosen.drop("__salt")
+    return chosen.join(copied(df), [*by, key, "__salt"]).drop("__salt")
 
 
 def mix_natural(df: DataFrame, languages: Sequence[str], key: str, seed: int) -> DataFrame:
@@ -82,14 +106,10 @@ def mix_balanced(df: DataFrame, languages: Sequence[str], key: str, seed: int) -
     checked = sizes.withColumn(
         "n", F.when(F.col("n") > 0, F.col("n")).otherwise(F.raise_error(message).cast("long"))
     )
-    numbers = draw_numbers(checked, "max_n", ["language"])
+    numbers = shuffled_index(draw_numbers(checked, "max_n", ["language"]), seed, ["language", "draw"])
     picked = seeded_draw(seed, F.lit("draw"), F.col("language"), F.col("draw")) % F.col("n")
-    plan = numbers.select(
-        "language", "draw", F.when(F.col("n") == F.col("max_n"), F.col("draw")).otherwise(picked).alias("row_index")
-    )
-    indexed = row_index(df.where(F.col("language").isin(*languages)), key, ["language"])
-    mixed = plan.join(indexed, ["language", "row_index"]).drop("row_index")
-    return shuffled_index(mixed, seed, ["language", "draw"])
+    plan = numbers.withColumn("row_index", F.when(F.col("n") == F.col("max_n"), F.col("draw")).otherwise(picked))
+    return _gather(plan, df.where(F.col("language").isin(*languages)), key, ["language"], checked)
 
 
 def mix_languages(df: DataFrame, mode: str, languages: Sequence[str], key: str, seed: int) -> DataFrame:

@@ -88,9 +88,13 @@ def tokenize(
     keep: Sequence[str] = (),
     vocab_rows: int | None = None,
     limit: int = BROADCAST_ROWS,
+    first: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """Encode text columns: ``key``, ``keep`` and one ``array<int>`` per entry of ``texts``.
 
+    ``first`` names columns of which only so many leading ids are wanted. The
+    whole text is split all the same; the other pieces just need no lookup.
+
     The compact text is shuffled once by ``key``. Splitting, the lookup and the
     regrouping then all run inside that partitioning, so the many piece rows are
     never shuffled. ``key`` must identify a row; ``keep`` columns must be small.
@@ -98,7 +102,7 @@ def tokenize(
     carried = [*key, *keep]
     names = list(texts)
     spread = df.select(*carried, *[texts[n].alias(n) for n in names]).repartition(*key)
-    per_field = [_tagged_pieces(n, i) for i, n in enumerate(names)]
+    per_field = [_tagged_pieces(n, i, (first or {}).get(n)) for i, n in enumerate(names)]
     both = F.flatten(F.array(*per_field)) if len(names) > 1 else per_field[0]
     long = spread.select(*carried, F.posexplode_outer(both).alias("pos", "piece")).select(
         *carried, "pos", F.col("piece.field").alias("field"), F.col("piece.token").alias("token")
@@ -113,17 +117,20 @@ def tokenize(
     return grouped.select(*carried, *[_field_ids(i).alias(n) for i, n in enumerate(names)])
 
 
-def _tagged_pieces(text: str, field: int) -> Column:
-    return F.transform(pieces(F.col(text)), lambda p: F.struct(F.lit(field).alias("field"), p.alias("token")))
+def _tagged_pieces(text: str, field: int, first: int | None) -> Column:
+    wanted = F.slice(pieces(F.col(text)), 1, first) if first else pieces(F.col(text))
+    return F.transform(wanted, lambda p: F.struct(F.lit(field).alias("field"), p.alias("token")))
 
 
 def _field_ids(field: int) -> Column:
     return F.transform(F.filter("coded", lambda s: s["field"] == field), lambda s: s["id"])
 
 
-def tokenize_corpus(df: DataFrame, vocab: DataFrame, text: str = "text", **options) -> DataFrame:
+def tokenize_corpus(
+    df: DataFrame, vocab: DataFrame, text: str = "text", first: int | None = None, **options
+) -> DataFrame:
     """Encode one text column into ``ids``; see :func:`tokenize`."""
-    return tokenize(df, vocab, {"ids": F.col(text)}, **options)
+    return tokenize(df, vocab, {"ids": F.col(text)}, first={"ids": first} if first else None, **options)
 
 
 def decode_tokens(

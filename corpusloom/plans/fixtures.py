@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from corpusloom.functions.text import pieces, seeded_draw
 from corpusloom.operators.ordering import running, time_buckets
+from corpusloom.session import spread
 
 SEED = 42
 LANGUAGES = ("de", "en", "es", "fr")
@@ -15,8 +16,13 @@ EVAL_EVERY = 25
 ACCENTS = ("àáâäçèéêëíñóôöùúûü", "aaaaceeeeinooouuuu")  # fixed values: letter by letter
 
 
+TEXT_TABLES = ("documents", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the given tables; those with long texts are spread over all cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,9 +88,14 @@ def scored_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Generated and reference text with partial overlap."""
-    split = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("language"), pieces("text").alias("p"))
-    return split.where(F.size("p") >= 10).select(
+    """Generated and reference text with partial overlap.
+
+    The condition sits in the explode: as a filter it would be pushed below the
+    projection, and every text would be split twice.
+    """
+    long_enough = F.explode(F.filter(F.array(pieces("text")), lambda p: F.size(p) >= 10))
+    split = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("language"), long_enough.alias("p"))
+    return split.select(
         "doc_id",
         "language",
         F.array_join(F.slice("p", 1, 30), " ").alias("prediction"),
@@ -106,7 +117,7 @@ def training_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "before",
         F.lit(1).cast("long"),
         [F.col("ts"), F.col("event_id")],
-        time_buckets(F.col("ts"), F.col("event_id")),
+        time_buckets(events, F.col("ts"), F.col("event_id"), ["run"]),
         ["run"],
     ).withColumn("step", F.col("before") + 1)
     evaluated = F.col("step") % EVAL_EVERY == 0

@@ -226,7 +226,7 @@ def joined_text(spark, sf_dir):
 def class_examples(spark, sf_dir):
     rows = fx.classified(spark, sf_dir)
     vocab = vocabulary(spark, sf_dir)
-    ids = V.tokenize_corpus(rows, vocab, keep=["label"], vocab_rows=VOCAB_ROWS)
+    ids = V.tokenize_corpus(rows, vocab, keep=["label"], vocab_rows=VOCAB_ROWS, first=WIDTH)
     return E.classification_examples(ids, WIDTH)
 
 
@@ -414,7 +414,7 @@ def prompts(spark, sf_dir):
     return S.concat(parts).drop("part")
 
 
-def prompt_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+def prompt_ids(spark: SparkSession, sf_dir: str, first: dict[str, int] | None = None) -> DataFrame:
     """Prompts and summaries as ids, one row per document."""
     rows = E.prompts(E.select_representation(fx.summaries(spark, sf_dir), "text", ["doc_id", "language", "split"]))
     return V.tokenize(
@@ -423,11 +423,15 @@ def prompt_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"prompt_ids": F.col("prompt"), "target_ids": X.as_text("target")},
         keep=["language", "split"],
         vocab_rows=VOCAB_ROWS,
+        first=first,
     )
 
 
+PACK_IDS = {"prompt_ids": CONTEXT, "target_ids": TARGET_MAX}  # a pack has no room for later ids
+
+
 def encoded_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.drop_skipped(E.encode_packs(prompt_ids(spark, sf_dir), CONTEXT, TARGET_MAX, V.EOT))
+    return E.drop_skipped(E.encode_packs(prompt_ids(spark, sf_dir, PACK_IDS), CONTEXT, TARGET_MAX, V.EOT))
 
 
 def packs(spark, sf_dir):
@@ -463,7 +467,7 @@ def pack_files(spark, sf_dir):
 
 def pack_build(spark, sf_dir):
     """Training packs of a balanced mix: documents are encoded once, then drawn and sampled."""
-    rows = prompt_ids(spark, sf_dir)
+    rows = prompt_ids(spark, sf_dir, PACK_IDS)
     train = staged(E.drop_skipped(E.encode_packs(rows.where("split = 'train'"), CONTEXT, TARGET_MAX, V.EOT)), "train")
     chosen = S.mix_languages(train.select("doc_id", "language"), "balanced", LANGUAGES, "doc_id", SEED)
     kept = S.sample_per_language(chosen, LANGUAGES, ["language", "draw"], FRACTION, SEED)
@@ -477,7 +481,7 @@ def pack_build(spark, sf_dir):
 
 
 def padded_batches(spark, sf_dir):
-    batched = E.number_batches(encoded_packs(spark, sf_dir), "doc_id", BATCH_SIZE)
+    batched = E.number_batches(staged(encoded_packs(spark, sf_dir), "packs"), "doc_id", BATCH_SIZE)
     padded = E.pad_batch(batched)
     mask = F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)
     return padded.groupBy("batch_id").agg(
@@ -570,7 +574,7 @@ def run_summary(spark, sf_dir):
 
 
 def loss_windows(spark, sf_dir):
-    means = R.train_loss_since_eval(fx.training_runs(spark, sf_dir))
+    means = R.train_loss_since_eval(staged(fx.training_runs(spark, sf_dir).drop("line", "path"), "runs"))
     return means.select("run", "eval_no", "eval_step", "steps", rounded(F.col("mean_train_loss")).alias("mean_train_loss"))
 
 
@@ -581,8 +585,12 @@ def best_checkpoint(spark, sf_dir):
     return R.require_found(R.best_per_group(found), wanted).select("representation", "size", "step", "val_loss", "path")
 
 
+def evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.training_runs(spark, sf_dir).where("val_loss is not null").select("run", "step", "val_loss")
+
+
 def best_so_far(spark, sf_dir):
-    rows = fx.training_runs(spark, sf_dir).select("run", "step", "val_loss")
+    rows = staged(evaluations(spark, sf_dir), "evaluations")
     return R.best_so_far(rows).select("run", "step", "val_loss", "prev_best")
 
 
@@ -643,7 +651,7 @@ def stream_windows(spark, sf_dir):
 
 def stream_best(spark, sf_dir):
     out = scratch_folder(spark, "best")
-    rows = fx.training_runs(spark, sf_dir).where("val_loss is not null").select("run", "step", "val_loss")
+    rows = evaluations(spark, sf_dir)
     rows.write.parquet(f"{out}/evaluations")
     stream = ST.read_stream(spark, f"{out}/evaluations", rows.schema)
     ST.drain(ST.stream_best_so_far(stream, f"{out}/result", f"{out}/state"))
