@@ -57,10 +57,10 @@ def time_buckets(df: DataFrame, ts: Column, tie: Column, by: Sequence[str] = ())
     return spans
 
 
-def is_crowded(df: DataFrame, group: Sequence[Column], rows: int = CROWDED_ROWS) -> bool:
+def is_crowded(df: DataFrame, group: Sequence[Column], rows: int | None = None) -> bool:
     """Whether any group has more than ``rows`` rows; only the largest count reaches the driver."""
     largest = df.groupBy(*group).count().agg(F.max("count")).first()[0]
-    return (largest or 0) > rows
+    return (largest or 0) > (rows or CROWDED_ROWS)
 
 
 def running(
