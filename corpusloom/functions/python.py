@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 MAX_FILE_BYTES = 256 << 20
 
@@ -61,7 +61,7 @@ def tiktoken_ranks(spark: SparkSession, path: str, pattern: str) -> Callable:
 def encoder(load: Callable) -> Callable[[Column | str], Column]:
     """Column function ``text -> array<int>`` for a tokenizer loader."""
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         run = load()
         for batch in batches:
@@ -77,7 +77,7 @@ def scorer(load: Callable, batch: int = 256) -> Callable[[Column | str], Column]
     score matrix (rows x classes); it is called on at most ``batch`` rows.
     """
 
-    @F.arrow_udf("array<double>")
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         run = load()
         for rows in batches:

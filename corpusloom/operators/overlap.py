@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # What counts as a word for ROUGE.
 WORD_PATTERN = r"[\p{L}\p{N}]+"
@@ -126,7 +126,7 @@ def common_length(left: Sequence, right: Sequence) -> int:
     return len(left) - open_.bit_count()
 
 
-@F.arrow_udf("int")
+@F.arrow_udf(T.IntegerType())
 def common_subsequence(left: pa.Array, right: pa.Array) -> pa.Array:
     """Dynamic programming per pair has no built-in form, hence one Arrow function."""
     return pa.array([common_length(a, b) for a, b in zip(left.to_pylist(), right.to_pylist())], pa.int32())
