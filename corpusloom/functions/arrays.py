@@ -97,7 +97,7 @@ def log_softmax(logits: Column) -> Column:
 
 def top_classes(logits: Column, k: int) -> Column:
     """The ``k`` best ``(logp, cls)`` of a row, best first, lower class on ties."""
-    ranked = F.array_sort(F.transform(logits, lambda x, i: F.struct((-x).alias("neg"), i.cast("long").alias("cls"))))
+    ranked = F.sort_array(F.transform(logits, lambda x, i: F.struct((-x).alias("neg"), i.cast("long").alias("cls"))))
     return bind(
         log_normaliser(logits),
         lambda z: F.transform(

@@ -76,7 +76,7 @@ def confusion_counts(df: DataFrame) -> DataFrame:
 def confusion_matrix(df: DataFrame) -> DataFrame:
     """``(label, pred, n)`` over all classes seen on either side, zeros included."""
     counts = confusion_counts(df)
-    classes = class_universe(counts).agg(F.array_sort(F.collect_list("cls")).alias("classes"))
+    classes = class_universe(counts).agg(F.sort_array(F.collect_list("cls")).alias("classes"))
     guarded = classes.select(
         F.when(F.size("classes") <= MAX_CLASSES, F.col("classes"))
         .otherwise(F.raise_error(F.lit(f"more than {MAX_CLASSES} classes")).cast("array<bigint>"))

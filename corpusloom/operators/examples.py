@@ -134,21 +134,22 @@ def require_nonempty(counts: DataFrame) -> DataFrame:
     )
 
 
-def number_batches(df: DataFrame, key: str, batch_size: int) -> DataFrame:
-    """Consecutive rows by ``key`` form a batch: adds ``batch_id``.
+def number_batches(df: DataFrame, key: str, batch_size: int, ids: str = "input_ids") -> DataFrame:
+    """Consecutive rows by ``key`` form a batch: adds ``batch_id`` and ``width``, its longest row.
 
-    Only the keys are numbered; the rows take their number by a join.
+    Both come from keys and lengths alone; full rows are moved once, to take
+    their number. The input is read twice: stage it if it is costly.
     """
-    index = row_index(df.select(key), key, name="__index")
-    return df.join(index.select(key, whole(F.col("__index"), batch_size).alias("batch_id")), key)
+    index = row_index(df.select(key, F.size(ids).alias("__size")), key, name="__index")
+    numbered = index.withColumn("batch_id", whole(F.col("__index"), batch_size))
+    width = F.max("__size").over(Window.partitionBy("batch_id"))
+    return df.join(numbered.select(key, "batch_id", width.alias("width")), key)
 
 
 def pad_batch(df: DataFrame, pad: int = 0) -> DataFrame:
-    """Pad ids, labels and mask of each batch to its longest row (``width``)."""
-    width = F.max(F.size("input_ids")).over(Window.partitionBy("batch_id"))
-    wide = df.withColumn("width", width)
+    """Pad ids, labels and mask of each batch to the ``width`` of the batch."""
     return (
-        wide.withColumn("pad_cells", F.col("width") - F.size("input_ids"))
+        df.withColumn("pad_cells", F.col("width") - F.size("input_ids"))
         .withColumn("input_ids", fixed_width(F.col("input_ids"), F.col("width"), pad))
         .withColumn("labels", fixed_width(F.col("labels"), F.col("width"), IGNORE))
         .withColumn("attention_mask", fixed_width(F.col("attention_mask"), F.col("width"), 0))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.functions.arrays import IGNORE
 from corpusloom.operators.vocabulary import BROADCAST_ROWS, lookup
@@ -53,28 +53,22 @@ def summarise_groups(
     """Per-group rows, then ``macro`` (plain mean) and ``weighted`` (by ``count``).
 
     ``position`` orders them: 0 groups, 1 macro, 2 weighted. With ``skip_nan``
-    a group without a value is left out of that metric's means.
+    a group without a value is left out of that metric's means. Each row is
+    counted towards its three lines at once, so ``rows`` is computed only once.
     """
-    def value(metric: str):
-        column = F.col(metric)
-        return F.when(F.isnan(column), None).otherwise(column) if skip_nan else column
-
-    def weight(metric: str):
-        return F.when(value(metric).isNotNull(), F.col(count)) if skip_nan else F.col(count)
-
-    total = F.sum(count).alias(count)
-    macro = rows.agg(total, *[F.avg(value(m)).alias(m) for m in metrics])
-    weighted = rows.agg(
-        total,
-        *[
-            (F.sum(value(m) * F.col(count)) / F.greatest(F.sum(weight(m)), F.lit(1))).alias(m)
-            for m in metrics
-        ],
+    lines = F.array(
+        F.struct(F.col(by).alias(by), F.lit(0).alias("position")),
+        F.struct(F.lit("macro").alias(by), F.lit(1).alias("position")),
+        F.struct(F.lit("weighted").alias(by), F.lit(2).alias("position")),
     )
-    columns = [by, count, *metrics, "position"]
-    parts = [
-        rows.withColumn("position", F.lit(0)),
-        macro.withColumn(by, F.lit("macro")).withColumn("position", F.lit(1)),
-        weighted.withColumn(by, F.lit("weighted")).withColumn("position", F.lit(2)),
-    ]
-    return parts[0].select(columns).unionByName(parts[1].select(columns)).unionByName(parts[2].select(columns))
+    spread = rows.select(F.inline(lines), count, *metrics)
+
+    def summed_up(metric: str) -> Column:
+        value = F.nanvl(F.col(metric), F.lit(None).cast("double")) if skip_nan else F.col(metric)
+        weight = F.when(value.isNotNull(), F.col(count))
+        weighted = F.sum(value * F.col(count)) / F.greatest(F.sum(weight), F.lit(1))
+        position = F.col("position")
+        return F.when(position == 0, F.max(metric)).when(position == 1, F.avg(value)).otherwise(weighted).alias(metric)
+
+    summary = spread.groupBy(by, "position").agg(F.sum(count).alias(count), *[summed_up(m) for m in metrics])
+    return summary.select(by, count, *metrics, "position")

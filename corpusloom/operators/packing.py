@@ -73,7 +73,7 @@ def assemble(slices: DataFrame, group: Sequence[str]) -> DataFrame:
 
     For groups of bounded length: sequences and batches, not whole shards.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("lo", "ids")))
+    ordered = F.sort_array(F.collect_list(F.struct("lo", "ids")))
     return slices.groupBy(*group).agg(F.flatten(F.transform(ordered, lambda s: s["ids"])).alias("ids"))
 
 

@@ -102,24 +102,35 @@ def tokenize(
     carried = [*key, *keep]
     names = list(texts)
     spread = df.select(*carried, *[texts[n].alias(n) for n in names]).repartition(*key)
-    per_field = [_tagged_pieces(n, i, (first or {}).get(n)) for i, n in enumerate(names)]
-    both = F.flatten(F.array(*per_field)) if len(names) > 1 else per_field[0]
-    long = spread.select(*carried, F.posexplode_outer(both).alias("pos", "piece")).select(
+    wanted = [_wanted_pieces(n, (first or {}).get(n)) for n in names]
+    if len(names) == 1:
+        long = spread.select(*carried, F.posexplode_outer(wanted[0]).alias("pos", "token"))
+        coded = lookup(long, vocab.select("token", "id"), "token", vocab_rows, limit)
+        return coded.groupBy(*carried).agg(_in_order("pos", _known_id())["id"].alias(names[0]))
+    tagged = F.flatten(F.array(*[_tagged(w, i) for i, w in enumerate(wanted)]))
+    long = spread.select(*carried, F.posexplode_outer(tagged).alias("pos", "piece")).select(
         *carried, "pos", F.col("piece.field").alias("field"), F.col("piece.token").alias("token")
     )
     coded = lookup(long, vocab.select("token", "id"), "token", vocab_rows, limit)
-    entry = F.struct("pos", "field", F.coalesce("id", F.lit(UNK)).alias("id"))
-    grouped = coded.groupBy(*carried).agg(
-        F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), entry))).alias("coded")
-    )
-    if len(names) == 1:
-        return grouped.select(*carried, F.col("coded.id").alias(names[0]))
+    grouped = coded.groupBy(*carried).agg(_in_order("pos", "field", _known_id()).alias("coded"))
     return grouped.select(*carried, *[_field_ids(i).alias(n) for i, n in enumerate(names)])
 
 
-def _tagged_pieces(text: str, field: int, first: int | None) -> Column:
-    wanted = F.slice(pieces(F.col(text)), 1, first) if first else pieces(F.col(text))
-    return F.transform(wanted, lambda p: F.struct(F.lit(field).alias("field"), p.alias("token")))
+def _known_id() -> Column:
+    return F.coalesce("id", F.lit(UNK)).alias("id")
+
+
+def _in_order(*columns: Column | str) -> Column:
+    """All rows of the group as an array ordered by the first column; a row of nulls is left out."""
+    return F.sort_array(F.collect_list(F.when(F.col(columns[0]).isNotNull(), F.struct(*columns))))
+
+
+def _wanted_pieces(text: str, first: int | None) -> Column:
+    return F.slice(pieces(F.col(text)), 1, first) if first else pieces(F.col(text))
+
+
+def _tagged(words: Column, field: int) -> Column:
+    return F.transform(words, lambda p: F.struct(F.lit(field).alias("field"), p.alias("token")))
 
 
 def _field_ids(field: int) -> Column:
@@ -145,11 +156,8 @@ def decode_tokens(
     long = df.select(*key, ids).repartition(*key).select(*key, F.posexplode_outer(ids).alias("pos", "id"))
     named = lookup(long, vocab.select("id", "token"), "id", vocab_rows, limit)
     unknown = dict((number, name) for name, number in SPECIAL_TOKENS)[UNK]
-    entry = F.struct("pos", F.coalesce("token", F.lit(unknown)).alias("token"))
-    grouped = named.groupBy(*key).agg(
-        F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), entry))).alias("coded")
-    )
-    return grouped.select(*key, F.array_join("coded.token", " ").alias("text"))
+    words = _in_order("pos", F.coalesce("token", F.lit(unknown)).alias("token"))["token"]
+    return named.groupBy(*key).agg(F.array_join(words, " ").alias("text"))
 
 
 def doc_token_stats(df: DataFrame, by: str, n_tokens: Column) -> DataFrame:

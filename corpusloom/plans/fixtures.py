@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusloom.functions.text import pieces, seeded_draw
-from corpusloom.operators.ordering import running, time_buckets
+from corpusloom.operators.ordering import ID_BITS, id_buckets, running, time_buckets
 from corpusloom.session import spread
 
 SEED = 42
@@ -38,12 +38,16 @@ def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user turn and the turn that follows, which may be missing."""
-    turns = Window.partitionBy("conv_id").orderBy("turn")
-    paired = table(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", "role", F.col("text").alias("premise"), F.lead("text").over(turns).alias("hypothesis")
-    )
-    return paired.where("role = 'user'").drop("role")
+    """A user turn and the turn that follows, which may be missing.
+
+    The next turn is the least one among those that come later, a running
+    minimum from the end; a window per conversation would not split a long one.
+    """
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.col("text").alias("premise"))
+    from_end = F.lit((1 << ID_BITS) - 1) - F.col("turn")
+    later = F.struct("turn", F.col("premise").alias("text"))
+    paired = running(turns, "next", later, [from_end], id_buckets(from_end), ["conv_id"], op="min")
+    return paired.where("role = 'user'").select("conv_id", "turn", "premise", F.col("next.text").alias("hypothesis"))
 
 
 def _strip(text: Column) -> Column:

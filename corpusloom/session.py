@@ -65,11 +65,14 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+FEW_SPLITS = 32
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a table that comes in too few splits.
+    """Use all cores on a table that comes in very few splits.
 
     A small table is often one file with one row group, which a single task
-    reads. Tables with enough splits, as large ones have, stay as they are.
+    reads. A table with enough splits, as any large one has, stays as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() >= min(cores, FEW_SPLITS) else df.repartition(cores)

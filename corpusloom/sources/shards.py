@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +38,7 @@ FILE_PATTERN = r"^data_(val|train)_(\d{6,})\.bin$"
 CHUNK_TOKENS = 8192  # tokens per row
 TASK_BYTES = 32 << 20  # payload per read task
 HEADERS_PER_TASK = 64
+RENAME_THREADS = 16
 
 _CHUNK_SCHEMA = "file string, shard_index int, split string, n_tokens long, lo long, ids array<int>"
 _HEADER_SCHEMA = "file string, shard_index int, split string, version int, bits int, tokens long"
@@ -244,8 +246,8 @@ class ShardWriter(DataSourceArrowWriter):
             for info in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
                 if re.match(FILE_PATTERN, info.base_name) and info.base_name not in set(names):
                     fs.delete_file(info.path)
-        for source, name in moves:
-            fs.move(source, f"{root.rstrip('/')}/{name}")
+        with ThreadPoolExecutor(RENAME_THREADS) as pool:
+            list(pool.map(lambda m: fs.move(m[0], f"{root.rstrip('/')}/{m[1]}"), moves))
         self._clean(fs, root)
 
     def abort(self, messages: list) -> None:
