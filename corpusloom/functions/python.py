@@ -89,6 +89,16 @@ def scorer(load: Callable, batch: int = 256) -> Callable[[Column | str], Column]
     return score
 
 
+def predicate(keep: Callable) -> Callable[..., Column]:
+    """Boolean column from a Python test of one or more columns, for what no expression can say."""
+
+    @F.arrow_udf(T.BooleanType())
+    def test(*columns: pa.Array) -> pa.Array:
+        return pa.array([bool(keep(*row)) for row in zip(*[c.to_pylist() for c in columns])], pa.bool_())
+
+    return test
+
+
 def map_batches(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """Apply a pandas function to each batch (rows of one ``batch_id``)."""
     return df.groupBy("batch_id").applyInPandas(fn, schema)

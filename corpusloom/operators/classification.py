@@ -63,29 +63,31 @@ def align_predictions(predictions: DataFrame, labels: DataFrame, key: str = "ex_
     return predictions.join(labels, key)
 
 
-def class_universe(counts: DataFrame) -> DataFrame:
+def class_universe(df: DataFrame) -> DataFrame:
     """Classes seen as label or as prediction: one column ``cls``."""
-    return counts.select(F.explode(F.array("label", "pred")).alias("cls")).distinct()
+    return confusion_counts(df).select(F.explode(F.array("label", "pred")).alias("cls")).distinct()
 
 
-def confusion_counts(df: DataFrame) -> DataFrame:
+def confusion_counts(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """``(label, pred, n)`` for the pairs that occur."""
-    return df.groupBy("label", "pred").agg(F.count(F.lit(1)).alias("n"))
+    return df.groupBy(*by, "label", "pred").agg(F.count(F.lit(1)).alias("n"))
 
 
-def confusion_matrix(df: DataFrame) -> DataFrame:
-    """``(label, pred, n)`` over all classes seen on either side, zeros included."""
-    counts = confusion_counts(df)
-    classes = class_universe(counts).agg(F.sort_array(F.collect_list("cls")).alias("classes"))
-    guarded = classes.select(
-        F.when(F.size("classes") <= MAX_CLASSES, F.col("classes"))
-        .otherwise(F.raise_error(F.lit(f"more than {MAX_CLASSES} classes")).cast("array<bigint>"))
-        .alias("classes")
-    )
-    grid = guarded.select(F.explode("classes").alias("label"), "classes").select(
-        "label", F.explode("classes").alias("pred")
-    )
-    return grid.join(counts, ["label", "pred"], "left").select("label", "pred", F.coalesce("n", F.lit(0)).alias("n"))
+def confusion_matrix(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``(label, pred, n)`` over all classes seen on either side, zeros included.
+
+    Built from the counts alone: each cell that occurs is one row, and the
+    classes of a group fit in one array, whose size is checked.
+    """
+    counts = confusion_counts(df, by)
+    seen = counts.select(*by, F.explode(F.array("label", "pred")).alias("cls"))
+    listed = seen.groupBy(*by).agg(F.sort_array(F.collect_set("cls")).alias("classes"))
+    too_many = F.raise_error(F.lit(f"more than {MAX_CLASSES} classes")).cast("array<bigint>")
+    classes = F.when(F.size("classes") <= MAX_CLASSES, F.col("classes")).otherwise(too_many)
+    grid = listed.select(*by, classes.alias("classes")).select(*by, F.explode("classes").alias("label"), "classes")
+    cells = grid.select(*by, "label", F.explode("classes").alias("pred"))
+    filled = cells.join(counts, [*by, "label", "pred"], "left")
+    return filled.select(*by, "label", "pred", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def class_sums(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -80,13 +80,12 @@ def assemble(slices: DataFrame, group: Sequence[str]) -> DataFrame:
 def train_batches(shards: DataFrame, length: int, world: int) -> DataFrame:
     """Windows of ``length + 1`` ids per ``(file, batch, rank)``.
 
-    Input: slices ``(file, lo, ids)``. Neighbouring windows share one id, the
+    Input: slices ``(file, lo, ids)``, with ``hi`` if known. Neighbouring windows share one id, the
     target of the last input. A batch is whole only if one more id follows it,
     so the tail of a file that does not fill ``world`` windows is left out.
     """
-    located = shards.select(
-        "file", "ids", F.col("lo").alias("start_pos"), (F.col("lo") + F.size("ids")).alias("end_pos")
-    )
+    end = F.col("hi") if "hi" in shards.columns else F.col("lo") + F.size("ids")
+    located = shards.select("file", "ids", F.col("lo").alias("start_pos"), end.alias("end_pos"))
     cut = cut_stream(located, length, "window", "ids", ["file"], overlap=1)
     slices = cut.select(
         "file",

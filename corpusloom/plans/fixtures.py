@@ -16,13 +16,13 @@ EVAL_EVERY = 25
 ACCENTS = ("àáâäçèéêëíñóôöùúûü", "aaaaceeeeinooouuuu")  # fixed values: letter by letter
 
 
-TEXT_TABLES = ("documents", "conversations")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables; those with long texts are spread over all cores."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, on all cores; for queries that split every text where it is read."""
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,12 +58,12 @@ def _romanize(text: Column) -> Column:
     return F.translate(text, *ACCENTS)
 
 
-def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def summaries(docs: DataFrame) -> DataFrame:
     """Text and summary in three forms, with language and split."""
     bucket = seeded_draw(SEED, F.lit("split"), F.col("doc_id")) % 10
     split = F.when(bucket == 0, "test").when(bucket == 1, "validation").otherwise("train")
     text, summary = F.col("text"), F.split_part("text", F.lit("\n"), F.lit(1))
-    return table(spark, sf_dir, "documents").select(
+    return docs.select(
         "doc_id",
         F.col("lang").alias("language"),
         split.alias("split"),
@@ -98,7 +98,7 @@ def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     projection, and every text would be split twice.
     """
     long_enough = F.explode(F.filter(F.array(pieces("text")), lambda p: F.size(p) >= 10))
-    split = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("language"), long_enough.alias("p"))
+    split = texts(spark, sf_dir).select("doc_id", F.col("lang").alias("language"), long_enough.alias("p"))
     return split.select(
         "doc_id",
         "language",

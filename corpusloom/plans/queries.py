@@ -7,7 +7,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corpusloom.functions import arrays as A, numbers as N, text as X
+from corpusloom.functions import arrays as A, numbers as N, python as PY, text as X
 from corpusloom.operators import (
     classification as C,
     classifier as ML,
@@ -21,8 +21,8 @@ from corpusloom.operators import (
     vocabulary as V,
 )
 from corpusloom.operators.ordering import row_index, shuffled_index
-from corpusloom.plans import fixtures as fx
-from corpusloom.plans.fixtures import LANGUAGES, NUM_CLASSES, SEED, table
+from corpusloom.plans import fixtures as fx, jobs as J
+from corpusloom.plans.fixtures import LANGUAGES, NUM_CLASSES, SEED, table, texts
 from corpusloom.session import scratch_folder, staged
 from corpusloom.sources import datasets as DS, logs as LG, shards as SH
 from corpusloom.streaming import streams as ST
@@ -50,7 +50,7 @@ def rounded(column: Column) -> Column:
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.build_vocab(table(spark, sf_dir, "documents"), VOCAB_WORDS)
+    return V.build_vocab(texts(spark, sf_dir), VOCAB_WORDS)
 
 
 def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ def lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Stored once, because the running total reads it several times.
     """
-    counted = table(spark, sf_dir, "documents").select("doc_id", (X.piece_count("text") + 1).cast("long").alias("n_ids"))
+    counted = texts(spark, sf_dir).select("doc_id", (X.piece_count("text") + 1).cast("long").alias("n_ids"))
     return staged(counted, "lengths")
 
 
@@ -92,8 +92,7 @@ def vocab_top(spark, sf_dir):
 
 
 def doc_token_stats(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return V.doc_token_stats(docs, "lang", X.piece_count("text")).withColumn(
+    return V.doc_token_stats(texts(spark, sf_dir), "lang", X.piece_count("text")).withColumn(
         "mean_tokens", rounded(F.col("mean_tokens"))
     )
 
@@ -272,6 +271,10 @@ def confusion(spark, sf_dir):
     return C.confusion_matrix(predicted(spark, sf_dir))
 
 
+def class_universe(spark, sf_dir):
+    return C.class_universe(predicted(spark, sf_dir))
+
+
 def class_report(spark, sf_dir):
     report = C.class_report(predicted(spark, sf_dir))
     scores = ("precision", "recall", "f1", "f2", "accuracy")
@@ -321,8 +324,8 @@ def usable_datasets(spark, sf_dir):
     return S.concat([*counted, reported]).drop("part")
 
 
-def scored(spark, sf_dir):
-    """Scores from a caller-supplied function over fixed-width ids."""
+def _salted_scorer():
+    """Scores from a function a caller might supply: ids of a row to one value per class."""
 
     def load():
         salts = np.arange(1, 4, dtype=np.int64)
@@ -332,9 +335,11 @@ def scored(spark, sf_dir):
 
         return run
 
-    from corpusloom.functions.python import scorer
+    return PY.scorer(load)
 
-    logits = scorer(load)("input_ids")
+
+def scored(spark, sf_dir):
+    logits = _salted_scorer()("input_ids")
     return class_examples(spark, sf_dir).select("doc_id", logits.alias("logits")).select(
         "doc_id", A.argmax_class(F.col("logits")).alias("pred")
     )
@@ -349,27 +354,27 @@ def ml_classifier(spark, sf_dir):
 
 
 def mix_natural(spark, sf_dir):
-    rows = fx.summaries(spark, sf_dir).select("doc_id", "language")
+    rows = fx.summaries(table(spark, sf_dir, "documents")).select("doc_id", "language")
     return S.mix_languages(rows, "natural", LANGUAGES, "doc_id", SEED).select("out_pos", "language", "doc_id")
 
 
 def mix_balanced(spark, sf_dir):
-    rows = fx.summaries(spark, sf_dir).select("doc_id", "language")
+    rows = fx.summaries(table(spark, sf_dir, "documents")).select("doc_id", "language")
     return S.mix_languages(rows, "balanced", LANGUAGES, "doc_id", SEED).select("out_pos", "language", "draw", "doc_id")
 
 
 def language_sample(spark, sf_dir):
-    rows = fx.summaries(spark, sf_dir).select("doc_id", "language")
+    rows = fx.summaries(table(spark, sf_dir, "documents")).select("doc_id", "language")
     kept = S.sample_per_language(rows, LANGUAGES, ["doc_id"], FRACTION, SEED)
     return shuffled_index(kept, SEED, ["doc_id"]).select("out_pos", "language", "doc_id")
 
 
 def language_head(spark, sf_dir):
-    return S.head_per_language(fx.summaries(spark, sf_dir).select("doc_id", "language"), "doc_id", HEAD_ROWS)
+    return S.head_per_language(fx.summaries(table(spark, sf_dir, "documents")).select("doc_id", "language"), "doc_id", HEAD_ROWS)
 
 
 def language_index(spark, sf_dir):
-    rows = fx.summaries(spark, sf_dir).select("doc_id", "language")
+    rows = fx.summaries(table(spark, sf_dir, "documents")).select("doc_id", "language")
     return row_index(rows, "doc_id", ["language"])
 
 
@@ -390,14 +395,14 @@ def concat_datasets(spark, sf_dir):
 
 def dataset_split(spark, sf_dir):
     path = scratch_folder(spark, "dataset")
-    rows = fx.summaries(spark, sf_dir).select("doc_id", "text", "split", F.col("language").alias("config"))
+    rows = fx.summaries(table(spark, sf_dir, "documents")).select("doc_id", "text", "split", F.col("language").alias("config"))
     DS.write_partitioned(rows, path, ["config", "split"])
     return DS.read_dataset(spark, path, "en", "validation").select("doc_id", F.length("text").cast("long").alias("chars"))
 
 
 def language_scan(spark, sf_dir):
     path = scratch_folder(spark, "languages")
-    rows = fx.summaries(spark, sf_dir).select("doc_id", "summary", "language", "split")
+    rows = fx.summaries(table(spark, sf_dir, "documents")).select("doc_id", "summary", "language", "split")
     DS.write_partitioned(rows, path, ["language", "split"])
     read = DS.read_languages(spark, path, ("de", "fr"), "train")
     return read.groupBy("language").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("summary")).alias("chars"))
@@ -407,16 +412,16 @@ def language_scan(spark, sf_dir):
 
 
 def prompts(spark, sf_dir):
-    parts = []
+    parts, rows = [], fx.summaries(texts(spark, sf_dir))
     for form in E.REPRESENTATIONS:
-        chosen = E.select_representation(fx.summaries(spark, sf_dir), form, ["doc_id", "language"])
+        chosen = E.select_representation(rows, form, ["doc_id", "language"])
         parts.append(E.prompts(chosen).select(F.lit(form).alias("form"), "doc_id", F.md5("prompt").alias("prompt_md5")))
     return S.concat(parts).drop("part")
 
 
 def prompt_ids(spark: SparkSession, sf_dir: str, first: dict[str, int] | None = None) -> DataFrame:
     """Prompts and summaries as ids, one row per document."""
-    rows = E.prompts(E.select_representation(fx.summaries(spark, sf_dir), "text", ["doc_id", "language", "split"]))
+    rows = E.prompts(E.select_representation(fx.summaries(table(spark, sf_dir, "documents")), "text", ["doc_id", "language", "split"]))
     return V.tokenize(
         rows,
         vocabulary(spark, sf_dir),
@@ -658,6 +663,56 @@ def stream_best(spark, sf_dir):
     return spark.read.parquet(f"{out}/result/improvements").select("run", "step", "val_loss", "prev_best")
 
 
+# --- complete jobs ------------------------------------------------------------------
+
+
+def corpus_job(spark, sf_dir):
+    """Shards from whole documents, then the step plan of their training files."""
+    path = scratch_folder(spark, "corpus")
+    vocab = staged(vocabulary(spark, sf_dir), "vocabulary")
+    code = J.vocabulary_coder(vocab, VOCAB_ROWS)
+    docs = table(spark, sf_dir, "documents")
+    J.corpus_to_shards(docs, code, path, V.EOT, VOCAB_ROWS, shard_size=SHARD_SIZE)
+    return J.count_training_tokens(spark, path, EPOCHS, TOKENS_PER_ITER)[0]
+
+
+def pack_job(spark, sf_dir):
+    path = scratch_folder(spark, "packs")
+    vocab = staged(vocabulary(spark, sf_dir), "vocabulary")
+    built = J.build_packs(
+        fx.summaries(table(spark, sf_dir, "documents")), J.vocabulary_coder(vocab, VOCAB_ROWS), path, "text",
+        LANGUAGES, V.EOT, "natural", CONTEXT, TARGET_MAX, FRACTION, SEED,
+    )
+    return built.groupBy("split", "language").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("prompt_len").alias("prompt_ids"), F.sum("target_len").alias("target_ids")
+    )
+
+
+def classifier_job(spark, sf_dir):
+    """Two usable datasets and one without a label, scored by a caller-supplied function."""
+    rows = fx.classified(spark, sf_dir)
+    vocab = staged(vocabulary(spark, sf_dir), "vocabulary")
+    datasets = {
+        "quality": rows.drop("label2"),
+        "toxic": rows.drop("label").withColumnRenamed("label2", "label"),
+        "bare": table(spark, sf_dir, "documents"),
+    }
+    _, report, skipped = J.evaluate_classifier(
+        datasets, J.vocabulary_coder(vocab, VOCAB_ROWS), _salted_scorer(), ["text"], "label", WIDTH
+    )
+    if skipped != {"bare": ["label"]}:
+        raise RuntimeError(f"unexpected skips: {skipped}")
+    return report.select("dataset", "label", "support", rounded(F.col("precision")).alias("precision"), rounded(F.col("f2")).alias("f2"))
+
+
+def generation_job(spark, sf_dir):
+    scores = staged(L.unigram_scores(staged(vocabulary(spark, sf_dir), "vocabulary")), "scores")
+    labels = L.score_labels(encoded_packs(spark, sf_dir), scores, score_rows=VOCAB_ROWS)
+    report = J.evaluate_generation(fx.generations(spark, sf_dir), labels, path=scratch_folder(spark, "generation"))
+    metrics = (*GENERATION_METRICS, "token_loss")
+    return report.select("language", "split", "num_examples", *[rounded(F.col(m)).alias(m) for m in metrics])
+
+
 # --- tokenizer files ----------------------------------------------------------------
 
 
@@ -671,25 +726,19 @@ def _tokenizer_files():
 
 
 def _file_encoded(spark: SparkSession, sf_dir: str, load) -> DataFrame:
-    from corpusloom.functions.python import encoder
-
-    ids = encoder(load)("text")
-    return table(spark, sf_dir, "documents").select("doc_id", ids.alias("ids")).select(
+    ids = PY.encoder(load)("text")
+    return texts(spark, sf_dir).select("doc_id", ids.alias("ids")).select(
         "doc_id", F.size("ids").cast("long").alias("n_ids"), A.id_digest(F.col("ids")).alias("ids_md5")
     )
 
 
 def tokenizer_file_ids(spark, sf_dir):
-    from corpusloom.functions.python import tokenizer_json
-
-    return _file_encoded(spark, sf_dir, tokenizer_json(spark, _tokenizer_files().path("byte_bpe_50k.json")))
+    return _file_encoded(spark, sf_dir, PY.tokenizer_json(spark, _tokenizer_files().path("byte_bpe_50k.json")))
 
 
 def rank_file_ids(spark, sf_dir):
-    from corpusloom.functions.python import tiktoken_ranks
-
     files = _tokenizer_files()
-    return _file_encoded(spark, sf_dir, tiktoken_ranks(spark, files.path("byte_bpe_50k.tiktoken"), files.PATTERN))
+    return _file_encoded(spark, sf_dir, PY.tiktoken_ranks(spark, files.path("byte_bpe_50k.tiktoken"), files.PATTERN))
 
 
 def all_queries() -> dict[str, Query]:
@@ -697,12 +746,13 @@ def all_queries() -> dict[str, Query]:
         vocab_top, doc_token_stats, encoded_docs, decoded_docs, special_ids, token_offsets, shard_pieces,
         shard_counts, shard_summary, iteration_plan, train_batches, doc_segments, block_ranges, block_overlap,
         file_plan, shard_roundtrip, joined_text, fixed_width, example_files, class_weights, class_distribution,
-        example_plan, confusion, class_report, overall_report, overall_accuracy, argmax_topk, batch_metrics,
+        example_plan, confusion, class_universe, class_report, overall_report, overall_accuracy, argmax_topk, batch_metrics,
         weighted_ce, usable_datasets, scored, ml_classifier, mix_natural, mix_balanced, language_sample,
         language_head, language_index, seeded_order, drawn_rows, concat_datasets, dataset_split, language_scan,
         prompts, packs, tight_packs, pack_counts, pack_files, pack_build, padded_batches, gen_prompts, token_loss,
         rouge_n, rouge_n_ascii, rouge_l, bleu, language_report, parsed_logs, run_summary, loss_windows,
         best_checkpoint, best_so_far, width_rules, stream_tokens, stream_counts, stream_windows, stream_best,
+        corpus_job, pack_job, classifier_job, generation_job,
     ]
     if _tokenizer_files() is not None:
         listed += [tokenizer_file_ids, rank_file_ids]

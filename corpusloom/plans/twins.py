@@ -414,6 +414,17 @@ cte(
     "lcs_scores",
     "bleu_scores",
 )
+cte("all_scores", "SELECT * FROM language_scores JOIN language_loss USING (language)", "language_scores", "language_loss")
+cte(
+    "scored_sets",
+    """
+    SELECT dataset, doc_id, label, (CASE WHEN a >= b AND a >= c THEN 0 WHEN b >= c THEN 1 ELSE 2 END)::BIGINT AS pred
+    FROM (SELECT s.dataset, i.doc_id, CASE s.dataset WHEN 'quality' THEN l.quality ELSE l.toxic END::BIGINT AS label,
+            list_sum(ids[1:128]) % 97 AS a, list_sum(ids[1:128]) * 2 % 97 AS b, list_sum(ids[1:128]) * 3 % 97 AS c
+          FROM cls_ids i JOIN labels l USING (doc_id) CROSS JOIN (VALUES ('quality'), ('toxic')) s(dataset))
+    """,
+    "cls_ids",
+)
 FORMS = {
     "text": "{}",
     "ipa_stripped": r"regexp_replace({}, '[^\p{{L}}\s]', '', 'g')",
@@ -525,6 +536,7 @@ TWINS: dict[str, str] = {
            LEFT JOIN pred p ON p.label = a.cls AND p.pred = b.cls GROUP BY a.cls, b.cls""",
         "pred",
     ),
+    "class_universe": sql("SELECT label AS cls FROM pred UNION SELECT pred FROM pred", "pred"),
     "class_report": sql(
         """SELECT label, support::BIGINT AS support, round(p, 6) AS precision, round(r, 6) AS recall, round(f1, 6) AS f1,
              round(f2, 6) AS f2, round(r, 6) AS accuracy FROM class_scores""",
@@ -701,6 +713,40 @@ TWINS: dict[str, str] = {
     ),
     "best_so_far": BEST,
     "stream_best": BEST,
+    "corpus_job": sql(
+        """SELECT file, sum(tokens)::BIGINT AS tokens FROM shard_totals WHERE file LIKE 'data_train%' GROUP BY ROLLUP (file)""",
+        "shard_totals",
+    ),
+    "pack_job": sql(
+        """SELECT split, language, count(*) AS rows, sum(len(cut))::BIGINT AS prompt_ids, sum(len(goal))::BIGINT AS target_ids
+           FROM packed JOIN (SELECT doc_id, row_number() OVER (PARTITION BY language, split ORDER BY md5('42:'||doc_id), doc_id) AS r,
+               count(*) OVER (PARTITION BY language, split) AS n FROM ex_sft) USING (doc_id)
+           WHERE split <> 'train' OR r <= greatest(1, floor(n * 0.3::DOUBLE)) GROUP BY split, language""",
+        "packed",
+    ),
+    "classifier_job": sql(
+        """SELECT dataset, c.cls AS label, sum((label = c.cls)::INTEGER)::BIGINT AS support,
+             round(CASE WHEN sum((pred = c.cls)::INTEGER) > 0
+               THEN sum((label = c.cls AND pred = c.cls)::INTEGER) / sum((pred = c.cls)::INTEGER) ELSE 0 END, 6)::DOUBLE AS precision,
+             round(5 * sum((label = c.cls AND pred = c.cls)::INTEGER)
+               / (4 * sum((label = c.cls)::INTEGER) + sum((pred = c.cls)::INTEGER)), 6)::DOUBLE AS f2
+           FROM scored_sets JOIN (SELECT dataset, label AS cls FROM scored_sets UNION SELECT dataset, pred FROM scored_sets) c
+             USING (dataset) GROUP BY dataset, c.cls""",
+        "scored_sets",
+    ),
+    "generation_job": recursive(
+        sql(
+            """SELECT language, 'test' AS split, num_examples, round(rouge1, 6) AS rouge1, round(rouge2, 6) AS rouge2,
+                 round(rougeL, 6) AS rougeL, round(bleu, 6) AS bleu, round(loss, 6) AS token_loss FROM all_scores
+               UNION ALL SELECT 'macro', 'test', sum(num_examples)::BIGINT, round(avg(rouge1), 6), round(avg(rouge2), 6),
+                 round(avg(rougeL), 6), round(avg(bleu), 6), round(avg(loss), 6) FROM all_scores
+               UNION ALL SELECT 'weighted', 'test', sum(num_examples)::BIGINT, round(sum(rouge1 * num_examples) / sum(num_examples), 6),
+                 round(sum(rouge2 * num_examples) / sum(num_examples), 6), round(sum(rougeL * num_examples) / sum(num_examples), 6),
+                 round(sum(bleu * num_examples) / sum(num_examples), 6), round(sum(loss * num_examples) / sum(num_examples), 6)
+                 FROM all_scores""",
+            "all_scores",
+        )
+    ),
     "width_rules": """SELECT doc_id, (ceil(n_chars / 128) * 128)::BIGINT AS up, greatest(1000, (ceil(n_chars / 1000) * 1000)::BIGINT) AS up_from,
         (CASE WHEN n_chars % 128 = 0 THEN n_chars ELSE (n_chars // 128 + 1) * 128 END)::BIGINT AS context, 'set_'||source AS label
         FROM documents""",
