@@ -41,6 +41,15 @@ def tokenizer_json(spark: SparkSession, path: str) -> Callable:
     return load
 
 
+def tokenizer_specials(spark: SparkSession, path: str, names, default: int) -> tuple[int, int]:
+    """Id of the first special name a ``tokenizers`` JSON file has (else ``default``), and its vocabulary size."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_buffer(_file_bytes(spark, path).value)
+    found = (tokenizer.token_to_id(n) for n in names)
+    return next((i for i in found if i is not None), default), tokenizer.get_vocab_size()
+
+
 def tiktoken_ranks(spark: SparkSession, path: str, pattern: str) -> Callable:
     """Loader for a ``tiktoken`` rank file; special marks in a text are plain text."""
     content = _file_bytes(spark, path)

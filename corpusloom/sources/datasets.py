@@ -5,7 +5,11 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from corpusloom.session import staged
+
+BROADCAST_FILES = 100_000
 
 
 def read_dataset(
@@ -26,6 +30,24 @@ def read_dataset(
     return df
 
 
+def read_numbered(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
+    """Parquet rows with their position in the dataset: files by name, rows in file order.
+
+    The position of a file is the sum of the rows before it, from one count per
+    file that reads no data columns. Rows are not sorted or moved for it.
+    """
+    rows = spark.read.parquet(path).select(
+        "*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")
+    )
+    files = rows.groupBy("__file").agg((F.max("__row") + 1).alias("__rows"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = staged(files.select("__file", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__start")), "files")
+    if starts.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES:
+        starts = F.broadcast(starts)
+    placed = rows.join(starts, "__file").withColumn(key, F.col("__start") + F.col("__row"))
+    return placed.drop("__file", "__row", "__start")
+
+
 def read_languages(spark: SparkSession, root: str, languages: Sequence[str], split: str | None = None) -> DataFrame:
     """All listed languages in one scan of folders ``language=...``, others pruned."""
     df = spark.read.parquet(root).where(F.col("language").isin(*languages))
