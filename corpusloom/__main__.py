@@ -23,7 +23,7 @@ def _coder(spark: SparkSession, args, docs, names, default: int):
         return jobs.column_coder(PY.encoder(PY.tokenizer_json(spark, args.tokenizer))), mark, size
     vocab = staged(V.build_vocab(docs, args.vocab_words, args.text_field), "vocabulary")
     size = args.vocab_words + len(V.SPECIAL_TOKENS)
-    return jobs.vocabulary_coder(vocab, size), V.EOT, size
+    return jobs.vocabulary_coder(vocab), V.EOT, size
 
 
 def preprocess(spark: SparkSession, args) -> None:

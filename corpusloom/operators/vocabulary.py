@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from corpusloom.functions.text import pieces
 
@@ -20,6 +22,7 @@ TARGET_END_NAMES = ("<|endoftext|>", "<|eot_id|>", "<eos>", "</s>")
 TARGET_END_DEFAULT = 50256
 
 BROADCAST_ROWS = 1 << 18  # a vocabulary of this size takes some 20 MB in memory
+ID_BITS = 32
 
 
 def build_vocab(df: DataFrame, max_words: int = 50_000, text: str = "text") -> DataFrame:
@@ -80,13 +83,36 @@ def lookup(
     return hits.unionByName(misses.select(columns)).unionByName(blanks.select(columns))
 
 
+def vocab_column(vocab: DataFrame, source: str, target: str, missing, limit: int = BROADCAST_ROWS):
+    """Array lookup ``source`` values -> ``target`` values as a column function, or None above ``limit`` rows.
+
+    At most ``limit`` + 1 rows are fetched, so the size is checked before anything
+    is shared with the tasks. Whole Arrow batches are looked up at once, and no
+    row leaves its partition; a join would need one row per piece and a regrouping.
+    """
+    held = vocab.select(source, target).limit(limit + 1).toArrow()
+    if held.num_rows > limit:
+        return None
+    shared = vocab.sparkSession.sparkContext.broadcast(
+        (held.column(source).combine_chunks(), held.column(target).combine_chunks())
+    )
+
+    @F.arrow_udf(T.ArrayType(vocab.schema[target].dataType))
+    def look_up(lists: pa.Array) -> pa.Array:
+        known, values = shared.value
+        at = pc.index_in(lists.flatten(), value_set=known.cast(lists.type.value_type))
+        found = pc.fill_null(values.take(at), missing)
+        return pa.ListArray.from_arrays(pc.subtract(lists.offsets, lists.offsets[0]), found)
+
+    return look_up
+
+
 def tokenize(
     df: DataFrame,
     vocab: DataFrame,
     texts: Mapping[str, Column],
     key: Sequence[str] = ("doc_id",),
     keep: Sequence[str] = (),
-    vocab_rows: int | None = None,
     limit: int = BROADCAST_ROWS,
     first: Mapping[str, int] | None = None,
 ) -> DataFrame:
@@ -95,46 +121,44 @@ def tokenize(
     ``first`` names columns of which only so many leading ids are wanted. The
     whole text is split all the same; the other pieces just need no lookup.
 
-    The compact text is shuffled once by ``key``. Splitting, the lookup and the
-    regrouping then all run inside that partitioning, so the many piece rows are
-    never shuffled. ``key`` must identify a row; ``keep`` columns must be small.
+    With a vocabulary of up to ``limit`` rows nothing is shuffled. A larger one
+    is joined by :func:`lookup`, piece by piece, and the ids are regrouped by
+    ``key``, which must identify a row then.
     """
-    carried = [*key, *keep]
-    names = list(texts)
-    spread = df.select(*carried, *[texts[n].alias(n) for n in names]).repartition(*key)
-    wanted = [_wanted_pieces(n, (first or {}).get(n)) for n in names]
-    if len(names) == 1:
-        long = spread.select(*carried, F.posexplode_outer(wanted[0]).alias("pos", "token"))
-        coded = lookup(long, vocab.select("token", "id"), "token", vocab_rows, limit)
-        return coded.groupBy(*carried).agg(_in_order("pos", _known_id())["id"].alias(names[0]))
-    tagged = F.flatten(F.array(*[_tagged(w, i) for i, w in enumerate(wanted)]))
-    long = spread.select(*carried, F.posexplode_outer(tagged).alias("pos", "piece")).select(
+    wanted = {n: _wanted_pieces(t, (first or {}).get(n)) for n, t in texts.items()}
+    code = vocab_column(vocab, "token", "id", UNK, limit)
+    if code is not None:
+        empty = F.array().cast("array<int>")
+        return df.select(*key, *keep, *[F.coalesce(code(w), empty).alias(n) for n, w in wanted.items()])
+    return _tokenize_by_join(df, vocab, texts, key, keep, limit, first or {})
+
+
+def _tokenize_by_join(df, vocab, texts, key, keep, limit, first) -> DataFrame:
+    carried, names = [*key, *keep], list(texts)
+    spread = df.select(*carried, *[texts[n].alias(n) for n in names])
+    fields = [_tagged(_wanted_pieces(F.col(n), first.get(n)), i) for i, n in enumerate(names)]
+    long = spread.select(*carried, F.posexplode_outer(F.flatten(F.array(*fields))).alias("pos", "piece")).select(
         *carried, "pos", F.col("piece.field").alias("field"), F.col("piece.token").alias("token")
     )
-    coded = lookup(long, vocab.select("token", "id"), "token", vocab_rows, limit)
-    grouped = coded.groupBy(*carried).agg(_in_order("pos", "field", _known_id()).alias("coded"))
-    return grouped.select(*carried, *[_field_ids(i).alias(n) for i, n in enumerate(names)])
-
-
-def _known_id() -> Column:
-    return F.coalesce("id", F.lit(UNK)).alias("id")
-
-
-def _in_order(*columns: Column | str) -> Column:
-    """All rows of the group as an array ordered by the first column; a row of nulls is left out."""
-    return F.sort_array(F.collect_list(F.when(F.col(columns[0]).isNotNull(), F.struct(*columns))))
+    coded = lookup(long, vocab.select("token", "id"), "token", limit + 1, limit)
+    # position and id in one long: half the memory of a struct, and it sorts by position
+    entry = F.shiftleft(F.col("pos").cast("long"), ID_BITS).bitwiseOR(F.coalesce("id", F.lit(UNK)).cast("long"))
+    grouped = coded.groupBy(*carried).agg(
+        *[F.sort_array(F.collect_list(F.when(F.col("field") == i, entry))).alias(n) for i, n in enumerate(names)]
+    )
+    low = F.lit((1 << ID_BITS) - 1).cast("long")
+    return grouped.select(
+        *carried, *[F.transform(n, lambda x: x.bitwiseAND(low).cast("int")).alias(n) for n in names]
+    )
 
 
-def _wanted_pieces(text: str, first: int | None) -> Column:
-    return F.slice(pieces(F.col(text)), 1, first) if first else pieces(F.col(text))
+def _wanted_pieces(text: Column, first: int | None) -> Column:
+    return F.slice(pieces(text), 1, first) if first else pieces(text)
 
 
 def _tagged(words: Column, field: int) -> Column:
-    return F.transform(words, lambda p: F.struct(F.lit(field).alias("field"), p.alias("token")))
-
-
-def _field_ids(field: int) -> Column:
-    return F.transform(F.filter("coded", lambda s: s["field"] == field), lambda s: s["id"])
+    tagged = F.transform(words, lambda p: F.struct(F.lit(field).alias("field"), p.alias("token")))
+    return F.coalesce(tagged, F.array().cast("array<struct<field:int,token:string>>"))
 
 
 def tokenize_corpus(
@@ -145,18 +169,17 @@ def tokenize_corpus(
 
 
 def decode_tokens(
-    df: DataFrame,
-    vocab: DataFrame,
-    ids: str = "ids",
-    key: Sequence[str] = ("doc_id",),
-    vocab_rows: int | None = None,
-    limit: int = BROADCAST_ROWS,
+    df: DataFrame, vocab: DataFrame, ids: str = "ids", key: Sequence[str] = ("doc_id",), limit: int = BROADCAST_ROWS
 ) -> DataFrame:
     """Ids back to ``text``, tokens joined by blanks; an unknown id reads as the unknown mark."""
-    long = df.select(*key, ids).repartition(*key).select(*key, F.posexplode_outer(ids).alias("pos", "id"))
-    named = lookup(long, vocab.select("id", "token"), "id", vocab_rows, limit)
     unknown = dict((number, name) for name, number in SPECIAL_TOKENS)[UNK]
-    words = _in_order("pos", F.coalesce("token", F.lit(unknown)).alias("token"))["token"]
+    name = vocab_column(vocab, "id", "token", unknown, limit)
+    if name is not None:
+        return df.select(*key, F.array_join(name(F.col(ids)), " ").alias("text"))
+    long = df.select(*key, F.posexplode_outer(ids).alias("pos", "id"))
+    named = lookup(long, vocab.select("id", "token"), "id", limit + 1, limit)
+    entry = F.struct("pos", F.coalesce("token", F.lit(unknown)).alias("token"))
+    words = F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), entry)))["token"]
     return named.groupBy(*key).agg(F.array_join(words, " ").alias("text"))
 
 

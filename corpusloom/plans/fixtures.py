@@ -27,7 +27,7 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with a class: ``(doc_id, language, text, label, label2)``."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = texts(spark, sf_dir), table(spark, sf_dir, "labels")
     return docs.join(labels, "doc_id").select(
         "doc_id",
         F.col("lang").alias("language"),

@@ -28,11 +28,11 @@ from corpusloom.sources import shards as SH
 Coder = Callable[..., DataFrame]
 
 
-def vocabulary_coder(vocab: DataFrame, vocab_rows: int | None = None) -> Coder:
+def vocabulary_coder(vocab: DataFrame) -> Coder:
     """Code pieces by a vocabulary table."""
 
     def code(df: DataFrame, texts: Mapping[str, Column], key: Sequence[str], keep: Sequence[str] = (), first=None):
-        return V.tokenize(df, vocab, texts, key, keep, vocab_rows, first=first)
+        return V.tokenize(df, vocab, texts, key, keep, first=first)
 
     return code
 

@@ -55,8 +55,7 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, ids)``, the document mark first, ids checked to fit in 16 bits."""
-    docs = table(spark, sf_dir, "documents")
-    ids = V.tokenize_corpus(docs, vocabulary(spark, sf_dir), vocab_rows=VOCAB_ROWS)
+    ids = V.tokenize_corpus(texts(spark, sf_dir), vocabulary(spark, sf_dir))
     return ids.select("doc_id", A.checked_ids(A.prepend(F.col("ids"), V.EOT), 16, F.col("doc_id")).alias("ids"))
 
 
@@ -105,10 +104,8 @@ def encoded_docs(spark, sf_dir):
 
 def decoded_docs(spark, sf_dir):
     vocab = staged(vocabulary(spark, sf_dir), "vocabulary")
-    docs = table(spark, sf_dir, "documents")
-    ids = V.tokenize_corpus(docs, vocab, vocab_rows=VOCAB_ROWS)
-    texts = V.decode_tokens(ids, vocab, vocab_rows=VOCAB_ROWS)
-    return texts.select("doc_id", F.md5("text").alias("text_md5"))
+    ids = V.tokenize_corpus(texts(spark, sf_dir), vocab)
+    return V.decode_tokens(ids, vocab).select("doc_id", F.md5("text").alias("text_md5"))
 
 
 def special_ids(spark, sf_dir):
@@ -225,7 +222,7 @@ def joined_text(spark, sf_dir):
 def class_examples(spark, sf_dir):
     rows = fx.classified(spark, sf_dir)
     vocab = vocabulary(spark, sf_dir)
-    ids = V.tokenize_corpus(rows, vocab, keep=["label"], vocab_rows=VOCAB_ROWS, first=WIDTH)
+    ids = V.tokenize_corpus(rows, vocab, keep=["label"], first=WIDTH)
     return E.classification_examples(ids, WIDTH)
 
 
@@ -421,13 +418,13 @@ def prompts(spark, sf_dir):
 
 def prompt_ids(spark: SparkSession, sf_dir: str, first: dict[str, int] | None = None) -> DataFrame:
     """Prompts and summaries as ids, one row per document."""
-    rows = E.prompts(E.select_representation(fx.summaries(table(spark, sf_dir, "documents")), "text", ["doc_id", "language", "split"]))
+    docs = fx.summaries(texts(spark, sf_dir))
+    rows = E.prompts(E.select_representation(docs, "text", ["doc_id", "language", "split"]))
     return V.tokenize(
         rows,
         vocabulary(spark, sf_dir),
         {"prompt_ids": F.col("prompt"), "target_ids": X.as_text("target")},
         keep=["language", "split"],
-        vocab_rows=VOCAB_ROWS,
         first=first,
     )
 
@@ -621,7 +618,7 @@ def stream_tokens(spark, sf_dir):
     vocab = staged(vocabulary(spark, sf_dir), "vocabulary")
     out = scratch_folder(spark, "tokens")
     stream = ST.read_stream(spark, sf_dir, docs.schema, "documents.parquet")
-    ST.drain(ST.stream_tokenize(stream, vocab, f"{out}/rows", f"{out}/state", vocab_rows=VOCAB_ROWS))
+    ST.drain(ST.stream_tokenize(stream, vocab, f"{out}/rows", f"{out}/state"))
     rows = spark.read.parquet(f"{out}/rows")
     return rows.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("tokens"),
@@ -670,9 +667,8 @@ def corpus_job(spark, sf_dir):
     """Shards from whole documents, then the step plan of their training files."""
     path = scratch_folder(spark, "corpus")
     vocab = staged(vocabulary(spark, sf_dir), "vocabulary")
-    code = J.vocabulary_coder(vocab, VOCAB_ROWS)
-    docs = table(spark, sf_dir, "documents")
-    J.corpus_to_shards(docs, code, path, V.EOT, VOCAB_ROWS, shard_size=SHARD_SIZE)
+    code = J.vocabulary_coder(vocab)
+    J.corpus_to_shards(texts(spark, sf_dir), code, path, V.EOT, VOCAB_ROWS, shard_size=SHARD_SIZE)
     return J.count_training_tokens(spark, path, EPOCHS, TOKENS_PER_ITER)[0]
 
 
@@ -680,7 +676,7 @@ def pack_job(spark, sf_dir):
     path = scratch_folder(spark, "packs")
     vocab = staged(vocabulary(spark, sf_dir), "vocabulary")
     built = J.build_packs(
-        fx.summaries(table(spark, sf_dir, "documents")), J.vocabulary_coder(vocab, VOCAB_ROWS), path, "text",
+        fx.summaries(texts(spark, sf_dir)), J.vocabulary_coder(vocab), path, "text",
         LANGUAGES, V.EOT, "natural", CONTEXT, TARGET_MAX, FRACTION, SEED,
     )
     return built.groupBy("split", "language").agg(
@@ -698,7 +694,7 @@ def classifier_job(spark, sf_dir):
         "bare": table(spark, sf_dir, "documents"),
     }
     _, report, skipped = J.evaluate_classifier(
-        datasets, J.vocabulary_coder(vocab, VOCAB_ROWS), _salted_scorer(), ["text"], "label", WIDTH
+        datasets, J.vocabulary_coder(vocab), _salted_scorer(), ["text"], "label", WIDTH
     )
     if skipped != {"bare": ["label"]}:
         raise RuntimeError(f"unexpected skips: {skipped}")

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from corpusloom.functions.text import piece_count, pieces
 from corpusloom.operators.runs import best_so_far
-from corpusloom.operators.vocabulary import BROADCAST_ROWS, UNK, lookup
+from corpusloom.operators.vocabulary import BROADCAST_ROWS, UNK, lookup, vocab_column
 
 
 def read_stream(
@@ -32,15 +32,19 @@ def drain(query: StreamingQuery) -> None:
 
 
 def stream_tokenize(
-    docs: DataFrame, vocab: DataFrame, path: str, checkpoint: str, key: str = "doc_id", vocab_rows: int | None = None
+    docs: DataFrame, vocab: DataFrame, path: str, checkpoint: str, key: str = "doc_id"
 ) -> StreamingQuery:
     """Token rows ``(key, pos, id)`` of new documents, against a fixed vocabulary.
 
     Stateless and without a shuffle: a document's tokens stay in its task.
     """
-    long = docs.select(key, F.posexplode(pieces(F.col("text"))).alias("pos", "token"))
-    coded = lookup(long, vocab.select("token", "id"), "token", vocab_rows)
-    rows = coded.select(key, "pos", F.coalesce("id", F.lit(UNK)).alias("id"))
+    code = vocab_column(vocab, "token", "id", UNK)
+    if code is not None:
+        rows = docs.select(key, F.posexplode(code(pieces("text"))).alias("pos", "id"))
+    else:
+        long = docs.select(key, F.posexplode(pieces("text")).alias("pos", "token"))
+        coded = lookup(long, vocab.select("token", "id"), "token")
+        rows = coded.select(key, "pos", F.coalesce("id", F.lit(UNK)).alias("id"))
     writer = rows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
     return writer.option("path", path).trigger(availableNow=True).start()
 

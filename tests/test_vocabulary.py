@@ -18,18 +18,19 @@ def test_ranking_ties_and_cap(docs):
     }
 
 
-@pytest.mark.parametrize("limit", [1 << 18, 4])  # all broadcast, or only ids below 4
-@pytest.mark.parametrize("rows", [None, 6])
-def test_codes_unknown_and_empty(docs, limit, rows):
+@pytest.mark.parametrize("limit", [1 << 18, 6, 5, 4, 0])  # shared with the tasks up to 6 rows, else joined
+def test_codes_unknown_and_empty(docs, limit):
     vocab = V.build_vocab(docs, 3)
-    got = V.tokenize_corpus(docs, vocab, vocab_rows=rows, limit=limit)
-    assert {r.doc_id: r.ids for r in got.collect()} == {0: [4, 3, 4], 1: [], 2: [2, 3, 5, 2], 3: [2]}
+    missing = docs.where("doc_id = 1").selectExpr("CAST(9 AS bigint) AS doc_id", "CAST(null AS string) AS text")
+    got = V.tokenize_corpus(docs.unionByName(missing), vocab, limit=limit)
+    assert {r.doc_id: r.ids for r in got.collect()} == {9: [], 0: [4, 3, 4], 1: [], 2: [2, 3, 5, 2], 3: [2]}
 
 
-def test_two_columns_and_leading_ids(spark, docs):
+@pytest.mark.parametrize("limit", [1 << 18, 4])
+def test_two_columns_and_leading_ids(spark, docs, limit):
     vocab = V.build_vocab(docs, 3)
     pairs = docs.withColumn("other", F.lit("a b"))
-    got = V.tokenize(pairs, vocab, {"x": F.col("text"), "y": F.col("other")}, keep=["other"], first={"x": 2})
+    got = V.tokenize(pairs, vocab, {"x": F.col("text"), "y": F.col("other")}, keep=["other"], limit=limit, first={"x": 2})
     assert {r.doc_id: (r.x, r.y, r.other) for r in got.collect()} == {
         0: ([4, 3], [3, 4], "a b"), 1: ([], [3, 4], "a b"), 2: ([2, 3], [3, 4], "a b"), 3: ([2], [3, 4], "a b"),
     }
@@ -50,9 +51,21 @@ def test_special_names_in_order_of_preference(spark):
     assert V.resolve_special(vocab.limit(0), V.TARGET_END_NAMES, 50256).first().id == 50256
 
 
-def test_encoding_moves_text_once_and_no_pieces(docs):
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_shuffle_with_a_bounded_vocabulary(docs):
     vocab = V.build_vocab(docs, 3)
-    plan = V.tokenize_corpus(docs, vocab, vocab_rows=6)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("REPARTITION_BY_COL") == 1
-    after_text = plan.split("ObjectHashAggregate")[0] if "ObjectHashAggregate" in plan else plan
-    assert "ENSURE_REQUIREMENTS" not in after_text
+    assert "Exchange" not in plan_of(V.tokenize_corpus(docs, vocab))
+
+
+def test_many_batches_and_slices(spark):
+    docs = spark.range(500).selectExpr("id AS doc_id", "repeat('a b c ', CAST(id % 5 AS int)) AS text").coalesce(1)
+    vocab = V.build_vocab(docs, 2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r.doc_id: r.ids for r in V.tokenize_corpus(docs, vocab).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {i: [3, 4, 2] * (i % 5) for i in range(500)}
