@@ -63,12 +63,16 @@ def corpus_to_shards(
     """Encode documents, cut the stream into shard files, return their headers.
 
     Encoded documents are stored with their length next to the ids, so that the
-    offsets are computed from two thin columns.
+    offsets are computed from two thin columns. There are as many writing tasks
+    as shards unless ``tasks`` says otherwise.
     """
     version = SH.shard_version(vocab_size)
     ids = A.checked_ids(A.prepend(F.col("ids"), eot), 16 if version == 1 else 31, F.col(key))
     coded = code(docs, {"ids": as_text(text)}, [key]).select(key, ids.alias("ids"))
     stored = staged(coded.withColumn("n_ids", F.size("ids").cast("long")), "encoded")
+    if tasks is None:
+        total = stored.agg(F.sum("n_ids")).first()[0] or 0
+        tasks = max(1, -(-total // shard_size))
     placed = stored.select(key, "ids").join(P.token_offsets(stored.select(key, "n_ids"), key), key)
     SH.write_token_shards(P.cut_shards(placed, shard_size, "ids", [key]), path, version, tasks)
     return SH.scan_shard_headers(docs.sparkSession, path)

@@ -239,7 +239,7 @@ def example_files(spark, sf_dir):
     path = scratch_folder(spark, "examples")
     DS.write_examples(class_examples(spark, sf_dir).select("doc_id", "label", "input_ids"), path)
     saved = DS.read_examples(spark, path)
-    DS.write_examples(saved.limit(0), path)  # kept as it is: the folder exists
+    DS.write_examples(saved.where("label = 1"), path)  # changes nothing: the folder exists
     return DS.read_examples(spark, path).select("doc_id", "label", A.id_digest(F.col("input_ids")).alias("ids_md5"))
 
 
@@ -291,7 +291,11 @@ def argmax_topk(spark, sf_dir):
     best = A.top_classes(A.mask_vocab_tail(F.col("logits"), 8), 3)
     rows = scored.select("ex_id", A.argmax_class(F.col("logits")).alias("pred"), F.posexplode(best).alias("k", "best"))
     return rows.select(
-        "ex_id", "pred", F.col("k").cast("long").alias("k"), F.col("best.cls").alias("cls"), rounded(F.col("best.logp")).alias("logp")
+        "ex_id",
+        "pred",
+        F.col("k").cast("long").alias("k"),
+        F.col("best.cls").alias("cls"),
+        rounded(F.col("best.logp")).alias("logp"),
     )
 
 
@@ -572,7 +576,8 @@ def parsed_logs(spark, sf_dir):
 
 def run_summary(spark, sf_dir):
     logs = R.parse_log_lines(fx.training_runs(spark, sf_dir).select("run", "line"))
-    return R.run_summary(logs).select("run", "best_val", "last_step", "last_val", rounded(F.col("mean_step_ms")).alias("mean_step_ms"))
+    step_time = rounded(F.col("mean_step_ms")).alias("mean_step_ms")
+    return R.run_summary(logs).select("run", "best_val", "last_step", "last_val", step_time)
 
 
 def loss_windows(spark, sf_dir):
@@ -698,7 +703,7 @@ def classifier_job(spark, sf_dir):
     )
     if skipped != {"bare": ["label"]}:
         raise RuntimeError(f"unexpected skips: {skipped}")
-    return report.select("dataset", "label", "support", rounded(F.col("precision")).alias("precision"), rounded(F.col("f2")).alias("f2"))
+    return report.select("dataset", "label", "support", *[rounded(F.col(s)).alias(s) for s in ("precision", "f2")])
 
 
 def generation_job(spark, sf_dir):

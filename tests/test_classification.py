@@ -3,7 +3,6 @@ import random
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
 from corpusloom.operators import classification as C, losses as L, planning as PL
 

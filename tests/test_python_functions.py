@@ -3,7 +3,6 @@ import json
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from corpusloom.functions import python as PY
 from corpusloom.operators import classifier as ML
