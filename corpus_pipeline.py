@@ -11,14 +11,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import language, simhash
+from corpusloom.llm import bpe, language, mixing, privacy, simhash
 from corpusloom.llm.common import remainder, table
+from corpusloom.llm.queries import rank_file
 from corpusloom.session import scratch_folder
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; those without any letter go."""
-    model = language.learn(docs, remainder(F.col("doc_id"), 4) != 2)
+    model = language.learn(docs, remainder("doc_id", 4) != 2)
     found = language.identify(docs, model)
     return found.where(F.col("__language.lang_pred") != language.UNKNOWN).select(*docs.columns)
 
@@ -28,12 +29,32 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return simhash.keep_one(docs)
 
 
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every span of personal data replaced by its kind."""
+    field = privacy.train(privacy.labelled_table())
+    return privacy.masked(docs, field)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as many times as the mixture takes it; documents that it does not take go."""
+    return mixing.mix(docs)
+
+
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``(doc_id, ids, n_tokens, ids_sha256, decoded_sha256)`` of every row, copies included."""
+    ranks, pattern = rank_file()
+    return bpe.digests(bpe.encode(docs, ranks, pattern), ranks)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language", identify_language),
     ("near_duplicates", drop_near_duplicates),
+    ("personal_data", mask_personal_data),
+    ("mixture", mix_sources),
+    ("tokens", encode_texts),
 ]
 
-#: Kernel models, fingerprints, Viterbi paths and merges have no SQL form.
+#: Kernel models, fingerprints, Viterbi paths and merges have no SQL form; tests/llm/test_pipeline.py has a plain version.
 ORACLE_SQL = None
 
 

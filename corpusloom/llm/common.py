@@ -14,9 +14,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def remainder(key: Column, divisor: int) -> Column:
-    """crc32 of the key as text, modulo ``divisor``; a null key counts as empty text."""
-    return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % divisor
+def remainder(key: str, divisor: int) -> Column:
+    """crc32 of the column as text, modulo ``divisor``; a null counts as empty text."""
+    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % divisor
 
 
 def raw(column: pa.Array) -> Iterator[bytes]:

@@ -1,20 +1,89 @@
-"""The registered queries of the operators, one per operator."""
+"""The registered queries, one per operator, over its whole table with production parameters."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import language, simhash
+from corpusloom.llm import bpe, cascade, classlm, language, mixing, neighbours, privacy, quality, simhash, weblinks
 from corpusloom.llm.common import remainder, table
 
-DOC = F.col("doc_id")
+DOC = "doc_id"
+LIKELY = 0.3  # quality score from which a text counts as good
+QUERY_IDS = 20  # every 20th vector is a query
 
 
-def op9_language_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op1_byte_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), remainder(DOC, 5) == 0
+    network = quality.learn(docs, table(spark, sf_dir, "labels"), ~held_out)
+    scored = quality.score(docs.select("doc_id", "text"), network)
+    predicted = F.when(F.col("__quality") >= LIKELY, 1).otherwise(0)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), F.col("__quality").alias("score"), predicted.alias("predicted")
+    )
+
+
+def rank_file() -> tuple[dict[bytes, int], str]:
+    """Ranks and pattern of the public vocabulary that the query encodes with."""
+    import public_tokenizers
+
+    return bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
+
+
+def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = rank_file()
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern)
+    return bpe.digests(encoded, ranks).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op3_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % QUERY_IDS == 0)
+
+
+def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
+def learned_from(doc_id: object) -> bool:
+    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 5 != 1
+
+
+def op5_class_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = classlm.scored(table(spark, sf_dir, "documents"), learned_from)
+    return scored.withColumn("held_out", remainder(DOC, 5) == 1)
+
+
+def op6_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weblinks.judged(table(spark, sf_dir, "pages"))
+
+
+def op7_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = remainder(DOC, 4) == 2
+    judged = cascade.judged(docs.select("doc_id", "text"), cascade.plan(docs)).select("doc_id", "__rules.*")
+    failed = (F.col("n_words") < cascade.LEAST_WORDS) | (
+        100 * F.col("n_repeat_words") > cascade.MOST_REPEATED * F.col("n_words")
+    )
+    kept = ~F.col("base_failed") & F.col("failed").isNull()
+    return judged.withColumn("base_failed", failed).withColumn("kept", kept).drop("failed")
+
+
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    field = privacy.train(privacy.labelled_table())
+    found = privacy.find(table(spark, sf_dir, "documents").select("doc_id", "text"), field)
+    base = F.col("__personal.base")
+    counts = {f"n_{k}": F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long") for k in privacy.KINDS}
+    return found.select(
+        "doc_id",
+        *[column.alias(name) for name, column in counts.items()],
+        F.sha2(privacy.listed(base), 256).alias("base_sha256"),
+        privacy.listed(F.col("__personal.spans")).alias("spans"),
+    )
+
+
+def op9_language_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), remainder(DOC, 4) == 2
     model = language.learn(docs, ~held_out)
     found = language.identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out.alias("held_out"), "__language.lang_pred", "__language.score")
@@ -25,11 +94,14 @@ def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+QUERIES = (
+    op1_byte_convolution, op2_bpe_roundtrip, op3_hilbert_neighbours, op4_mixture, op5_class_model, op6_url_trust,
+    op7_rule_cascade, op8_personal_data, op9_language_kernels, op10_simhash_pivots,
+)
+
+
 def operator_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op9_language_kernels": op9_language_kernels,
-        "op10_simhash_pivots": op10_simhash_pivots,
-    }
+    return {query.__name__: query for query in QUERIES}
 
 
 def operator_sql() -> dict[str, str]:
