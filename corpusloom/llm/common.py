@@ -29,16 +29,20 @@ def sample_texts(docs: DataFrame, groups: DataFrame, per_group: int, rows: int)
     """A bounded sample ``(doc_id, grp, text)`` of ``docs``, even over the column ``grp`` of ``groups`` (doc_id, grp).
 
     The first ``per_group`` ids of each group by a digest, ``rows`` in all; the
-    bounds are documented parameters of the callers. Ids are ranked without
-    their texts and limited before the shuffle, so that a frequent group does
-    not meet in one task. Of rows with equal ids one is taken; null ids and
-    null or empty texts are not.
+    bounds are documented parameters of the callers. Groups are counted first,
+    and only ids whose digest lies in the needed share of all digests (with some
+    margin) are ranked, so that a frequent group does not meet in one task. Of
+    rows with equal ids one is taken; null ids and null or empty texts are not.
     """
     digest = F.xxhash64(F.lit(20240229), F.col("doc_id"))
-    ranked = groups.where("doc_id IS NOT NULL AND grp IS NOT NULL").select("doc_id", "grp", digest.alias("digest"))
-    by_group = Window.partitionBy("grp").orderBy("digest", "doc_id")
-    kept = ranked.withColumn("place", F.row_number().over(by_group)).where(F.col("place") <= per_group)
-    picked = {r["doc_id"]: r for r in kept.orderBy("place", "digest", "grp", "doc_id").limit(rows).collect()}
+    known = groups.where("doc_id IS NOT NULL AND grp IS NOT NULL").select("doc_id", "grp", digest.alias("digest"))
+    needed = F.lit(per_group + 6 * per_group**0.5 + 20) / F.count("*")
+    shares = known.groupBy("grp").agg(needed.alias("share")).withColumnRenamed("grp", "of")
+    unit = F.shiftrightunsigned("digest", 11) / F.lit(float(1 << 53))
+    few = known.join(shares, F.col("grp") == F.col("of")).where(unit < F.col("share"))
+    place = F.row_number().over(Window.partitionBy("grp").orderBy(unit, "doc_id"))
+    kept = few.withColumn("place", place).where(F.col("place") <= per_group)
+    picked = {r["doc_id"]: r for r in kept.orderBy("place", unit, "grp", "doc_id").limit(rows).collect()}
     if not picked:
         return []
     keys = docs.sparkSession.createDataFrame([(r["doc_id"], str(r["grp"])) for r in picked.values()], "doc_id long, grp string")

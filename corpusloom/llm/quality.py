@@ -78,8 +78,20 @@ def padded_chunk(text: bytes, start: int) -> np.ndarray:
     return np.concatenate([piece, np.zeros(CHUNK - len(piece), np.uint8)])
 
 
-def fit(texts: Sequence[bytes], labels: Sequence[int], rounds: int = 6, batch: int = 32, rate: float = 4e-3, seed: int = 5) -> Network:
-    """Learn from texts and labels 0 or 1; both labels weigh alike. Uses Adam steps; the seed fixes the result."""
+def fit(
+    texts: Sequence[bytes],
+    labels: Sequence[int],
+    rounds: int = 6,
+    least_steps: int = 500,
+    batch: int = 32,
+    rate: float = 4e-3,
+    seed: int = 5,
+) -> Network:
+    """Learn from texts and labels 0 or 1; both labels weigh alike. The seed fixes the result.
+
+    Adam steps over batches: ``rounds`` times over all texts, more often if that is fewer than ``least_steps``.
+    """
+    rounds = max(rounds, -(-least_steps * batch // max(len(texts), 1)))
     rng = np.random.default_rng(seed)
     f32 = np.float32
     network = Network(

@@ -34,7 +34,7 @@ def test_held_out_accuracy(spark):
 
 
 def test_the_last_byte_counts_and_pieces_change_nothing(monkeypatch):
-    network = quality.fit([b"aaaa aaaa", b"aaaa*aaaa"] * 8, [1, 0] * 8, rounds=3)
+    network = quality.fit([b"aaaa aaaa", b"aaaa*aaaa"] * 8, [1, 0] * 8, rounds=3, least_steps=0)
     text = bytes(random.Random(1).choices(range(256), k=5003))
     whole, where = network.maxima(text)
     chunks = np.array([quality.padded_chunk(text, s) for s in range(0, len(text) - quality.STRIDE + 8, quality.STRIDE)])
@@ -49,7 +49,7 @@ def test_the_last_byte_counts_and_pieces_change_nothing(monkeypatch):
 def test_gradient_lowers_the_loss():
     texts, labels = [t.encode() for _, t, _ in made(60)], [q for *_, q in made(60)]
     loss = lambda n: -np.mean([np.log(p if q else 1 - p) for p, q in zip(n.scores(texts), labels)])
-    assert loss(quality.fit(texts, labels, rounds=8)) < 0.6 * loss(quality.fit(texts, labels, rounds=0))
+    assert loss(quality.fit(texts, labels, rounds=8, least_steps=0)) < 0.6 * loss(quality.fit(texts, labels, rounds=0, least_steps=0))
 
 
 def test_without_both_labels_and_without_rows(spark):
