@@ -13,21 +13,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-MAX_FILE_BYTES = 256 << 20
+FILE_BYTES = 256 << 20  # default bound of a tokenizer file, which is shared with every task
 
 
-def _file_bytes(spark: SparkSession, path: str):
+def _file_bytes(spark: SparkSession, path: str, most: int):
     """A small file as a broadcast value; its size is checked first."""
     row = spark.read.format("binaryFile").load(path)
     length = row.select("length").first()["length"]
-    if length > MAX_FILE_BYTES:
+    if length > most:
         raise ValueError(f"{path}: {length} bytes is too large for a tokenizer file")
     return spark.sparkContext.broadcast(bytes(row.select("content").first()["content"]))
 
 
-def tokenizer_json(spark: SparkSession, path: str) -> Callable:
+def tokenizer_json(spark: SparkSession, path: str, most: int = FILE_BYTES) -> Callable:
     """Loader for a ``tokenizers`` JSON file."""
-    content = _file_bytes(spark, path)
+    content = _file_bytes(spark, path, most)
 
     def load() -> Callable[[list[str]], list[list[int]]]:
         import os
@@ -41,18 +41,18 @@ def tokenizer_json(spark: SparkSession, path: str) -> Callable:
     return load
 
 
-def tokenizer_specials(spark: SparkSession, path: str, names, default: int) -> tuple[int, int]:
+def tokenizer_specials(spark: SparkSession, path: str, names, default: int, most: int = FILE_BYTES) -> tuple[int, int]:
     """Id of the first special name a ``tokenizers`` JSON file has (else ``default``), and its vocabulary size."""
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_buffer(_file_bytes(spark, path).value)
+    tokenizer = Tokenizer.from_buffer(_file_bytes(spark, path, most).value)
     found = (tokenizer.token_to_id(n) for n in names)
     return next((i for i in found if i is not None), default), tokenizer.get_vocab_size()
 
 
-def tiktoken_ranks(spark: SparkSession, path: str, pattern: str) -> Callable:
+def tiktoken_ranks(spark: SparkSession, path: str, pattern: str, most: int = FILE_BYTES) -> Callable:
     """Loader for a ``tiktoken`` rank file; special marks in a text are plain text."""
-    content = _file_bytes(spark, path)
+    content = _file_bytes(spark, path, most)
 
     def load() -> Callable[[list[str]], list[list[int]]]:
         import tiktoken

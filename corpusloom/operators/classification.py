@@ -14,8 +14,6 @@ from corpusloom.functions.arrays import log_normaliser
 from corpusloom.functions.numbers import whole
 from corpusloom.operators.sampling import draw_with_replacement
 
-MAX_CLASSES = 4096
-
 
 def _ratio(top: Column, bottom: Column) -> Column:
     return F.when(bottom > 0, top / bottom).otherwise(F.lit(0.0))
@@ -55,8 +53,8 @@ def class_weights(df: DataFrame, num_classes: int, label: str = "label") -> Data
 
 
 def attach_weights(df: DataFrame, weights: DataFrame, label: str = "label") -> DataFrame:
-    """Weight of each row's label; ``weights`` has one row per class."""
-    return df.join(F.broadcast(weights.select(label, "weight")), label, "left")
+    """Weight of each row's label; ``weights`` has one row per class, and Spark weighs its size before it is shared."""
+    return df.join(weights.select(label, "weight"), label, "left")
 
 
 def align_predictions(predictions: DataFrame, labels: DataFrame, key: str = "ex_id") -> DataFrame:
@@ -73,21 +71,21 @@ def confusion_counts(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*by, "label", "pred").agg(F.count(F.lit(1)).alias("n"))
 
 
-def confusion_matrix(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """``(label, pred, n)`` over all classes seen on either side, zeros included.
+def confusion_matrix(df: DataFrame, by: Sequence[str] = (), classes: Sequence[int] | None = None) -> DataFrame:
+    """``(label, pred, n)`` for the pairs that occur; over all pairs of ``classes``, zeros included, if these are given.
 
-    Built from the counts alone: each cell that occurs is one row, and the
-    classes of a group fit in one array, whose size is checked.
+    Labels and predictions outside a given list are left out with their pairs.
     """
     counts = confusion_counts(df, by)
-    seen = counts.select(*by, F.explode(F.array("label", "pred")).alias("cls"))
-    listed = seen.groupBy(*by).agg(F.sort_array(F.collect_set("cls")).alias("classes"))
-    too_many = F.raise_error(F.lit(f"more than {MAX_CLASSES} classes")).cast("array<bigint>")
-    classes = F.when(F.size("classes") <= MAX_CLASSES, F.col("classes")).otherwise(too_many)
-    grid = listed.select(*by, classes.alias("classes")).select(*by, F.explode("classes").alias("label"), "classes")
-    cells = grid.select(*by, "label", F.explode("classes").alias("pred"))
-    filled = cells.join(counts, [*by, "label", "pred"], "left")
-    return filled.select(*by, "label", "pred", F.coalesce("n", F.lit(0)).alias("n"))
+    if classes is None:
+        return counts
+    listed = F.array(*[F.lit(c).cast("long") for c in classes])
+    grid = F.explode(F.flatten(F.transform(listed, lambda a: F.transform(listed, lambda b: F.struct(a.alias("label"), b.alias("pred"))))))
+    groups = counts.select(*by).distinct() if by else df.sparkSession.range(1).select()
+    cells = groups.select(*by, grid.alias("cell")).select(*by, "cell.label", "cell.pred")
+    zeros = cells.withColumn("n", F.lit(0).cast("long"))
+    inside = counts.where(F.col("label").isin(*classes) & F.col("pred").isin(*classes))
+    return inside.unionByName(zeros).groupBy(*by, "label", "pred").agg(F.sum("n").alias("n"))
 
 
 def class_sums(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -111,7 +109,21 @@ def class_sums(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def class_report(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Precision, recall, F1, F2, support and accuracy of each class."""
-    sums = class_sums(df, by)
+    return _report(class_sums(df, by), by)
+
+
+def class_report_of_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """:func:`class_report` from ``(by, label, pred, n)``."""
+    hits = F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(0)
+    sides = F.array(
+        F.struct(F.col("label").alias("cls"), hits.alias("tp"), F.col("n").alias("support"), F.lit(0).cast("long").alias("predicted")),
+        F.struct(F.col("pred").alias("cls"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("support"), F.col("n").alias("predicted")),
+    )
+    spread = counts.select(*by, F.inline(sides))
+    return _report(spread.groupBy(*by, "cls").agg(*[F.sum(c).alias(c) for c in ("tp", "support", "predicted")]), by)
+
+
+def _report(sums: DataFrame, by: Sequence[str]) -> DataFrame:
     scored = sums.select(
         *by,
         F.col("cls").alias("label"),
@@ -161,20 +173,32 @@ def draw_batches(df: DataFrame, key: str, batches: int, batch_size: int, seed: i
 
 
 def batch_mean_metrics(drawn: DataFrame) -> DataFrame:
-    """Metrics of each batch, then their means; not the metric of all rows together."""
+    """Metrics of each batch, then their means; not the metric of all rows together.
+
+    ``mean_loss`` is there if the rows have ``logits``.
+    """
     per_batch = macro_and_weighted(class_report(drawn, ["batch_id"]), ["batch_id"])
-    return per_batch.agg(
-        F.count(F.lit(1)).alias("batches"),
-        F.avg("accuracy").alias("mean_accuracy"),
-        F.avg("macro_f2").alias("mean_f2"),
-    )
+    means = [F.avg("accuracy").alias("mean_accuracy"), F.avg("macro_f2").alias("mean_f2")]
+    if "logits" in drawn.columns:
+        per_batch = per_batch.join(mean_loss(drawn, ["batch_id"]), "batch_id")
+        means.insert(0, F.avg("loss").alias("mean_loss"))
+    return per_batch.agg(F.count(F.lit(1)).alias("batches"), *means)
+
+
+def row_loss(logits: Column, label: Column) -> Column:
+    """Cross-entropy of a row: the negative log-probability of its label."""
+    return log_normaliser(logits) - F.element_at(logits, (label + 1).cast("int"))
+
+
+def mean_loss(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``(by, loss)``: mean cross-entropy; null for groups without logits."""
+    return df.groupBy(*by).agg(F.avg(F.when(F.col("logits").isNotNull(), row_loss(F.col("logits"), F.col("label")))).alias("loss"))
 
 
 def weighted_cross_entropy(df: DataFrame, weights: DataFrame) -> DataFrame:
     """Sum of weighted losses over the sum of weights: ``loss``. Needs ``logits`` and ``label``."""
     rows = attach_weights(df.select("label", "logits"), weights)
-    chosen = F.element_at("logits", (F.col("label") + 1).cast("int"))
-    nll = log_normaliser(F.col("logits")) - chosen
+    nll = row_loss(F.col("logits"), F.col("label"))
     return rows.select("weight", nll.alias("nll")).agg(
         (F.sum(F.col("weight") * F.col("nll")) / F.sum("weight")).alias("loss")
     )

@@ -20,20 +20,18 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.functions.text import digest_number, seeded_key
 
-ID_BITS = 40
-ID_SHIFTS = (18,)  # at most 2^22 buckets of at most 2^18 ids
+ID_SHIFTS = (40, 18)  # at most 2^23 spans of 2^22 buckets of 2^18 ids: all non-negative longs
 DIGEST_SHIFTS = (28,)  # at most 2^20 buckets, filled evenly
 TIME_SHIFTS = (40, 24)  # some 12 days, then some 16 seconds
-CROWDED_ROWS = 1 << 22
 
 _OPS = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
 def id_buckets(key: Column, shifts: Sequence[int] = ID_SHIFTS) -> list[Column]:
-    """Nested buckets of a non-negative integer key below 2^40."""
+    """Nested buckets of a non-negative integer key; a negative one or a null fails the job."""
     key = key.cast("long")
-    message = F.concat(F.lit(f"ordering key outside [0, 2^{ID_BITS}): "), F.coalesce(key.cast("string"), F.lit("null")))
-    safe = F.when((key >= 0) & (key < F.lit(1 << ID_BITS)), key).otherwise(F.raise_error(message).cast("long"))
+    message = F.concat(F.lit("ordering key below 0: "), F.coalesce(key.cast("string"), F.lit("null")))
+    safe = F.when(key >= 0, key).otherwise(F.raise_error(message).cast("long"))
     return [F.shiftright(safe, s) for s in shifts]
 
 
@@ -43,24 +41,14 @@ def digest_buckets(digest: Column, shifts: Sequence[int] = DIGEST_SHIFTS) -> lis
     return [F.shiftright(number, s) for s in shifts]
 
 
-def time_buckets(df: DataFrame, ts: Column, tie: Column, by: Sequence[str] = ()) -> list[Column]:
+def time_buckets(ts: Column, tie: Column) -> list[Column]:
     """Nested buckets for the order (timestamp, integer id).
 
-    Spans of time hold any number of rows, so they are counted first. Only if
-    one is crowded, say by a default date, two more levels split it: the exact
-    timestamp and the id.
+    A span of time holds any number of rows, a default date say a third of the
+    table. So the exact timestamp and the id split it further.
     """
     micros = F.unix_micros(ts.cast("timestamp"))
-    spans = [F.shiftright(micros, s) for s in TIME_SHIFTS]
-    if is_crowded(df, [*[F.col(b) for b in by], spans[-1]]):
-        return [*spans, micros, *id_buckets(tie)]
-    return spans
-
-
-def is_crowded(df: DataFrame, group: Sequence[Column], rows: int | None = None) -> bool:
-    """Whether any group has more than ``rows`` rows; only the largest count reaches the driver."""
-    largest = df.groupBy(*group).count().agg(F.max("count")).first()[0]
-    return (largest or 0) > (rows or CROWDED_ROWS)
+    return [*[F.shiftright(micros, s) for s in TIME_SHIFTS], micros, *id_buckets(tie)]
 
 
 def running(
@@ -110,6 +98,20 @@ def _scan(rows: DataFrame, seeds: DataFrame | None, group: list[str], order: lis
     return tagged.withColumn("__before", before).where("__rank = 1")
 
 
+def head_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int, salts: int = 1024) -> DataFrame:
+    """The first ``n`` rows of each group, for keys of any type and any ``n``.
+
+    A group is cut by a digest of its row; each part gives its first ``n`` rows,
+    and those of all parts give the group's. A group that owns a third of the
+    table is thus ranked in ``salts`` tasks.
+    """
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
+    for group in ([*by, "__salt"], list(by)):
+        place = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+        salted = salted.withColumn("__place", place).where(F.col("__place") <= n).drop("__place")
+    return salted.drop("__salt")
+
+
 def row_index(df: DataFrame, key: str, by: Sequence[str] = (), name: str = "row_index") -> DataFrame:
     """Zero-based position inside ``by`` in the order of a unique integer key."""
     return running(df, name, F.lit(1).cast("long"), [F.col(key)], id_buckets(F.col(key)), by)

@@ -6,11 +6,13 @@ counted and matched inside that partitioning, so the expanded rows never move.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from corpusloom.functions.text import as_text
+
 # What counts as a word for ROUGE.
 WORD_PATTERN = r"[\p{L}\p{N}]+"
 ASCII_WORD_PATTERN = r"[a-z0-9]+"
@@ -28,12 +30,12 @@ BLEU_ORDER = 4
 
 
 def rouge_words(text: Column, ascii_only: bool = False) -> Column:
-    """Lower-case words. ``ascii_only`` is the classic rule, blind to other scripts."""
-    return F.regexp_extract_all(F.lower(text), F.lit(ASCII_WORD_PATTERN if ascii_only else WORD_PATTERN), F.lit(0))
+    """Lower-case words; a missing text reads ``None``. ``ascii_only`` is the classic rule, blind to other scripts."""
+    return F.regexp_extract_all(F.lower(as_text(text)), F.lit(ASCII_WORD_PATTERN if ascii_only else WORD_PATTERN), F.lit(0))
 
 
 def bleu_words(text: Column) -> Column:
-    line = text
+    line = as_text(text)
     for found, put in BLEU_UNESCAPE:
         line = F.replace(line, F.lit(found), F.lit(put))
     line = F.concat(F.lit(" "), line, F.lit(" "))
@@ -95,17 +97,20 @@ def f_measure(matches: Column, pred_total: Column, ref_total: Column) -> Column:
 
 
 def rouge_n(
-    df: DataFrame, sizes: Sequence[int] = (1, 2), key: str = "doc_id", by: str = "language", ascii_only: bool = False
+    df: DataFrame,
+    sizes: Sequence[int] = (1, 2),
+    key: str = "doc_id",
+    by: str = "language",
+    ascii_only: bool = False,
+    words: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    """Mean F-measure per group: columns ``rouge1``, ``rouge2``, ..."""
-    matched = clipped_matches(
-        df,
-        sizes,
-        key,
-        by,
-        rouge_words(F.col("prediction"), ascii_only),
-        rouge_words(F.col("reference"), ascii_only),
-    )
+    """Mean F-measure per group: columns ``rouge1``, ``rouge2``, ...
+
+    ``words`` turns a text into an array of words in another way, for instance
+    with a stemmer; without it the rules of :func:`rouge_words` hold.
+    """
+    words = words or (lambda text: rouge_words(text, ascii_only))
+    matched = clipped_matches(df, sizes, key, by, words(F.col("prediction")), words(F.col("reference")))
     scored = matched.select(by, "n", f_measure(F.col("matches"), F.col("pred_total"), F.col("ref_total")).alias("f"))
     return scored.groupBy(by).agg(*[F.avg(F.when(F.col("n") == n, F.col("f"))).alias(f"rouge{n}") for n in sizes])
 
@@ -132,13 +137,12 @@ def common_subsequence(left: pa.Array, right: pa.Array) -> pa.Array:
     return pa.array([common_length(a, b) for a, b in zip(left.to_pylist(), right.to_pylist())], pa.int32())
 
 
-def rouge_l(df: DataFrame, by: str = "language", ascii_only: bool = False) -> DataFrame:
-    """Mean F-measure of the longest common word subsequence: ``rougeL``."""
-    worded = df.select(
-        by,
-        rouge_words(F.col("prediction"), ascii_only).alias("p"),
-        rouge_words(F.col("reference"), ascii_only).alias("r"),
-    )
+def rouge_l(
+    df: DataFrame, by: str = "language", ascii_only: bool = False, words: Callable[[Column], Column] | None = None
+) -> DataFrame:
+    """Mean F-measure of the longest common word subsequence: ``rougeL``; ``words`` as in :func:`rouge_n`."""
+    words = words or (lambda text: rouge_words(text, ascii_only))
+    worded = df.select(by, words(F.col("prediction")).alias("p"), words(F.col("reference")).alias("r"))
     measured = worded.select(by, F.size("p").alias("np"), F.size("r").alias("nr"), common_subsequence("p", "r").alias("m"))
     return measured.groupBy(by).agg(F.avg(f_measure(F.col("m"), F.col("np"), F.col("nr"))).alias("rougeL"))
 

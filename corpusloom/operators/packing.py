@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from corpusloom.functions.numbers import whole
 from corpusloom.functions.text import seeded_key
 from corpusloom.operators.ordering import id_buckets, running
+from corpusloom.session import staged
 
 BLOCK = 128  # fixed value: tokens in one attention block
 
@@ -211,3 +212,26 @@ def file_order(files: DataFrame, epochs: int, seed: int = 0, reshuffle: bool = F
         order = [seeded_key(seed, F.col("file")), F.col("file")]
     rank = F.row_number().over(Window.partitionBy("epoch").orderBy(*order)) - 1
     return passes.select("epoch", rank.cast("long").alias("rank"), "file")
+
+
+def batch_schedule(
+    headers: DataFrame, epochs: int, length: int, world: int, seed: int = 0, reshuffle: bool = False
+) -> DataFrame:
+    """``(step, epoch, file, batch, rank)``: which batch of which file each step and rank takes.
+
+    Files come in the order of :func:`file_order`, each gives its whole batches
+    one after the other, and its tail is left out. A file without a whole batch
+    fails the job. A step's number is a running count of whole batches over the
+    files before it.
+    """
+    whole_batches = whole(F.col("tokens") - 1, length * world).alias("batches")
+    sized = require_whole_batch(headers, length, world).select("file", whole_batches)
+    ordered = file_order(sized.select("file"), epochs, seed, reshuffle).join(sized, "file")
+    last = F.lit(1 << 31)
+    place = F.col("epoch").cast("long") * last + F.col("rank")
+    placed = running(staged(ordered, "file-order"), "before", F.col("batches"), [place], id_buckets(place))
+    batches = placed.select(
+        "epoch", "file", "before", F.explode(F.sequence(F.lit(0).cast("long"), F.col("batches") - 1)).alias("batch")
+    )
+    ranks = F.explode(F.sequence(F.lit(0), F.lit(world - 1))).alias("rank")
+    return batches.select((F.col("before") + F.col("batch")).alias("step"), "epoch", "file", "batch", ranks)

@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from corpusloom.functions.numbers import whole
 from corpusloom.functions.text import seeded_draw
-from corpusloom.operators.ordering import row_index, shuffled_index
+from corpusloom.operators.ordering import head_rows, row_index, shuffled_index
 
 DRAW_CHUNK = 1 << 16
 ROW_REPEATS = 1 << 12
-LIMIT_PRUNED_ROWS = 1000  # Spark prunes `row_number() <= n` before the shuffle up to this n
+SALT_CHUNK = 1 << 12
 
 
 def concat(parts: Sequence[DataFrame]) -> DataFrame:
@@ -76,10 +76,15 @@ def _gather(numbers: DataFrame, df: DataFrame, key: str, by: Sequence[str], size
     by = list(by)
     salts = (whole(F.col("max_n"), ROW_REPEATS) / F.greatest(F.col("n"), F.lit(1))).cast("long") + 1
     salted = numbers.withColumn("__salt", F.col("draw") % salts).drop("n", "max_n", "position")
-    copies = F.broadcast(sizes.select(*by, F.sequence(F.lit(0).cast("long"), salts - 1).alias("__salts")))
+    copies = F.broadcast(sizes.select(*by, salts.alias("__salts")))  # one number per listed group
 
     def copied(rows: DataFrame) -> DataFrame:
-        return rows.join(copies, by).select(*rows.columns, F.explode("__salts").alias("__salt"))
+        """Each row with the salts 0 .. ``__salts`` - 1, made in chunks on different tasks."""
+        counted = rows.join(copies, by)
+        chunk = F.explode(F.sequence(F.lit(0).cast("long"), whole(F.col("__salts") - 1, SALT_CHUNK))).alias("__chunk")
+        low = F.col("__chunk") * SALT_CHUNK
+        salt = F.explode(F.sequence(low, F.least(low + (SALT_CHUNK - 1), F.col("__salts") - 1))).alias("__salt")
+        return counted.select(*counted.columns, chunk).select(*rows.columns, salt)
 
     index = row_index(df.select(*by, key), key, by)
     chosen = salted.join(copied(index), [*by, "row_index", "__salt"]).drop("row_index")
@@ -89,9 +94,9 @@ def _gather(numbers: DataFrame, df: DataFrame, key: str, by: Sequence[str], size
 
 
 def mix_natural(df: DataFrame, languages: Sequence[str], key: str, seed: int) -> DataFrame:
-    """All rows of the listed languages in shuffled order (``out_pos``)."""
+    """All rows of the listed languages in shuffled order (``out_pos``). Keys may repeat over languages."""
     listed = df.where(F.col("language").isin(*languages))
-    return shuffled_index(listed, seed, [key])
+    return shuffled_index(listed, seed, ["language", key])
 
 
 def mix_balanced(df: DataFrame, languages: Sequence[str], key: str, seed: int) -> DataFrame:
@@ -139,10 +144,7 @@ def head_per_language(df: DataFrame, key: str, n: int) -> DataFrame:
     """The first ``n`` rows of each language by ``key``; 0 keeps all."""
     if n <= 0:
         return df
-    if n > LIMIT_PRUNED_ROWS:
-        return row_index(df, key, ["language"], "__index").where(F.col("__index") < n).drop("__index")
-    rank = F.row_number().over(Window.partitionBy("language").orderBy(key))
-    return df.withColumn("__index", rank).where(F.col("__index") <= n).drop("__index")
+    return head_rows(df, ["language"], [F.col(key)], n)
 
 
 def seeded_order(df: DataFrame, seed: int, key: Sequence[str]) -> DataFrame:

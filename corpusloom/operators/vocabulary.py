@@ -6,9 +6,11 @@ from collections.abc import Mapping, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from corpusloom.functions.text import pieces
+from corpusloom.operators.ordering import digest_buckets, running
+from corpusloom.session import staged
 
 # Special names with their ids; words follow from FIRST_WORD_ID on.
 PAD, EOT, UNK = 0, 1, 2
@@ -21,23 +23,33 @@ DOCUMENT_END_DEFAULT = 0
 TARGET_END_NAMES = ("<|endoftext|>", "<|eot_id|>", "<eos>", "</s>")
 TARGET_END_DEFAULT = 50256
 
-BROADCAST_ROWS = 1 << 18  # a vocabulary of this size takes some 20 MB in memory
+BROADCAST_ROWS = 1 << 20  # a vocabulary of this size takes some 20 MB in a task
+MISS_SALTS = 16  # ways in which rows that miss the broadcast head are dealt out, so that a frequent one is split
 ID_BITS = 32
 
 
-def build_vocab(df: DataFrame, max_words: int = 50_000, text: str = "text") -> DataFrame:
-    """Word-level vocabulary ``(token, id, cnt)`` of the ``max_words`` most frequent pieces.
+def build_vocab(df: DataFrame, max_words: int | None = None, text: str = "text") -> DataFrame:
+    """Word-level vocabulary ``(token, id, cnt)`` by frequency; all pieces unless ``max_words`` says how many.
 
     Counting is pre-aggregated in the map tasks, so a frequent piece causes no
-    skew. The top-k keeps at most ``max_words`` rows per partition; the ranking
-    window sees those survivors only, which is bounded by the parameter.
+    skew. Ids are ranks: a running count over buckets of equal frequency, split
+    by a digest of the token, which also orders tokens of equal frequency. No
+    task sees more than a bounded share of the vocabulary.
     """
     counted = df.select(F.explode(pieces(F.col(text))).alias("token")).groupBy("token").agg(
         F.count(F.lit(1)).alias("cnt")
     )
-    top = counted.orderBy(F.desc("cnt"), F.asc("token")).limit(max_words)
-    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("cnt"), F.asc("token")))
-    words = top.select("token", (rank + (FIRST_WORD_ID - 1)).cast("int").alias("id"), "cnt")
+    keyed = staged(counted.withColumn("digest", F.md5("token")), "counts")
+    rarer = -F.floor(F.log2("cnt")).cast("long")
+    ranked = running(
+        keyed,
+        "before",
+        F.lit(1).cast("long"),
+        [F.desc("cnt"), F.col("digest"), F.col("token")],
+        [rarer, -F.col("cnt"), *digest_buckets(F.col("digest"))],
+    )
+    kept = ranked if max_words is None else ranked.where(F.col("before") < max_words)
+    words = kept.select("token", (F.col("before") + FIRST_WORD_ID).cast("int").alias("id"), "cnt")
     return special_rows(df).unionByName(words)
 
 
@@ -55,10 +67,9 @@ def resolve_special(vocab: DataFrame, names: Sequence[str], default: int) -> Dat
     return found.select(F.coalesce("id", F.lit(default)).cast("int").alias("id"))
 
 
-def _fits_broadcast(vocab: DataFrame, vocab_rows: int | None, limit: int) -> bool:
-    if vocab_rows is None:
-        vocab_rows = vocab.limit(limit + 1).count()
-    return vocab_rows <= limit
+def one_value(vocab: DataFrame, source: str, target: str) -> DataFrame:
+    """``(source, target)`` with one row per ``source``: the least ``target`` of those listed."""
+    return vocab.where(F.col(source).isNotNull()).groupBy(source).agg(F.min(target).alias(target))
 
 
 def lookup(
@@ -66,18 +77,29 @@ def lookup(
 ) -> DataFrame:
     """Left join of long ``rows`` with a vocabulary on ``token`` or ``id``.
 
-    A vocabulary known (``vocab_rows``) or counted to stay within ``limit`` rows
-    is broadcast. A larger one is split: entries with an id below ``limit`` (the
-    most frequent ones) are broadcast, and only rows that miss them go through a
-    shuffle join. Frequent keys therefore never meet in one task.
+    A key that the vocabulary lists more than once has its least value. A
+    vocabulary known (``vocab_rows``) or counted to stay within ``limit`` rows
+    is broadcast. A larger one is split: its most frequent entries, the first
+    ``limit`` ids, are broadcast, and rows that miss them go through a shuffle
+    join. That join is salted, as a frequent key may still miss the head, for
+    instance where the vocabulary was counted on other texts.
     """
-    if _fits_broadcast(vocab, vocab_rows, limit):
-        return rows.join(F.broadcast(vocab), on, "left")
     other = next(c for c in vocab.columns if c != on)
-    head = F.broadcast(vocab.where(F.col("id") < limit))
-    tail = vocab.where(F.col("id") >= limit)
+    single = one_value(vocab, on, other)
+    if vocab_rows is None:
+        vocab_rows = vocab.limit(limit + 1).count()
+    if vocab_rows <= limit:
+        return rows.join(F.broadcast(single), on, "left")
+    frequent = single.where(F.col("id") < limit)
+    if frequent.limit(limit + 1).count() > limit:  # ids that are no ranks say nothing about frequency
+        frequent = frequent.where(F.lit(False))
+    head = F.broadcast(frequent)
     hits = rows.join(head, on)
-    misses = rows.where(F.col(on).isNotNull()).join(head.select(on), on, "left_anti").join(tail, on, "left")
+    salt = F.explode(F.array(*[F.lit(i) for i in range(MISS_SALTS)])).alias("__salt")
+    tail = single.select(on, other, salt)
+    missing = rows.where(F.col(on).isNotNull()).join(head.select(on), on, "left_anti")
+    dealt = missing.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(MISS_SALTS)).cast("int"))
+    misses = dealt.join(tail, [on, "__salt"], "left")
     blanks = rows.where(F.col(on).isNull()).withColumn(other, F.lit(None).cast(vocab.schema[other].dataType))
     columns = hits.columns
     return hits.unionByName(misses.select(columns)).unionByName(blanks.select(columns))
@@ -89,8 +111,9 @@ def vocab_column(vocab: DataFrame, source: str, target: str, missing, limit: int
     At most ``limit`` + 1 rows are fetched, so the size is checked before anything
     is shared with the tasks. Whole Arrow batches are looked up at once, and no
     row leaves its partition; a join would need one row per piece and a regrouping.
+    A ``source`` that is listed more than once has its least ``target``.
     """
-    held = vocab.select(source, target).limit(limit + 1).toArrow()
+    held = one_value(vocab, source, target).limit(limit + 1).toArrow()
     if held.num_rows > limit:
         return None
     shared = vocab.sparkSession.sparkContext.broadcast(
@@ -123,7 +146,8 @@ def tokenize(
 
     With a vocabulary of up to ``limit`` rows nothing is shuffled. A larger one
     is joined by :func:`lookup`, piece by piece, and the ids are regrouped by
-    ``key``, which must identify a row then.
+    row. Both ways give the same rows: keys may repeat, and a row that occurs
+    more than once comes out as often.
     """
     wanted = {n: _wanted_pieces(t, (first or {}).get(n)) for n, t in texts.items()}
     code = vocab_column(vocab, "token", "id", UNK, limit)
@@ -134,22 +158,26 @@ def tokenize(
 
 
 def _tokenize_by_join(df, vocab, texts, key, keep, limit, first) -> DataFrame:
+    """Rows are told apart by all their columns and a digest of their texts; equal ones are counted and repeated."""
     carried, names = [*key, *keep], list(texts)
-    spread = df.select(*carried, *[texts[n].alias(n) for n in names])
-    fields = [_tagged(_wanted_pieces(F.col(n), first.get(n)), i) for i, n in enumerate(names)]
-    long = spread.select(*carried, F.posexplode_outer(F.flatten(F.array(*fields))).alias("pos", "piece")).select(
-        *carried, "pos", F.col("piece.field").alias("field"), F.col("piece.token").alias("token")
+    digest = F.md5(F.to_json(F.array(*[texts[n] for n in names])))
+    fields = [_tagged(_wanted_pieces(texts[n], first.get(n)), i) for i, n in enumerate(names)]
+    long = df.select(*carried, digest.alias("__text"), F.posexplode_outer(F.flatten(F.array(*fields))).alias("pos", "piece"))
+    long = long.select(
+        *carried, "__text", "pos", F.col("piece.field").alias("field"), F.col("piece.token").alias("token")
     )
     coded = lookup(long, vocab.select("token", "id"), "token", limit + 1, limit)
     # position and id in one long: half the memory of a struct, and it sorts by position
     entry = F.shiftleft(F.col("pos").cast("long"), ID_BITS).bitwiseOR(F.coalesce("id", F.lit(UNK)).cast("long"))
-    grouped = coded.groupBy(*carried).agg(
-        *[F.sort_array(F.collect_list(F.when(F.col("field") == i, entry))).alias(n) for i, n in enumerate(names)]
+    first_of_row = F.coalesce("pos", F.lit(0)) == 0
+    grouped = coded.groupBy(*carried, "__text").agg(
+        F.count_if(first_of_row).cast("int").alias("__times"),
+        *[F.array_sort(F.collect_set(F.when(F.col("field") == i, entry))).alias(n) for i, n in enumerate(names)],
     )
     low = F.lit((1 << ID_BITS) - 1).cast("long")
-    return grouped.select(
-        *carried, *[F.transform(n, lambda x: x.bitwiseAND(low).cast("int")).alias(n) for n in names]
-    )
+    ids = [F.transform(n, lambda x: x.bitwiseAND(low).cast("int")).alias(n) for n in names]
+    repeated = grouped.select("*", F.explode(F.array_repeat(F.lit(True), F.col("__times"))).alias("__copy"))
+    return repeated.select(*carried, *ids)
 
 
 def _wanted_pieces(text: Column, first: int | None) -> Column:
@@ -176,11 +204,15 @@ def decode_tokens(
     name = vocab_column(vocab, "id", "token", unknown, limit)
     if name is not None:
         return df.select(*key, F.array_join(name(F.col(ids)), " ").alias("text"))
-    long = df.select(*key, F.posexplode_outer(ids).alias("pos", "id"))
+    digest = F.md5(F.array_join(F.coalesce(F.col(ids), F.array().cast("array<int>")), ","))
+    long = df.select(*key, digest.alias("__ids"), F.posexplode_outer(ids).alias("pos", "id"))
     named = lookup(long, vocab.select("id", "token"), "id", limit + 1, limit)
     entry = F.struct("pos", F.coalesce("token", F.lit(unknown)).alias("token"))
-    words = F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), entry)))["token"]
-    return named.groupBy(*key).agg(F.array_join(words, " ").alias("text"))
+    words = F.array_sort(F.collect_set(F.when(F.col("pos").isNotNull(), entry)))["token"]
+    times = F.count_if(F.coalesce("pos", F.lit(0)) == 0).cast("int")
+    grouped = named.groupBy(*key, "__ids").agg(times.alias("__times"), F.array_join(words, " ").alias("text"))
+    repeated = grouped.select("*", F.explode(F.array_repeat(F.lit(True), F.col("__times"))).alias("__copy"))
+    return repeated.select(*key, "text")
 
 
 def doc_token_stats(df: DataFrame, by: str, n_tokens: Column) -> DataFrame:

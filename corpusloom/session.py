@@ -54,25 +54,38 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to shared storage and read it back.
+class Scratch:
+    """Owner of staged tables: they are removed when its block ends.
 
-    Use it where a costly result has several readers: they then scan a small
-    columnar table, and a lost executor costs a re-read, not a recomputation.
+    For jobs that have written their result by then. A table that a returned
+    DataFrame still reads must not have an owner.
     """
-    path = scratch_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __exit__(self, *error) -> None:
+        for path in self.paths:
+            remove_folder(self.spark, path)
 
-FEW_SPLITS = 32
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it is."""
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a table that comes in very few splits.
 
-    A small table is often one file with one row group, which a single task
-    reads. A table with enough splits, as any large one has, stays as it is.
+def staged(df: DataFrame, label: str, owner: Scratch | None = None) -> DataFrame:
+    """Write ``df`` once to shared storage and read it back.
+
+    Use it where a costly result has several readers: they then scan a small
+    columnar table, and a lost executor costs a re-read, not a recomputation.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= min(cores, FEW_SPLITS) else df.repartition(cores)
+    path = scratch_folder(df.sparkSession, label)
+    if owner:
+        owner.paths.append(path)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

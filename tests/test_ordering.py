@@ -20,7 +20,7 @@ def brute(data, op):
 @pytest.mark.parametrize("op", ["sum", "min"])
 def test_running_matches_brute_force(spark, op):
     rng = random.Random(5)
-    keys = rng.sample(range(1 << 21), 300) + [0, (1 << 40) - 1]
+    keys = rng.sample(range(1 << 21), 300) + [0, (1 << 63) - 1]
     # one group owns most rows, one is null
     data = [(rng.choice(["a", "a", "a", "b", None]), k, rng.randrange(1000)) for k in keys]
     df = spark.createDataFrame(data, "g string, k long, v long")
@@ -38,9 +38,9 @@ def test_several_levels_agree(spark):
 
 
 def test_key_out_of_range_fails(spark):
-    for bad in (-1, 1 << 40, None):
+    for bad in (-1, None):
         df = spark.createDataFrame([(bad,)], "k long")
-        with pytest.raises(Exception, match="ordering key outside"):
+        with pytest.raises(Exception, match="ordering key below 0"):
             O.row_index(df, "k").collect()
 
 
@@ -51,14 +51,11 @@ def test_shuffle_order_is_the_digest_order(spark):
     assert got == {k: i for i, k in enumerate(expected)}
 
 
-@pytest.mark.parametrize("crowded", [False, True])
-def test_time_order_with_one_hot_timestamp(spark, monkeypatch, crowded):
-    monkeypatch.setattr(O, "CROWDED_ROWS", 50 if crowded else 1 << 22)
+def test_time_order_with_one_hot_timestamp(spark):
     rng = random.Random(3)
     data = [(1_700_000_000_000_000 if rng.random() < 0.4 else rng.randrange(1 << 50), i) for i in range(400)]
     df = spark.createDataFrame(data, "us long, id long").withColumn("ts", F.timestamp_micros("us"))
-    buckets = O.time_buckets(df, F.col("ts"), F.col("id"))
-    assert len(buckets) == (4 if crowded else 2)
+    buckets = O.time_buckets(F.col("ts"), F.col("id"))
     got = O.running(df, "n", F.lit(1).cast("long"), [F.col("ts"), F.col("id")], buckets)
     expected = {k: i for i, k in enumerate(sorted(data))}
     assert {(r.us, r.id): r.n for r in got.collect()} == expected

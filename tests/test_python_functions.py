@@ -40,11 +40,10 @@ def test_rank_file_matches_direct_encoding(spark, texts):
     assert got == {r.doc_id: direct.encode_ordinary(r.text) for r in texts.collect()}
 
 
-def test_size_of_the_file_is_checked(spark, tmp_path, monkeypatch):
+def test_size_of_the_file_is_checked(spark, tmp_path):
     (tmp_path / "t.json").write_text(json.dumps({"a": 1}))
-    monkeypatch.setattr(PY, "MAX_FILE_BYTES", 3)
     with pytest.raises(ValueError, match="too large"):
-        PY.tokenizer_json(spark, str(tmp_path / "t.json"))
+        PY.tokenizer_json(spark, str(tmp_path / "t.json"), most=3)
 
 
 @pytest.mark.parametrize("batch", [2, 256])

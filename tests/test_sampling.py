@@ -57,9 +57,7 @@ def test_sample_edges(rows):
         S.sample_per_language(rows, ("de",), ["doc_id"], 0.0, 3)
 
 
-@pytest.mark.parametrize("pruned", [1000, 1])
-def test_head(rows, monkeypatch, pruned):
-    monkeypatch.setattr(S, "LIMIT_PRUNED_ROWS", pruned)
+def test_head(rows):
     got = S.head_per_language(rows, "doc_id", 2)
     assert sorted((r.language, r.doc_id) for r in got.collect()) == [
         ("de", 0), ("de", 4), ("en", 1), ("en", 2), ("fr", 100), ("fr", 101),
@@ -67,6 +65,27 @@ def test_head(rows, monkeypatch, pruned):
     assert S.head_per_language(rows, "doc_id", 0).count() == 70
 
 
+@pytest.mark.parametrize("n", [1000, 1001])
+def test_head_with_text_keys(spark, n):
+    df = spark.range(2500).selectExpr("format_string('k%05d', id) AS doc_id", "IF(id % 5 = 0, 'a', 'b') AS language")
+    got = S.head_per_language(df, "doc_id", n).collect()
+    keys = {g: sorted(f"k{i:05d}" for i in range(2500) if (i % 5 == 0) == (g == "a"))[:n] for g in "ab"}
+    assert sorted((r.language, r.doc_id) for r in got) == [(g, k) for g in "ab" for k in keys[g]]
+
+
+def test_natural_mix_with_keys_that_repeat_over_languages(spark):
+    df = spark.createDataFrame([(i, g) for g in ("de", "fr") for i in range(5)], "doc_id long, language string")
+    got = S.mix_natural(df, ("de", "fr"), "doc_id", 3).collect()
+    assert sorted(r.out_pos for r in got) == list(range(10)) and sizes(S.mix_natural(df, ("de", "fr"), "doc_id", 3)) == {"de": 5, "fr": 5}
+
+
+def test_few_rows_with_many_draws_make_their_copies_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(S, "ROW_REPEATS", 1)
+    monkeypatch.setattr(S, "SALT_CHUNK", 4)
+    df = spark.createDataFrame([(0, "de")] + [(i, "fr") for i in range(40)], "doc_id long, language string")
+    assert sizes(S.mix_balanced(df, ("de", "fr"), "doc_id", 3)) == {"de": 40, "fr": 40}
+
+
 @pytest.mark.parametrize("repeats,chunk", [(1 << 12, 1 << 16), (3, 7)])
 def test_draws(spark, monkeypatch, repeats, chunk):
     monkeypatch.setattr(S, "ROW_REPEATS", repeats)
