@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from corpusloom.session import staged
 
-BROADCAST_FILES = 100_000
+FILES_PER_JOIN = 250_000  # some 40 MB of names
 
 
 def read_dataset(
@@ -30,22 +32,41 @@ def read_dataset(
     return df
 
 
-def read_numbered(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
-    """Parquet rows with their position in the dataset: files by name, rows in file order.
+def number_rows(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows of parquet files with their position in the dataset: files by name, rows in file order.
 
     The position of a file is the sum of the rows before it, from one count per
-    file that reads no data columns. Rows are not sorted or moved for it.
+    file that reads no data columns. It is joined to the rows by broadcast, for
+    at most ``FILES_PER_JOIN`` files at a time: more files are dealt into groups,
+    and Spark lists only a group's files for its part of the union. So each file
+    is read once, and no row is sorted or moved, whatever the number of files.
     """
-    rows = spark.read.parquet(path).select(
+    columns = rows.columns
+    placed = rows.select(
         "*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")
     )
-    files = rows.groupBy("__file").agg((F.max("__row") + 1).alias("__rows"))
+    files = placed.groupBy("__file").agg((F.max("__row") + 1).alias("__rows"))
     earlier = Window.partitionBy(F.lit(0)).orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = staged(files.select("__file", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__start")), "files")
-    if starts.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES:
-        starts = F.broadcast(starts)
-    placed = rows.join(starts, "__file").withColumn(key, F.col("__start") + F.col("__row"))
-    return placed.drop("__file", "__row", "__start")
+    before = F.coalesce(F.sum("__rows").over(earlier), F.lit(0))  # one row per file, as the driver lists them itself
+    starts = staged(files.select("__file", before.alias("__start")), "files")
+    groups = max(1, -(-starts.count() // FILES_PER_JOIN))
+    parts = []
+    for group in range(groups):
+        own = rows.where(_group_of(F.col("_metadata.file_path"), groups) == group) if groups > 1 else rows
+        own = own.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+        few = starts.where(_group_of(F.col("__file"), groups) == group)
+        joined = own.join(F.broadcast(few), "__file").withColumn(key, F.col("__start") + F.col("__row"))
+        parts.append(joined.select(*columns, key))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _group_of(path, groups: int):
+    return F.pmod(F.xxhash64(path), F.lit(groups))
+
+
+def read_numbered(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
+    """All parquet rows below ``path``, numbered by :func:`number_rows`."""
+    return number_rows(spark.read.parquet(path), key)
 
 
 def read_languages(spark: SparkSession, root: str, languages: Sequence[str], split: str | None = None) -> DataFrame:
@@ -97,11 +118,19 @@ def packs_complete(spark: SparkSession, path: str) -> bool:
 
 
 def write_document(spark: SparkSession, path: str, document: dict) -> None:
-    """A small JSON document as a one-row table."""
-    text = json.dumps(document, ensure_ascii=True)
+    """A small JSON document as a one-row table; values that JSON has no number for become null."""
+    text = json.dumps(_plain(document), ensure_ascii=True, allow_nan=False)
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
+def _plain(value):
+    if isinstance(value, dict):
+        return {k: _plain(v) for k, v in value.items()}
+    if isinstance(value, (list, tuple)):
+        return [_plain(v) for v in value]
+    return None if isinstance(value, float) and not math.isfinite(value) else value
+
+
 def read_document(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(path, wholetext=True).first()["value"])
 

@@ -2,7 +2,8 @@
 
 Such a file holds an int32 count ``n``, then ``n`` rows of ``width`` int32 ids,
 then ``n`` int64 labels. Parquet is the better store (see ``datasets``); this
-source reads existing files in parallel and writes one file per task.
+source reads existing files in parallel and writes one file per task; the names
+of the files, and the rows in them, follow the order of the dataset.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import (
     DataSource,
@@ -84,6 +86,7 @@ class ExampleReader(DataSourceReader):
 @dataclass
 class WrittenExamples(WriterCommitMessage):
     staged: str
+    name: str
 
 
 class ExampleWriter(DataSourceArrowWriter):
@@ -101,7 +104,8 @@ class ExampleWriter(DataSourceArrowWriter):
         fs, root = _filesystem(self.root)
         folder = self._staging(root)
         fs.create_dir(folder, recursive=True)
-        path = f"{folder}/part-{uuid.uuid4().hex}.bin"
+        path = f"{folder}/{uuid.uuid4().hex}"
+        name = f"part-{TaskContext.get().partitionId():06d}.bin"
         ids, labels = [], []
         for batch in iterator:
             rows = batch.column(batch.schema.get_field_index("input_ids"))
@@ -110,18 +114,18 @@ class ExampleWriter(DataSourceArrowWriter):
             ids.append(rows.flatten().to_numpy(zero_copy_only=False).astype("<i4"))
             labels.append(batch.column(batch.schema.get_field_index("label")).to_numpy(zero_copy_only=False).astype("<i8"))
         if not labels:
-            return WrittenExamples("")
+            return WrittenExamples("", "")
         with fs.open_output_stream(path) as out:
             out.write(np.array([sum(len(part) for part in labels)], "<i4").tobytes())
             for part in (*ids, *labels):
                 out.write(part.tobytes())
-        return WrittenExamples(path)
+        return WrittenExamples(path, name)
 
     def commit(self, messages: list) -> None:
         fs, root = _filesystem(self.root)
         for message in messages:
             if message and message.staged:
-                fs.move(message.staged, f"{root.rstrip('/')}/{message.staged.rsplit('/', 1)[1]}")
+                fs.move(message.staged, f"{root.rstrip('/')}/{message.name}")
         self.abort(messages)
 
     def abort(self, messages: list) -> None:
@@ -156,11 +160,24 @@ def read_example_files(spark: SparkSession, path: str, width: int) -> DataFrame:
     return spark.read.format("example_files").option("width", width).load(path)
 
 
-def write_example_files(examples: DataFrame, path: str, width: int, rows_per_file: int = 1 << 18) -> None:
-    """One file of at most about ``rows_per_file`` rows per task."""
+def write_example_files(
+    examples: DataFrame, path: str, width: int, key: str, rows_per_file: int = 1 << 18, force: bool = False
+) -> None:
+    """Files of about ``rows_per_file`` rows each, which hold the rows in the order of ``key`` over names and rows.
+
+    Files that are there already are kept and nothing is written, unless ``force``.
+    """
     spark = examples.sparkSession
     spark.dataSource.register(ExampleFiles)
-    narrow = examples.select("input_ids", examples["label"].cast("long").alias("label"))
+    fs, root = _filesystem(path)
+    selector = pafs.FileSelector(root, allow_not_found=True)
+    present = [f.path for f in fs.get_file_info(selector) if f.path.endswith(".bin")]
+    if present and not force:
+        return
+    for old in present:
+        fs.delete_file(old)
+    narrow = examples.select(key, "input_ids", examples["label"].cast("long").alias("label"))
     parts = max(1, -(-narrow.count() // rows_per_file))
-    writer = narrow.repartition(parts).write.format("example_files").mode("append")
+    ordered = narrow.repartitionByRange(parts, key).sortWithinPartitions(key).drop(key)
+    writer = ordered.write.format("example_files").mode("append")
     writer.option("path", path).option("width", width).save()

@@ -1,16 +1,22 @@
 """Token shard files as a Spark data source.
 
 A shard is a header of 256 little-endian 32-bit integers followed by the token
-ids. The source reads parts of a file in parallel tasks, and the writer commits
-whole files: a task that is lost or runs twice leaves nothing half-written.
+ids. The source reads parts of a file in parallel tasks and skips files that
+filters on ``split``, ``shard_index`` or ``file`` rule out.
+
+A write puts its files into a folder of its own below the given one, each moved
+to its final name by the task that wrote it. The small file ``_current`` then
+names that folder, and the one before it is removed. So a reader sees the old
+shards or the new ones, never both; a task that is lost or runs twice leaves
+nothing half-written; and the driver moves no file. A folder that has no
+``_current`` is read as it is.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +27,14 @@ from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
     DataSourceReader,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
     InputPartition,
+    LessThan,
+    LessThanOrEqual,
     WriterCommitMessage,
 )
 from pyspark.sql.types import StructType
@@ -38,9 +51,10 @@ FILE_PATTERN = r"^data_(val|train)_(\d{6,})\.bin$"
 CHUNK_TOKENS = 8192  # tokens per row
 TASK_BYTES = 32 << 20  # payload per read task
 HEADERS_PER_TASK = 64
-RENAME_THREADS = 16
+CURRENT = "_current"
+PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
-_CHUNK_SCHEMA = "file string, shard_index int, split string, n_tokens long, lo long, ids array<int>"
+_CHUNK_SCHEMA = "file string, shard_index int, split string, n_tokens long, lo long, ids array<long>"
 _HEADER_SCHEMA = "file string, shard_index int, split string, version int, bits int, tokens long"
 
 
@@ -50,6 +64,15 @@ def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), path
 
 
+def shard_folder(fs: pafs.FileSystem, root: str) -> str:
+    """The folder that holds the shards below ``root``."""
+    pointer = f"{root.rstrip('/')}/{CURRENT}"
+    if fs.get_file_info(pointer).type != pafs.FileType.File:
+        return root
+    with fs.open_input_stream(pointer) as f:
+        return f"{root.rstrip('/')}/{f.read().decode()}"
+
+
 @dataclass
 class ShardHeader:
     version: int
@@ -95,6 +118,17 @@ class ShardPart(InputPartition):
     parts: int = 1
 
 
+_TESTS = {
+    EqualTo: lambda a, b: a == b,
+    In: lambda a, b: a in b,
+    GreaterThan: lambda a, b: a > b,
+    GreaterThanOrEqual: lambda a, b: a >= b,
+    LessThan: lambda a, b: a < b,
+    LessThanOrEqual: lambda a, b: a <= b,
+}
+_PLACE = ("file", "shard_index", "split")
+
+
 class ShardReader(DataSourceReader):
     def __init__(self, options: dict):
         self.root = options["path"]
@@ -102,15 +136,30 @@ class ShardReader(DataSourceReader):
         self.split = options.get("split")
         self.chunk = int(options.get("chunk", CHUNK_TOKENS))
         self.task_bytes = int(options.get("taskbytes", TASK_BYTES))
+        self.columns = _columns(options)
+        self.filters: list[tuple[type, str, object]] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Filters on a file's name and place are decided from the listing; the others go back to Spark."""
+        for f in filters:
+            if type(f) in _TESTS and len(f.attribute) == 1 and f.attribute[0] in _PLACE:
+                self.filters.append((type(f), f.attribute[0], f.value))
+            else:
+                yield f
+
+    def _wanted(self, name: str) -> bool:
+        match = re.match(FILE_PATTERN, name)
+        if not match:
+            return False
+        place = {"file": name, "shard_index": int(match.group(2)), "split": match.group(1)}
+        if self.split is not None and place["split"] != self.split:
+            return False
+        return all(_TESTS[kind](place[column], value) for kind, column, value in self.filters)
 
     def partitions(self) -> list[ShardPart]:
         fs, root = _filesystem(self.root)
-        found = []
-        for info in fs.get_file_info(pafs.FileSelector(root)):
-            match = re.match(FILE_PATTERN, info.base_name)
-            if match and (self.split is None or match.group(1) == self.split):
-                found.append((info.path, info.base_name, info.size))
-        found.sort(key=lambda f: f[1])
+        listed = fs.get_file_info(pafs.FileSelector(shard_folder(fs, root)))
+        found = sorted((i.path, i.base_name, i.size) for i in listed if self._wanted(i.base_name))
         if self.headers_only:
             tasks = [ShardPart(found[i : i + HEADERS_PER_TASK]) for i in range(0, len(found), HEADERS_PER_TASK)]
         else:
@@ -156,28 +205,35 @@ class ShardReader(DataSourceReader):
             low, high = first * self.chunk, min(last * self.chunk, header.tokens)
             if low >= high:
                 return
-            f.seek(HEADER_BYTES + low * header.width)
-            ids = np.frombuffer(f.read((high - low) * header.width), dtype=f"<u{header.width}")
-        if header.bits == 32 and ids.size and int(ids.max()) > np.iinfo(np.int32).max:
-            raise ValueError(f"{name}: id above 31 bits")
+            ids = None
+            if "ids" in self.columns:
+                f.seek(HEADER_BYTES + low * header.width)
+                ids = np.frombuffer(f.read((high - low) * header.width), dtype=f"<u{header.width}")
         split, index = self._place(name)
         starts = np.arange(low, high, self.chunk, dtype=np.int64)
         n = len(starts)
         offsets = np.append(starts - low, high - low).astype(np.int32)
-        columns = [
-            pa.repeat(pa.scalar(name), n),
-            pa.repeat(pa.scalar(index, pa.int32()), n),
-            pa.repeat(pa.scalar(split), n),
-            pa.repeat(pa.scalar(header.tokens, pa.int64()), n),
-            pa.array(starts),
-            pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32))),
-        ]
-        yield pa.RecordBatch.from_arrays(columns, ["file", "shard_index", "split", "n_tokens", "lo", "ids"])
+        columns = {
+            "file": lambda: pa.repeat(pa.scalar(name), n),
+            "shard_index": lambda: pa.repeat(pa.scalar(index, pa.int32()), n),
+            "split": lambda: pa.repeat(pa.scalar(split), n),
+            "n_tokens": lambda: pa.repeat(pa.scalar(header.tokens, pa.int64()), n),
+            "lo": lambda: pa.array(starts),
+            "ids": lambda: pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int64))),
+        }
+        yield pa.RecordBatch.from_arrays([columns[c]() for c in self.columns], self.columns)
+
+
+def _columns(options: dict) -> list[str]:
+    """The columns asked for, in the order of the schema; all if none are named."""
+    names = [c.split()[0] for c in _CHUNK_SCHEMA.split(", ")]
+    wanted = options.get("columns")
+    return [n for n in names if not wanted or n in wanted.replace(" ", "").split(",")]
 
 
 @dataclass
 class WrittenShards(WriterCommitMessage):
-    staged: list
+    names: list
 
 
 class ShardWriter(DataSourceArrowWriter):
@@ -186,21 +242,22 @@ class ShardWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool):
         self.root = options["path"]
         self.version = int(options.get("version", 1))
-        self.overwrite = overwrite
-        self.job = uuid.uuid4().hex
-
-    def _staging(self, root: str) -> str:
-        return f"{root.rstrip('/')}/_staging-{self.job}"
+        fs, root = _filesystem(self.root)
+        before = shard_folder(fs, root)
+        self.replaced = before if overwrite and before != root else None
+        added_to = before if not overwrite and before != root else None
+        self.folder = added_to or f"{root.rstrip('/')}/job-{uuid.uuid4().hex}"
+        self.is_new = added_to is None
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WrittenShards:
-        fs, root = _filesystem(self.root)
-        attempt = f"{self._staging(root)}/{uuid.uuid4().hex}"
-        fs.create_dir(attempt, recursive=True)
-        staged, name, slices, end = [], None, [], 0
+        fs, _ = _filesystem(self.root)
+        fs.create_dir(self.folder, recursive=True)
+        written, name, slices, end = [], None, [], 0
 
         def flush():
             if name is not None:
-                staged.append((self._write_file(fs, attempt, name, slices), name))
+                self._write_file(fs, name, slices)
+                written.append(name)
 
         for batch in iterator:
             names = batch.column(batch.schema.get_field_index("file")).to_pylist()
@@ -216,7 +273,7 @@ class ShardWriter(DataSourceArrowWriter):
                 slices.append(self._narrow(values, file))
                 end += len(values)
         flush()
-        return WrittenShards(staged)
+        return WrittenShards(written)
 
     def _narrow(self, values: np.ndarray, name: str) -> np.ndarray:
         kind = np.dtype("<u2") if self.version == 1 else np.dtype("<u4")
@@ -224,44 +281,41 @@ class ShardWriter(DataSourceArrowWriter):
             raise ValueError(f"{name}: id does not fit in {kind.itemsize * 8} bits")
         return values.astype(kind)
 
-    def _write_file(self, fs, folder: str, name: str, slices: list) -> str:
+    def _write_file(self, fs, name: str, slices: list) -> None:
+        """Under a passing name first: the final one only ever names a whole file, whichever attempt wrote it."""
         tokens = sum(len(s) for s in slices)
         if tokens > MAX_TOKENS:
             raise ValueError(f"{name}: more than {MAX_TOKENS} tokens")
-        path = f"{folder}/{name}"
-        with fs.open_output_stream(path) as out:
+        passing = f"{self.folder}/_writing-{uuid.uuid4().hex}"
+        with fs.open_output_stream(passing) as out:
             out.write(ShardHeader(self.version, 16 if self.version == 1 else 32, tokens).encode())
             for part in slices:
                 out.write(part.tobytes())
-        return path
+        fs.move(passing, f"{self.folder}/{name}")
 
     def commit(self, messages: list) -> None:
         fs, root = _filesystem(self.root)
-        moves = [m for message in messages if message for m in message.staged]
-        names = [name for _, name in moves]
+        names = [name for message in messages if message for name in message.names]
         if len(names) != len(set(names)):
-            self._clean(fs, root)
+            self.abort(messages)
             raise ValueError("a shard was written by two tasks; rows must be grouped by file")
-        if self.overwrite:
-            for info in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
-                if re.match(FILE_PATTERN, info.base_name) and info.base_name not in set(names):
-                    fs.delete_file(info.path)
-        with ThreadPoolExecutor(RENAME_THREADS) as pool:
-            list(pool.map(lambda m: fs.move(m[0], f"{root.rstrip('/')}/{m[1]}"), moves))
-        self._clean(fs, root)
+        fs.create_dir(self.folder, recursive=True)
+        for info in fs.get_file_info(pafs.FileSelector(self.folder)):
+            if info.base_name.startswith("_writing-"):  # left by an attempt that was lost
+                fs.delete_file(info.path)
+        with fs.open_output_stream(f"{root.rstrip('/')}/{CURRENT}") as out:
+            out.write(self.folder.rsplit("/", 1)[1].encode())
+        if self.replaced and fs.get_file_info(self.replaced).type == pafs.FileType.Directory:
+            fs.delete_dir(self.replaced)
 
     def abort(self, messages: list) -> None:
-        fs, root = _filesystem(self.root)
-        self._clean(fs, root)
-
-    def _clean(self, fs, root: str) -> None:
-        staging = self._staging(root)
-        if fs.get_file_info(staging).type == pafs.FileType.Directory:
-            fs.delete_dir(staging)
+        fs, _ = _filesystem(self.root)
+        if self.is_new and fs.get_file_info(self.folder).type == pafs.FileType.Directory:
+            fs.delete_dir(self.folder)
 
 
 class TokenShards(DataSource):
-    """Format ``token_shards``. Options: ``mode`` (chunks, header), ``split``, ``chunk``, ``taskBytes``, ``version``."""
+    """Format ``token_shards``. Options: ``mode`` (chunks, header), ``split``, ``columns``, ``chunk``, ``taskBytes``, ``version``."""
 
     @classmethod
     def name(cls) -> str:
@@ -271,7 +325,10 @@ class TokenShards(DataSource):
         return {k.lower(): v for k, v in self.options.items()}
 
     def schema(self) -> str:
-        return _HEADER_SCHEMA if self._options().get("mode") == "header" else _CHUNK_SCHEMA
+        if self._options().get("mode") == "header":
+            return _HEADER_SCHEMA
+        kept = _columns(self._options())
+        return ", ".join(c for c in _CHUNK_SCHEMA.split(", ") if c.split()[0] in kept)
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return ShardReader(self._options())
@@ -280,11 +337,15 @@ class TokenShards(DataSource):
         return ShardWriter(self._options(), overwrite)
 
 
-def read_token_shards(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
-    """Chunks of ids: ``(file, shard_index, split, n_tokens, lo, ids)``."""
-    spark.dataSource.register(TokenShards)
-    reader = spark.read.format("token_shards")
-    return (reader.option("split", split) if split else reader).load(path)
+def read_token_shards(
+    spark: SparkSession, path: str, split: str | None = None, columns: Sequence[str] | None = None
+) -> DataFrame:
+    """Chunks of ids: ``(file, shard_index, split, n_tokens, lo, ids)``, or only the ``columns`` that are named.
+
+    Filters on ``file``, ``shard_index`` and ``split`` reach the source, which then plans no task for other files.
+    """
+    reader = _reader(spark, split)
+    return (reader.option("columns", ",".join(columns)) if columns else reader).load(path)
 
 
 def scan_shard_headers(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
@@ -292,9 +353,14 @@ def scan_shard_headers(spark: SparkSession, path: str, split: str | None = None)
 
     A folder without shards gives an empty table.
     """
+    return _reader(spark, split).option("mode", "header").load(path)
+
+
+def _reader(spark: SparkSession, split: str | None):
     spark.dataSource.register(TokenShards)
-    reader = spark.read.format("token_shards").option("mode", "header")
-    return (reader.option("split", split) if split else reader).load(path)
+    spark.conf.set(PUSHDOWN, "true")  # Spark refuses a source that takes filters unless this is set
+    reader = spark.read.format("token_shards")
+    return reader.option("split", split) if split else reader
 
 
 def shard_version(vocab_size: int) -> int:
@@ -308,11 +374,11 @@ def write_token_shards(
     """Write the slices of :func:`cut_shards` as one file per shard.
 
     A shard goes to one task, which holds ``shard_size`` ids of 2 or 4 bytes;
-    ordering inside it is Spark's sort, which spills. Set ``tasks`` near the
-    number of shards for full parallelism.
+    ordering inside it is Spark's sort, which spills. With ``tasks`` at the
+    number of shards, each task has exactly one.
     """
     pieces.sparkSession.dataSource.register(TokenShards)
-    named = pieces.select(shard_file(F.col("shard")).alias("file"), "lo", "ids")
-    grouped = named.repartition(tasks, "file") if tasks else named.repartition("file")
-    ordered = grouped.sortWithinPartitions("file", "lo")
+    named = pieces.select("shard", shard_file(F.col("shard")).alias("file"), "lo", "ids")
+    dealt = named.repartitionById(tasks, F.col("shard").cast("int")) if tasks else named.repartition("file")
+    ordered = dealt.drop("shard").sortWithinPartitions("file", "lo")
     ordered.write.format("token_shards").mode(mode).option("path", path).option("version", version).save()

@@ -18,6 +18,10 @@ DOCS = [list(range(7)), [65535], [], list(range(100, 123)), [1]]
 STREAM = [t for d in DOCS for t in d]
 
 
+def folder(path):
+    return f"{path}/{open(f'{path}/_current').read()}"
+
+
 def content(spark, path, **options):
     reader = spark.read.format("token_shards")
     for k, v in options.items():
@@ -34,15 +38,15 @@ def test_round_trip_and_bytes(spark, tmp_path, version):
     path = str(tmp_path / "shards")
     SH.write_token_shards(slices(spark, DOCS, 10), path, version)
     names = ["data_val_000000.bin", "data_train_000001.bin", "data_train_000002.bin", "data_train_000003.bin"]
-    assert sorted(os.listdir(path)) == sorted(names)
-    spark.dataSource.register(SH.TokenShards)
+    assert sorted(os.listdir(folder(path))) == sorted(names)
+    assert SH.scan_shard_headers(spark, path).count() == 4  # registers the source and lets filters through
     expected = {n: STREAM[i * 10 : i * 10 + 10] for i, n in enumerate(names)}
     assert content(spark, path) == expected
     assert content(spark, path, chunk=3, taskBytes=4) == expected  # many chunks, many tasks per file
     assert set(content(spark, path, split="train")) == set(names[1:])
-    raw = np.fromfile(f"{path}/{names[1]}", dtype="<i4", count=256)
+    raw = np.fromfile(f"{folder(path)}/{names[1]}", dtype="<i4", count=256)
     assert raw[:3].tolist() == [20240520, version, 10] and raw[3] == (0 if version == 1 else 32)
-    body = np.fromfile(f"{path}/{names[1]}", dtype="<u2" if version == 1 else "<u4", offset=1024)
+    body = np.fromfile(f"{folder(path)}/{names[1]}", dtype="<u2" if version == 1 else "<u4", offset=1024)
     assert body.tolist() == expected[names[1]]
     headers = {r.file: (r.split, r.shard_index, r.tokens) for r in SH.scan_shard_headers(spark, path).collect()}
     assert headers[names[0]] == ("val", 0, 10) and headers[names[3]] == ("train", 3, 2)
@@ -54,7 +58,43 @@ def test_overwrite_leaves_only_the_new_shards(spark, tmp_path):
     path = str(tmp_path / "shards")
     SH.write_token_shards(slices(spark, DOCS, 5), path)
     SH.write_token_shards(slices(spark, DOCS, 100), path)
-    assert os.listdir(path) == ["data_val_000000.bin"]
+    assert os.listdir(folder(path)) == ["data_val_000000.bin"]
+    assert sorted(os.listdir(path)) == sorted(["_current", os.path.basename(folder(path))])
+
+
+def test_a_failed_overwrite_keeps_the_old_shards(spark, tmp_path):
+    path = str(tmp_path / "shards")
+    SH.write_token_shards(slices(spark, DOCS, 10), path)
+    before = content(spark, path)
+    with pytest.raises(Exception, match="does not fit in 16 bits"):
+        SH.write_token_shards(slices(spark, [[1, 2], [70000]], 2), path)
+    assert content(spark, path) == before and len(os.listdir(path)) == 2
+
+
+def test_one_shard_per_task(spark, tmp_path):
+    path = str(tmp_path / "shards")
+    many = slices(spark, [list(range(400))], 10)
+    SH.write_token_shards(many, path, tasks=40)
+    assert SH.scan_shard_headers(spark, path).count() == 40
+    dealt = many.repartitionById(40, F.col("shard").cast("int")).withColumn("part", F.spark_partition_id())
+    assert dealt.groupBy("part").agg(F.countDistinct("shard").alias("n")).where("n != 1").count() == 0
+
+
+def test_filters_and_columns_reach_the_source(spark, tmp_path):
+    path = str(tmp_path / "shards")
+    SH.write_token_shards(slices(spark, [list(range(100))], 10), path)
+    some = SH.read_token_shards(spark, path).where("split = 'train' AND shard_index BETWEEN 3 AND 5 AND lo >= 0")
+    assert some.rdd.getNumPartitions() == 3
+    assert sorted(r.shard_index for r in some.collect()) == [3, 4, 5]
+    assert SH.read_token_shards(spark, path).where("file = 'data_val_000000.bin'").rdd.getNumPartitions() == 1
+    assert SH.read_token_shards(spark, path).where("shard_index IN (2, 7)").rdd.getNumPartitions() == 2
+    thin = SH.read_token_shards(spark, path, columns=["file", "n_tokens"])
+    assert thin.columns == ["file", "n_tokens"] and thin.agg(F.sum("n_tokens")).first()[0] == 100
+
+
+def test_plain_folders_and_full_32_bit_ids_are_read(spark, tmp_path):
+    path = shard(tmp_path, [20240520, 2, 2, 32], np.array([2**32 - 1, 5], "<u4").tobytes())
+    assert SH.read_token_shards(spark, path).first().ids == [2**32 - 1, 5]
 
 
 def test_empty_folder_gives_no_rows(spark, tmp_path):
