@@ -7,7 +7,8 @@ import argparse
 from pyspark.sql import SparkSession, functions as F
 
 from corpusloom.functions import python as PY
-from corpusloom.operators import vocabulary as V
+from corpusloom.functions.text import as_text
+from corpusloom.operators import examples as E, vocabulary as V
 from corpusloom.operators.planning import TOKENS_PER_ITER
 from corpusloom.operators.runs import best_per_group
 from corpusloom.plans import jobs
@@ -16,22 +17,22 @@ from corpusloom.sources import datasets as DS
 from corpusloom.sources import logs as LG
 
 
-def _coder(spark: SparkSession, args, docs, names, default: int):
-    """Coder, end mark and vocabulary size from a tokenizer file, or from a vocabulary counted on the texts."""
+def _coder(spark: SparkSession, args, docs, text: str, names, default: int):
+    """Coder, end mark and vocabulary size from a tokenizer file, or from a vocabulary counted on column ``text``."""
     if args.tokenizer:
         mark, size = PY.tokenizer_specials(spark, args.tokenizer, names, default)
         return jobs.column_coder(PY.encoder(PY.tokenizer_json(spark, args.tokenizer))), mark, size
-    vocab = staged(V.build_vocab(docs, args.vocab_words, args.text_field), "vocabulary")
-    size = args.vocab_words + len(V.SPECIAL_TOKENS)
-    return jobs.vocabulary_coder(vocab), V.EOT, size
+    vocab = staged(V.build_vocab(docs, args.vocab_words, text), "vocabulary")
+    return jobs.vocabulary_coder(vocab), V.EOT, vocab.count()
 
 
 def preprocess(spark: SparkSession, args) -> None:
-    docs = DS.read_numbered(spark, args.dataset) if args.key is None else spark.read.parquet(args.dataset)
-    for column, wanted in (("config", args.dataset_config), ("split", args.split)):
-        if wanted is not None:
-            docs = docs.where(F.col(column) == wanted)
-    code, eot, size = _coder(spark, args, docs, V.DOCUMENT_END_NAMES, V.DOCUMENT_END_DEFAULT)
+    docs = DS.read_dataset(spark, args.dataset, args.dataset_config, args.split, args.format)
+    if args.key is None:
+        if args.format != "parquet":
+            raise SystemExit(f"{args.format} rows have no position of their own: name an integer column with --key")
+        docs = DS.number_rows(docs)
+    code, eot, size = _coder(spark, args, docs, args.text_field, V.DOCUMENT_END_NAMES, V.DOCUMENT_END_DEFAULT)
     eot = eot if args.eot_token is None else args.eot_token
     headers = jobs.corpus_to_shards(
         docs, code, args.output_dir, eot, size, args.key or "doc_id", args.text_field, args.shard_size, args.tasks
@@ -47,11 +48,13 @@ def count_tokens(spark: SparkSession, args) -> None:
 
 def build_packs(spark: SparkSession, args) -> None:
     rows = spark.read.parquet(args.dataset)
-    args.text_field = "text"
-    code, eos, _ = _coder(spark, args, rows, V.TARGET_END_NAMES, V.TARGET_END_DEFAULT)
+    shown = E.prompts(E.select_representation(rows, args.representation, ["language"]))
+    seen = shown.select(F.explode(F.array("prompt", as_text("target"))).alias("text"))  # what the packs will hold
+    code, eos, _ = _coder(spark, args, seen, "text", V.TARGET_END_NAMES, V.TARGET_END_DEFAULT)
     built = jobs.build_packs(
         rows, code, args.output_dir, args.representation, args.languages.split(","), eos, args.mix_mode,
         args.context_len, args.target_max_tokens, args.train_sample_frac, args.seed, args.key, force=args.force,
+        source={"dataset_repo": args.dataset, "tokenizer_json": args.tokenizer},
     )
     built.groupBy("split").count().show()
 
@@ -63,6 +66,18 @@ def evaluate_generation(spark: SparkSession, args) -> None:
     ).show(truncate=False)
 
 
+def evaluate(spark: SparkSession, args) -> None:
+    """Stored predictions of one or more datasets: columns ``label``, ``pred`` and, if there are, ``logits``."""
+    names = args.datasets.split(",")
+    loaders = {name: lambda name=name: spark.read.format(args.format).load(name) for name in names}
+    labels = args.labels.split(",") if args.labels else []
+    document = jobs.evaluate_predictions(loaders, args.output_dir, labels, args.label_column, args.pred_column)
+    for name, reason in document["skipped"].items():
+        print(f"{name}: {reason}")
+    for name, metrics in document["datasets"].items():
+        print(f"{name}: accuracy {metrics['accuracy']:.4f}, macro F2 {metrics['macro_f2']:.4f}, {metrics['examples']} examples")
+
+
 def best_checkpoint(spark: SparkSession, args) -> None:
     best_per_group(LG.list_checkpoints(spark, args.root)).show(truncate=False)
 
@@ -87,17 +102,20 @@ def parser() -> argparse.ArgumentParser:
         return sub
 
     sub = job(
-        preprocess, dataset=str, dataset_config=None, split=None, text_field="text", output_dir=str, key=None,
-        tokenizer=None, vocab_words=50_000, shard_size=10**8,
+        preprocess, dataset=str, dataset_config=None, split="train", format="parquet", text_field="text", output_dir=str,
+        key=None, tokenizer=None, shard_size=10**8,
     )
+    sub.add_argument("--vocab_words", type=int, help="default: all words")
     sub.add_argument("--eot_token", type=int)
     sub.add_argument("--tasks", type=int)
     job(count_tokens, data_dir=str, epochs=1, tokens_per_iter=TOKENS_PER_ITER)
-    job(
+    sub = job(
         build_packs, dataset=str, output_dir=str, representation=str, languages=str, mix_mode="balanced",
         context_len=2048, target_max_tokens=256, train_sample_frac=1.0, seed=42, key="doc_id", tokenizer=None,
-        vocab_words=50_000, force=False,
+        force=False,
     )
+    sub.add_argument("--vocab_words", type=int, help="default: all words")
+    job(evaluate, datasets=str, labels=None, output_dir=str, format="parquet", label_column="label", pred_column="pred")
     job(evaluate_generation, generated=str, output_dir=str, split="test", max_eval_samples_per_lang=0, key="doc_id")
     job(best_checkpoint, root=str)
     return top

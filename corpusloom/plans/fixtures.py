@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusloom.functions.text import pieces, seeded_draw
-from corpusloom.operators.ordering import ID_BITS, id_buckets, running, time_buckets
-from corpusloom.session import spread
+from corpusloom.operators.ordering import id_buckets, running, time_buckets
 
 SEED = 42
 LANGUAGES = ("de", "en", "es", "fr")
@@ -21,8 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents, on all cores; for queries that split every text where it is read."""
-    return spread(table(spark, sf_dir, "documents"))
+    return table(spark, sf_dir, "documents")
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,12 +40,18 @@ def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The next turn is the least one among those that come later, a running
     minimum from the end; a window per conversation would not split a long one.
+    Only numbers pass through it; one join fetches the text.
     """
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.col("text").alias("premise"))
-    from_end = F.lit((1 << ID_BITS) - 1) - F.col("turn")
-    later = F.struct("turn", F.col("premise").alias("text"))
-    paired = running(turns, "next", later, [from_end], id_buckets(from_end), ["conv_id"], op="min")
-    return paired.where("role = 'user'").select("conv_id", "turn", "premise", F.col("next.text").alias("hypothesis"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    from_end = F.lit((1 << 62) - 1) - F.col("turn")
+    placed = running(
+        turns.select("conv_id", "turn"), "next", F.col("turn"), [from_end], id_buckets(from_end), ["conv_id"], op="min"
+    )
+    following = placed.where("next IS NOT NULL").select("conv_id", "turn", "next")
+    after = turns.select("conv_id", F.col("turn").alias("next"), F.col("text").alias("hypothesis"))
+    fetched = following.join(after, ["conv_id", "next"]).select("conv_id", "turn", "hypothesis")
+    users = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("premise"))
+    return users.join(fetched, ["conv_id", "turn"], "left")
 
 
 def _strip(text: Column) -> Column:
@@ -92,18 +96,16 @@ def scored_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Generated and reference text with partial overlap.
+    """Every whole text as reference, and the text without each fifth piece as what a model made of it.
 
-    The condition sits in the explode: as a filter it would be pushed below the
-    projection, and every text would be split twice.
+    The pieces are bound by an explode: as a column of their own they would be split once for each use.
     """
-    long_enough = F.explode(F.filter(F.array(pieces("text")), lambda p: F.size(p) >= 10))
-    split = texts(spark, sf_dir).select("doc_id", F.col("lang").alias("language"), long_enough.alias("p"))
+    split = texts(spark, sf_dir).select(
+        "doc_id", F.col("lang").alias("language"), F.explode(F.array(F.struct(pieces("text").alias("p")))).alias("s")
+    )
+    kept = F.filter("s.p", lambda x, i: (i + F.col("doc_id")) % 5 != 0)
     return split.select(
-        "doc_id",
-        "language",
-        F.array_join(F.slice("p", 1, 30), " ").alias("prediction"),
-        F.array_join(F.slice("p", 6, 30), " ").alias("reference"),
+        "doc_id", "language", F.array_join(kept, " ").alias("prediction"), F.array_join("s.p", " ").alias("reference")
     )
 
 
@@ -121,7 +123,7 @@ def training_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "before",
         F.lit(1).cast("long"),
         [F.col("ts"), F.col("event_id")],
-        time_buckets(events, F.col("ts"), F.col("event_id"), ["run"]),
+        time_buckets(F.col("ts"), F.col("event_id")),
         ["run"],
     ).withColumn("step", F.col("before") + 1)
     evaluated = F.col("step") % EVAL_EVERY == 0

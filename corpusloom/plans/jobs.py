@@ -21,7 +21,8 @@ from corpusloom.operators import packing as P
 from corpusloom.operators import planning as PL
 from corpusloom.operators import sampling as S
 from corpusloom.operators import vocabulary as V
-from corpusloom.session import staged
+from corpusloom.operators.ordering import shuffled_index
+from corpusloom.session import Scratch, staged
 from corpusloom.sources import datasets as DS
 from corpusloom.sources import shards as SH
 
@@ -63,19 +64,22 @@ def corpus_to_shards(
     """Encode documents, cut the stream into shard files, return their headers.
 
     Encoded documents are stored with their length next to the ids, so that the
-    offsets are computed from two thin columns. There are as many writing tasks
-    as shards unless ``tasks`` says otherwise.
+    offsets are computed from two thin columns; that table goes when the shards
+    are written. There are as many writing tasks as shards unless ``tasks`` says
+    otherwise.
     """
+    spark = docs.sparkSession
     version = SH.shard_version(vocab_size)
     ids = A.checked_ids(A.prepend(F.col("ids"), eot), 16 if version == 1 else 31, F.col(key))
     coded = code(docs, {"ids": as_text(text)}, [key]).select(key, ids.alias("ids"))
-    stored = staged(coded.withColumn("n_ids", F.size("ids").cast("long")), "encoded")
-    if tasks is None:
-        total = stored.agg(F.sum("n_ids")).first()[0] or 0
-        tasks = max(1, -(-total // shard_size))
-    placed = stored.select(key, "ids").join(P.token_offsets(stored.select(key, "n_ids"), key), key)
-    SH.write_token_shards(P.cut_shards(placed, shard_size, "ids", [key]), path, version, tasks)
-    return SH.scan_shard_headers(docs.sparkSession, path)
+    with Scratch(spark) as scratch:
+        stored = staged(coded.withColumn("n_ids", F.size("ids").cast("long")), "encoded", scratch)
+        if tasks is None:
+            total = stored.agg(F.sum("n_ids")).first()[0] or 0
+            tasks = max(1, -(-total // shard_size))
+        placed = stored.select(key, "ids").join(P.token_offsets(stored.select(key, "n_ids"), key), key)
+        SH.write_token_shards(P.cut_shards(placed, shard_size, "ids", [key]), path, version, tasks)
+    return SH.scan_shard_headers(spark, path)
 
 
 def count_training_tokens(
@@ -101,12 +105,15 @@ def build_packs(
     key: str = "doc_id",
     suffix_len: int = 0,
     force: bool = False,
+    source: Mapping[str, str | None] | None = None,
 ) -> DataFrame:
     """Prompt and target packs of all splits; an earlier complete build is used again.
 
-    ``rows`` has ``key``, ``language``, ``split`` and the text columns. Each row
-    is encoded once. The training split is then mixed and sampled, so a row
-    drawn several times is not encoded several times.
+    ``rows`` has ``key``, ``language``, ``split`` and the text columns. A key is
+    unique inside its language and split. Each row is encoded once. The training
+    split is then mixed, sampled and shuffled anew, so a row drawn several times
+    is not encoded several times. ``source`` goes into the metadata: where rows
+    and tokenizer came from.
     """
     spark = rows.sparkSession
     if not force and DS.packs_complete(spark, path):
@@ -116,16 +123,30 @@ def build_packs(
     first = {"target_ids": target_max} if suffix_len else {"prompt_ids": context, "target_ids": target_max}
     texts = {"prompt_ids": F.col("prompt"), "target_ids": as_text("target")}
     coded = code(chosen, texts, [key], ["language", "split"], first)
-    packs = staged(E.encode_packs(coded, context, target_max, eos, suffix_len), "packs")
-    drawn = S.mix_languages(
-        packs.where("split = 'train'").select(key, "language"), mix_mode, languages, key, seed
-    )
-    unit = ["language", "draw"] if mix_mode == "balanced" else [key]
+    with Scratch(spark) as scratch:
+        packs = staged(E.encode_packs(coded, context, target_max, eos, suffix_len), "packs", scratch)
+        train = mixed_rows(packs.where("split = 'train'"), mix_mode, languages, fraction, seed, key)
+        rest = packs.where("split <> 'train'").withColumn("out_pos", F.lit(None).cast("long"))
+        built = E.drop_skipped(train.unionByName(rest)).drop("skip")
+        DS.write_packs(built, path, _pack_metadata(representation, mix_mode, context, target_max, fraction, eos, languages, source), E.SPLITS)
+    return DS.read_packs(spark, path)
+
+
+def mixed_rows(rows: DataFrame, mix_mode: str, languages: Sequence[str], fraction: float, seed: int, key: str) -> DataFrame:
+    """``rows`` mixed and sampled by language, with their place ``out_pos`` in a new shuffle, from 0 without gaps.
+
+    Keys alone are mixed; full rows are fetched once, by language and key, as keys may repeat over languages.
+    """
+    drawn = S.mix_languages(rows.select(key, "language"), mix_mode, languages, key, seed)
+    unit = ["language", "draw"] if mix_mode == "balanced" else ["language", key]
     kept = S.sample_per_language(drawn, languages, unit, fraction, seed)
-    train = kept.select(key, "out_pos").join(packs.where("split = 'train'"), key)
-    rest = packs.where("split <> 'train'").withColumn("out_pos", F.lit(None).cast("long"))
-    built = E.drop_skipped(train.unionByName(rest)).drop("skip")
-    metadata = {
+    placed = shuffled_index(kept.drop("out_pos"), seed, unit)
+    return placed.select("language", key, "out_pos").join(rows, ["language", key])
+
+
+def _pack_metadata(representation, mix_mode, context, target_max, fraction, eos, languages, source) -> dict:
+    # The names that readers of packs look for.
+    return {
         "representation": representation,
         "mix_mode": mix_mode,
         "context_len": context,
@@ -133,9 +154,9 @@ def build_packs(
         "train_sample_frac": fraction,
         "eos_id": eos,
         "languages": list(languages),
+        "dataset_repo": (source or {}).get("dataset_repo"),
+        "tokenizer_json": (source or {}).get("tokenizer_json"),
     }
-    DS.write_packs(built, path, metadata, E.SPLITS)
-    return DS.read_packs(spark, path)
 
 
 def evaluate_classifier(
@@ -193,7 +214,9 @@ def evaluate_generation(
     """ROUGE, BLEU and token loss per language, then the ``macro`` and ``weighted`` lines.
 
     ``generated`` has ``key``, ``language``, ``prediction``, ``reference``;
-    ``token_scores`` has ``language``, ``label``, ``logp`` per scored token.
+    ``token_scores`` has ``key``, ``language``, ``label``, ``logp`` per scored
+    token. With ``rows_per_language`` both count the same rows. With ``path``
+    the report is also written as CSV, as JSON lines and as one JSON document.
     """
     rows = S.head_per_language(generated, key, rows_per_language)
     counted = rows.groupBy("language").agg(F.count(F.lit(1)).alias("num_examples"))
@@ -205,6 +228,8 @@ def evaluate_generation(
     ]
     if token_scores is not None:
         metrics.append("token_loss")
+        if rows_per_language > 0:
+            token_scores = token_scores.join(rows.select("language", key), ["language", key], "left_semi")
         parts.append(L.token_loss(token_scores).select("language", F.col("loss").alias("token_loss")))
     table = counted
     for part in parts:
@@ -215,5 +240,75 @@ def evaluate_generation(
         ordered = stored.select("language", "split", "num_examples", *metrics, "position")
         DS.write_report(ordered, f"{path}/csv", ["position", "language"], "csv")
         DS.write_report(ordered, f"{path}/json", ["position", "language"], "json")
+        parameters = {"split": split, "rows_per_language": rows_per_language, "ascii_only": ascii_only}
+        DS.write_document(generated.sparkSession, f"{path}/report.json", generation_document(ordered, metrics, parameters))
         return ordered
     return report
+
+
+def generation_document(report: DataFrame, metrics: Sequence[str], parameters: Mapping) -> dict:
+    """The report as one document: parameters, ``per_language``, ``macro`` and ``weighted``; one row per language is read."""
+    lines = {(r["position"], r["language"]): {c: r[c] for c in ("num_examples", *metrics)} for r in report.collect()}
+    return {
+        "parameters": dict(parameters),
+        "per_language": {name: line for (place, name), line in sorted(lines.items()) if place == 0},
+        "macro": next((line for (place, _), line in lines.items() if place == 1), None),
+        "weighted": next((line for (place, _), line in lines.items() if place == 2), None),
+    }
+
+
+def evaluate_predictions(
+    datasets: Mapping[str, Callable[[], DataFrame]],
+    path: str,
+    labels: Sequence[str] = (),
+    label_column: str = "label",
+    pred_column: str = "pred",
+    logits_column: str = "logits",
+    classes: Sequence[int] | None = None,
+) -> dict:
+    """Evaluate stored predictions of several datasets; writes and returns one JSON document.
+
+    Each dataset is loaded by its function. One that cannot be loaded, or lacks
+    the label or prediction column, is skipped and named with the reason. The
+    rows of the others, with logits where they have them, go to
+    ``path``/predictions; the document has their counts, metrics, per-class
+    report and confusion matrix by display name.
+    """
+    from pyspark.errors import PySparkException
+
+    loaded, skipped = {}, {}
+    for name, shown in E.pair_with_labels(list(datasets), labels):
+        try:
+            loaded[shown] = datasets[name]()
+        except (PySparkException, OSError, ValueError) as error:
+            skipped[shown] = f"cannot be read: {str(error).splitlines()[0][:200]}"
+    usable, lacking = E.require_columns(loaded, [label_column, pred_column])
+    skipped |= {name: "lacks " + ", ".join(columns) for name, columns in lacking.items()}
+    if not usable:
+        raise ValueError(f"no usable dataset: {skipped}")
+    spark = next(iter(usable.values())).sparkSession
+    parts = []
+    for name, df in usable.items():
+        logits = F.col(logits_column).cast("array<double>") if logits_column in df.columns else F.lit(None).cast("array<double>")
+        columns = [F.col(c).cast("long").alias(n) for c, n in ((label_column, "label"), (pred_column, "pred"))]
+        parts.append(df.select(F.lit(name).alias("dataset"), *columns, logits.alias("logits")))
+    S.concat(parts).drop("part").write.mode("overwrite").parquet(f"{path}/predictions")
+    rows = spark.read.parquet(f"{path}/predictions")
+
+    with Scratch(spark) as scratch:
+        counts = staged(C.confusion_matrix(rows, ["dataset"], classes), "cells", scratch)
+        repeated = C.class_report_of_counts(counts, ["dataset"])
+        report = staged(repeated, "classes", scratch)
+        means = C.macro_and_weighted(report, ["dataset"]).collect()
+        losses = {r["dataset"]: r["loss"] for r in C.mean_loss(rows, ["dataset"]).collect()}
+        document: dict = {"datasets": {}, "skipped": skipped, "predictions": f"{path}/predictions"}
+        for r in means:
+            values = {c: r[c] for c in means[0].asDict() if c not in ("dataset", "support")}
+            document["datasets"][r["dataset"]] = {"examples": r["support"], "loss": losses.get(r["dataset"]), **values}
+        for r in report.orderBy("dataset", "label").collect():
+            own = document["datasets"][r["dataset"]].setdefault("classes", {})
+            own[str(r["label"])] = {c: r[c] for c in ("precision", "recall", "f1", "f2", "support")}
+        for r in counts.orderBy("dataset", "label", "pred").collect():
+            document["datasets"][r["dataset"]].setdefault("confusion", []).append([r["label"], r["pred"], r["n"]])
+    DS.write_document(spark, f"{path}/evaluation.json", document)
+    return document

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from corpusloom.functions import arrays as A, numbers as N, python as PY, text as X
 from corpusloom.operators import (
@@ -24,11 +24,10 @@ from corpusloom.operators.ordering import row_index, shuffled_index
 from corpusloom.plans import fixtures as fx, jobs as J
 from corpusloom.plans.fixtures import LANGUAGES, NUM_CLASSES, SEED, table, texts
 from corpusloom.session import scratch_folder, staged
-from corpusloom.sources import datasets as DS, logs as LG, shards as SH
+from corpusloom.sources import datasets as DS, examples as EX, logs as LG, shards as SH
 from corpusloom.streaming import streams as ST
 
-VOCAB_WORDS = 50_000
-VOCAB_ROWS = VOCAB_WORDS + len(V.SPECIAL_TOKENS)
+TOP_WORDS = 50_000
 SHARD_SIZE = 50_000
 BATCH_LENGTH, WORLD = 512, 4
 SEQUENCE = 4096
@@ -37,7 +36,8 @@ CONTEXT, TARGET_MAX, MAX_NEW = 256, 32, 96
 WIDTH = 128
 EPOCHS, TOKENS_PER_ITER = 3, 8192
 FRACTION, HEAD_ROWS, BATCH_SIZE = 0.3, 20, 16
-EVAL_BATCHES = 40
+EVAL_BATCHES, EVAL_ROWS = 40, 100
+FILE_ROWS = 64
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,13 +50,14 @@ def rounded(column: Column) -> Column:
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.build_vocab(texts(spark, sf_dir), VOCAB_WORDS)
+    """All pieces of all documents, counted once."""
+    return staged(V.build_vocab(texts(spark, sf_dir)), "vocabulary")
 
 
 def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(doc_id, ids)``, the document mark first, ids checked to fit in 16 bits."""
+    """``(doc_id, ids)``, the document mark first, ids checked to fit in 31 bits."""
     ids = V.tokenize_corpus(texts(spark, sf_dir), vocabulary(spark, sf_dir))
-    return ids.select("doc_id", A.checked_ids(A.prepend(F.col("ids"), V.EOT), 16, F.col("doc_id")).alias("ids"))
+    return ids.select("doc_id", A.checked_ids(A.prepend(F.col("ids"), V.EOT), 31, F.col("doc_id")).alias("ids"))
 
 
 def lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +88,11 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vocab_top(spark, sf_dir):
-    return vocabulary(spark, sf_dir)
+    return V.build_vocab(texts(spark, sf_dir), TOP_WORDS)
+
+
+def vocab_all(spark, sf_dir):
+    return V.build_vocab(texts(spark, sf_dir))
 
 
 def doc_token_stats(spark, sf_dir):
@@ -103,17 +108,18 @@ def encoded_docs(spark, sf_dir):
 
 
 def decoded_docs(spark, sf_dir):
-    vocab = staged(vocabulary(spark, sf_dir), "vocabulary")
+    vocab = vocabulary(spark, sf_dir)
     ids = V.tokenize_corpus(texts(spark, sf_dir), vocab)
     return V.decode_tokens(ids, vocab).select("doc_id", F.md5("text").alias("text_md5"))
 
 
 def special_ids(spark, sf_dir):
-    vocab = staged(vocabulary(spark, sf_dir), "vocabulary")
+    """Ids of names that are words of the corpus, so that they follow from its counts; the last names are not there."""
+    vocab = vocabulary(spark, sf_dir)
     rules = {
-        "document_end": (V.DOCUMENT_END_NAMES, V.DOCUMENT_END_DEFAULT),
-        "target_end": (V.TARGET_END_NAMES, V.TARGET_END_DEFAULT),
-        "absent_name": (("[none]",), V.TARGET_END_DEFAULT),
+        "first_name": (("the", "de"), V.DOCUMENT_END_DEFAULT),
+        "second_name": (("[none]", "und", "que"), V.TARGET_END_DEFAULT),
+        "absent_name": (("[none]", "[neither]"), V.TARGET_END_DEFAULT),
     }
     parts = [V.resolve_special(vocab, *rule).withColumn("rule", F.lit(name)) for name, rule in rules.items()]
     return S.concat(parts).select("rule", "id")
@@ -195,10 +201,33 @@ def file_plan(spark, sf_dir):
     return P.file_order(shard_sizes(spark, sf_dir).select("file"), EPOCHS, SEED)
 
 
-def shard_roundtrip(spark, sf_dir):
+def batch_schedule(spark, sf_dir):
+    """The steps of all passes with the rows they take: files long enough for a batch, in seeded order."""
+    batches = staged(train_batches(spark, sf_dir), "batches")
+    needed = F.col("tokens") > BATCH_LENGTH * WORLD
+    files = staged(PL.train_files(shard_sizes(spark, sf_dir)).where(needed), "files")
+    steps = P.batch_schedule(files, EPOCHS, BATCH_LENGTH, WORLD, SEED)
+    return steps.join(batches, ["file", "batch", "rank"]).select("step", "epoch", "file", "batch", "rank", "inputs_md5")
+
+
+def written_shards(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of shards of all documents; texts are encoded once."""
     path = scratch_folder(spark, "shards")
-    slices = P.cut_shards(positioned(spark, sf_dir), SHARD_SIZE, "ids")
-    SH.write_token_shards(slices, path, SH.shard_version(VOCAB_ROWS))
+    vocab = vocabulary(spark, sf_dir)
+    J.corpus_to_shards(texts(spark, sf_dir), J.vocabulary_coder(vocab), path, V.EOT, vocab.count(), shard_size=SHARD_SIZE)
+    return path
+
+
+def shard_slice(spark, sf_dir):
+    """One split and a range of shards; the source plans tasks for these files alone."""
+    chunks = SH.read_token_shards(spark, written_shards(spark, sf_dir))
+    some = chunks.where((F.col("split") == "train") & F.col("shard_index").between(2, 4))
+    total = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x)
+    return some.groupBy("shard_index").agg(F.sum(F.size("ids")).alias("tokens"), F.sum(total).alias("id_sum"))
+
+
+def shard_roundtrip(spark, sf_dir):
+    path = written_shards(spark, sf_dir)
     chunks = SH.read_token_shards(spark, path)
     total = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x)
     content = chunks.groupBy("file").agg(
@@ -258,14 +287,11 @@ def example_plan(spark, sf_dir):
 
 
 def predicted(spark, sf_dir):
-    """Predictions joined to their labels by example."""
-    scored = fx.scored_examples(spark, sf_dir)
-    preds = scored.select("ex_id", A.argmax_class(F.col("logits")).alias("pred"))
-    return C.align_predictions(preds, scored.select("ex_id", "label"))
+    return fx.scored_examples(spark, sf_dir).select("ex_id", "label", A.argmax_class(F.col("logits")).alias("pred"), "logits")
 
 
 def confusion(spark, sf_dir):
-    return C.confusion_matrix(predicted(spark, sf_dir))
+    return C.confusion_matrix(predicted(spark, sf_dir), classes=range(NUM_CLASSES))
 
 
 def class_universe(spark, sf_dir):
@@ -283,7 +309,10 @@ def overall_report(spark, sf_dir):
 
 
 def overall_accuracy(spark, sf_dir):
-    return C.accuracy(predicted(spark, sf_dir), ["label"]).select("label", rounded(F.col("accuracy")).alias("accuracy"))
+    """Predictions that come without labels, joined to these by example."""
+    labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ex_id"), F.col("label").cast("long").alias("label"))
+    aligned = C.align_predictions(predicted(spark, sf_dir).select("ex_id", "pred"), labels)
+    return C.accuracy(aligned, ["label"]).select("label", rounded(F.col("accuracy")).alias("accuracy"))
 
 
 def argmax_topk(spark, sf_dir):
@@ -302,9 +331,7 @@ def argmax_topk(spark, sf_dir):
 def batch_metrics(spark, sf_dir):
     drawn = C.draw_batches(predicted(spark, sf_dir), "ex_id", EVAL_BATCHES, BATCH_SIZE, SEED)
     means = C.batch_mean_metrics(drawn)
-    return means.select(
-        "batches", rounded(F.col("mean_accuracy")).alias("mean_accuracy"), rounded(F.col("mean_f2")).alias("mean_f2")
-    )
+    return means.select("batches", *[rounded(F.col(m)).alias(m) for m in ("mean_loss", "mean_accuracy", "mean_f2")])
 
 
 def weighted_ce(spark, sf_dir):
@@ -347,8 +374,73 @@ def scored(spark, sf_dir):
 
 
 def ml_classifier(spark, sf_dir):
-    rows = fx.classified(spark, sf_dir)
-    return ML.classify(ML.fit_classifier(rows, 2), rows)
+    """Whether the classifier with class weights is right more often than the most frequent label would be."""
+    rows = staged(fx.classified(spark, sf_dir), "classified")
+    found = C.align_predictions(ML.classify(ML.fit_classifier(rows, 2), rows), rows.select("doc_id", "label"), "doc_id")
+    counts = staged(C.confusion_counts(found), "cells")
+    most = counts.groupBy("label").agg(F.sum("n").alias("n")).agg(F.max("n").alias("most"))
+    right = counts.agg(F.sum("n").alias("rows"), F.sum(F.when(F.col("label") == F.col("pred"), F.col("n"))).alias("right"))
+    share = right.join(most, F.col("right") > F.col("most"), "left")  # one row each
+    return share.select("rows", F.col("most").isNotNull().alias("beats_majority"))
+
+
+def chosen_rows(spark, sf_dir):
+    """Documents that a Python test keeps: those with an even number of different characters."""
+    even = PY.predicate(lambda text: text is not None and len(set(text)) % 2 == 0)
+    return table(spark, sf_dir, "documents").where(even("text")).select("doc_id", "n_chars")
+
+
+def _centred(batch):
+    return batch.assign(offset=batch["n_chars"] - batch["n_chars"].min())
+
+
+def batch_function(spark, sf_dir):
+    """A pandas function over batches of rows: how much longer each text is than the shortest of its batch."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("long").alias("n_chars"))
+    batched = row_index(docs, "doc_id").withColumn("batch_id", N.whole(F.col("row_index"), BATCH_SIZE)).drop("row_index")
+    made = PY.map_batches(batched, _centred, "doc_id long, n_chars long, batch_id long, offset long")
+    return made.select("doc_id", "batch_id", "offset")
+
+
+def binary_examples(spark, sf_dir):
+    """Example files in dataset order: position over files and rows, and what is there."""
+    path = scratch_folder(spark, "binary")
+    rows = class_examples(spark, sf_dir).select("doc_id", "label", "input_ids")
+    EX.write_example_files(rows, path, WIDTH, "doc_id", FILE_ROWS)
+    EX.write_example_files(rows.limit(0), path, WIDTH, "doc_id")  # changes nothing: files are there
+    saved = EX.read_example_files(spark, path, WIDTH)
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = saved.groupBy("file").agg(F.count(F.lit(1)).alias("n")).select("file", before.alias("start"))
+    return saved.join(starts, "file").select(
+        (F.col("start") + F.col("row")).alias("position"), "label", A.id_digest(F.col("input_ids")).alias("ids_md5")
+    )
+
+
+def numbered_docs(spark, sf_dir):
+    """Documents written to several files and read back with their position in them."""
+    path = scratch_folder(spark, "numbered")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs.repartitionByRange(7, "doc_id").sortWithinPartitions("doc_id").write.parquet(path)
+    return DS.read_numbered(spark, path, "position").select("position", "doc_id", F.md5("text").alias("text_md5"))
+
+
+def classifier_document(spark, sf_dir):
+    """The evaluation document, read back: metrics of a dataset that is there, and the ones that are not."""
+    path = scratch_folder(spark, "evaluation")
+    rows = predicted(spark, sf_dir)
+    folders = {"kept/all": rows, "kept/bare": rows.drop("pred")}
+    for name, df in folders.items():
+        df.write.parquet(f"{path}/{name}")
+    loaders = {f"{path}/{n}": (lambda n=n: spark.read.parquet(f"{path}/{n}")) for n in (*folders, "kept/absent")}
+    J.evaluate_predictions(loaders, f"{path}/out")
+    document = DS.read_document(spark, f"{path}/out/evaluation.json")
+    if sorted(document["skipped"]) != ["absent", "bare"]:
+        raise RuntimeError(f"unexpected skips: {document['skipped']}")
+    measured = document["datasets"]["all"]
+    names = ("examples", "loss", "accuracy", "macro_f1", "macro_f2", "macro_recall")
+    values = [(n, round(float(measured[n]), 6)) for n in names]
+    values += [(f"confusion_{a}_{b}", float(n)) for a, b, n in measured["confusion"]]
+    return spark.createDataFrame(values, "metric string, value double")
 
 
 # --- languages, sampling ------------------------------------------------------
@@ -420,13 +512,15 @@ def prompts(spark, sf_dir):
     return S.concat(parts).drop("part")
 
 
-def prompt_ids(spark: SparkSession, sf_dir: str, first: dict[str, int] | None = None) -> DataFrame:
+def prompt_ids(
+    spark: SparkSession, sf_dir: str, first: dict[str, int] | None = None, vocab: DataFrame | None = None
+) -> DataFrame:
     """Prompts and summaries as ids, one row per document."""
     docs = fx.summaries(texts(spark, sf_dir))
     rows = E.prompts(E.select_representation(docs, "text", ["doc_id", "language", "split"]))
     return V.tokenize(
         rows,
-        vocabulary(spark, sf_dir),
+        vocabulary(spark, sf_dir) if vocab is None else vocab,
         {"prompt_ids": F.col("prompt"), "target_ids": X.as_text("target")},
         keep=["language", "split"],
         first=first,
@@ -436,8 +530,14 @@ def prompt_ids(spark: SparkSession, sf_dir: str, first: dict[str, int] | None =
 PACK_IDS = {"prompt_ids": CONTEXT, "target_ids": TARGET_MAX}  # a pack has no room for later ids
 
 
-def encoded_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.drop_skipped(E.encode_packs(prompt_ids(spark, sf_dir, PACK_IDS), CONTEXT, TARGET_MAX, V.EOT))
+def encoded_packs(spark: SparkSession, sf_dir: str, vocab: DataFrame | None = None) -> DataFrame:
+    return E.drop_skipped(E.encode_packs(prompt_ids(spark, sf_dir, PACK_IDS, vocab), CONTEXT, TARGET_MAX, V.EOT))
+
+
+def numbered_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries with keys that count from 0 in each language, as datasets of one language have them."""
+    rows = fx.summaries(texts(spark, sf_dir))
+    return rows.join(row_index(rows.select("doc_id", "language"), "doc_id", ["language"], "number"), ["doc_id", "language"])
 
 
 def packs(spark, sf_dir):
@@ -465,22 +565,24 @@ def pack_files(spark, sf_dir):
     DS.write_packs(encoded_packs(spark, sf_dir), path, {"context_len": CONTEXT, "languages": LANGUAGES}, E.SPLITS)
     if not DS.packs_complete(spark, path):
         raise RuntimeError("packs are incomplete")
-    read = DS.read_packs(spark, path, "train")
-    return read.groupBy("language").agg(
+    read = DS.read_packs(spark, path)
+    return read.groupBy("split", "language").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("prompt_len").alias("prompt_ids"), F.sum("target_len").alias("target_ids")
     )
 
 
 def pack_build(spark, sf_dir):
-    """Training packs of a balanced mix: documents are encoded once, then drawn and sampled."""
-    rows = prompt_ids(spark, sf_dir, PACK_IDS)
-    train = staged(E.drop_skipped(E.encode_packs(rows.where("split = 'train'"), CONTEXT, TARGET_MAX, V.EOT)), "train")
-    chosen = S.mix_languages(train.select("doc_id", "language"), "balanced", LANGUAGES, "doc_id", SEED)
-    kept = S.sample_per_language(chosen, LANGUAGES, ["language", "draw"], FRACTION, SEED)
-    built = kept.join(train.drop("language"), "doc_id")
+    """Training packs of a balanced mix, with keys that repeat over languages: encoded once, then drawn and sampled."""
+    rows = numbered_summaries(spark, sf_dir).where("split = 'train'")
+    chosen = E.prompts(E.select_representation(rows, "text", ["number", "language"]))
+    ids = {"prompt_ids": F.col("prompt"), "target_ids": X.as_text("target")}
+    coded = V.tokenize(chosen, vocabulary(spark, sf_dir), ids, ["number"], ["language"], first=PACK_IDS)
+    train = staged(E.drop_skipped(E.encode_packs(coded, CONTEXT, TARGET_MAX, V.EOT)), "train")
+    built = J.mixed_rows(train, "balanced", LANGUAGES, FRACTION, SEED, "number")
     return built.groupBy("language").agg(
         F.count(F.lit(1)).alias("rows"),
-        F.countDistinct("doc_id").alias("docs"),
+        F.countDistinct("number").alias("docs"),
+        F.sum(F.col("out_pos") * (F.col("number") + 1)).alias("order_sum"),
         F.sum("prompt_len").alias("prompt_ids"),
         F.sum("target_len").alias("target_ids"),
     )
@@ -510,9 +612,9 @@ def gen_prompts(spark, sf_dir):
 
 
 def token_loss_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = staged(L.unigram_scores(staged(vocabulary(spark, sf_dir), "vocabulary")), "scores")
-    labels = L.score_labels(encoded_packs(spark, sf_dir), scores, score_rows=VOCAB_ROWS)
-    return L.token_loss(labels)
+    vocab = vocabulary(spark, sf_dir)
+    scores = staged(L.unigram_scores(vocab), "scores")
+    return L.token_loss(L.score_labels(encoded_packs(spark, sf_dir, vocab), scores))
 
 
 def token_loss(spark, sf_dir):
@@ -585,6 +687,32 @@ def loss_windows(spark, sf_dir):
     return means.select("run", "eval_no", "eval_step", "steps", rounded(F.col("mean_train_loss")).alias("mean_train_loss"))
 
 
+def _touch(root: str):
+    """Writes a file of one byte for each path, in the task that has the row."""
+
+    def write(batches):
+        for batch in batches:
+            fs, folder = SH._filesystem(root)
+            for path in batch.column("path").to_pylist():
+                fs.create_dir(f"{folder}/{path}".rsplit("/", 1)[0], recursive=True)
+                with fs.open_output_stream(f"{folder}/{path}") as out:
+                    out.write(b"0")
+            yield batch
+
+    return write
+
+
+def checkpoint_files(spark, sf_dir):
+    """The best checkpoint of each form and size from the names of files in folders."""
+    root = scratch_folder(spark, "checkpoints")
+    rows = fx.training_runs(spark, sf_dir).where("val_loss IS NOT NULL")
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    placed = rows.select(F.concat_ws("/", F.lit("models"), "representation", "size", name).alias("path"))
+    placed.mapInArrow(_touch(root), "path string").write.format("noop").mode("overwrite").save()
+    best = R.best_per_group(LG.list_checkpoints(spark, root))
+    return best.select("representation", "size", "step", "val_loss")
+
+
 def best_checkpoint(spark, sf_dir):
     rows = fx.training_runs(spark, sf_dir).select("representation", "size", "path")
     found = R.parse_checkpoints(rows)
@@ -620,15 +748,13 @@ def width_rules(spark, sf_dir):
 
 def stream_tokens(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    vocab = staged(vocabulary(spark, sf_dir), "vocabulary")
+    vocab = vocabulary(spark, sf_dir)
     out = scratch_folder(spark, "tokens")
     stream = ST.read_stream(spark, sf_dir, docs.schema, "documents.parquet")
     ST.drain(ST.stream_tokenize(stream, vocab, f"{out}/rows", f"{out}/state"))
-    rows = spark.read.parquet(f"{out}/rows")
-    return rows.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("tokens"),
-        F.sum(F.col("id").cast("long") * (F.col("pos") + 1)).alias("checksum"),
-    )
+    weighted = F.transform("ids", lambda x, i: x.cast("long") * (i + 1))
+    checksum = F.aggregate(weighted, F.lit(0).cast("long"), lambda a, x: a + x)
+    return spark.read.parquet(f"{out}/rows").select("doc_id", F.size("ids").cast("long").alias("tokens"), checksum.alias("checksum"))
 
 
 def stream_counts(spark, sf_dir):
@@ -670,19 +796,15 @@ def stream_best(spark, sf_dir):
 
 def corpus_job(spark, sf_dir):
     """Shards from whole documents, then the step plan of their training files."""
-    path = scratch_folder(spark, "corpus")
-    vocab = staged(vocabulary(spark, sf_dir), "vocabulary")
-    code = J.vocabulary_coder(vocab)
-    J.corpus_to_shards(texts(spark, sf_dir), code, path, V.EOT, VOCAB_ROWS, shard_size=SHARD_SIZE)
-    return J.count_training_tokens(spark, path, EPOCHS, TOKENS_PER_ITER)[0]
+    return J.count_training_tokens(spark, written_shards(spark, sf_dir), EPOCHS, TOKENS_PER_ITER)[0]
 
 
 def pack_job(spark, sf_dir):
+    """Packs of datasets whose keys repeat over languages."""
     path = scratch_folder(spark, "packs")
-    vocab = staged(vocabulary(spark, sf_dir), "vocabulary")
     built = J.build_packs(
-        fx.summaries(texts(spark, sf_dir)), J.vocabulary_coder(vocab), path, "text",
-        LANGUAGES, V.EOT, "natural", CONTEXT, TARGET_MAX, FRACTION, SEED,
+        numbered_summaries(spark, sf_dir), J.vocabulary_coder(vocabulary(spark, sf_dir)), path, "text",
+        LANGUAGES, V.EOT, "natural", CONTEXT, TARGET_MAX, FRACTION, SEED, key="number",
     )
     return built.groupBy("split", "language").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("prompt_len").alias("prompt_ids"), F.sum("target_len").alias("target_ids")
@@ -692,7 +814,7 @@ def pack_job(spark, sf_dir):
 def classifier_job(spark, sf_dir):
     """Two usable datasets and one without a label, scored by a caller-supplied function."""
     rows = fx.classified(spark, sf_dir)
-    vocab = staged(vocabulary(spark, sf_dir), "vocabulary")
+    vocab = vocabulary(spark, sf_dir)
     datasets = {
         "quality": rows.drop("label2"),
         "toxic": rows.drop("label").withColumnRenamed("label2", "label"),
@@ -707,54 +829,27 @@ def classifier_job(spark, sf_dir):
 
 
 def generation_job(spark, sf_dir):
-    scores = staged(L.unigram_scores(staged(vocabulary(spark, sf_dir), "vocabulary")), "scores")
-    labels = L.score_labels(encoded_packs(spark, sf_dir), scores, score_rows=VOCAB_ROWS)
-    report = J.evaluate_generation(fx.generations(spark, sf_dir), labels, path=scratch_folder(spark, "generation"))
+    """Overlap and token loss of the first rows of each language, the same rows for both."""
+    vocab = vocabulary(spark, sf_dir)
+    scores = staged(L.unigram_scores(vocab), "scores")
+    labels = L.score_labels(encoded_packs(spark, sf_dir, vocab), scores, keep=("doc_id", "language"))
+    path = scratch_folder(spark, "generation")
+    report = J.evaluate_generation(fx.generations(spark, sf_dir), labels, EVAL_ROWS, path=path)
     metrics = (*GENERATION_METRICS, "token_loss")
     return report.select("language", "split", "num_examples", *[rounded(F.col(m)).alias(m) for m in metrics])
 
 
-# --- tokenizer files ----------------------------------------------------------------
-
-
-def _tokenizer_files():
-    """A public byte-level vocabulary, where the Python environment has one."""
-    try:
-        import public_tokenizers
-    except ImportError:
-        return None
-    return public_tokenizers
-
-
-def _file_encoded(spark: SparkSession, sf_dir: str, load) -> DataFrame:
-    ids = PY.encoder(load)("text")
-    return texts(spark, sf_dir).select("doc_id", ids.alias("ids")).select(
-        "doc_id", F.size("ids").cast("long").alias("n_ids"), A.id_digest(F.col("ids")).alias("ids_md5")
-    )
-
-
-def tokenizer_file_ids(spark, sf_dir):
-    return _file_encoded(spark, sf_dir, PY.tokenizer_json(spark, _tokenizer_files().path("byte_bpe_50k.json")))
-
-
-def rank_file_ids(spark, sf_dir):
-    files = _tokenizer_files()
-    return _file_encoded(spark, sf_dir, PY.tiktoken_ranks(spark, files.path("byte_bpe_50k.tiktoken"), files.PATTERN))
-
-
 def all_queries() -> dict[str, Query]:
     listed = [
-        vocab_top, doc_token_stats, encoded_docs, decoded_docs, special_ids, token_offsets, shard_pieces,
+        vocab_top, vocab_all, doc_token_stats, encoded_docs, decoded_docs, special_ids, token_offsets, shard_pieces,
         shard_counts, shard_summary, iteration_plan, train_batches, doc_segments, block_ranges, block_overlap,
-        file_plan, shard_roundtrip, joined_text, fixed_width, example_files, class_weights, class_distribution,
+        file_plan, batch_schedule, shard_roundtrip, shard_slice, numbered_docs, joined_text, fixed_width, example_files, class_weights, class_distribution,
         example_plan, confusion, class_universe, class_report, overall_report, overall_accuracy, argmax_topk, batch_metrics,
-        weighted_ce, usable_datasets, scored, ml_classifier, mix_natural, mix_balanced, language_sample,
+        weighted_ce, usable_datasets, scored, ml_classifier, chosen_rows, batch_function, binary_examples, classifier_document, mix_natural, mix_balanced, language_sample,
         language_head, language_index, seeded_order, drawn_rows, concat_datasets, dataset_split, language_scan,
         prompts, packs, tight_packs, pack_counts, pack_files, pack_build, padded_batches, gen_prompts, token_loss,
         rouge_n, rouge_n_ascii, rouge_l, bleu, language_report, parsed_logs, run_summary, loss_windows,
-        best_checkpoint, best_so_far, width_rules, stream_tokens, stream_counts, stream_windows, stream_best,
+        best_checkpoint, checkpoint_files, best_so_far, width_rules, stream_tokens, stream_counts, stream_windows, stream_best,
         corpus_job, pack_job, classifier_job, generation_job,
     ]
-    if _tokenizer_files() is not None:
-        listed += [tokenizer_file_ids, rank_file_ids]
     return {query.__name__: query for query in listed}

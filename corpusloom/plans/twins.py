@@ -49,9 +49,9 @@ cte(
     "vocab",
     """
     SELECT token, (r + 2)::INTEGER AS id, cnt FROM
-      (SELECT token, cnt, row_number() OVER (ORDER BY cnt DESC, token) AS r FROM words) WHERE r <= 50000
+      (SELECT token, cnt, row_number() OVER (ORDER BY cnt DESC, md5(token), token) AS r FROM words)
     UNION ALL SELECT * FROM (VALUES ('[PAD]', 0::INTEGER, 0::BIGINT), ('<|endoftext|>', 1, 0), ('[UNK]', 2, 0)) v(token, id, cnt)
-    """,
+    """,  # fixed values: the special names
     "words",
 )
 cte(
@@ -160,11 +160,20 @@ cte(
     """,
     "pred_long",
 )
+cte(
+    "losses",
+    """
+    SELECT ex_id, z - logit AS loss
+    FROM (SELECT ex_id, label, cls, logit, ln(sum(exp(logit)) OVER (PARTITION BY ex_id)) AS z FROM pred_long) WHERE cls = label
+    """,
+    "pred_long",
+)
 cte(
     "gen",
     """
-    SELECT doc_id, lang AS language, array_to_string(p[1:30], ' ') AS prediction, array_to_string(p[6:35], ' ') AS reference
-    FROM split_docs WHERE len(p) >= 10
+    SELECT doc_id, lang AS language, array_to_string(p, ' ') AS reference,
+      array_to_string(list_filter(p, lambda x, i: (i - 1 + doc_id) % 5 <> 0), ' ') AS prediction
+    FROM split_docs
     """,
     "split_docs",
 )
@@ -260,8 +269,26 @@ def balanced(source: str) -> str:
 
 
 cte("mixed", balanced("ex_sft"), "ex_sft")
-cte("train_packs", "SELECT * FROM packed WHERE split = 'train'", "packed")
+# packs with keys that count from 0 in each language
+cte(
+    "train_packs",
+    """
+    SELECT p.language, p.cut, p.goal, r.row_index AS doc_id FROM packed p JOIN ranked_docs r USING (doc_id) WHERE p.split = 'train'
+    """,
+    "packed",
+    "ranked_docs",
+)
 cte("mixed_train", balanced("train_packs"), "train_packs")
+cte(
+    "kept_train",
+    """
+    SELECT *, row_number() OVER (ORDER BY md5('42:'||language||':'||draw), language, draw) - 1 AS out_pos
+    FROM (SELECT *, row_number() OVER (PARTITION BY language ORDER BY md5('42:'||language||':'||draw), draw) AS r,
+            count(*) OVER (PARTITION BY language) AS n FROM mixed_train)
+    WHERE r <= greatest(1, floor(n * 0.3::DOUBLE))
+    """,
+    "mixed_train",
+)
 
 
 def word_groups(words: str, sizes: int) -> str:
@@ -336,44 +363,24 @@ cte(
     """,
     "bleu_groups",
 )
-cte(
-    "bleu_scores",
-    """
+BLEU = """
     SELECT language, CASE WHEN sum(m) > 0 AND min(t) > 0 THEN 100 * exp(avg(ln(CASE WHEN m > 0 THEN m ELSE 0.5 ** misses END / t)))
       * CASE WHEN max(t) < max(ref_len) THEN exp(1 - max(ref_len) / max(t)) ELSE 1 END ELSE 0 END AS bleu
-    FROM (SELECT *, sum((m = 0)::INTEGER) OVER (PARTITION BY language ORDER BY n) AS misses FROM bleu_sums)
+    FROM (SELECT *, sum((m = 0)::INTEGER) OVER (PARTITION BY language ORDER BY n) AS misses FROM {sums})
     GROUP BY language
-    """,
-    "bleu_sums",
-)
-cte(
-    "lcs_steps",
     """
-    SELECT doc_id, language, p, r, 0 AS i, list_transform(range(len(r) + 1), lambda x: 0::BIGINT) AS line FROM rouge_words
-    UNION ALL
-    SELECT doc_id, language, p, r, i + 1,
-      list_reduce(list_transform(range(1, len(r) + 1), lambda j: [j]),
-        lambda acc, j: list_append(acc, greatest(line[j[1] + 1], acc[len(acc)],
-          CASE WHEN p[i + 1] = r[j[1]] THEN line[j[1]] + 1 ELSE 0 END)), [0::BIGINT])
-    FROM lcs_steps WHERE i < len(p)
-    """,
-    "rouge_words",
-)
+cte("bleu_scores", BLEU.format(sums="bleu_sums"), "bleu_sums")
+# A prediction is its reference with pieces left out, so that all its words, in order, are the longest common subsequence.
 cte(
     "lcs_scores",
     """
     SELECT language, avg(CASE WHEN m > 0 THEN 2 * (m / np) * (m / nr) / (m / np + m / nr) ELSE 0 END) AS rougeL
-    FROM (SELECT language, len(p) AS np, len(r) AS nr, line[len(line)] AS m FROM lcs_steps WHERE i = len(p))
-    GROUP BY language
+    FROM (SELECT language, len(p) AS np, len(r) AS nr, len(p) AS m FROM rouge_words) GROUP BY language
     """,
-    "lcs_steps",
+    "rouge_words",
 )
 
 
-def recursive(statement: str) -> str:
-    return statement.replace("WITH ", "WITH RECURSIVE ", 1)
-
-
 cte("evals", "SELECT run, step, val_loss FROM runs WHERE val_loss IS NOT NULL", "runs")
 cte(
     "improvements",
@@ -389,11 +396,13 @@ BEST = sql("SELECT run, step, val_loss, prev_best FROM improvements", "improveme
 cte(
     "drawn",
     f"""
-    SELECT k.draw // 16 AS batch, r.label, r.pred FROM (SELECT unnest(range(640)) AS draw) k
-    JOIN (SELECT label, pred, row_number() OVER (ORDER BY ex_id) - 1 AS i, count(*) OVER () AS n FROM pred) r
+    SELECT k.draw // 16 AS batch, r.label, r.pred, r.loss FROM (SELECT unnest(range(640)) AS draw) k
+    JOIN (SELECT label, pred, loss, row_number() OVER (ORDER BY ex_id) - 1 AS i, count(*) OVER () AS n
+          FROM pred JOIN losses USING (ex_id)) r
       ON r.i = {draw("'draw:'||k.draw")} % r.n
     """,
     "pred",
+    "losses",
 )
 cte(
     "language_loss",
@@ -414,7 +423,63 @@ cte(
     "lcs_scores",
     "bleu_scores",
 )
-cte("all_scores", "SELECT * FROM language_scores JOIN language_loss USING (language)", "language_scores", "language_loss")
+# the first rows of each language, and the same scores for these alone
+cte(
+    "first_docs",
+    "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY language ORDER BY doc_id) AS r FROM ex_sft) WHERE r <= 100",
+    "ex_sft",
+)
+cte(
+    "first_groups",
+    "SELECT 'rouge' AS kind, * FROM rouge_groups UNION ALL SELECT 'bleu', * FROM bleu_groups",
+    "rouge_groups",
+    "bleu_groups",
+)
+cte(
+    "first_rouge",
+    f_scores("(SELECT * FROM first_groups WHERE kind = 'rouge' AND doc_id IN (FROM first_docs))", 2),
+    "first_groups",
+    "first_docs",
+)
+cte(
+    "first_lcs",
+    """
+    SELECT language, avg(CASE WHEN len(p) > 0 THEN 2 * (len(p) / len(r)) / (1 + len(p) / len(r)) ELSE 0 END) AS rougeL,
+      count(*) AS num_examples
+    FROM rouge_words WHERE doc_id IN (FROM first_docs) GROUP BY language
+    """,
+    "rouge_words",
+    "first_docs",
+)
+cte(
+    "first_bleu_sums",
+    """
+    SELECT language, n, sum(matches) AS m, sum(np) AS t, sum(nr) FILTER (WHERE n = 1) AS ref_len
+    FROM first_groups WHERE kind = 'bleu' AND doc_id IN (FROM first_docs) GROUP BY language, n
+    """,
+    "first_groups",
+    "first_docs",
+)
+cte("first_bleu", BLEU.format(sums="first_bleu_sums"), "first_bleu_sums")
+cte(
+    "first_loss",
+    """
+    SELECT language, -avg(ln((cnt + 1) / (SELECT sum(cnt) + count(*) FROM vocab))) AS loss
+    FROM (SELECT language, unnest(goal) AS id FROM packed WHERE doc_id IN (FROM first_docs)) JOIN vocab USING (id) GROUP BY language
+    """,
+    "packed",
+    "first_docs",
+)
+cte(
+    "all_scores",
+    """
+    SELECT * FROM first_lcs JOIN first_rouge USING (language) JOIN first_bleu USING (language) JOIN first_loss USING (language)
+    """,
+    "first_lcs",
+    "first_rouge",
+    "first_bleu",
+    "first_loss",
+)
 cte(
     "scored_sets",
     """
@@ -433,7 +498,8 @@ FORMS = {
 SHUFFLE = "row_number() OVER (ORDER BY md5('42:'||doc_id), doc_id) - 1"
 
 TWINS: dict[str, str] = {
-    "vocab_top": sql("SELECT token, id, cnt FROM vocab", "vocab"),
+    "vocab_top": sql("SELECT token, id, cnt FROM vocab WHERE id < 50003", "vocab"),
+    "vocab_all": sql("SELECT token, id, cnt FROM vocab", "vocab"),
     "doc_token_stats": sql(
         """SELECT lang, count(*) AS docs, sum(len(p))::BIGINT AS tokens, min(len(p)) AS min_tokens, max(len(p)) AS max_tokens,
            round(avg(len(p)), 6) AS mean_tokens FROM split_docs GROUP BY lang""",
@@ -450,9 +516,8 @@ TWINS: dict[str, str] = {
     "special_ids": sql(
         """SELECT rule, coalesce((SELECT v.id FROM vocab v JOIN (SELECT unnest(names) AS token, generate_subscripts(names, 1) AS k) c
              USING (token) ORDER BY k LIMIT 1), dflt)::INTEGER AS id
-           FROM (VALUES ('document_end', ['<|endoftext|>', '[EOS]', '</s>', '<eos>'], 0),
-                        ('target_end', ['<|endoftext|>', '<|eot_id|>', '<eos>', '</s>'], 50256),
-                        ('absent_name', ['[none]'], 50256)) r(rule, names, dflt)""",
+           FROM (VALUES ('first_name', ['the', 'de'], 0), ('second_name', ['[none]', 'und', 'que'], 50256),
+                        ('absent_name', ['[none]', '[neither]'], 50256)) r(rule, names, dflt)""",
         "vocab",
     ),
     "token_offsets": sql("SELECT doc_id, start_pos, start_pos + n AS end_pos FROM placed", "placed"),
@@ -500,6 +565,26 @@ TWINS: dict[str, str] = {
            FROM (SELECT unnest(range(3)) AS epoch, file FROM shard_totals)""",
         "shard_totals",
     ),
+    "batch_schedule": sql(
+        f"""SELECT before + b.batch AS step, epoch::INTEGER AS epoch, f.file, b.batch, b.rank, b.inputs_md5
+           FROM (SELECT epoch, file, sum(batches) OVER (ORDER BY epoch, md5('42:'||file), file) - batches AS before
+                 FROM (SELECT unnest(range(3)) AS epoch, file, (tokens - 1) // 2048 AS batches FROM shard_totals
+                       WHERE file LIKE 'data_train%' AND tokens > 2048)) f
+           JOIN (SELECT file, batch, rank, {digest('ids[1:512]')} AS inputs_md5
+             FROM (SELECT w.file, w.batch, w.rank, list(s.id ORDER BY s.p) AS ids
+               FROM (SELECT file, batch, rank::INTEGER AS rank, batch * 2048 + rank * 512 AS first_pos FROM
+                      (SELECT file, batch, unnest(range(4)) AS rank FROM
+                        (SELECT file, unnest(range((tokens - 1) // 2048)) AS batch FROM shard_totals))) w
+               JOIN shard_rows s ON s.file = w.file AND s.p BETWEEN w.first_pos AND w.first_pos + 512
+               GROUP BY ALL)) b ON b.file = f.file""",
+        "shard_totals",
+    ),
+    "shard_slice": sql(
+        """SELECT shard::INTEGER AS shard_index, count(*) AS tokens, sum(id)::BIGINT AS id_sum FROM shard_rows
+           WHERE shard BETWEEN 2 AND 4 GROUP BY shard""",
+        "shard_rows",
+    ),
+    "numbered_docs": "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS position, doc_id, md5(text) AS text_md5 FROM documents",
     "shard_roundtrip": sql(
         """SELECT file, split, count(*) AS tokens, min_by(id, p) AS first_id, max_by(id, p) AS last_id, sum(id)::BIGINT AS id_sum
            FROM shard_rows GROUP BY file, split""",
@@ -531,8 +616,7 @@ TWINS: dict[str, str] = {
     ),
     "confusion": sql(
         """SELECT a.cls AS label, b.cls AS pred, count(p.ex_id) AS n
-           FROM (SELECT label AS cls FROM pred UNION SELECT pred FROM pred) a
-           CROSS JOIN (SELECT label AS cls FROM pred UNION SELECT pred FROM pred) b
+           FROM (SELECT unnest(range(10)) AS cls) a CROSS JOIN (SELECT unnest(range(10)) AS cls) b
            LEFT JOIN pred p ON p.label = a.cls AND p.pred = b.cls GROUP BY a.cls, b.cls""",
         "pred",
     ),
@@ -560,20 +644,38 @@ TWINS: dict[str, str] = {
         "pred",
     ),
     "batch_metrics": sql(
-        f"""SELECT count(*) AS batches, round(avg(acc), 6) AS mean_accuracy, round(avg(f2), 6) AS mean_f2 FROM
-             (SELECT batch, max(acc) AS acc, avg(CASE WHEN tp = 0 THEN 0 ELSE 5 * tp / (4 * support + predicted) END) AS f2 FROM
-               (SELECT d.batch, c.cls, avg((label = pred)::INTEGER) AS acc, sum((label = cls AND pred = cls)::INTEGER) AS tp,
+        f"""SELECT count(*) AS batches, round(avg(loss), 6) AS mean_loss, round(avg(acc), 6) AS mean_accuracy,
+               round(avg(f2), 6) AS mean_f2 FROM
+             (SELECT batch, max(acc) AS acc, max(loss) AS loss, avg(CASE WHEN tp = 0 THEN 0 ELSE 5 * tp / (4 * support + predicted) END) AS f2 FROM
+               (SELECT d.batch, c.cls, avg((label = pred)::INTEGER) AS acc, avg(loss) AS loss, sum((label = cls AND pred = cls)::INTEGER) AS tp,
                   sum((label = cls)::INTEGER) AS support, sum((pred = cls)::INTEGER) AS predicted
                 FROM drawn d JOIN (SELECT batch, label AS cls FROM drawn UNION SELECT batch, pred FROM drawn) c USING (batch)
                 GROUP BY d.batch, c.cls) GROUP BY batch)""",
         "drawn",
     ),
     "weighted_ce": sql(
-        """SELECT round(sum(w * (z - logit)) / sum(w), 6) AS loss
-           FROM (SELECT ex_id, label, cls, logit, ln(sum(exp(logit)) OVER (PARTITION BY ex_id)) AS z FROM pred_long)
+        """SELECT round(sum(w * loss) / sum(w), 6) AS loss FROM losses JOIN pred USING (ex_id)
            JOIN (SELECT label::BIGINT AS label, (SELECT count(*) FROM embeddings) / (10 * count(*)) AS w FROM embeddings GROUP BY label)
-             USING (label) WHERE cls = label""",
-        "pred_long",
+             USING (label)""",
+        "losses",
+        "pred",
+    ),
+    "ml_classifier": sql("SELECT count(*) AS rows, true AS beats_majority FROM ex_cls", "ex_cls"),
+    "chosen_rows": """SELECT doc_id, n_chars FROM documents
+        WHERE len(list_distinct(string_split(text, ''))) % 2 = 0""",
+    "batch_function": """SELECT doc_id, batch_id, n_chars - min(n_chars) OVER (PARTITION BY batch_id) AS offset
+        FROM (SELECT doc_id, n_chars::BIGINT AS n_chars, (row_number() OVER (ORDER BY doc_id) - 1) // 16 AS batch_id FROM documents)""",
+    "binary_examples": sql(
+        f"SELECT row_number() OVER (ORDER BY doc_id) - 1 AS position, label, {digest('ids')} AS ids_md5 FROM cls_ids", "cls_ids"
+    ),
+    "classifier_document": sql(
+        """SELECT unnest(['examples', 'loss', 'accuracy', 'macro_f1', 'macro_f2', 'macro_recall']) AS metric,
+             unnest([(SELECT count(*) FROM pred)::DOUBLE, (SELECT round(avg(loss), 6) FROM losses),
+               (SELECT round(avg((label = pred)::INTEGER), 6) FROM pred), round(avg(f1), 6), round(avg(f2), 6), round(avg(r), 6)]) AS value
+           FROM class_scores
+           UNION ALL SELECT 'confusion_'||label||'_'||pred, count(*)::DOUBLE FROM pred GROUP BY label, pred""",
+        "class_scores",
+        "losses",
     ),
     "usable_datasets": """SELECT 'documents' AS dataset, count(*) AS rows, '' AS lacking FROM documents
         UNION ALL SELECT 'conversations', count(*), '' FROM conversations
@@ -584,7 +686,11 @@ TWINS: dict[str, str] = {
            FROM (SELECT doc_id, list_sum(ids) % 97 AS a, list_sum(ids) * 2 % 97 AS b, list_sum(ids) * 3 % 97 AS c FROM cls_ids)""",
         "cls_ids",
     ),
-    "mix_natural": sql(f"SELECT {SHUFFLE} AS out_pos, language, doc_id FROM ex_sft", "ex_sft"),
+    "mix_natural": sql(
+        """SELECT row_number() OVER (ORDER BY md5('42:'||language||':'||doc_id), language, doc_id) - 1 AS out_pos, language, doc_id
+           FROM ex_sft""",
+        "ex_sft",
+    ),
     "mix_balanced": sql(
         """SELECT row_number() OVER (ORDER BY md5('42:'||language||':'||draw), language, draw) - 1 AS out_pos, language, draw, doc_id
            FROM mixed""",
@@ -630,17 +736,15 @@ TWINS: dict[str, str] = {
         "packed",
     ),
     "pack_files": sql(
-        """SELECT language, count(*) AS rows, sum(len(cut))::BIGINT AS prompt_ids, sum(len(goal))::BIGINT AS target_ids
-           FROM packed WHERE split = 'train' GROUP BY language""",
+        """SELECT split, language, count(*) AS rows, sum(len(cut))::BIGINT AS prompt_ids, sum(len(goal))::BIGINT AS target_ids
+           FROM packed GROUP BY split, language""",
         "packed",
     ),
     "pack_build": sql(
-        """SELECT m.language, count(*) AS rows, count(DISTINCT m.doc_id) AS docs, sum(len(cut))::BIGINT AS prompt_ids,
-             sum(len(goal))::BIGINT AS target_ids
-           FROM (SELECT *, row_number() OVER (PARTITION BY language ORDER BY md5('42:'||language||':'||draw), draw) AS r,
-                   count(*) OVER (PARTITION BY language) AS n FROM mixed_train) m
-           JOIN packed p USING (doc_id) WHERE r <= greatest(1, floor(n * 0.3::DOUBLE)) GROUP BY m.language""",
-        "mixed_train",
+        """SELECT m.language, count(*) AS rows, count(DISTINCT m.doc_id) AS docs, sum(out_pos * (m.doc_id + 1))::BIGINT AS order_sum,
+             sum(len(cut))::BIGINT AS prompt_ids, sum(len(goal))::BIGINT AS target_ids
+           FROM kept_train m JOIN train_packs p ON p.language = m.language AND p.doc_id = m.doc_id GROUP BY m.language""",
+        "kept_train",
     ),
     "tight_packs": sql(
         f"""SELECT doc_id, len(goal) >= 24 AS skip, CASE WHEN len(goal) < 24 THEN len(cut)::INTEGER END AS prompt_len,
@@ -675,19 +779,17 @@ TWINS: dict[str, str] = {
         "SELECT language, round(rouge1, 6) AS rouge1, round(rouge2, 6) AS rouge2, round(rouge3, 6) AS rouge3 FROM ascii_scores",
         "ascii_scores",
     ),
-    "rouge_l": recursive(sql("SELECT language, round(rougeL, 6) AS rougeL FROM lcs_scores", "lcs_scores")),
+    "rouge_l": sql("SELECT language, round(rougeL, 6) AS rougeL FROM lcs_scores", "lcs_scores"),
     "bleu": sql("SELECT language, round(bleu, 6) AS bleu FROM bleu_scores", "bleu_scores"),
-    "language_report": recursive(
-        sql(
-            """SELECT language, num_examples, round(rouge1, 6) AS rouge1, round(rouge2, 6) AS rouge2, round(rougeL, 6) AS rougeL,
-                 round(bleu, 6) AS bleu FROM language_scores
-               UNION ALL SELECT 'macro', sum(num_examples)::BIGINT, round(avg(rouge1), 6), round(avg(rouge2), 6),
-                 round(avg(rougeL), 6), round(avg(bleu), 6) FROM language_scores
-               UNION ALL SELECT 'weighted', sum(num_examples)::BIGINT, round(sum(rouge1 * num_examples) / sum(num_examples), 6),
-                 round(sum(rouge2 * num_examples) / sum(num_examples), 6), round(sum(rougeL * num_examples) / sum(num_examples), 6),
-                 round(sum(bleu * num_examples) / sum(num_examples), 6) FROM language_scores""",
-            "language_scores",
-        )
+    "language_report": sql(
+        """SELECT language, num_examples, round(rouge1, 6) AS rouge1, round(rouge2, 6) AS rouge2, round(rougeL, 6) AS rougeL,
+             round(bleu, 6) AS bleu FROM language_scores
+           UNION ALL SELECT 'macro', sum(num_examples)::BIGINT, round(avg(rouge1), 6), round(avg(rouge2), 6),
+             round(avg(rougeL), 6), round(avg(bleu), 6) FROM language_scores
+           UNION ALL SELECT 'weighted', sum(num_examples)::BIGINT, round(sum(rouge1 * num_examples) / sum(num_examples), 6),
+             round(sum(rouge2 * num_examples) / sum(num_examples), 6), round(sum(rougeL * num_examples) / sum(num_examples), 6),
+             round(sum(bleu * num_examples) / sum(num_examples), 6) FROM language_scores""",
+        "language_scores",
     ),
     "parsed_logs": sql(
         """SELECT run, step, 10000::BIGINT AS total_steps, written AS train_loss, CASE WHEN step % 25 = 0 THEN written END AS val_loss,
@@ -711,6 +813,12 @@ TWINS: dict[str, str] = {
                  FROM runs WHERE step % 25 = 0) WHERE r = 1""",
         "runs",
     ),
+    "checkpoint_files": sql(
+        """SELECT representation, size, step, written AS val_loss
+           FROM (SELECT *, row_number() OVER (PARTITION BY representation, size ORDER BY written, step DESC) AS r
+                 FROM runs WHERE step % 25 = 0) WHERE r = 1""",
+        "runs",
+    ),
     "best_so_far": BEST,
     "stream_best": BEST,
     "corpus_job": sql(
@@ -719,10 +827,12 @@ TWINS: dict[str, str] = {
     ),
     "pack_job": sql(
         """SELECT split, language, count(*) AS rows, sum(len(cut))::BIGINT AS prompt_ids, sum(len(goal))::BIGINT AS target_ids
-           FROM packed JOIN (SELECT doc_id, row_number() OVER (PARTITION BY language, split ORDER BY md5('42:'||doc_id), doc_id) AS r,
-               count(*) OVER (PARTITION BY language, split) AS n FROM ex_sft) USING (doc_id)
+           FROM packed JOIN (SELECT doc_id, row_number() OVER
+                 (PARTITION BY language, split ORDER BY md5('42:'||language||':'||row_index), row_index) AS r,
+               count(*) OVER (PARTITION BY language, split) AS n FROM ranked_docs) USING (doc_id)
            WHERE split <> 'train' OR r <= greatest(1, floor(n * 0.3::DOUBLE)) GROUP BY split, language""",
         "packed",
+        "ranked_docs",
     ),
     "classifier_job": sql(
         """SELECT dataset, c.cls AS label, sum((label = c.cls)::INTEGER)::BIGINT AS support,
@@ -734,25 +844,24 @@ TWINS: dict[str, str] = {
              USING (dataset) GROUP BY dataset, c.cls""",
         "scored_sets",
     ),
-    "generation_job": recursive(
-        sql(
-            """SELECT language, 'test' AS split, num_examples, round(rouge1, 6) AS rouge1, round(rouge2, 6) AS rouge2,
-                 round(rougeL, 6) AS rougeL, round(bleu, 6) AS bleu, round(loss, 6) AS token_loss FROM all_scores
-               UNION ALL SELECT 'macro', 'test', sum(num_examples)::BIGINT, round(avg(rouge1), 6), round(avg(rouge2), 6),
-                 round(avg(rougeL), 6), round(avg(bleu), 6), round(avg(loss), 6) FROM all_scores
-               UNION ALL SELECT 'weighted', 'test', sum(num_examples)::BIGINT, round(sum(rouge1 * num_examples) / sum(num_examples), 6),
-                 round(sum(rouge2 * num_examples) / sum(num_examples), 6), round(sum(rougeL * num_examples) / sum(num_examples), 6),
-                 round(sum(bleu * num_examples) / sum(num_examples), 6), round(sum(loss * num_examples) / sum(num_examples), 6)
-                 FROM all_scores""",
-            "all_scores",
-        )
+    "generation_job": sql(
+        """SELECT language, 'test' AS split, num_examples, round(rouge1, 6) AS rouge1, round(rouge2, 6) AS rouge2,
+             round(rougeL, 6) AS rougeL, round(bleu, 6) AS bleu, round(loss, 6) AS token_loss FROM all_scores
+           UNION ALL SELECT 'macro', 'test', sum(num_examples)::BIGINT, round(avg(rouge1), 6), round(avg(rouge2), 6),
+             round(avg(rougeL), 6), round(avg(bleu), 6), round(avg(loss), 6) FROM all_scores
+           UNION ALL SELECT 'weighted', 'test', sum(num_examples)::BIGINT, round(sum(rouge1 * num_examples) / sum(num_examples), 6),
+             round(sum(rouge2 * num_examples) / sum(num_examples), 6), round(sum(rougeL * num_examples) / sum(num_examples), 6),
+             round(sum(bleu * num_examples) / sum(num_examples), 6), round(sum(loss * num_examples) / sum(num_examples), 6)
+             FROM all_scores""",
+        "all_scores",
     ),
     "width_rules": """SELECT doc_id, (ceil(n_chars / 128) * 128)::BIGINT AS up, greatest(1000, (ceil(n_chars / 1000) * 1000)::BIGINT) AS up_from,
         (CASE WHEN n_chars % 128 = 0 THEN n_chars ELSE (n_chars // 128 + 1) * 128 END)::BIGINT AS context, 'set_'||source AS label
         FROM documents""",
     "stream_tokens": sql(
-        """SELECT doc_id, count(*) AS tokens, sum(id::BIGINT * i)::BIGINT AS checksum
-           FROM (SELECT doc_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS i FROM plain_ids) GROUP BY doc_id""",
+        """SELECT doc_id, len(ids) AS tokens, coalesce(x.checksum, 0) AS checksum FROM plain_ids LEFT JOIN
+           (SELECT doc_id, sum(id::BIGINT * i)::BIGINT AS checksum
+            FROM (SELECT doc_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS i FROM plain_ids) GROUP BY doc_id) x USING (doc_id)""",
         "plain_ids",
     ),
     "stream_counts": sql("SELECT lang, count(*) AS docs, sum(len(p))::BIGINT AS tokens FROM split_docs GROUP BY lang", "split_docs"),

@@ -12,9 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from corpusloom.functions.text import piece_count, pieces
+from corpusloom.functions.text import piece_count
 from corpusloom.operators.runs import best_so_far
-from corpusloom.operators.vocabulary import BROADCAST_ROWS, UNK, lookup, vocab_column
+from corpusloom.operators.vocabulary import tokenize_corpus
+from corpusloom.session import Scratch, staged
 
 
 def read_stream(
@@ -34,19 +35,19 @@ def drain(query: StreamingQuery) -> None:
 def stream_tokenize(
     docs: DataFrame, vocab: DataFrame, path: str, checkpoint: str, key: str = "doc_id"
 ) -> StreamingQuery:
-    """Token rows ``(key, pos, id)`` of new documents, against a fixed vocabulary.
+    """Rows ``(key, ids)`` of new documents, against a fixed vocabulary; one row per document.
 
-    Stateless and without a shuffle: a document's tokens stay in its task.
+    A batch is encoded by the batch operator, without a shuffle while the
+    vocabulary can be shared with the tasks. Every batch writes to a folder of
+    its own number, so a repeated batch replaces its output.
     """
-    code = vocab_column(vocab, "token", "id", UNK)
-    if code is not None:
-        rows = docs.select(key, F.posexplode(code(pieces("text"))).alias("pos", "id"))
-    else:
-        long = docs.select(key, F.posexplode(pieces("text")).alias("pos", "token"))
-        coded = lookup(long, vocab.select("token", "id"), "token")
-        rows = coded.select(key, "pos", F.coalesce("id", F.lit(UNK)).alias("id"))
-    writer = rows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
-    return writer.option("path", path).trigger(availableNow=True).start()
+
+    def store(batch: DataFrame, number: int) -> None:
+        coded = tokenize_corpus(batch, vocab, key=[key])
+        coded.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = docs.writeStream.option("checkpointLocation", checkpoint)
+    return writer.foreachBatch(store).trigger(availableNow=True).start()
 
 
 def stream_count_tokens(docs: DataFrame, path: str, checkpoint: str, by: str = "lang") -> StreamingQuery:
@@ -107,18 +108,17 @@ def stream_best_so_far(evaluations: DataFrame, path: str, checkpoint: str) -> St
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         state = _state_before(spark, path, number)
-        seen = state.select("run", "last_step")
-        if state.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-            seen = F.broadcast(seen)
-        known = batch.join(seen, "run", "left")
+        known = batch.join(state.select("run", "last_step"), "run", "left")
         on_time = F.col("last_step").isNull() | (F.col("step") > F.col("last_step"))
         fresh = known.where(on_time).select("run", "step", "val_loss")
         seeds = state.select("run", F.col("last_step").alias("step"), F.col("best").alias("val_loss"))
         rows = fresh.withColumn("old", F.lit(False)).unionByName(seeds.withColumn("old", F.lit(True)))
-        better = best_so_far(rows.where(F.col("val_loss").isNotNull())).where(~F.col("old")).drop("old")
-        better.write.mode("overwrite").parquet(f"{path}/improvements/batch={number}")
-        after = rows.groupBy("run").agg(F.max("step").alias("last_step"), F.min("val_loss").alias("best"))
-        after.write.mode("overwrite").parquet(f"{path}/state/batch={number}")
+        with Scratch(spark) as scratch:  # the arrivals are read once, what follows scans the stored rows
+            rows = staged(rows, "arrivals", scratch)
+            better = best_so_far(rows.where(F.col("val_loss").isNotNull())).where(~F.col("old")).drop("old")
+            better.write.mode("overwrite").parquet(f"{path}/improvements/batch={number}")
+            after = rows.groupBy("run").agg(F.max("step").alias("last_step"), F.min("val_loss").alias("best"))
+            after.write.mode("overwrite").parquet(f"{path}/state/batch={number}")
 
     writer = evaluations.writeStream.option("checkpointLocation", checkpoint)
     return writer.foreachBatch(step).trigger(availableNow=True).start()

@@ -92,7 +92,7 @@ def test_classifier_evaluation_skips_what_lacks_columns(spark, tmp_path, word_to
     got = {(r.dataset, r.label): (r.precision, r.recall) for r in report.collect()}
     assert got[("one", 0)] == (0.5, 1.0) and got[("three", 0)] == (0.0, 0.0) and got[("three", 1)] == (1.0, 0.5)
     cells = spark.read.json(str(tmp_path / "out" / "confusion"))
-    assert cells.count() == 8 and cells.agg(F.sum("n")).first()[0] == 5
+    assert cells.count() == 5 and cells.agg(F.sum("n")).first()[0] == 5
 
 
 def test_generation_report_files(spark, tmp_path):
@@ -113,10 +113,14 @@ def test_example_files(spark, tmp_path, monkeypatch):
     data = [(i, [i, 2 * i, -1], i % 3) for i in range(50)]
     df = spark.createDataFrame(data, "k long, input_ids array<int>, label int")
     path = str(tmp_path / "ex")
-    EX.write_example_files(df, path, 3, rows_per_file=20)
+    EX.write_example_files(df.repartition(4), path, 3, "k", rows_per_file=20)
     assert len(os.listdir(path)) == 3
-    got = EX.read_example_files(spark, path, 3)
-    assert sorted((r.input_ids, r.label) for r in got.collect()) == sorted((ids, y) for _, ids, y in data)
+    got = EX.read_example_files(spark, path, 3).orderBy("file", "row").collect()
+    assert [(r.input_ids, r.label) for r in got] == [(ids, y) for _, ids, y in data]
+    EX.write_example_files(df.limit(1), path, 3, "k")
+    assert EX.read_example_files(spark, path, 3).count() == 50  # kept
+    EX.write_example_files(df.where("k < 5"), path, 3, "k", force=True)
+    assert EX.read_example_files(spark, path, 3).count() == 5
     one = tmp_path / "train.bin"
     ids, labels = np.arange(12, dtype="<i4").reshape(4, 3), np.array([1, 0, 2, 1], "<i8")
     one.write_bytes(np.array([4], "<i4").tobytes() + ids.tobytes() + labels.tobytes())
@@ -125,7 +129,7 @@ def test_example_files(spark, tmp_path, monkeypatch):
     with pytest.raises(Exception, match="does not fit rows of 5 ids"):
         EX.read_example_files(spark, str(one), 5).collect()
     with pytest.raises(Exception, match="rows must have 4 ids"):
-        EX.write_example_files(df, str(tmp_path / "bad"), 4)
+        EX.write_example_files(df, str(tmp_path / "bad"), 4, "k")
 
 
 def test_predicate(spark):
