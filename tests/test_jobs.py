@@ -31,6 +31,34 @@ def test_rows_are_numbered_in_file_order(spark, tmp_path):
     assert [r.id for r in got] == [*range(5), *range(200, 207)]
 
 
+def test_numbering_moves_no_text_however_many_files(spark, tmp_path, monkeypatch):
+    for i in range(5):
+        frame = spark.range(i * 10, i * 10 + 4).selectExpr("id", "concat('text ', id) AS text")
+        frame.coalesce(1).write.parquet(str(tmp_path / f"part={i}"))
+    for most in (250_000, 2):
+        monkeypatch.setattr(DS, "FILES_PER_JOIN", most)
+        got = DS.read_numbered(spark, str(tmp_path))
+        assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+        assert [(r.doc_id, r.id, r.part) for r in got.orderBy("doc_id").collect()] == [
+            (4 * i + k, 10 * i + k, i) for i in range(5) for k in range(4)
+        ]
+
+
+def test_preprocess_reads_one_split_and_json(spark, tmp_path):
+    rows = [(i, "train" if i % 2 else "test", "a b c") for i in range(10)]
+    df = spark.createDataFrame(rows, "n long, split string, text string")
+    DS.write_partitioned(df, str(tmp_path / "in"), ["split"])
+    out = str(tmp_path / "shards")
+    cli.main(["preprocess", "--dataset", str(tmp_path / "in"), "--output_dir", out, "--shard_size", "8"])
+    assert SH.scan_shard_headers(spark, out).agg(F.sum("tokens")).first()[0] == 5 * 4
+    df.write.json(str(tmp_path / "json"))
+    command = ["preprocess", "--dataset", str(tmp_path / "json"), "--output_dir", out, "--format", "json"]
+    cli.main([*command, "--key", "n"])
+    assert SH.scan_shard_headers(spark, out).agg(F.sum("tokens")).first()[0] == 5 * 4
+    with pytest.raises(SystemExit, match="--key"):
+        cli.main(command)
+
+
 def test_preprocess_and_count_from_the_command_line(spark, tmp_path, word_tokenizer):
     path, tokenizer = word_tokenizer
     texts = ["a b", "", "c d e f g a", "b", "a a a"]
@@ -74,6 +102,51 @@ def test_packs_are_built_once_and_balanced(spark, tmp_path, word_tokenizer):
     assert again.count() == 52
 
 
+@pytest.mark.parametrize("mode", ["natural", "balanced"])
+def test_packs_of_languages_with_equal_keys(spark, tmp_path, word_tokenizer, mode):
+    path, _ = word_tokenizer
+    data = [(i, g, split, f"{w} " * (i + 1), "c") for g, w in (("en", "a"), ("de", "b")) for i, split in enumerate(["train"] * 5 + ["test", "validation"])]
+    rows = spark.createDataFrame(data, "doc_id long, language string, split string, text string, summary string")
+    code = J.column_coder(PY.encoder(PY.tokenizer_json(spark, path)))
+    built = J.build_packs(rows, code, str(tmp_path / mode), "text", ["en", "de"], 1, mode, 16, 4, fraction=0.8)
+    train = built.where("split = 'train'").collect()
+    assert sorted(r.out_pos for r in train) == list(range(8))
+    assert sorted(r.language for r in train) == ["de"] * 4 + ["en"] * 4
+    meta = DS.read_document(spark, f"{tmp_path}/{mode}/metadata.json")
+    assert meta["splits"] == {"train": 8, "validation": 2, "test": 2}
+    assert {"dataset_repo", "tokenizer_json", "eos_id", "mix_mode"} <= set(meta)
+
+
+def test_packs_from_the_command_line_count_the_chosen_form(spark, tmp_path):
+    data = [(i, "en", s, "x x", "x", "kato mira", "solo") for i, s in enumerate(["train", "train", "test", "validation"])]
+    schema = "doc_id long, language string, split string, text string, summary string, text_romanized string, summary_romanized string"
+    spark.createDataFrame(data, schema).write.parquet(str(tmp_path / "in"))
+    cli.main(
+        ["build-packs", "--dataset", str(tmp_path / "in"), "--output_dir", str(tmp_path / "out"), "--representation", "romanized",
+         "--languages", "en", "--mix_mode", "natural", "--context_len", "64"]
+    )
+    packs = DS.read_packs(spark, str(tmp_path / "out")).collect()
+    assert len(packs) == 4 and not any(V.UNK in r.input_ids for r in packs)
+
+
+def test_stored_predictions_from_the_command_line(spark, tmp_path):
+    rows = [(0, 0, [2.0, 1.0]), (1, 0, [1.0, 0.5]), (1, 1, [0.0, 3.0])]
+    df = spark.createDataFrame(rows, "label long, pred long, logits array<double>")
+    df.write.parquet(str(tmp_path / "good"))
+    df.drop("label").write.parquet(str(tmp_path / "bare"))
+    names = ",".join(str(tmp_path / n) for n in ("good", "bare", "absent"))
+    cli.main(["evaluate", "--datasets", names, "--labels", "One,Two,Three", "--output_dir", str(tmp_path / "out")])
+    document = DS.read_document(spark, str(tmp_path / "out" / "evaluation.json"))
+    assert document["skipped"]["Two"] == "lacks label" and document["skipped"]["Three"].startswith("cannot be read")
+    one = document["datasets"]["One"]
+    nll = [np.log(np.exp(x).sum()) - x[y] for y, _, x in rows]
+    assert (one["examples"], one["accuracy"]) == (3, pytest.approx(2 / 3)) and one["loss"] == pytest.approx(np.mean(nll))
+    assert one["confusion"] == [[0, 0, 1], [1, 0, 1], [1, 1, 1]] and one["classes"]["1"]["precision"] == 1.0
+    assert spark.read.parquet(str(tmp_path / "out" / "predictions")).count() == 3
+    with pytest.raises(ValueError, match="1 datasets but 2 labels"):
+        J.evaluate_predictions({"a": lambda: df}, str(tmp_path / "no"), ["x", "y"])
+
+
 def test_classifier_evaluation_skips_what_lacks_columns(spark, tmp_path, word_tokenizer):
     path, _ = word_tokenizer
     rows = spark.createDataFrame([(0, "a", "b", 0), (1, "c", None, 1), (2, "b", "g", 1)], "doc_id long, p string, h string, y int")
@@ -107,6 +180,31 @@ def test_generation_report_files(spark, tmp_path):
     assert got[1].rougeL == 0.5 and got[2].rouge1 == 0.75 and got[3].rouge1 == pytest.approx(2 / 3) and got[3].num_examples == 3
     first = J.evaluate_generation(rows, rows_per_language=1).where("language = 'en'").first()
     assert (first.num_examples, first.rouge1) == (1, 1.0)
+    document = DS.read_document(spark, str(tmp_path / "out" / "report.json"))
+    assert set(document["per_language"]) == {"de", "en"} and document["macro"]["rouge1"] == 0.75
+    assert document["parameters"] == {"split": "test", "rows_per_language": 0, "ascii_only": False}
+
+
+def test_loss_counts_the_evaluated_rows_only(spark):
+    texts = [(0, "en", "a", "a"), (1, "en", "a", "b"), (0, "de", "a", "a")]
+    rows = spark.createDataFrame(texts, "doc_id long, language string, prediction string, reference string")
+    tokens = [(0, "en", 5, -1.0), (0, "en", 6, -3.0), (1, "en", 5, -50.0), (0, "de", 5, -7.0)]
+    scores = spark.createDataFrame(tokens, "doc_id long, language string, label int, logp double")
+    got = {r.language: r.token_loss for r in J.evaluate_generation(rows, scores, 1).collect()}
+    assert got["en"] == 2.0 and got["de"] == 7.0
+    assert {r.language: r.token_loss for r in J.evaluate_generation(rows, scores).collect()}["en"] == 18.0
+
+
+def test_staged_tables_of_a_job_go_when_it_ends(spark, tmp_path):
+    from corpusloom.session import checkpoint_root
+
+    root = checkpoint_root(spark).removeprefix("file://")
+    docs = spark.createDataFrame([(0, "a b"), (1, "b")], "doc_id long, text string")
+    vocab = V.build_vocab(docs).collect()
+    table = spark.createDataFrame(vocab)
+    before = set(os.listdir(root))
+    J.corpus_to_shards(docs, J.vocabulary_coder(table), str(tmp_path / "s"), V.EOT, 10, shard_size=3)
+    assert not [f for f in set(os.listdir(root)) - before if f.startswith("encoded")]
 
 
 def test_example_files(spark, tmp_path, monkeypatch):

@@ -102,3 +102,20 @@ def test_bleu_word_rule(spark):
     df = spark.createDataFrame([("It's 3.5, &quot;well-known&quot; (ok).\nNew 5-6",)], "t string")
     words = df.select(O.bleu_words(df.t)).first()[0]
     assert words == ["It's", "3.5", ",", '"', "well-known", '"', "(", "ok", ")", ".", "New", "5", "-", "6"]
+
+
+def test_missing_texts_read_none_in_every_metric(spark):
+    rows = [(0, "en", None, "none a"), (1, "en", "b", None), (2, "en", None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert O.rouge_l(df).first().rougeL == pytest.approx((2 / 3 + 0 + 1) / 3)
+    assert O.rouge_n(df, (1,)).first().rouge1 == pytest.approx((2 / 3 + 0 + 1) / 3)
+    assert O.corpus_bleu(df).first().bleu == 0.0
+
+
+def test_words_of_the_caller(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(0, "en", "walks talked", "walk talks")], SCHEMA)
+    stems = lambda text: F.split(F.regexp_replace(text, "(s|ed)( |$)", "$2"), " ")
+    assert O.rouge_n(df, (1,), words=stems).first().rouge1 == 1.0 and O.rouge_l(df, words=stems).first().rougeL == 1.0
+    assert O.rouge_n(df, (1,)).first().rouge1 == 0.0

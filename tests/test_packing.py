@@ -128,3 +128,19 @@ def test_file_order(spark):
     many = spark.createDataFrame([(f"f{i}",) for i in range(20)], "file string")
     redrawn = [r.file for r in P.file_order(many, 2, seed=3, reshuffle=True).orderBy("epoch", "rank").collect()]
     assert redrawn[:20] != redrawn[20:] and sorted(redrawn[:20]) == sorted(redrawn[20:])
+
+
+def test_batch_schedule_counts_whole_batches_over_files_and_passes(spark):
+    files = {"data_train_000001.bin": 41, "data_train_000002.bin": 20, "data_train_000003.bin": 100}
+    headers = spark.createDataFrame(list(files.items()), "file string, tokens long")
+    got = P.batch_schedule(headers, 2, 5, 2, seed=3).collect()
+    order = [r.file for r in P.file_order(headers.select("file"), 1, 3).orderBy("rank").collect()]
+    expected, step = [], 0
+    for epoch in range(2):
+        for file in order:
+            for batch in range((files[file] - 1) // 10):
+                expected += [(step, epoch, file, batch, rank) for rank in range(2)]
+                step += 1
+    assert sorted(tuple(r) for r in got) == expected
+    with pytest.raises(Exception, match="holds fewer than 41 tokens"):
+        P.batch_schedule(headers, 1, 20, 2).collect()
