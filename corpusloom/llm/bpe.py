@@ -12,19 +12,20 @@ from __future__ import annotations
 
 import base64
 import heapq
-import zlib
-from collections.abc import Callable, Iterable, Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusloom.llm.chunks import chunked, unpack
-from corpusloom.session import staged
+from corpusloom.llm.chunks import chunked, dealt, pack, pack_words, ragged, unpack, word_array
 
-BUCKETS = 256  # of the word hash; a task holds the words of one bucket, so raise it with the vocabulary of the corpus
+BUCKETS = 64  # of the word hash; a task holds the words of one bucket, so raise it with the vocabulary of the corpus
 LONG_TEXT = 1 << 20
+SHORT_WORD = 48
+TOKENS_AT_ONCE = 1 << 20
 _NEVER = 1 << 62
 
 
@@ -35,14 +36,32 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token: the pair of least rank is merged first, the leftmost of equal ones.
-
-    A heap of candidate pairs keeps very long words at n log n. A candidate is
-    (rank, start, end); it is stale if its span no longer holds two parts. The
-    place behind a part that was merged into another is -1.
-    """
+    """Ids of one pre-token: the pair of least rank is merged first, the leftmost of equal ones."""
     if word in ranks:
         return [ranks[word]]
+    return _merge_short(word, ranks) if len(word) <= SHORT_WORD else _merge_long(word, ranks)
+
+
+def _merge_short(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    parts = [word[i : i + 1] for i in range(len(word))]
+    pairs = [ranks.get(word[i : i + 2], _NEVER) for i in range(len(word) - 1)]
+    while pairs and (least := min(pairs)) < _NEVER:
+        i = pairs.index(least)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del pairs[i]
+        if i < len(pairs):
+            pairs[i] = ranks.get(parts[i] + parts[i + 1], _NEVER)
+        if i:
+            pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], _NEVER)
+    return [ranks[part] for part in parts]
+
+
+def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same by a heap of candidate pairs, which keeps very long words at n log n.
+
+    A candidate is (rank, start, end); it is stale if its span no longer holds
+    two parts. The place behind a part that was merged into another is -1.
+    """
     n = len(word)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2], _NEVER)) < _NEVER]
@@ -66,82 +85,108 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
-def pre_tokens(pattern: str) -> Callable[[bytes], Iterable[str]]:
-    """Cuts a text by the pattern; of a very long one, no list of all matches is made."""
+_BLANK = re.compile(r" (?=\S)")  # a blank that a visible character follows is the first of its pre-token
+_ODD = re.compile(r" (?:\s|\Z)")
+
+
+def segments(text: bytes) -> Iterable[str]:
+    """A text cut at every blank that a visible character follows; the blanks go, the first segment gets one.
+
+    Such a blank can only be the first character of a pre-token. So segments are
+    independent, and the pattern has to run once for each distinct one.
+    """
+    decoded = text.decode("utf-8")
+    return _cut(decoded, True) if len(decoded) <= LONG_TEXT else _cut_long(decoded)
 
-    def cut(text: bytes) -> Iterable[str]:
-        compiled, decoded = regex.compile(pattern), text.decode("utf-8")
-        if len(decoded) < LONG_TEXT:
-            return compiled.findall(decoded)
-        return (match.group() for match in compiled.finditer(decoded))
+
+def _cut(part: str, first: bool) -> list[str]:
+    found = _BLANK.split(part) if _ODD.search(part) else part.split(" ")
+    if first:
+        found[0] = " " + found[0]
+    return found
+
+
+def _cut_long(decoded: str) -> Iterator[str]:
+    """The same in parts, so that no list of all segments is made."""
+    start = 0
+    while start < len(decoded):
+        cut = _BLANK.search(decoded, start + LONG_TEXT) if len(decoded) - start > LONG_TEXT else None
+        yield from _cut(decoded[start : cut.start() if cut else len(decoded)], start == 0)
+        start = cut.end() if cut else len(decoded)
+
+
+def pre_tokens(pattern: str) -> Callable[[str], Sequence[bytes]]:
+    """The pre-tokens of a segment: without its blank if it is a text's first, with one else."""
+    find = regex.compile(pattern).findall
+
+    def cut(segment: str) -> Sequence[bytes]:
+        return [w.encode() for w in find(segment[1:] if segment.startswith(" ") else " " + segment)]
 
     return cut
 
 
 def _deal_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of each chunk by hash bucket: ``(bucket, chunk, places, words)``."""
+    """The words of each chunk by hash bucket: ``(bucket, of_chunk, places, words)``."""
     for batch in batches:
-        for chunk, words in zip(batch.column("chunk").to_pylist(), batch.column("words")):
-            words = words.values
-            hashes = np.fromiter((zlib.crc32(w) for w in words.to_pylist()), np.int64, len(words)) % BUCKETS
-            order = np.argsort(hashes, kind="stable")
-            buckets, starts = np.unique(hashes[order], return_index=True)
+        for row in range(batch.num_rows):
+            words = word_array(batch.column("words")[row].as_py()).to_pylist()
+            _, order, buckets, starts = dealt(words, BUCKETS)
             parts = np.split(order, starts[1:]) if len(order) else []
             columns = [
-                pa.array(buckets.astype(np.int32)), pa.array(np.full(len(buckets), chunk, np.int64)),
-                pa.array([p.astype(np.int32) for p in parts], pa.list_(pa.int32())),
-                pa.array([words.take(pa.array(p)).to_pylist() for p in parts], pa.list_(pa.binary())),
+                pa.array(buckets.astype(np.int32)), pa.array([batch.column("chunk")[row].as_py()] * len(parts), pa.int64()),
+                pa.array([pack(np.diff(p, prepend=0)) for p in parts], pa.binary()),
+                pa.array([pack_words([words[i] for i in p]) for p in parts], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "chunk", "places", "words"])
+            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "of_chunk", "places", "words"])
 
 
 def _encode_words(ranks: dict[bytes, int]) -> Callable:
     """Encodes rows sorted by bucket; a word is encoded once, as all its rows are of one bucket."""
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, current = {}, None
+        known: dict[bytes, list[int]] = {}
+        current = None
         for batch in batches:
-            sizes, ids = [], []
-            for bucket, words in zip(batch.column("bucket").to_pylist(), batch.column("words")):
-                if bucket != current:
+            for row in range(batch.num_rows):
+                if (bucket := batch.column("bucket")[row].as_py()) != current:
                     known, current = {}, bucket
                 found = []
-                for word in words.as_py():
+                for word in word_array(batch.column("words")[row].as_py()).to_pylist():
                     if (own := known.get(word)) is None:
                         known[word] = own = merge(word, ranks)
                     found.append(own)
-                sizes.append([len(own) for own in found])
-                ids.append([i for own in found for i in own])
-            columns = [
-                batch.column("chunk"), batch.column("places"), pa.array(sizes, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.int32()))
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["chunk", "places", "sizes", "ids"])
+                sizes = pack(np.fromiter(map(len, found), np.uint32, len(found)))
+                ids = pack(np.fromiter((i for own in found for i in own), np.uint32))
+                columns = [batch.column("of_chunk")[row : row + 1], batch.column("places")[row : row + 1], pa.array([sizes]), pa.array([ids])]
+                yield pa.RecordBatch.from_arrays(columns, names=["of_chunk", "places", "sizes", "ids"])
 
     return encode
 
 
-def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Positions ``starts[i] .. starts[i] + sizes[i] - 1`` for each i, one after the other."""
-    ends = np.cumsum(sizes)
-    total = int(ends[-1]) if len(ends) else 0
-    return np.arange(total) + np.repeat(starts - (ends - sizes), sizes)
-
-
 def _reassemble(chunks: pa.Table, found: pa.Table) -> pa.Table:
-    """The ids of each document of a chunk, from its codes and the ids of its words."""
+    """The ids of each document of a chunk, from its codes and the ids of its words; some 2^20 words at a time."""
+    places = [np.cumsum(unpack(p)) for p in found.column("places").to_pylist()]
+    sizes = [unpack(p) for p in found.column("sizes").to_pylist()]
+    flat = [unpack(p).astype(np.int32) for p in found.column("ids").to_pylist()]
+    order = np.argsort(np.concatenate(places)) if places else np.empty(0, np.int64)
+    word_sizes = np.concatenate(sizes).astype(np.int64) if sizes else np.empty(0, np.int64)
+    word_starts = (np.cumsum(word_sizes) - word_sizes)[order]
+    word_sizes = word_sizes[order]
+    word_ids = np.concatenate(flat) if flat else np.empty(0, np.int32)
     doc_ids, ids = [], []
-    if found.num_rows:
-        flat = {c: found.column(c).combine_chunks().flatten().to_numpy() for c in ("places", "sizes", "ids")}
-        order = np.argsort(flat["places"])
-        starts, sizes = (np.cumsum(flat["sizes"]) - flat["sizes"])[order].astype(np.int64), flat["sizes"][order].astype(np.int64)
     for row in range(chunks.num_rows):
         codes = unpack(chunks.column("codes")[row].as_py())
-        lengths = chunks.column("lengths")[row].values.to_numpy()
-        per_word = sizes[codes] if len(codes) else np.empty(0, np.int64)
-        tokens = flat["ids"][ragged(starts[codes], per_word)] if len(codes) else np.empty(0, np.int32)
-        bounds = np.concatenate([[0], np.cumsum(per_word)])[np.concatenate([[0], np.cumsum(lengths)])]
+        bounds = np.concatenate([[0], np.cumsum(chunks.column("lengths")[row].values.to_numpy(), dtype=np.int64)])
         doc_ids.append(chunks.column("doc_ids")[row].values)
-        ids.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(tokens.astype(np.int32))))
+        low = 0
+        while low < len(bounds) - 1:
+            high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + TOKENS_AT_ONCE, side="right")) - 1)
+            own = codes[bounds[low] : bounds[high]]
+            per_word = word_sizes[own]
+            ends = np.concatenate([[0], np.cumsum(per_word)])[bounds[low : high + 1] - bounds[low]]
+            tokens = word_ids[ragged(word_starts[own], per_word)]
+            ids.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(tokens)))
+            low = high
     return pa.table({"doc_id": pa.chunked_array(doc_ids, pa.int64()), "ids": pa.chunked_array(ids, pa.list_(pa.int32()))})
 
 
@@ -152,14 +197,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     empty texts have no ids; repeated rows and null document ids stay rows of
     their own; an empty table gives an empty result.
     """
-    chunks = staged(chunked(docs, pre_tokens(pattern), str.encode), "chunks")
-    dealt = chunks.select("chunk", "words").mapInArrow(
-        _deal_words, "bucket int, chunk long, places array<int>, words array<binary>"
-    )
-    met = dealt.repartition("bucket").sortWithinPartitions("bucket")
-    found = met.mapInArrow(_encode_words(ranks), "chunk long, places array<int>, sizes array<int>, ids array<int>")
-    texts = chunks.select("chunk", "doc_ids", "lengths", "codes")
-    return texts.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_reassemble, "doc_id long, ids array<int>")
+    # one shuffle of the chunks serves both: all columns go both ways, so that Spark can use it again
+    chunks = chunked(docs, segments, pre_tokens(pattern)).repartition("chunk")
+    words = chunks.mapInArrow(_deal_words, "bucket int, of_chunk long, places binary, words binary")
+    met = words.repartition("bucket").sortWithinPartitions("bucket")
+    found = met.mapInArrow(_encode_words(ranks), "of_chunk long, places binary, sizes binary, ids binary")
+    return chunks.groupBy("chunk").cogroup(found.groupBy("of_chunk")).applyInArrow(_reassemble, "doc_id long, ids array<int>")
 
 
 def decoded(ranks: dict[bytes, int]) -> Callable[[Column | str], Column]:

@@ -23,7 +23,22 @@ def texts():
 def test_merge_equals_the_library():
     for text in texts():
         for piece in bpe.regex.findall(PATTERN, text or ""):
-            assert bpe.merge(piece.encode(), RANKS) == OTHER._encode_single_piece(piece)
+            expected = OTHER._encode_single_piece(piece)
+            assert bpe.merge(piece.encode(), RANKS) == expected
+            if len(expected) > 1:
+                assert bpe._merge_long(piece.encode(), RANKS) == bpe._merge_short(piece.encode(), RANKS) == expected
+
+
+def test_segments_have_the_pre_tokens_of_the_text(monkeypatch):
+    rng = random.Random(3)
+    marks = [" ", "  ", "\n", "\t ", " \u00a0", "\u3000", "\x1c", "\x85", "'s", "'", "ab", "é1", "9", "...", "日本", "\n\n a"]
+    for size in (1 << 20, 5):
+        monkeypatch.setattr(bpe, "LONG_TEXT", size)
+        for _ in range(1500):
+            text = "".join(rng.choice(marks) for _ in range(rng.randrange(14)))
+            got = [w for s in bpe.segments(text.encode()) for w in bpe.pre_tokens(PATTERN)(s)]
+            assert got == [w.encode() for w in bpe.regex.findall(PATTERN, text)], repr(text)
+            assert [i for w in got for i in bpe.merge(w, RANKS)] == OTHER.encode_ordinary(text), repr(text)
 
 
 def check(spark, rows):
@@ -45,8 +60,9 @@ def test_round_trip_equals_the_library(spark):
 
 
 def test_many_chunks_and_long_texts(spark, monkeypatch):
-    monkeypatch.setattr(chunks, "CHUNK_BYTES", 300)
+    monkeypatch.setattr(bpe, "chunked", lambda *a: chunks.chunked(*a, chunk_bytes=300))
     monkeypatch.setattr(bpe, "LONG_TEXT", 1000)
+    monkeypatch.setattr(bpe, "TOKENS_AT_ONCE", 50)
     check(spark, list(enumerate(texts())))
 
 
@@ -59,6 +75,9 @@ def test_codes_survive_packing():
     codes = np.array([0, 1, 70000, 2**32 - 1, 5], np.uint32)
     assert chunks.unpack(chunks.pack(codes)).tolist() == codes.tolist()
     assert len(chunks.unpack(chunks.pack(codes[:0]))) == 0
+    words = [b"a", b"", b"\x00\xff", b"long" * 99]
+    assert chunks.word_array(chunks.pack_words(words)).to_pylist() == words
+    assert chunks.word_array(chunks.pack_words([])).to_pylist() == []
 
 
 def test_unknown_id_ends_the_job(spark):
