@@ -3,16 +3,17 @@
     P(text) = prod P(class_i | class_{i-1}) * P(word_i | class_i)
 
 1. Texts become chunks of word positions (``chunks``), written once.
-2. Words are counted over all training texts.
+2. Words are counted over all training texts; a chunk deals its distinct words
+   out by hash, and the rows of one hash bucket are added up in one task.
 3. Exchange clustering: the most frequent words move one at a time to the class
    that raises the class-bigram likelihood most, until none moves. The pair
    counts of these words and of two stand-ins (text end, any other word) come
    from all training texts; their table has a fixed size.
 4. Every other word takes part in one exchange step: its neighbours' classes are
-   counted over all training texts, and it joins the class that explains them
-   best. These counts are grouped by word hash; nothing is capped.
-5. Class and count of every word go back to the chunks by a join on the word,
-   transitions are counted over all training texts, and every text is scored.
+   counted over all training texts, bucket by bucket as before, and it joins the
+   class that explains them best. Nothing is capped.
+5. Class and count of every word go back to the chunks that asked, transitions
+   are counted over all training texts, and every text is scored.
 
 Emissions keep back an absolute discount for the one unknown word; transitions
 are interpolated with class frequencies. All probabilities sum to one over the
@@ -21,7 +22,6 @@ known words, the end and the unknown word.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -29,13 +29,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corpusloom.llm.chunks import chunked, pack, unpack
+from corpusloom.llm.chunks import Numbers, chunked, dealt, pack, pack_words, unpack, word_array
 from corpusloom.session import staged
 
 CLASSES = 48  # of words; the end of a text is a class of its own
 HEAD = 1024  # words that exchange clustering moves one at a time
 ROUNDS = 6
-BUCKETS = 256
+BUCKETS = 128  # of the word hash, at least; a task holds one bucket, so there are more with more chunks
+CHUNK_BYTES = 1 << 23
+WORDS_AT_ONCE = 1 << 16
 END = b"\n"  # no word holds a line break
 PRIOR = 20.0  # weight of the class frequencies in a transition
 
@@ -45,38 +47,86 @@ def tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
-def _documents(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """Codes of a chunk, the document of each, ids (as objects), and the words."""
+def _documents(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of a chunk, the document of each, and the ids (as objects)."""
     lengths = batch.column("lengths")[row].values.to_numpy()
     codes = unpack(batch.column("codes")[row].as_py())
-    ids = np.array(batch.column("doc_ids")[row].as_py(), object)
-    return codes, np.repeat(np.arange(len(lengths)), lengths), ids, batch.column("words")[row].values
+    return codes, np.repeat(np.arange(len(lengths)), lengths), np.array(batch.column("doc_ids")[row].as_py(), object)
+
+
+def _words(batch: pa.RecordBatch, row: int) -> list[bytes]:
+    return word_array(batch.column("words")[row].as_py()).to_pylist()
 
 
 def _training(ids: np.ndarray, trains: Callable[[object], bool]) -> np.ndarray:
     return np.fromiter((trains(i) for i in ids), bool, len(ids))
 
 
-# ---------------------------------------------------------------- counts
+def _coded(words: list[bytes], numbers: dict[bytes, int], other: int) -> np.ndarray:
+    return np.fromiter((numbers.get(w, other) for w in words), np.int64, len(words))
 
 
-def word_counts(chunks: DataFrame, trains: Callable[[object], bool]) -> DataFrame:
-    """``(word, n)`` over all training texts; each chunk's counts are summed before the shuffle."""
+def _by_bucket(rows: DataFrame) -> DataFrame:
+    return rows.repartition("bucket").sortWithinPartitions("bucket")
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                codes, owner, ids, words = _documents(batch, row)
-                n = np.bincount(codes[_training(ids, trains)[owner]], minlength=len(words))
-                used = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([words.take(pa.array(used)), pa.array(n[used])], names=["word", "n"])
 
-    counted = chunks.mapInArrow(count, "word binary, n long")
-    return counted.groupBy("word").agg(F.sum("n").alias("n"))
+def _buckets_of(batches: Iterable[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The rows of each bucket, from rows sorted by bucket."""
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and held[0]["bucket"] != row["bucket"]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
 
+# ---------------------------------------------------------------- counts
+
+TOTALS = "word binary, n long, tokens long, kinds long, once long, twice long"
 
-def _coded(words: pa.Array, numbers: dict[bytes, int], other: int) -> np.ndarray:
-    return np.fromiter((numbers.get(w, other) for w in words.to_pylist()), np.int64, len(words))
+
+def word_totals(chunks: DataFrame, trains: Callable[[object], bool], head: int, buckets: int) -> DataFrame:
+    """The most frequent words of every bucket, ``head`` of each and the end, with their count ``n``.
+
+    A row without a word has the bucket's sums: tokens, distinct words, words
+    that occur once and twice. Words are counted over all training texts.
+    """
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                codes, owner, ids = _documents(batch, row)
+                n = np.bincount(codes[_training(ids, trains)[owner]], minlength=1)
+                words = _words(batch, row)
+                seen = np.flatnonzero(n)
+                kept = [words[i] for i in seen]
+                _, order, used, starts = dealt(kept, buckets)
+                parts = np.split(order, starts[1:]) if len(order) else []
+                columns = [
+                    pa.array(used.astype(np.int32)), pa.array([pack_words([kept[i] for i in p]) for p in parts], pa.binary()),
+                    pa.array([pack(n[seen[p]]) for p in parts], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "words", "n"])
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _buckets_of(batches):
+            names = Numbers()
+            to = [np.array([names[w] for w in word_array(r["words"]).to_pylist()], np.int64) for r in rows]
+            n = np.bincount(np.concatenate(to), np.concatenate([unpack(r["n"]) for r in rows])).astype(np.int64)
+            words = list(names)
+            best = sorted(range(len(words)), key=lambda i: (-n[i], words[i]))[: head + 1]
+            sums = [int(n.sum()), len(n), int((n == 1).sum()), int((n == 2).sum())]
+            empty = [None] * len(best)
+            columns = [
+                pa.array([None, *(words[i] for i in best)], pa.binary()), pa.array([None, *(int(n[i]) for i in best)], pa.int64()),
+                *[pa.array([s, *empty], pa.int64()) for s in sums],
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["word", "n", "tokens", "kinds", "once", "twice"])
+
+    return _by_bucket(chunks.mapInArrow(deal, "bucket int, words binary, n binary")).mapInArrow(add, TOTALS)
 
 
 def head_pairs(chunks: DataFrame, numbers: dict[bytes, int], trains: Callable[[object], bool]) -> np.ndarray:
@@ -92,8 +142,8 @@ def head_pairs(chunks: DataFrame, numbers: dict[bytes, int], trains: Callable[[o
         total = np.zeros(size * size, np.int64)
         for batch in batches:
             for row in range(batch.num_rows):
-                codes, owner, ids, words = _documents(batch, row)
-                heads = _coded(words, numbers, size - 1)[codes]
+                codes, owner, ids = _documents(batch, row)
+                heads = _coded(_words(batch, row), numbers, size - 1)[codes]
                 before = np.concatenate([[end], heads[:-1]]) if len(heads) else heads
                 learned = _training(ids, trains)[owner]  # a text starts after an end, as the text before it has one
                 total += np.bincount((before * size + heads)[learned], minlength=size * size)
@@ -197,81 +247,93 @@ def explained(table: np.ndarray, classes: int) -> np.ndarray:
     return np.concatenate([before[:, :classes], behind[:, :classes]])
 
 
-def rest_classes(
-    chunks: DataFrame, numbers: dict[bytes, int], of: np.ndarray, table: np.ndarray, trains: Callable[[object], bool]
+FOUND = "of_chunk long, places binary, classes binary, n binary, kinds array<long>, mass array<long>"
+
+
+def word_classes(
+    chunks: DataFrame,
+    numbers: dict[bytes, int],
+    head_counts: np.ndarray,
+    of: np.ndarray,
+    table: np.ndarray,
+    trains: Callable[[object], bool],
+    buckets: int,
 ) -> DataFrame:
-    """``(word, class, n)`` of every training word outside the head.
+    """Class and count of every word, packed in one row for each chunk and bucket that asks.
 
-    A chunk deals its words out by hash, with the classes around them; the rows
-    of one hash bucket are added up in one task, word by word.
+    A chunk deals its words out by hash, with the classes around their training
+    occurrences; the rows of one bucket are added up in one task, word by word.
+    ``places`` are steps from word to word of the chunk. A word that no training
+    text has counts 0 and has the class number behind the last. A row without a
+    chunk has the bucket's sums by class over its words outside the head.
     """
     size, total = len(numbers) + 1, len(table)
-    classes, gains, end = total - 2, explained(table, total - 2), numbers[END]
+    classes, gains, end, unknown = total - 2, explained(table, total - 2).astype(np.float32), numbers[END], total - 1
+    width = 2 * total
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                codes, owner, ids, words = _documents(batch, row)
+                codes, owner, ids = _documents(batch, row)
+                words = _words(batch, row)
                 heads = _coded(words, numbers, size - 1)
-                around = of[heads[codes]]
-                place = np.flatnonzero((heads[codes] == size - 1) & _training(ids, trains)[owner])
-                if not len(place):
-                    continue
-                before = np.where(place > 0, around[place - 1], of[end])
-                behind = around[place + 1]  # a text closes with its end, so there is a next token
-                cells = np.concatenate([codes[place] * (2 * total) + before, codes[place] * (2 * total) + total + behind])
-                cells, n = np.unique(cells.astype(np.int64), return_counts=True)
-                used, start = np.unique(cells // (2 * total), return_index=True)
-                hashes = np.fromiter((zlib.crc32(w) for w in words.take(pa.array(used)).to_pylist()), np.int64, len(used)) % BUCKETS
-                owner_hash = np.repeat(hashes, np.diff(np.append(start, len(cells))))
-                for bucket in np.unique(hashes):
-                    mine, cell = used[hashes == bucket], owner_hash == bucket
-                    spot = np.searchsorted(mine, cells[cell] // (2 * total))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([int(bucket)], pa.int32()), pa.array([words.take(pa.array(mine)).to_pylist()], pa.list_(pa.binary())),
-                            pa.array([pack(spot * (2 * total) + cells[cell] % (2 * total))]), pa.array([pack(n[cell])]),
-                        ],
-                        names=["bucket", "words", "cells", "n"],
-                    )
+                around = of[heads][codes]
+                at = np.flatnonzero((heads == size - 1)[codes] & _training(ids, trains)[owner])
+                before = np.where(at > 0, around[at - 1], of[end])
+                behind = around[np.minimum(at + 1, len(codes) - 1)]  # a text closes with its end, so there is a next token
+                cells = np.concatenate([codes[at] * np.int64(width) + before, codes[at] * np.int64(width) + total + behind])
+                cells, n = np.unique(cells, return_counts=True)
+                hashes, order, used, starts = dealt(words, buckets)
+                inside = np.empty(len(words), np.int64)
+                sizes = np.diff(np.append(starts, len(order)))
+                inside[order] = np.arange(len(order)) - np.repeat(starts, sizes)
+                owners = hashes[cells // width]
+                by_bucket = np.argsort(owners, kind="stable")
+                edges = np.searchsorted(owners[by_bucket], used)
+                cells = (inside[cells // width] * width + cells % width)[by_bucket]
+                places = np.split(order, starts[1:]) if len(order) else []
+                columns = [
+                    pa.array(used.astype(np.int32)), pa.array([batch.column("chunk")[row].as_py()] * len(used), pa.int64()),
+                    pa.array([pack(np.diff(p, prepend=0)) for p in places], pa.binary()),
+                    pa.array([pack_words([words[i] for i in p]) for p in places], pa.binary()),
+                    pa.array([pack(c) for c in np.split(cells, edges[1:])][: len(used)], pa.binary()),
+                    pa.array([pack(c) for c in np.split(n[by_bucket], edges[1:])][: len(used)], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "of_chunk", "places", "words", "cells", "n"])
 
     def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        current = None
-
-        def made() -> pa.RecordBatch:
-            names: dict[bytes, int] = {}
-            keys, counts = [], []
-            for words, cells, n in held:
-                to = np.fromiter((names.setdefault(w, len(names)) for w in words), np.int64, len(words))
-                cells = unpack(cells).astype(np.int64)
-                keys.append(to[cells // (2 * total)] * (2 * total) + cells % (2 * total))
-                counts.append(unpack(n))
-            keys, counts = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
-            word, cell = keys // (2 * total), keys % (2 * total)
-            score = np.zeros((len(names), classes))
-            for k in range(0, len(keys), 1 << 16):
-                part = slice(k, k + (1 << 16))
-                np.add.at(score, word[part], gains[cell[part]] * counts[part, None])
-            n = np.bincount(word[cell < total], counts[cell < total], len(names)).astype(np.int64)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(names), pa.binary()), pa.array(score.argmax(axis=1).astype(np.int32)), pa.array(n)],
-                names=["word", "class", "n"],
-            )
-
-        for batch in batches:
-            for bucket, words, cells, n in zip(*[batch.column(c).to_pylist() for c in ("bucket", "words", "cells", "n")]):
-                if bucket != current and held:
-                    yield made()
-                    held.clear()
-                current = bucket
-                held.append((words, cells, n))
-        if held:
-            yield made()
-
-    dealt = chunks.mapInArrow(deal, "bucket int, words array<binary>, cells binary, n binary")
-    met = dealt.repartition("bucket").sortWithinPartitions("bucket")
-    return met.mapInArrow(assign, "word binary, class int, n long")
+        for rows in _buckets_of(batches):
+            names, to, keys, counts = Numbers(), [], [], []
+            for r in rows:
+                to.append(np.array([names[w] for w in word_array(r["words"]).to_pylist()], np.int64))
+                cells = unpack(r["cells"]).astype(np.int64)
+                keys.append(to[-1][cells // width] * width + cells % width)
+                counts.append(unpack(r["n"]))
+            keys, counts = np.concatenate(keys), np.concatenate(counts)
+            order = np.argsort(keys, kind="stable")
+            keys, counts = keys[order], counts[order]
+            found, n = np.empty(len(names), np.int64), np.empty(len(names), np.int64)
+            for low in range(0, len(names), WORDS_AT_ONCE):
+                high = min(low + WORDS_AT_ONCE, len(names))
+                part = slice(*np.searchsorted(keys, [low * width, high * width]))
+                around = np.bincount(keys[part] - low * width, counts[part], (high - low) * width).reshape(-1, width)
+                found[low:high] = (around.astype(np.float32) @ gains).argmax(axis=1)
+                n[low:high] = around[:, :total].sum(axis=1)
+            found[n == 0] = unknown
+            heads = _coded(list(names), numbers, -1)
+            rest = (heads < 0) & (n > 0)
+            kinds, mass = np.bincount(found[rest], minlength=classes), np.bincount(found[rest], n[rest], classes)
+            found[heads >= 0], n[heads >= 0] = of[heads[heads >= 0]], head_counts[heads[heads >= 0]]
+            columns = [
+                pa.array([*(r["of_chunk"] for r in rows), None], pa.int64()), pa.array([*(r["places"] for r in rows), None], pa.binary()),
+                pa.array([*(pack(found[t], 2) for t in to), None], pa.binary()), pa.array([*(pack(n[t], 8) for t in to), None], pa.binary()),
+                pa.array([*[None] * len(rows), kinds.tolist()], pa.list_(pa.int64())),
+                pa.array([*[None] * len(rows), mass.astype(np.int64).tolist()], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["of_chunk", "places", "classes", "n", "kinds", "mass"])
+
+    rows = chunks.mapInArrow(deal, "bucket int, of_chunk long, places binary, words binary, cells binary, n binary")
+    return _by_bucket(rows).mapInArrow(assign, FOUND)
 
 
 # ---------------------------------------------------------------- scoring
@@ -319,28 +381,27 @@ class Model:
 PLACED = "doc_ids array<long>, lengths array<int>, classes binary, n_known array<long>, base array<double>, emitted array<double>"
 
 
-def _place_words(model: Model, numbers: dict[bytes, int], of: np.ndarray, counts: np.ndarray) -> Callable:
+def _place_words(model: Model) -> Callable:
     """Per chunk: classes of its tokens and, per text, known words, base score and emissions."""
-    unknown = len(model.mass)
 
     def place(chunks: pa.Table, found: pa.Table) -> pa.Table:
         out: dict[str, list] = {c: [] for c in ("doc_ids", "lengths", "classes", "n_known", "base", "emitted")}
-        spots, cls, n = (found.column(c).to_numpy() for c in ("spot", "class", "n"))
+        spots = np.concatenate([np.cumsum(unpack(p)) for p in found.column("places").to_pylist()])
+        word_class, word_count = np.empty(len(spots), np.int64), np.empty(len(spots), np.int64)
+        word_class[spots] = np.concatenate([unpack(c, 2) for c in found.column("classes").to_pylist()])
+        word_count[spots] = np.concatenate([unpack(c, 8) for c in found.column("n").to_pylist()]).astype(np.int64)
+        known = np.minimum(word_class, len(model.mass) - 1)
+        base, emission = model.base(word_count), model.emission(word_count, known)
         for batch in chunks.to_batches():
             for row in range(batch.num_rows):
-                codes, owner, ids, words = _documents(batch, row)
-                heads = _coded(words, numbers, len(numbers))
-                word_class = np.append(of[: len(numbers)], unknown)[heads]
-                word_count = np.append(counts, 0)[heads]
-                word_class[spots], word_count[spots] = cls, n
+                codes, owner, ids = _documents(batch, row)
                 docs = len(ids)
                 out["doc_ids"].append(ids.tolist())
                 out["lengths"].append(np.bincount(owner, minlength=docs))
-                out["classes"].append(pack(word_class[codes]))
+                out["classes"].append(pack(word_class[codes], 2))
                 out["n_known"].append(np.bincount(owner, word_count[codes] > 0, docs).astype(np.int64))
-                out["base"].append(np.bincount(owner, model.base(word_count)[codes], docs))
-                known = np.minimum(word_class, unknown - 1)
-                out["emitted"].append(np.bincount(owner, model.emission(word_count, known)[codes], docs))
+                out["base"].append(np.bincount(owner, base[codes], docs))
+                out["emitted"].append(np.bincount(owner, emission[codes], docs))
         kinds = [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float64())]
         return pa.table({name: pa.array(values, kind) for (name, values), kind in zip(out.items(), kinds)})
 
@@ -350,7 +411,7 @@ def _place_words(model: Model, numbers: dict[bytes, int], of: np.ndarray, counts
 def _pairs_of(batch: pa.RecordBatch, row: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Classes of a chunk's tokens, those before them (the end before a text), and the owner of each."""
     lengths = batch.column("lengths")[row].values.to_numpy()
-    classes = unpack(batch.column("classes")[row].as_py()).astype(np.int64)
+    classes = unpack(batch.column("classes")[row].as_py(), 2).astype(np.int64)
     before = np.concatenate([[end], classes[:-1]]) if len(classes) else classes
     return classes, before, np.repeat(np.arange(len(lengths)), lengths), np.array(batch.column("doc_ids")[row].as_py(), object)
 
@@ -383,33 +444,35 @@ def scored(docs: DataFrame, trains: Callable[[object], bool], head: int = HEAD,
     ids are judged by ``trains`` too; an empty table gives an empty result.
     Words of equal count enter the head by their bytes.
     """
-    chunks = staged(chunked(docs, tokens), "chunks")
-    vocabulary = staged(word_counts(chunks, trains), "words")
-    frequent = vocabulary.where(F.col("word") != END).orderBy(F.desc("n"), "word").limit(head).collect()
+    chunks = staged(chunked(docs, tokens, chunk_bytes=CHUNK_BYTES), "chunks")
+    buckets = max(BUCKETS, chunks.count() // 2)
+    totals = staged(word_totals(chunks, trains, head, buckets), "word-totals")
+    frequent = totals.where((F.col("word") != END) & F.col("word").isNotNull())
+    frequent = frequent.orderBy(F.desc("n"), "word").limit(head).collect()
     numbers = {bytes(r["word"]): i for i, r in enumerate(frequent)} | {END: len(frequent)}
     pairs = head_pairs(chunks, numbers, trains)
     of, table = exchange(pairs, classes)
-    rest = staged(rest_classes(chunks, numbers, of, table, trains), "classes")
-
     ends = int(pairs[:, numbers[END]].sum())
     head_counts = np.array([*(r["n"] for r in frequent), ends], np.int64)
+    found = staged(word_classes(chunks, numbers, head_counts, of, table, trains, buckets), "word-classes")
+
     total = classes + 1  # the stand-in for other words ends here, every word has a class of its own
     mass = np.bincount(of[: len(numbers)], head_counts, total)
     kinds = np.bincount(of[: len(numbers)], head_counts > 0, total)
-    for r in rest.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():
-        mass[r["class"]] += r["n"]
+    sums = found.where("of_chunk IS NULL").select(F.posexplode(F.arrays_zip("kinds", "mass")).alias("class", "s"))
+    for r in sums.groupBy("class").agg(F.sum("s.kinds").alias("kinds"), F.sum("s.mass").alias("mass")).collect():
+        mass[r["class"]] += r["mass"]
         kinds[r["class"]] += r["kinds"]
-    once, twice = vocabulary.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+    once, twice = totals.agg(F.sum("once"), F.sum("twice")).first()
     discount = once / (once + 2 * twice) if once and twice else 0.5
     model = Model(mass, discount, kinds)
 
-    spots = chunks.select(F.col("chunk").alias("of_chunk"), F.posexplode("words").alias("spot", "word"))
-    known = spots.join(rest, "word").select("of_chunk", "spot", "class", "n")
-    place = _place_words(model, numbers, of, head_counts)
-    placed = chunks.groupBy("chunk").cogroup(known.groupBy("of_chunk")).applyInArrow(place, PLACED)
+    asked = found.where("of_chunk IS NOT NULL").select("of_chunk", "places", "classes", "n")
+    texts = chunks.select("chunk", "doc_ids", "lengths", "codes")
+    placed = texts.groupBy("chunk").cogroup(asked.groupBy("of_chunk")).applyInArrow(_place_words(model), PLACED)
     placed = staged(placed, "placed")
     size = total + 1
-    model.transitions = transitions(placed, size, of[numbers[END]], trains)[:total, :total]
+    model.transitions = transitions(placed, size, int(of[numbers[END]]), trains)[:total, :total]
     steps, end = model.steps(), int(of[numbers[END]])
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

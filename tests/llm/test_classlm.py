@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from corpusloom.llm import chunks, classlm
+from corpusloom.llm import classlm
 from corpusloom.llm.queries import learned_from as trains
 
 
@@ -43,7 +43,7 @@ def got(spark, rows, **more):
 
 @pytest.mark.parametrize("size", [300, 1 << 20])
 def test_base_equals_brute_force_and_classes_beat_it(spark, monkeypatch, size):
-    monkeypatch.setattr(chunks, "CHUNK_BYTES", size)
+    monkeypatch.setattr(classlm, "CHUNK_BYTES", size)
     rows = corpus()
     found = got(spark, rows, head=30, classes=6)
     assert sorted((r.doc_id or -1, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in found) == plain(rows)
@@ -54,7 +54,7 @@ def test_base_equals_brute_force_and_classes_beat_it(spark, monkeypatch, size):
 def test_chunks_do_not_change_scores(spark, monkeypatch):
     rows = corpus(60)
     one = sorted((r.doc_id or -1, round(r.score, 8)) for r in got(spark, rows, head=20, classes=4))
-    monkeypatch.setattr(chunks, "CHUNK_BYTES", 200)
+    monkeypatch.setattr(classlm, "CHUNK_BYTES", 200)
     assert sorted((r.doc_id or -1, round(r.score, 8)) for r in got(spark, rows, head=20, classes=4)) == one
 
 
