@@ -376,6 +376,11 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
     return docs.withColumn("__personal", spans("text"))
 
 
+def count_of(spans: Column, kind: str) -> Column:
+    """How many of the spans are of a kind."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def listed(spans: Column) -> Column:
     """``kind:start:end`` of each span, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")

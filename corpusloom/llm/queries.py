@@ -73,10 +73,10 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     field = privacy.train(privacy.labelled_table())
     found = privacy.find(table(spark, sf_dir, "documents").select("doc_id", "text"), field)
     base = F.col("__personal.base")
-    counts = {f"n_{k}": F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long") for k in privacy.KINDS}
+    counts = [privacy.count_of(base, kind).alias(f"n_{kind}") for kind in privacy.KINDS]
     return found.select(
         "doc_id",
-        *[column.alias(name) for name, column in counts.items()],
+        *counts,
         F.sha2(privacy.listed(base), 256).alias("base_sha256"),
         privacy.listed(F.col("__personal.spans")).alias("spans"),
     )
