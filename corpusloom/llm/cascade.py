@@ -14,6 +14,7 @@ import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import cached_property
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -119,7 +120,8 @@ RULES = (
     Rule("repeated_words", lambda t: 100 * _share(t.repeated_words, len(t.words)), most=MOST_REPEATED),
     Rule("mean_word_length", lambda t: _share(t.word_chars, len(t.words)), least=2, most=15),
     Rule("symbols_per_word", lambda t: _share(t.symbols, len(t.words)), most=0.25),
-    Rule("repeated_lines", lambda t: _share(t.repeated_lines, len(t.lines)), most=0.3),
+    Rule("repeated_lines", lambda t: _share(t.repeated_lines, len(t.lines)), most=0.5),
+    Rule("stuttered_words", lambda t: _share(sum(map(eq, t.words, t.words[1:])), len(t.words)), most=0.2),
     Rule("words_with_letter", lambda t: _share(t.letter_words, len(t.words)), least=0.7),
     Rule("bullet_lines", lambda t: _share(sum(x.lstrip().startswith(_BULLETS) for x in t.lines), len(t.lines)), most=0.9),
     Rule("ellipsis_lines", lambda t: _share(sum(x.rstrip().endswith(_ELLIPSES) for x in t.lines), len(t.lines)), most=0.5),
