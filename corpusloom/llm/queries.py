@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.llm import bpe, cascade, classlm, language, mixing, neighbours, privacy, quality, simhash, weblinks
 from corpusloom.llm.common import remainder, table
+from corpusloom.llm.twins import operator_twins
 
 DOC = "doc_id"
 LIKELY = 0.3  # quality score from which a text counts as good
@@ -105,4 +106,4 @@ def operator_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def operator_sql() -> dict[str, str]:
-    return {}
+    return operator_twins()
