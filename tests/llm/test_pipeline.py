@@ -91,3 +91,37 @@ def test_tokens_equal_the_library(stages):
 def test_run_gives_the_last_stage(spark, stages):
     got = sorted(corpus_pipeline.run(spark, TABLES).collect())
     assert got == sorted(stages["tokens"][1])
+
+
+ODD = [
+    (1, "the river under the old bridge in the morning light", "en", "a", 9),
+    (1, "the river under the old bridge in the morning light", "en", "a", 9),
+    (2, None, "en", None, None),
+    (3, "", None, "a", 0),
+    (4, "123 456 +++", "de", "b", 11),
+    (None, "a text without a number that stays", "en", "b", 1),
+    (None, "a text without a number that stays", "en", None, 1),
+    (5, "der alte fluss unter der brücke call (582) 555-9616 heute", "de", "b", 1),
+    (6, "word " * 50_000, "en", "c", 250_000),
+]
+
+
+@pytest.mark.parametrize("rows", [ODD, ODD[:1], []])
+def test_every_stage_with_odd_rows_and_clashing_columns(spark, rows):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    extra = {"ids": "1", "size": "'x'", "place": "2", "fp": "'y'", "root": "3", "chunk": "4", "score": "5", "rank": "6", "v": "7"}
+    docs = spark.createDataFrame(rows, schema).selectExpr("*", *[f"{v} AS {k}" for k, v in extra.items()])
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, docs, TABLES)
+        if name == "tokens":
+            assert len(made.collect()) == docs.count()
+        else:
+            assert made.columns == docs.columns
+            docs = spark.createDataFrame(made.collect(), made.schema)
+            kept = sorted((r.doc_id or 0, len(r.text)) for r in docs.collect() if r.text)
+            if name == "language":
+                assert len(kept) == len([r for r in rows if r[1] and r[1][:3] != "123"]) and docs.count() == len(kept)
+            if name == "near_duplicates" and len(rows) > 1:
+                assert [k for k, _ in kept] == [0, 0, 1, 5, 6]
+            if name == "personal_data" and len(rows) > 1:
+                assert "[phone]" in next(r.text for r in docs.collect() if r.doc_id == 5)
