@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.functions.arrays import log_normaliser
 from corpusloom.functions.numbers import whole
@@ -27,8 +27,7 @@ def f_beta(precision: Column, recall: Column, beta: float) -> Column:
 def class_distribution(df: DataFrame, label: str = "label") -> DataFrame:
     """``(label, n, pct)``."""
     counted = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
-    return counted.withColumn("pct", 100.0 * F.col("n") / total)
+    return counted.withColumn("pct", 100.0 * F.col("n") / df.agg(F.count(F.lit(1))).scalar())
 
 
 def class_weights(df: DataFrame, num_classes: int, label: str = "label") -> DataFrame:
@@ -41,8 +40,7 @@ def class_weights(df: DataFrame, num_classes: int, label: str = "label") -> Data
     checked = class_distribution(df, label).withColumn(
         label, F.when(known, F.col(label)).otherwise(F.raise_error(message).cast("long"))
     )
-    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
-    weighted = checked.withColumn("weight", total / (num_classes * F.col("n")))
+    weighted = checked.withColumn("weight", df.agg(F.count(F.lit(1))).scalar() / (num_classes * F.col("n")))
     classes = df.sparkSession.range(num_classes).select(F.col("id").alias(label))
     return classes.join(weighted, label, "left").select(
         label,

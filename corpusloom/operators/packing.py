@@ -171,9 +171,12 @@ def block_overlap(ranges: DataFrame, window: int, key: str = "seq") -> DataFrame
     are the earlier blocks that hold nothing but the single document of ``q``.
     That gives the counts and lists by arithmetic instead of by pairing blocks.
 
-    ``partial_n`` and ``full_n`` are all related blocks, newest first in
-    ``partial_blocks`` and ``full_blocks``; ``partial_kept`` and ``full_kept``
-    are the counts that fit a window of ``window`` blocks.
+    ``partial_n`` and ``full_n`` count all related blocks. The full ones end
+    just before the block itself and begin at ``full_from``; the partial ones
+    are the block itself and ``partial_from`` to ``partial_to`` before the full
+    ones (null if there are none). So a row has a bounded size, however long the
+    sequence. ``partial_kept`` and ``full_kept`` are the counts that fit a
+    window of ``window`` blocks.
     """
     uniform = F.col("doc_low") == F.col("doc_high")
     same = Window.partitionBy(key, "doc_low", "__uniform").orderBy("block")
@@ -181,17 +184,15 @@ def block_overlap(ranges: DataFrame, window: int, key: str = "seq") -> DataFrame
         "full_n", F.when(F.col("__uniform"), F.row_number().over(same) - 1).otherwise(0).cast("long")
     )
     any_n = F.col("block") - F.col("doc_block") + 1
-    full = F.when(
-        F.col("full_n") > 0, F.sequence(F.col("block") - 1, (F.col("block") - F.col("full_n")).cast("int"), F.lit(-1))
-    ).otherwise(F.array().cast("array<int>"))
-    related = F.sequence(F.col("block"), F.col("doc_block"), F.lit(-1))
+    earlier = any_n - F.col("full_n") > 1  # the block itself is always related in part
     return counted.select(
         key,
         F.col("block").alias("q_block"),
         (any_n - F.col("full_n")).cast("long").alias("partial_n"),
         "full_n",
-        F.array_except(related, full).alias("partial_blocks"),
-        full.alias("full_blocks"),
+        F.when(earlier, F.col("doc_block")).alias("partial_from"),
+        F.when(earlier, F.col("block") - F.col("full_n") - 1).cast("int").alias("partial_to"),
+        F.when(F.col("full_n") > 0, F.col("block") - F.col("full_n")).cast("int").alias("full_from"),
         F.least(any_n - F.col("full_n"), F.greatest(F.lit(window) - F.col("full_n"), F.lit(1))).alias("partial_kept"),
         F.least(F.col("full_n"), F.lit(window - 1)).alias("full_kept"),
     )

@@ -190,8 +190,7 @@ def block_overlap(spark, sf_dir):
         "q_block",
         "partial_n",
         "full_n",
-        F.array_join("partial_blocks", ",").alias("partial_list"),
-        F.array_join("full_blocks", ",").alias("full_list"),
+        *[F.col(c).cast("long").alias(c) for c in ("partial_from", "partial_to", "full_from")],
         F.col("partial_kept").cast("long").alias("partial_kept"),
         F.col("full_kept").cast("long").alias("full_kept"),
     )

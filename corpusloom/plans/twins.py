@@ -551,12 +551,13 @@ TWINS: dict[str, str] = {
     ),
     "block_ranges": sql("SELECT seq, block, doc_low, doc_high FROM blocks", "blocks"),
     "block_overlap": sql(
-        """SELECT seq, q_block, partial_n, full_n, partial_list, full_list, least(partial_n, greatest(8 - full_n, 1)) AS partial_kept,
-             least(full_n, 7) AS full_kept
+        """SELECT seq, q_block, partial_n, full_n, partial_from, partial_to, full_from,
+             least(partial_n, greatest(8 - full_n, 1)) AS partial_kept, least(full_n, 7) AS full_kept
            FROM (SELECT seq, q AS q_block, count(*) FILTER (WHERE any_ AND NOT full_) AS partial_n,
                    count(*) FILTER (WHERE any_ AND full_) AS full_n,
-                   coalesce(string_agg(k::VARCHAR, ',' ORDER BY k DESC) FILTER (WHERE any_ AND NOT full_), '') AS partial_list,
-                   coalesce(string_agg(k::VARCHAR, ',' ORDER BY k DESC) FILTER (WHERE any_ AND full_), '') AS full_list
+                   (min(k) FILTER (WHERE any_ AND NOT full_ AND k < q))::BIGINT AS partial_from,
+                   (max(k) FILTER (WHERE any_ AND NOT full_ AND k < q))::BIGINT AS partial_to,
+                   (min(k) FILTER (WHERE any_ AND full_))::BIGINT AS full_from
                  FROM block_pairs GROUP BY seq, q)""",
         "block_pairs",
     ),

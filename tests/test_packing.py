@@ -113,7 +113,9 @@ def test_block_relations_equal_the_dense_matrices(spark):
             full = [k for k in related if q > k and low[q] == high[k] and high[q] == low[k]]
             partial = [k for k in related if k not in full]
             r = got[(s, q)]
-            assert r.partial_blocks == partial[::-1] and r.full_blocks == full[::-1]
+            before = [] if r.partial_from is None else list(range(r.partial_from, r.partial_to + 1))
+            assert [*before, q] == partial
+            assert full == ([] if r.full_from is None else list(range(r.full_from, q)))
             assert (r.partial_n, r.full_n) == (len(partial), len(full))
             assert r.partial_kept == min(len(partial), max(window - len(full), 1))
             assert r.full_kept == min(len(full), window - 1)
