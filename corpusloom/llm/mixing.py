@@ -86,17 +86,19 @@ def thresholds(sized: DataFrame, shares: DataFrame) -> DataFrame:
     """Adds ``copies``, the whole copies, and ``threshold``: documents placed below it are taken once more.
 
     ``rest`` is what whole copies leave of the share. At each level the sums of
-    a source's buckets are added up in order; the bucket in which ``rest`` ends
-    goes on to the next level. At the last one the nearer bound is taken.
+    a source's buckets are added up in order; only the rows of the bucket in
+    which ``rest`` ends go on to the next level. At the last one the nearer bound is taken.
     """
     copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     found = shares.withColumn("copies", copies.cast("long"))
     found = found.withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size"))
-    open_ = found.select(F.col("source").alias("s"), "rest", F.lit(0).cast("long").alias("at"))
+    open_ = staged(found.select(F.col("source").alias("s"), "rest", F.lit(0).cast("long").alias("at")), "rests")
     for level in range(LEVELS):
-        sums = sized.groupBy("source", _bucket(level).alias("bucket")).agg(F.sum("size").alias("words"))
-        parent = F.shiftright("bucket", LEVEL_BITS)
-        inside = sums.join(open_, F.col("source").eqNullSafe(F.col("s")) & (parent == F.col("at")))
+        same, kept = F.col("source").eqNullSafe(F.col("s")), sized
+        if level:
+            kept = sized.join(open_.drop("rest"), same & (_bucket(level - 1) == F.col("at"))).drop("s", "at")
+        sums = kept.groupBy("source", _bucket(level).alias("bucket")).agg(F.sum("size").alias("words"))
+        inside = sums.join(open_, same)
         order = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
         upto = inside.withColumn("upto", F.sum("words").over(order))
         last = level == LEVELS - 1
@@ -110,9 +112,10 @@ def thresholds(sized: DataFrame, shares: DataFrame) -> DataFrame:
         at = F.coalesce("end.bucket", F.col("greatest") + 1)
         left = F.col("rest") - F.coalesce("end.before", F.lit(0))
         open_ = staged(ends.select(F.col("source").alias("s"), left.alias("rest"), at.alias("at")), f"level{level}")
-    return found.join(open_, F.col("source").eqNullSafe(F.col("s")), "left").select(
+    plan = found.join(open_, F.col("source").eqNullSafe(F.col("s")), "left").select(
         "source", "source_size", "target", "copies", F.coalesce("at", F.lit(0)).alias("threshold")
     )
+    return staged(plan, "mixture")  # as a table its size is known, so Spark shares it with the tasks if it is small
 
 
 def mixture(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
