@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corpusloom.llm.common import raw, sample_texts
+from corpusloom.llm.common import raw, sample_texts, small_batches
 
 # The characters and bounds that define the base measures.
 SYMBOLS = b"#*$%&|<>"
@@ -166,6 +166,8 @@ def judged(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     on the order of ``rules``; whether one fails does not.
     """
 
+    small_batches(docs.sparkSession)
+
     @F.arrow_udf(BASE)
     def measure(column: pa.Array) -> pa.Array:
         made = []

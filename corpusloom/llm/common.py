@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from corpusloom.session import staged
+
 WORD = r"[^\x20\x09-\x0D]+"  # bytes.split() of the UTF-8 text cuts at the same characters
 
 
@@ -14,6 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Spark hand over Arrow batches of a few megabytes, unless the session says otherwise.
+
+    By default a batch has 10,000 rows, whatever their size; of long texts that is
+    more than a task should hold twice, in the JVM and in Python.
+    """
+    for name, value in (("maxRecordsPerBatch", "2000"), ("maxBytesPerBatch", "8m")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}", None) is None:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", value)
+
+
 def remainder(key: str, divisor: int) -> Column:
     """crc32 of the column as text, modulo ``divisor``; a null counts as empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % divisor
@@ -38,6 +51,7 @@ def sample_texts(docs: DataFrame, groups: DataFrame, per_group: int, rows: int)
     known = groups.where("doc_id IS NOT NULL AND grp IS NOT NULL").select("doc_id", "grp", digest.alias("digest"))
     needed = F.lit(per_group + 6 * per_group**0.5 + 20) / F.count("*")
     shares = known.groupBy("grp").agg(needed.alias("share")).withColumnRenamed("grp", "of")
+    shares = staged(shares, "shares")  # of known size, so that few groups are shared before the ids are shuffled
     unit = F.shiftrightunsigned("digest", 11) / F.lit(float(1 << 53))
     few = known.join(shares, F.col("grp") == F.col("of")).where(unit < F.col("share"))
     place = F.row_number().over(Window.partitionBy("grp").orderBy(unit, "doc_id"))

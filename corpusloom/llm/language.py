@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusloom.llm.common import sample_texts
+from corpusloom.llm.common import sample_texts, small_batches
 
 NGRAMS = (1, 2, 3)
 BASES = {1: 0, 2: 1 << 8, 3: (1 << 8) + (1 << 16)}  # where the codes of each length begin
@@ -144,6 +144,8 @@ def identify(docs: DataFrame, model: KernelModel | None) -> DataFrame:
     ties go to the language that sorts first; every row stays, repeated or not.
     """
 
+    small_batches(docs.sparkSession)
+
     @F.arrow_udf("struct<lang_pred:string,score:double>")
     def scored(text: pa.Array) -> pa.Array:
         names, score = predict(model, text.to_pylist())

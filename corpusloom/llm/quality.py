@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusloom.llm.common import raw, sample_texts
+from corpusloom.llm.common import raw, sample_texts, small_batches
 
 VECTOR = 4  # numbers per byte
 STRIDE = 8
@@ -152,6 +152,8 @@ def score(docs: DataFrame, network: Network | None) -> DataFrame:
     score alike; without a network every score is 0.5; an empty table stays empty.
     """
 
+    small_batches(docs.sparkSession)
+
     @F.arrow_udf("double")
     def scored(column: pa.Array) -> pa.Array:
         if network is None:
