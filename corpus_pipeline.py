@@ -43,7 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``(doc_id, ids, n_tokens, ids_sha256, decoded_sha256)`` of every row, copies included."""
     ranks, pattern = rank_file()
-    return bpe.digests(bpe.encode(docs, ranks, pattern), ranks)
+    return bpe.encode(docs, ranks, pattern, bpe.digests(ranks), f"doc_id long, ids array<int>, {bpe.DIGESTS}")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -14,6 +14,7 @@ import base64
 import heapq
 import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.llm.chunks import chunked, dealt, pack, pack_words, ragged, unpack, word_array
+from corpusloom.llm.common import small_batches
 
 BUCKETS = 64  # of the word hash; a task holds the words of one bucket, so raise it with the vocabulary of the corpus
 LONG_TEXT = 1 << 20
@@ -190,69 +192,89 @@ def _reassemble(chunks: pa.Table, found: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.chunked_array(doc_ids, pa.int64()), "ids": pa.chunked_array(ids, pa.list_(pa.int32()))})
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+def encode(
+    docs: DataFrame,
+    ranks: dict[bytes, int],
+    pattern: str,
+    finish: Callable[[pa.Table], pa.Table] = lambda table: table,
+    shape: str = "doc_id long, ids array<int>",
+) -> DataFrame:
     """``(doc_id, ids)`` for every row of ``docs`` (doc_id, text; other columns are left alone).
 
     The ids are those of ordinary encoding, without special tokens. Null and
     empty texts have no ids; repeated rows and null document ids stay rows of
-    their own; an empty table gives an empty result.
+    their own; an empty table gives an empty result. ``finish`` may turn each
+    Arrow table of results into one of another ``shape`` where it is made.
     """
+    small_batches(docs.sparkSession)
     # one shuffle of the chunks serves both: all columns go both ways, so that Spark can use it again
     chunks = chunked(docs, segments, pre_tokens(pattern)).repartition("chunk")
     words = chunks.mapInArrow(_deal_words, "bucket int, of_chunk long, places binary, words binary")
     met = words.repartition("bucket").sortWithinPartitions("bucket")
     found = met.mapInArrow(_encode_words(ranks), "of_chunk long, places binary, sizes binary, ids binary")
-    return chunks.groupBy("chunk").cogroup(found.groupBy("of_chunk")).applyInArrow(_reassemble, "doc_id long, ids array<int>")
 
+    def gather(chunks: pa.Table, found: pa.Table) -> pa.Table:
+        return finish(_reassemble(chunks, found))
 
-def decoded(ranks: dict[bytes, int]) -> Callable[[Column | str], Column]:
-    """Column function ``ids -> bytes``: each id joined with the token-byte table, in Arrow batches.
+    return chunks.groupBy("chunk").cogroup(found.groupBy("of_chunk")).applyInArrow(gather, shape)
 
-    The table has one row per token of the vocabulary. A null has no bytes; an
-    id outside the table ends the job.
-    """
+
+def token_table(ranks: dict[bytes, int]) -> list[bytes | None]:
+    """The bytes of each token, by id."""
     by_id = {rank: token for token, rank in ranks.items()}
-    tokens = [by_id.get(i) for i in range(max(by_id) + 1)]
+    return [by_id.get(i) for i in range(max(by_id) + 1)]
+
+
+def _binaries(bounds: np.ndarray, data) -> pa.Array:
+    offsets = pa.py_buffer(np.ascontiguousarray(bounds, np.int64).tobytes())
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, offsets, data])
+
+
+def _ends(lists: pa.Array) -> np.ndarray:
+    lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+
+
+def decode_lists(ids: pa.Array, table: pa.Array) -> pa.Array:
+    """The bytes of each list of ids: the ids joined with the token-byte table, whose bytes then lie one after the other."""
+    taken = table.take(ids.flatten())
+    if taken.null_count:
+        raise ValueError("an id is not in the token table")
+    offsets = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(taken) + 1]
+    return _binaries(offsets[_ends(ids)], taken.buffers()[2])
+
+
+def pack_lists(ids: pa.Array) -> pa.Array:
+    """The ids of each list as little-endian unsigned 32-bit integers, one after the other."""
+    data = np.ascontiguousarray(ids.flatten().to_numpy(zero_copy_only=False), "<u4")
+    return _binaries(4 * _ends(ids), pa.py_buffer(data.tobytes()))
+
+
+def decoded(ranks: dict[bytes, int]) -> Callable[[Column | str], Column]:
+    """Column function ``ids -> bytes``. A null has no bytes; an id outside the table ends the job."""
+    tokens = token_table(ranks)
 
     @F.arrow_udf("binary")
     def decode(ids: pa.Array) -> pa.Array:
-        table = pa.array(tokens, pa.large_binary())
-        lengths = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        taken = table.take(ids.flatten())
-        if taken.null_count:
-            raise ValueError("an id is not in the token table")
-        offsets = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(taken) + 1]
-        bounds = offsets[np.concatenate([[0], np.cumsum(lengths)])]
-        made = pa.LargeBinaryArray.from_buffers(
-            pa.large_binary(), len(ids), [None, pa.py_buffer(bounds.tobytes()), taken.buffers()[2]]
-        )
-        return made.cast(pa.binary())
+        return decode_lists(ids, pa.array(tokens, pa.large_binary())).cast(pa.binary())
 
     return decode
 
 
-def packed(ids: Column | str) -> Column:
-    """The ids as little-endian unsigned 32-bit integers, one after the other."""
+DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
-    @F.arrow_udf("binary")
-    def pack(values: pa.Array) -> pa.Array:
-        lengths = values.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        data = np.ascontiguousarray(values.flatten().to_numpy(zero_copy_only=False).astype("<u4"))
-        bounds = 4 * np.concatenate([[0], np.cumsum(lengths)])
-        made = pa.LargeBinaryArray.from_buffers(
-            pa.large_binary(), len(values), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(data.tobytes())]
-        )
-        return made.cast(pa.binary())
-
-    return pack(ids)
-
-
-def digests(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """Adds ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` to ``(doc_id, ids)``."""
-    return encoded.withColumns(
-        {
-            "n_tokens": F.size("ids").cast("long"),
-            "ids_sha256": F.sha2(packed("ids"), 256),
-            "decoded_sha256": F.sha2(decoded(ranks)("ids"), 256),
-        }
-    )
+
+def digests(ranks: dict[bytes, int], keep: Sequence[str] = ("doc_id", "ids")) -> Callable[[pa.Table], pa.Table]:
+    """A ``finish`` for :func:`encode`: the columns ``keep`` and ``DIGESTS``, of the ids and of what they decode to."""
+    tokens = token_table(ranks)
+
+    def add(table: pa.Table) -> pa.Table:
+        by_id, n, packed, plain = pa.array(tokens, pa.large_binary()), [], [], []
+        for ids in table.column("ids").chunks:
+            n += ids.value_lengths().to_pylist()
+            packed += [sha256(v.as_buffer() or b"").hexdigest() for v in pack_lists(ids)]
+            plain += [sha256(v.as_buffer() or b"").hexdigest() for v in decode_lists(ids, by_id)]
+        kept = {c: table.column(c) for c in keep}
+        return pa.table({**kept, "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(packed, pa.string()), "decoded_sha256": pa.array(plain, pa.string())})
+
+    return add

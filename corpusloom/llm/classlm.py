@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.llm.chunks import Numbers, chunked, dealt, pack, pack_words, unpack, word_array
+from corpusloom.llm.common import small_batches
 from corpusloom.session import staged
 
 CLASSES = 48  # of words; the end of a text is a class of its own
@@ -444,6 +445,7 @@ def scored(docs: DataFrame, trains: Callable[[object], bool], head: int = HEAD,
     ids are judged by ``trains`` too; an empty table gives an empty result.
     Words of equal count enter the head by their bytes.
     """
+    small_batches(docs.sparkSession)
     chunks = staged(chunked(docs, tokens, chunk_bytes=CHUNK_BYTES), "chunks")
     buckets = max(BUCKETS, chunks.count() // 2)
     totals = staged(word_totals(chunks, trains, head, buckets), "word-totals")

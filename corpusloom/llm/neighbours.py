@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from corpusloom.llm.common import small_batches
 from corpusloom.session import staged
 
 K = 20
@@ -326,6 +327,7 @@ def nearest(vectors: DataFrame, asks: Column, k: int = K, curves: int = CURVES,
     that take no part. Projections are fitted on ``SAMPLE`` vectors, every vector
     is indexed. ``exact=False`` leaves out the check and keeps the windows' answer.
     """
+    small_batches(vectors.sparkSession)
     rows = staged(usable(vectors).withColumn("asks", asks), "vectors")
     found = staged(points(rows, F.col("asks"), k), "points")
     sample = found.orderBy(F.xxhash64("point")).limit(SAMPLE).select("v").collect()

@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from corpusloom.llm.common import small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 
 # The base patterns. Guards and possessive parts keep long runs linear and change no match.
@@ -364,6 +366,8 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
     no spans; repeated rows are treated alike; an empty table stays empty.
     """
 
+    small_batches(docs.sparkSession)
+
     @F.arrow_udf(f"struct<base:{SPANS},spans:{SPANS}>")
     def spans(column: pa.Array) -> pa.Array:
         texts = [t or "" for t in column.to_pylist()]
@@ -389,6 +393,8 @@ def listed(spans: Column) -> Column:
 def masked(docs: DataFrame, field: Field) -> DataFrame:
     """The documents with each span of personal data replaced by its kind in brackets."""
 
+    small_batches(docs.sparkSession)
+
     @F.arrow_udf(T.StringType())
     def mask(column: pa.Array) -> pa.Array:
         texts = column.to_pylist()

@@ -35,8 +35,8 @@ def rank_file() -> tuple[dict[bytes, int], str]:
 
 def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = rank_file()
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern)
-    return bpe.digests(encoded, ranks).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    finish = bpe.digests(ranks, keep=["doc_id"])
+    return bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern, finish, f"doc_id long, {bpe.DIGESTS}")
 
 
 def op3_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from corpusloom.llm.common import raw
+from corpusloom.llm.common import raw, small_batches
 from corpusloom.llm.graph import components
 from corpusloom.session import staged
 
@@ -231,6 +231,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     their group; null ids get their group's id (null if it has none); an empty
     table gives an empty result; other columns of ``docs`` are not touched.
     """
+    small_batches(docs.sparkSession)
     made = staged(docs.select(F.col(id_column).alias("doc_id"), fingerprint_column(text_column).alias("fp")), "prints")
     prints = staged(made.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-prints")
     roots = components(links(prints), "a", "b")

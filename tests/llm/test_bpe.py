@@ -43,7 +43,7 @@ def test_segments_have_the_pre_tokens_of_the_text(monkeypatch):
 
 def check(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "0 AS ids", "'x' AS chunk")
-    made = bpe.digests(bpe.encode(docs, RANKS, PATTERN), RANKS)
+    made = bpe.encode(docs, RANKS, PATTERN, bpe.digests(RANKS), f"doc_id long, ids array<int>, {bpe.DIGESTS}")
     got = sorted((r.doc_id or -1, tuple(r.ids), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in made.collect())
     expected = []
     for i, text in rows:
@@ -54,6 +54,13 @@ def check(spark, rows):
     assert got == sorted(expected)
 
 
+def test_ids_decode_to_the_texts(spark):
+    rows = list(enumerate(texts()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    back = bpe.encode(docs, RANKS, PATTERN).select("doc_id", bpe.decoded(RANKS)("ids").alias("data"))
+    assert {r.doc_id: bytes(r.data).decode() for r in back.collect()} == {i: t or "" for i, t in rows}
+
+
 def test_round_trip_equals_the_library(spark):
     rows = list(enumerate(texts()))
     check(spark, rows + [rows[5], (None, "no id"), (None, "no id")])
