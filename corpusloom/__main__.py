@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession, functions as F
 from corpusloom.functions import python as PY
 from corpusloom.functions.text import as_text
 from corpusloom.operators import examples as E, vocabulary as V
-from corpusloom.operators.planning import TOKENS_PER_ITER
+from corpusloom.operators.planning import SETUPS
 from corpusloom.operators.runs import best_per_group
 from corpusloom.plans import jobs
 from corpusloom.session import build_session, staged
@@ -41,7 +41,8 @@ def preprocess(spark: SparkSession, args) -> None:
 
 
 def count_tokens(spark: SparkSession, args) -> None:
-    per_file, plan = jobs.count_training_tokens(spark, args.data_dir, args.epochs, args.tokens_per_iter)
+    tokens = args.tokens_per_iter or SETUPS[args.setup]
+    per_file, plan = jobs.count_training_tokens(spark, args.data_dir, args.epochs, tokens)
     per_file.orderBy(F.col("file").asc_nulls_last()).show(50, truncate=False)
     plan.show()
 
@@ -108,7 +109,9 @@ def parser() -> argparse.ArgumentParser:
     sub.add_argument("--vocab_words", type=int, help="default: all words")
     sub.add_argument("--eot_token", type=int)
     sub.add_argument("--tasks", type=int)
-    job(count_tokens, data_dir=str, epochs=1, tokens_per_iter=TOKENS_PER_ITER)
+    sub = job(count_tokens, data_dir=str, epochs=1)
+    sub.add_argument("--setup", choices=list(SETUPS), default="large")
+    sub.add_argument("--tokens_per_iter", type=int, help="instead of a set-up's")
     sub = job(
         build_packs, dataset=str, output_dir=str, representation=str, languages=str, mix_mode="balanced",
         context_len=2048, target_max_tokens=256, train_sample_frac=1.0, seed=42, key="doc_id", tokenizer=None,

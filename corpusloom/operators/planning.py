@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-TOKENS_PER_ITER = 524_288  # fixed values: defaults of the larger and of the small set-up
-TOKENS_PER_ITER_SMALL = 393_216
+TOKENS_PER_ITER = 524_288
+SETUPS = {"large": TOKENS_PER_ITER, "small": 393_216}  # fixed values: tokens of a step in the larger and in the small set-up
 WARMUP_SHARE, DECAY_SHARE = 0.1, 0.9  # fixed values
 
 

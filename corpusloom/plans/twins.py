@@ -214,6 +214,7 @@ cte(
     "ex_cls",
     "plain_ids",
 )
+# fixed values: the prompt text, here and in ``prompts``
 cte(
     "prompt_pieces",
     f"""

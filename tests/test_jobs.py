@@ -77,6 +77,7 @@ def test_preprocess_and_count_from_the_command_line(spark, tmp_path, word_tokeni
     assert {r.file: r.tokens for r in per_file.collect()}[None] == len(stream) - 6
     assert plan.first().iterations == round((len(stream) - 6) * 2 / 10)
     cli.main(["count-tokens", "--data_dir", out])
+    cli.main(["count-tokens", "--data_dir", out, "--setup", "small", "--epochs", "2"])
 
 
 def test_packs_are_built_once_and_balanced(spark, tmp_path, word_tokenizer):
