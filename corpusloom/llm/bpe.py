@@ -24,7 +24,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corpusloom.llm.chunks import chunked, dealt, pack, pack_words, ragged, unpack, word_array
 from corpusloom.llm.common import small_batches
 
-BUCKETS = 64  # of the word hash; a task holds the words of one bucket, so raise it with the vocabulary of the corpus
+BUCKETS = 64  # of the word hash, at least; a task holds the distinct words of one bucket, so there are more with more rows
+ROWS_PER_BUCKET = 8192
 LONG_TEXT = 1 << 20
 SHORT_WORD = 48
 TOKENS_AT_ONCE = 1 << 20
@@ -127,19 +128,23 @@ def pre_tokens(pattern: str) -> Callable[[str], Sequence[bytes]]:
     return cut
 
 
-def _deal_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _deal_words(count: int) -> Callable:
     """The words of each chunk by hash bucket: ``(bucket, of_chunk, places, words)``."""
-    for batch in batches:
-        for row in range(batch.num_rows):
-            words = word_array(batch.column("words")[row].as_py()).to_pylist()
-            _, order, buckets, starts = dealt(words, BUCKETS)
-            parts = np.split(order, starts[1:]) if len(order) else []
-            columns = [
-                pa.array(buckets.astype(np.int32)), pa.array([batch.column("chunk")[row].as_py()] * len(parts), pa.int64()),
-                pa.array([pack(np.diff(p, prepend=0)) for p in parts], pa.binary()),
-                pa.array([pack_words([words[i] for i in p]) for p in parts], pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "of_chunk", "places", "words"])
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                words = word_array(batch.column("words")[row].as_py()).to_pylist()
+                _, order, buckets, starts = dealt(words, count)
+                parts = np.split(order, starts[1:]) if len(order) else []
+                columns = [
+                    pa.array(buckets.astype(np.int32)), pa.array([batch.column("chunk")[row].as_py()] * len(parts), pa.int64()),
+                    pa.array([pack(np.diff(p, prepend=0)) for p in parts], pa.binary()),
+                    pa.array([pack_words([words[i] for i in p]) for p in parts], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "of_chunk", "places", "words"])
+
+    return deal
 
 
 def _encode_words(ranks: dict[bytes, int]) -> Callable:
@@ -198,6 +203,7 @@ def encode(
     pattern: str,
     finish: Callable[[pa.Table], pa.Table] = lambda table: table,
     shape: str = "doc_id long, ids array<int>",
+    buckets: int | None = None,
 ) -> DataFrame:
     """``(doc_id, ids)`` for every row of ``docs`` (doc_id, text; other columns are left alone).
 
@@ -205,11 +211,14 @@ def encode(
     empty texts have no ids; repeated rows and null document ids stay rows of
     their own; an empty table gives an empty result. ``finish`` may turn each
     Arrow table of results into one of another ``shape`` where it is made.
+    Without a number of ``buckets`` the rows are counted, which of a stored
+    table reads no data.
     """
     small_batches(docs.sparkSession)
+    buckets = buckets or max(BUCKETS, docs.count() // ROWS_PER_BUCKET)
     # one shuffle of the chunks serves both: all columns go both ways, so that Spark can use it again
     chunks = chunked(docs, segments, pre_tokens(pattern)).repartition("chunk")
-    words = chunks.mapInArrow(_deal_words, "bucket int, of_chunk long, places binary, words binary")
+    words = chunks.mapInArrow(_deal_words(buckets), "bucket int, of_chunk long, places binary, words binary")
     met = words.repartition("bucket").sortWithinPartitions("bucket")
     found = met.mapInArrow(_encode_words(ranks), "of_chunk long, places binary, sizes binary, ids binary")
 

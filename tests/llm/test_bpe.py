@@ -70,6 +70,7 @@ def test_many_chunks_and_long_texts(spark, monkeypatch):
     monkeypatch.setattr(bpe, "chunked", lambda *a: chunks.chunked(*a, chunk_bytes=300))
     monkeypatch.setattr(bpe, "LONG_TEXT", 1000)
     monkeypatch.setattr(bpe, "TOKENS_AT_ONCE", 50)
+    monkeypatch.setattr(bpe, "ROWS_PER_BUCKET", 1)  # a bucket for each row
     check(spark, list(enumerate(texts())))
 
 
