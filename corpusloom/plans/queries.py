@@ -745,11 +745,19 @@ def width_rules(spark, sf_dir):
 # --- streams ----------------------------------------------------------------------
 
 
+def arriving(spark: SparkSession, sf_dir: str, name: str, schema) -> DataFrame:
+    """A table as a stream: the files in its folder or, where it is a single file, that one in the folder of the tables."""
+    files = table(spark, sf_dir, name).inputFiles()
+    if len(files) == 1 and files[0].endswith(f"/{name}.parquet"):
+        return ST.read_stream(spark, sf_dir, schema, f"{name}.parquet")
+    return ST.read_stream(spark, f"{sf_dir}/{name}.parquet", schema)
+
+
 def stream_tokens(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     vocab = vocabulary(spark, sf_dir)
     out = scratch_folder(spark, "tokens")
-    stream = ST.read_stream(spark, sf_dir, docs.schema, "documents.parquet")
+    stream = arriving(spark, sf_dir, "documents", docs.schema)
     ST.drain(ST.stream_tokenize(stream, vocab, f"{out}/rows", f"{out}/state"))
     weighted = F.transform("ids", lambda x, i: x.cast("long") * (i + 1))
     checksum = F.aggregate(weighted, F.lit(0).cast("long"), lambda a, x: a + x)
@@ -759,7 +767,7 @@ def stream_tokens(spark, sf_dir):
 def stream_counts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("lang", "text")
     out = scratch_folder(spark, "counts")
-    stream = ST.read_stream(spark, sf_dir, docs.schema, "documents.parquet")
+    stream = arriving(spark, sf_dir, "documents", docs.schema)
     ST.drain(ST.stream_count_tokens(stream, f"{out}/totals", f"{out}/state"))
     return ST.latest_totals(spark, f"{out}/totals")
 
@@ -767,7 +775,7 @@ def stream_counts(spark, sf_dir):
 def stream_windows(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("ts", "event_type", "value")
     out = scratch_folder(spark, "windows")
-    stream = ST.read_stream(spark, sf_dir, events.schema, "events.parquet").select(
+    stream = arriving(spark, sf_dir, "events", events.schema).select(
         F.col("ts").cast("timestamp").alias("ts"),
         F.col("value").alias("loss"),
         F.col("event_type").isin("purchase", "signup").alias("correct"),
