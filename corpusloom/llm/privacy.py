@@ -32,6 +32,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MARKED = re.compile(r"[0-9@]")
+_AT = re.compile(r"[\s(\[]at[\s)\]]")
+_DOT = re.compile(r"[\s(\[]dot[\s)\]]")
 
 Span = tuple[str, int, int]
 
@@ -102,6 +104,8 @@ def features(word: str) -> list[str]:
     """What the field sees of a word: its shape, the shape without lengths, its digits, and cue words."""
     inner = word.strip(_EDGES + "()[]=")
     lowered, own = inner.lower(), shape(word.strip(_EDGES))
+    if lowered in ("at", "dot"):
+        own = shape(word.strip(_EDGES).lower())  # an address is spelled out in any case
     digits = sum(c.isdigit() for c in word)
     made = [f"s:{own}", "r:" + re.sub(r"\d", "", own), f"d:{min(digits, 20)}"]
     made += [f"at:{word.count('@')}", f"dots:{min(inner.count('.'), 4)}"]
@@ -304,14 +308,20 @@ def _spans(chain: list[tuple[str, int, int]], path: np.ndarray) -> Iterator[Span
         yield open_
 
 
+def spelt(text: str) -> bool:
+    """Whether an at and, with something between, a dot behind it are spelled out, in any case, in brackets or blanks."""
+    lowered = text.lower()
+    at = _AT.search(lowered)
+    return at is not None and _DOT.search(lowered, at.end() + 1) is not None
+
+
 def plausible(span: Span, text: str) -> bool:
     """Whether a found span has what its kind must have, whatever its form."""
     kind, start, end = span
     inner = text[start:end]
     digits = len(_digits(inner))
     if kind == "email":
-        spelt = re.search(r"[\s(\[]at[\s)\]].+[\s(\[]dot[\s)\]]", inner.lower())
-        return "@" in inner[1:-1] and "." in inner or spelt is not None
+        return "@" in inner[1:-1] and "." in inner or spelt(inner)
     if any(c.isalpha() for c in inner):
         return False
     if kind == "ip":
@@ -322,8 +332,11 @@ def plausible(span: Span, text: str) -> bool:
 
 
 def field_spans(field: Field, texts: Sequence[str]) -> list[list[Span]]:
-    """Spans that the field finds in each text; chains of all texts are decoded together."""
-    owned = [(i, chain) for i, text in enumerate(texts) if _MARKED.search(text) or " dot " in text for chain in chains(text)]
+    """Spans that the field finds in each text; chains of all texts are decoded together.
+
+    A text that has no digit, no at sign and none spelled out has no plausible span.
+    """
+    owned = [(i, chain) for i, text in enumerate(texts) if _MARKED.search(text) or spelt(text) for chain in chains(text)]
     found: list[list[Span]] = [[] for _ in texts]
     known: dict[str, np.ndarray] = {}
     owned.sort(key=lambda item: len(item[1]))

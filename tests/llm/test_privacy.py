@@ -105,3 +105,13 @@ def test_spans_of_rows_and_masking(spark, field):
 def test_base_spans_stay():
     base = [("email", 5, 10), ("card", 5, 10)]
     assert privacy.joined(base, [("phone", 9, 12), ("ip", 10, 12), ("ip", 3, 3)]) == [*base, ("ip", 10, 12)]
+
+
+def test_spelled_out_addresses_need_no_digit_elsewhere(field):
+    forms = ["jane (at) example (dot) org", "jane [at] example [dot] com", "jane (AT) example (DOT) org", "jane at example dot\ncom",
+             "jane at\nexample\ndot com", "jane\tat\texample\tdot\tcom", "jane (at) example\n\n(dot) org", "jane At example Dot com"]
+    for form in forms:
+        text = f"please write to {form} soon"
+        alone, beside = privacy.field_spans(field, [text, text + " and so on and on and on until 7"])
+        assert alone == beside and ("email", 16, 16 + len(form)) in alone, form
+    assert privacy.field_spans(field, ["look at the dot", "a dot at the end", "the dotted line at the plate", "at dot"]) == [[]] * 4
