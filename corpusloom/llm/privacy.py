@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -87,7 +87,7 @@ _CUES = frozenset("at dot call tel phone fax mobile mail email card ip server ho
 _EDGES = " .,;:!?\"'<>"
 CONTEXT = 2
 CHAINS_AT_ONCE = 2048
-CHAIN_WORDS = 4096  # a longer chain is decoded in parts of this length
+CHAIN_WORDS = 4096  # a longer chain is decoded alone, in parts of this length that hand on their scores
 WORDS_AT_ONCE = 1 << 16
 
 
@@ -158,6 +158,29 @@ def viterbi(scores: np.ndarray, transition: np.ndarray, lengths: np.ndarray) ->
     return path
 
 
+def long_path(words: Sequence[str], vectors: Callable[[str], np.ndarray], transition: np.ndarray) -> np.ndarray:
+    """The path that :func:`viterbi` gives one chain, with the emissions of ``CHAIN_WORDS`` words held at a time.
+
+    Scores and back pointers go on from part to part, so no cut changes the path.
+    """
+    back = np.zeros((len(words), transition.shape[1]), np.int8)
+    best = transition[-1]
+    for low in range(0, len(words), CHAIN_WORDS):
+        first, high = max(low - 1, 0), min(low + CHAIN_WORDS, len(words))  # emissions need the word before and behind
+        scores = _shifted(np.array([vectors(w) for w in words[first : high + 1]]))[low - first : high - first]
+        for t, score in enumerate(scores, low):
+            if t:
+                step = best[:, None] + transition[:-1]
+                back[t] = step.argmax(axis=0)
+                best = step.max(axis=0)
+            best = best + score
+    path = np.zeros(len(words), np.int16)
+    path[-1] = best.argmax()
+    for t in range(len(words) - 1, 0, -1):
+        path[t - 1] = back[t, path[t]]
+    return path
+
+
 def _logsumexp(values: np.ndarray, axis: int) -> np.ndarray:
     top = values.max(axis=axis, keepdims=True)
     return np.squeeze(top, axis) + np.log(np.exp(values - top).sum(axis=axis))
@@ -282,7 +305,7 @@ def chains(text: str) -> list[list[tuple[str, int, int]]]:
     words = [(m.group(), *m.span()) for m in _WORD.finditer(text)]
     for i, (word, _, _) in enumerate(words):
         if _MARKED.search(word) or word.strip("()[]").lower() in ("at", "dot"):
-            if current and (i - CONTEXT > last + 1 or len(current) >= CHAIN_WORDS):
+            if current and i - CONTEXT > last + 1:
                 found.append(current)
                 current = []
             end = min(i + CONTEXT + 1, len(words))
@@ -339,7 +362,21 @@ def field_spans(field: Field, texts: Sequence[str]) -> list[list[Span]]:
     owned = [(i, chain) for i, text in enumerate(texts) if _MARKED.search(text) or spelt(text) for chain in chains(text)]
     found: list[list[Span]] = [[] for _ in texts]
     known: dict[str, np.ndarray] = {}
-    owned.sort(key=lambda item: len(item[1]))
+
+    def vector(word: str) -> np.ndarray:
+        if word not in known:
+            if len(known) > 100_000:
+                known.clear()
+            known[word] = field.vectors(word)
+        return known[word]
+
+    def keep(i: int, chain: list[tuple[str, int, int]], path: np.ndarray) -> None:
+        found[i] += [s for s in _spans(chain, path) if plausible(s, texts[i])]
+
+    for i, chain in owned:
+        if len(chain) > CHAIN_WORDS:
+            keep(i, chain, long_path([word for word, _, _ in chain], vector, field.transition))
+    owned = sorted((item for item in owned if len(item[1]) <= CHAIN_WORDS), key=lambda item: len(item[1]))
     low = 0
     while low < len(owned):
         longest = len(owned[min(low + CHAINS_AT_ONCE, len(owned)) - 1][1])  # chains of like length go together
@@ -349,14 +386,10 @@ def field_spans(field: Field, texts: Sequence[str]) -> list[list[Span]]:
         vectors = np.zeros((len(part), width, 3, len(LABELS)))
         for row, (_, chain) in enumerate(part):
             for t, (word, _, _) in enumerate(chain):
-                if word not in known:
-                    if len(known) > 100_000:
-                        known.clear()
-                    known[word] = field.vectors(word)
-                vectors[row, t] = known[word]
+                vectors[row, t] = vector(word)
         paths = viterbi(_shifted(vectors), field.transition, np.array([len(c) for _, c in part]))
         for (i, chain), path in zip(part, paths):
-            found[i] += [s for s in _spans(chain, path[: len(chain)]) if plausible(s, texts[i])]
+            keep(i, chain, path[: len(chain)])
     return found
 
 

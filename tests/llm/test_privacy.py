@@ -115,3 +115,25 @@ def test_spelled_out_addresses_need_no_digit_elsewhere(field):
         alone, beside = privacy.field_spans(field, [text, text + " and so on and on and on until 7"])
         assert alone == beside and ("email", 16, 16 + len(form)) in alone, form
     assert privacy.field_spans(field, ["look at the dot", "a dot at the end", "the dotted line at the plate", "at dot"]) == [[]] * 4
+
+
+def test_long_chains_lose_nothing_where_their_parts_meet(field, monkeypatch):
+    for between in (", ", " x ", " call "):
+        row = "(582) 555-9616" + between
+        whole = [("phone", i * len(row), i * len(row) + 14) for i in range(3000)]
+        assert privacy.field_spans(field, [row * 3000]) == [whole]
+    lines = "x 7 (582) 555-9616 jane at mail7 dot com 4632.8361.4975.2474 " * 40
+    short = privacy.field_spans(field, [lines])
+    monkeypatch.setattr(privacy, "CHAIN_WORDS", 7)
+    assert sorted(privacy.field_spans(field, [lines])[0]) == sorted(short[0]) and short[0]
+
+
+def test_long_path_equals_viterbi(field, monkeypatch):
+    monkeypatch.setattr(privacy, "CHAIN_WORDS", 5)
+    rng = random.Random(3)
+    pool = ["(582)", "555-9616", "jane", "at", "mail7", "dot", "com", "12", "4632", "8361"]
+    for n in (1, 4, 5, 6, 23, 200):
+        words = [rng.choice(pool) for _ in range(n)]
+        vectors = np.array([field.vectors(w) for w in words])[None]
+        path = privacy.viterbi(privacy._shifted(vectors), field.transition, np.array([n]))[0]
+        assert privacy.long_path(words, field.vectors, field.transition).tolist() == path.tolist()
