@@ -186,10 +186,13 @@ def windows(found: DataFrame, curves: Curves) -> DataFrame:
 
 def best_of(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(row of the query, ids, inner products) of its ``k`` best. Products of those are summed alike wherever they meet."""
-    wide = k + 8  # the matrix product rounds in another way; what lies close to the last place is computed again
     rough = queries @ vectors.T
+    # the matrix product rounds in another way; whatever may reach the last place or tie with it is computed again
+    longest = np.sqrt((vectors**2).sum(axis=1).max(initial=0))
+    margins = 4 * vectors.shape[1] * np.finfo(float).eps * longest * np.sqrt((queries**2).sum(axis=1))
     for row, scores in enumerate(rough):
-        near = np.argpartition(-scores, wide)[:wide] if len(scores) > wide else np.arange(len(scores))
+        last = np.partition(scores, -k)[-k] if len(scores) > k else -np.inf
+        near = np.flatnonzero(~(scores < last - margins[row]))
         exact = (vectors[near] * queries[row]).sum(axis=1)
         order = np.lexsort((ids[near], -exact))[:k]
         yield row, ids[near][order], exact[order]

@@ -91,3 +91,11 @@ def test_neighbours_on_the_curve_are_neighbours_in_space():
     keys = neighbours.hilbert_keys(cells, 3)
     assert sorted(keys) == list(range(512))
     assert (np.abs(np.diff(cells[np.argsort(keys)], axis=0)).sum(axis=1) == 1).all()
+
+
+@pytest.mark.parametrize("size", [12, 64])
+def test_ties_of_distinct_vectors_go_to_the_smaller_id(spark, size):
+    rng = np.random.default_rng(4)
+    signs = np.unique(rng.choice([-1.0, 1.0], size=(700, size)), axis=0)
+    rows = [(int(i), v.tolist()) for i, v in zip(rng.permutation(len(signs)), signs)]
+    check(spark, rows, k=20)
