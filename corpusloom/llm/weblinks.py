@@ -20,8 +20,9 @@ from corpusloom.session import staged
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?(?:https?:)?//([^/?#"'\s<>]+)"""
 DAMPING = 0.85
-ROUNDS = 12
+ROUNDS = 12  # of propagate() and of the twin, unless told to go on
 STAGE_EVERY = 4
+TOLERANCE = 1e-6  # change of a host's mass over STAGE_EVERY rounds, as a part of it, at which ranks are final
 PARENT_WEIGHT = 0.1
 BLOCK_RATIO = 2.0  # a host is blocked if its distrust exceeds this many times its trust
 
@@ -101,14 +102,16 @@ def parent_edges(hosts: DataFrame) -> DataFrame:
     return both.withColumn("weight", F.lit(PARENT_WEIGHT))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = ROUNDS, damping: float = DAMPING) -> DataFrame:
     """``(kind, host, mass)``: personalised PageRank for each kind of seed.
 
     ``edges`` (src, dst, weight) are followed forward by ``trust`` and backward by
     ``distrust``; ``seeds`` (kind, host, mass) are scaled to one per kind. What
     flows into a host is added up before the shuffle, so a host with very many
     links is no group in one task. Every few rounds the ranks are written to
-    shared storage, so that a lost executor costs these rounds only.
+    shared storage, so that a lost executor costs these rounds only. Without a
+    number of ``rounds`` they go on until no host is new and no host's mass
+    changes by more than ``TOLERANCE`` of itself, however far it is from a seed.
     """
     totals = seeds.groupBy("kind").agg(F.sum("mass").alias("total"))
     scaled = seeds.join(F.broadcast(totals), "kind")  # two rows
@@ -120,11 +123,21 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     shares = both.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("out")).alias("share"))
     shares = staged(shares, "host-links")
     ranks = scaled.select("kind", "host", F.col("seed").alias("mass"))
-    for turn in range(1, rounds + 1):
+    earlier, turn = ranks, 0
+    while rounds is None or turn < rounds:
+        turn += 1
         flows = shares.join(ranks.withColumnRenamed("host", "src"), ["kind", "src"])
         moved = flows.select("kind", F.col("dst").alias("host"), (damping * F.col("mass") * F.col("share")).alias("mass"))
         kept = scaled.select("kind", "host", ((1 - damping) * F.col("seed")).alias("mass"))
-        ranks = moved.unionByName(kept).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
+        flowing = moved.unionByName(kept)
+        if rounds is None and turn % STAGE_EVERY == 0:
+            flowing = flowing.withColumn("old", F.lit(0.0)).unionByName(earlier.select("kind", "host", F.lit(0.0).alias("mass"), F.col("mass").alias("old")))
+            compared = staged(flowing.groupBy("kind", "host").agg(F.sum("mass").alias("mass"), F.sum("old").alias("old")), "ranks")
+            ranks = earlier = compared.drop("old")
+            if compared.where(F.abs(F.col("mass") - F.col("old")) > TOLERANCE * F.col("mass")).isEmpty():
+                break
+            continue
+        ranks = flowing.groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
         if turn % STAGE_EVERY == 0 or turn == rounds:
             ranks = staged(ranks, "ranks")
     return ranks
@@ -142,7 +155,7 @@ def host_verdicts(pages: DataFrame, ratio: float = BLOCK_RATIO) -> DataFrame:
     hosts = pages.where("host != ''").select("host").distinct()
     edges = host_edges(pages).unionByName(parent_edges(hosts))
     edges = edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
-    mass = propagate(edges, seeds).groupBy("host")
+    mass = propagate(edges, seeds, rounds=None).groupBy("host")
     by_kind = mass.agg(
         *[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("mass"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")]
     )

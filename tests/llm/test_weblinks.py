@@ -81,3 +81,19 @@ def test_parent_domains(spark):
 
 def test_empty_table(spark):
     assert weblinks.judged(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_distrust_reaches_every_host_of_a_long_chain(spark):
+    rows = [(0, "http://bad.com/de/1", None), (100, "http://alone.net/", None)]
+    rows += [(i, f"http://h{i}.net/", f'<a href="http://{f"h{i - 1}.net" if i > 1 else "bad.com"}/">') for i in range(1, 31)]
+    got = {r.page_id: r.verdict for r in weblinks.judged(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: "allow" if i == 100 else "block" for i in [*range(31), 100]}
+
+
+def test_ranks_are_final(spark):
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 3.0), ("b", "c", 1.0)], "src string, dst string, weight double")
+    seeds = spark.createDataFrame([("trust", "a", 2.0)], "kind string, host string, mass double")
+    got = {r.host: r.mass for r in weblinks.propagate(edges, seeds, rounds=None).collect()}
+    a = 0.15 / (1 - 0.85 * 0.85 * 0.75)  # a = 0.15 + 0.85 * 0.75 b, b = 0.85 a, c = 0.85 * 0.25 b
+    for host, mass in {"a": a, "b": 0.85 * a, "c": 0.85 * 0.25 * 0.85 * a}.items():
+        assert abs(got[host] - mass) < 1e-5 * mass
