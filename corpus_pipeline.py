@@ -18,8 +18,13 @@ from corpusloom.session import scratch_folder
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; those without any letter go."""
+    """Documents whose language is known; those without any letter go.
+
+    If no row has a usable label there is no model, and every document with a letter stays.
+    """
     model = language.learn(docs, remainder("doc_id", 4) != 2)
+    if model is None:
+        return language.with_letters(docs)
     found = language.identify(docs, model)
     return found.where(F.col("__language.lang_pred") != language.UNKNOWN).select(*docs.columns)
 

@@ -120,12 +120,28 @@ def learn(
     return fit([r["text"] for r in picked], [r["grp"] for r in picked], landmarks)
 
 
+def lettered(text: str | None) -> bool:
+    """Whether a text has a letter of any script."""
+    return bool(text) and any(map(str.isalpha, text))
+
+
+def with_letters(docs: DataFrame) -> DataFrame:
+    """The rows whose text has a letter, with all columns."""
+    small_batches(docs.sparkSession)
+
+    @F.arrow_udf("boolean")
+    def has(text: pa.Array) -> pa.Array:
+        return pa.array([lettered(t) for t in text.to_pylist()], pa.bool_())
+
+    return docs.where(has("text"))
+
+
 def predict(model: KernelModel | None, texts: Sequence[str | None]) -> tuple[list[str], np.ndarray]:
     """Language and score (0 to 1) of each text; ``und`` and 0 without a letter or without a model."""
     names, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
     if model is None:
         return names, score
-    usable, place = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))], model.places()
+    usable, place = [i for i, t in enumerate(texts) if lettered(t)], model.places()
     for start in range(0, len(usable), TEXTS_AT_ONCE):
         part = usable[start : start + TEXTS_AT_ONCE]
         values = model.scores([texts[i] for i in part], place).astype(np.float64)

@@ -125,3 +125,11 @@ def test_every_stage_with_odd_rows_and_clashing_columns(spark, rows):
                 assert [k for k, _ in kept] == [0, 0, 1, 5, 6]
             if name == "personal_data" and len(rows) > 1:
                 assert "[phone]" in next(r.text for r in docs.collect() if r.doc_id == 5)
+
+
+def test_without_labels_documents_with_letters_stay(spark):
+    rows = [(1, "the old bridge", None), (2, "123 +", None), (3, None, None), (4, "", None), (None, "über", None), (5, "河", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    made = corpus_pipeline.identify_language(spark, docs, TABLES)
+    assert made.columns == docs.columns
+    assert sorted(r.text for r in made.collect()) == ["the old bridge", "über", "河"]
