@@ -7,7 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import bpe, cascade, classlm, language, mixing, neighbours, privacy, quality, simhash, weblinks
+from corpusloom.llm import (
+    bpe, cascade, cells, classlm, infill, language, lexical, mixing, neighbours, privacy, quality, simhash, weblinks,
+)
 from corpusloom.llm.common import remainder, table
 from corpusloom.llm.twins import operator_twins
 
@@ -95,9 +97,27 @@ def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.fill_in_middle(table(spark, sf_dir, "documents"))
+    again = infill.restored(F.col("form"), F.col("output"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"),
+    )
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_vector_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = (
     op1_byte_convolution, op2_bpe_roundtrip, op3_hilbert_neighbours, op4_mixture, op5_class_model, op6_url_trust,
-    op7_rule_cascade, op8_personal_data, op9_language_kernels, op10_simhash_pivots,
+    op7_rule_cascade, op8_personal_data, op9_language_kernels, op10_simhash_pivots, op11_fill_in_middle, op12_lexical_search,
+    op13_vector_cells,
 )
 
 
