@@ -25,6 +25,10 @@ COLUMNS = {
             "base_sha256": "string", "spans": "string"},
     "op9": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
     "op10": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
+    "op11": {"doc_id": "bigint", "n": "bigint", "form": "string", "prefix_chars": "bigint", "middle_chars": "bigint",
+             "output_sha256": "string", "restored_sha256": "string"},
+    "op12": {"item_id": "bigint", "rank": "int", "doc_id": "bigint", "score": "bigint"},
+    "op13": {"vec_id": "bigint", "n_links": "bigint", "component_id": "bigint", "kept": "boolean"},
 }
 QUERIES = {name.split("_")[0]: query for name, query in operator_queries().items()}
 
@@ -50,9 +54,9 @@ def rest(doc_id, divisor):
 def test_columns_and_one_row_per_document(spark, answers, name):
     kinds, rows = answers(name)
     assert kinds == COLUMNS[name]
-    if name == "op3":
+    if name in ("op3", "op12"):
         return
-    table, key = ("pages", "page_id") if name == "op6" else ("documents", "doc_id")
+    table, key = {"op6": ("pages", "page_id"), "op13": ("embeddings", "vec_id")}.get(name, ("documents", "doc_id"))
     assert sorted(r[key] for r in rows) == sorted(r[key] for r in spark.read.parquet(f"{TABLES}/{table}.parquet").collect())
 
 
