@@ -1,7 +1,7 @@
 """Ranked lexical search with Block-Max MaxScore over compressed shards.
 
 ``build_index`` turns documents into shards: some megabytes of text each, with a
-list of postings per term, cut into blocks that are compressed one by one. A
+list of postings per term, cut into blocks that are packed one by one. A
 block's greatest term frequency and least document length are kept beside it,
 so that a bound of its scores is known for any collection statistics without
 opening it.
@@ -27,7 +27,6 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
 from corpusloom.llm.chunks import Numbers, pack, pack_words, ragged, unpack, word_array
@@ -50,7 +49,7 @@ TERM_BYTES = bytes(
 
 INDEX = (
     "doc_ids array<long>, lengths binary, terms binary, counts binary, firsts binary, lasts binary, "
-    "tops binary, shortest binary, places binary, postings binary, n_docs long, n_terms long"
+    "tops binary, shortest binary, widths binary, postings binary, n_docs long, n_terms long"
 )
 
 
@@ -58,25 +57,41 @@ def terms_of(text: bytes) -> list[bytes]:
     return text.translate(TERM_BYTES).split()
 
 
-def narrow(numbers: np.ndarray) -> tuple[int, bytes]:
-    """The numbers in as few bytes each as the greatest needs: 1, 2 or 4."""
-    width = 1 if not len(numbers) or numbers.max() < 1 << 8 else 2 if numbers.max() < 1 << 16 else 4
-    return width, numbers.astype(f"<u{width}").tobytes()
+def widths_of(greatest: np.ndarray) -> np.ndarray:
+    """Bytes that numbers up to these need: 0 (all are zero), 1, 2 or 4."""
+    return np.select([greatest == 0, greatest < 1 << 8, greatest < 1 << 16], [0, 1, 2], 4)
 
 
-def block_bytes(documents: np.ndarray, frequencies: np.ndarray) -> bytes:
-    """One compressed block: distances from its first document, then frequencies less one."""
-    (w1, d), (w2, f) = narrow(documents - documents[0]), narrow(frequencies - 1)
-    body = bytes([w1, w2]) + d + f
-    packed = zstandard.compress(body, 1) if len(body) > 64 else body
-    return b"\1" + packed if len(packed) < len(body) else b"\0" + body
+def packed_blocks(starts: np.ndarray, ends: np.ndarray, documents: np.ndarray, frequencies: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """Each block's distances from its first document, then its frequencies less one, in as few bytes each as it needs.
 
+    Returns a code of both widths and the place of each block, and the bytes of all.
+    """
+    sizes = ends - starts
+    distances = documents - np.repeat(documents[starts], sizes)
+    columns = (distances, frequencies - 1)
+    widths = [widths_of(np.maximum.reduceat(c, starts)) if len(starts) else np.empty(0, np.int64) for c in columns]
+    room = sizes * (widths[0] + widths[1])
+    places = np.concatenate([[0], np.cumsum(room)])
+    out = np.zeros(int(places[-1]), np.uint8)
+    within = np.arange(len(documents)) - np.repeat(starts, sizes)
+    for column, width, base in zip(columns, widths, (places[:-1], places[:-1] + sizes * widths[0])):
+        of_posting, at = np.repeat(width, sizes), np.repeat(base, sizes)
+        for w in (1, 2, 4):
+            some = np.flatnonzero(of_posting == w)
+            spot = at[some] + w * within[some]
+            data = column[some].astype(f"<u{w}").view(np.uint8).reshape(-1, w)
+            out[spot[:, None] + np.arange(w)] = data
+    return widths[0] * 8 + widths[1], places[:-1], out.tobytes()
+
+
+def open_block(data: bytes, place: int, code: int, first: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and frequencies of the block at ``place``."""
+
+    def numbers(width: int, at: int) -> np.ndarray:
+        return np.frombuffer(data, f"<u{width}", size, at).astype(np.int64) if width else np.zeros(size, np.int64)
 
-def open_block(data: bytes, first: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    body = zstandard.decompress(data[1:]) if data[0] else data[1:]
-    split = 2 + body[0] * size
-    documents = np.frombuffer(body, f"<u{body[0]}", size, 2).astype(np.int64) + first
-    return documents, np.frombuffer(body, f"<u{body[1]}", size, split).astype(np.int64) + 1
+    return numbers(code // 8, place) + first, numbers(code % 8, place + size * (code // 8)) + 1
 
 
 def shard_row(ids: list, pieces: list[np.ndarray], numbers: Numbers) -> pa.RecordBatch:
@@ -93,12 +108,11 @@ def shard_row(ids: list, pieces: list[np.ndarray], numbers: Numbers) -> pa.Recor
     starts = np.repeat(np.cumsum(counts) - counts, blocks_of) + ragged(np.zeros(len(words), np.int64), blocks_of) * BLOCK
     ends = np.minimum(starts + BLOCK, np.repeat(np.cumsum(counts), blocks_of))
     reduce = lambda f, x: f.reduceat(x, starts) if len(starts) else np.empty(0, np.int64)
-    data = [block_bytes(document[a:b], frequency[a:b]) for a, b in zip(starts, ends)]
-    sizes = np.fromiter(map(len, data), np.int64, len(data))
+    codes, places, data = packed_blocks(starts, ends, document, frequency)
     columns = [
         pa.array([ids], pa.list_(pa.int64())), pa.array([pack(lengths)]), pa.array([pack_words(words)]), pa.array([pack(counts)]),
         pa.array([pack(document[starts])]), pa.array([pack(document[ends - 1])]), pa.array([pack(reduce(np.maximum, frequency))]),
-        pa.array([pack(reduce(np.minimum, lengths[document]))]), pa.array([pack(sizes)]), pa.array([b"".join(data)], pa.binary()),
+        pa.array([pack(reduce(np.minimum, lengths[document]))]), pa.array([pack(codes, 1)]), pa.array([data], pa.binary()),
         pa.array([int((lengths > 0).sum())], pa.int64()), pa.array([int(lengths.sum())], pa.int64()),
     ]
     return pa.RecordBatch.from_arrays(columns, names=[part.split()[0] for part in INDEX.split(", ")])
@@ -125,9 +139,9 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     return given.mapInArrow(make, INDEX)
 
 
-def gains(frequencies: np.ndarray, lengths: np.ndarray, n_docs: int, n_terms: int) -> np.ndarray:
-    """What one occurrence count is worth in documents of these lengths, before the term's weight."""
-    return (SCALE * frequencies) // (FREQUENCY * frequencies + LENGTH * damped(lengths, n_docs, n_terms))
+def gains(frequencies: np.ndarray, damping: np.ndarray) -> np.ndarray:
+    """What an occurrence count is worth at a length part of the score, before the term's weight."""
+    return (SCALE * frequencies) // (FREQUENCY * frequencies + LENGTH * damping)
 
 
 def damped(lengths: np.ndarray, n_docs: int, n_terms: int) -> np.ndarray:
@@ -153,32 +167,41 @@ class Shard:
     firsts: np.ndarray
     lasts: np.ndarray
     maxima: np.ndarray  # of each block, before the weight
-    places: np.ndarray
+    widths: np.ndarray
     postings: bytes
+    damping: np.ndarray  # length part of each document's score
     opened: int = 0
 
     @classmethod
     def of(cls, batch: pa.RecordBatch, row: int, n_docs: int, n_terms: int) -> "Shard":
         get = lambda name: batch.column(name)[row].as_py()
         numbers = lambda name: unpack(get(name)).astype(np.int64)
-        ends = np.concatenate([[0], np.cumsum(numbers("places"))])
-        maxima = gains(numbers("tops"), numbers("shortest"), n_docs, n_terms)
+        lengths = numbers("lengths")
+        maxima = gains(numbers("tops"), damped(numbers("shortest"), n_docs, n_terms))
         return cls(
-            get("doc_ids"), numbers("lengths"), word_array(get("terms")), numbers("counts"),
-            numbers("firsts"), numbers("lasts"), maxima, ends, get("postings"),
+            get("doc_ids"), lengths, word_array(get("terms")), numbers("counts"), numbers("firsts"), numbers("lasts"),
+            maxima, unpack(get("widths"), 1).astype(np.int64), get("postings"), damped(lengths, n_docs, n_terms),
         )
 
     def __post_init__(self):
         blocks = -(-self.counts // BLOCK)
         self.ends = np.cumsum(blocks)
         self.starts = self.ends - blocks
-
-    def block(self, term: int, at: int) -> tuple[np.ndarray, np.ndarray]:
-        """Documents and frequencies in the ``at``-th block of a term."""
-        number = int(self.starts[term]) + at
-        size = min(BLOCK, int(self.counts[term]) - BLOCK * at)
-        self.opened += 1
-        return open_block(self.postings[self.places[number] : self.places[number + 1]], int(self.firsts[number]), size)
+        within = ragged(np.zeros(len(blocks), np.int64), blocks)
+        self.sizes = np.minimum(BLOCK, np.repeat(self.counts, blocks) - BLOCK * within)
+        room = self.sizes * (self.widths // 8 + self.widths % 8)
+        self.places = np.cumsum(room) - room
+        self.best = np.maximum.reduceat(self.maxima, self.starts) if len(blocks) else np.empty(0, np.int64)  # of each term
+        self.seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # opened blocks, for the other queries
+
+    def block(self, number: int) -> tuple[np.ndarray, np.ndarray]:
+        """Documents of a block (numbered over all terms) and what it adds to their scores, before the weight."""
+        if number not in self.seen:
+            where = (int(x[number]) for x in (self.places, self.widths, self.firsts, self.sizes))
+            documents, frequency = open_block(self.postings, *where)
+            self.seen[number] = documents, gains(frequency, self.damping[documents])
+            self.opened += 1
+        return self.seen[number]
 
 
 @dataclass
@@ -209,72 +232,66 @@ def raised(bar: int, scores: np.ndarray, k: int) -> int:
     return max(bar, int(np.partition(scores, -k)[-k])) if len(scores) >= k else bar
 
 
-def search_shard(shard: Shard, lists: Sequence, heap: Heap, total: np.ndarray, damping: np.ndarray) -> None:
+def search_shard(shard: Shard, lists: Sequence, heap: Heap, total: np.ndarray) -> None:
     """Add a shard's best to ``heap``. ``lists`` has (term, weight, global bound), the greatest bound first.
 
-    ``total`` is a zero score per document, and is left so; ``damping`` is the length part of each document's score.
+    ``total`` is a zero score per document, and is left so.
     """
     k, bar = heap.k, heap.bar()
-    own = [int(w * shard.maxima[shard.starts[t] : shard.ends[t]].max()) for t, w, _ in lists]
-    if sum(own) < bar:
+    if sum(w * int(shard.best[t]) for t, w, _ in lists) < bar:
         return
-    left = np.cumsum([b for *_, b in lists][::-1])[::-1].tolist() + [0]  # global bound of this list and those behind it
-    touched, at = [], 0
+    left = np.cumsum([b for *_, b in lists][::-1])[::-1].tolist()  # global bound of this list and those behind it
+    at = 0
     while at < len(lists) and left[at] >= bar:  # essential
         term, w, _ = lists[at]
-        for number in range(int(shard.ends[term] - shard.starts[term])):
-            documents, frequency = shard.block(term, number)
-            total[documents] += w * ((SCALE * frequency) // (FREQUENCY * frequency + damping[documents]))
-            touched.append(documents)
+        for number in range(int(shard.starts[term]), int(shard.ends[term])):
+            documents, gain = shard.block(number)
+            total[documents] += w * gain
         at += 1
         if at < len(lists):
             bar = raised(bar, total, k)
-    if not touched:
-        return
-    found = np.unique(np.concatenate(touched))
+    found = np.flatnonzero(total)
     scores = total[found]
     total[found] = 0
-    rest = lists[at:]
-    if rest:
-        scores, found = check_rest(shard, rest, scores, found, k, bar, damping)
+    if at < len(lists) and len(found):
+        scores, found = check_rest(shard, lists[at:], scores, found, k, bar)
     keep = scores >= bar
     scores, found = scores[keep], found[keep]
     if len(scores) > k:  # ties at the last place all stay
         keep = scores >= np.partition(scores, -k)[-k]
         scores, found = scores[keep], found[keep]
-    heap.add(scores, [shard.ids[i] for i in found.tolist()])
+    if len(scores):
+        heap.add(scores, [shard.ids[i] for i in found.tolist()])
 
 
-def check_rest(shard: Shard, rest: Sequence, scores: np.ndarray, found: np.ndarray, k: int, bar: int, damping: np.ndarray):
+def check_rest(shard: Shard, rest: Sequence, scores: np.ndarray, found: np.ndarray, k: int, bar: int):
     """Scores of the candidates that the lists which are not essential may still lift to the bar."""
-    keep = scores + sum(b for *_, b in rest) >= bar
+    keep = scores + sum(w * int(shard.best[t]) for t, w, _ in rest) >= bar
     scores, found = scores[keep], found[keep]
-    blocks, bounds = [], []
-    for term, w, _ in rest:
+    blocks, bounds = np.empty((2, len(rest), len(found)), np.int64)
+    for i, (term, w, _) in enumerate(rest):
         a, b = int(shard.starts[term]), int(shard.ends[term])
-        block = np.searchsorted(shard.lasts[a:b], found)
-        inside = block < b - a
-        block = np.minimum(block, b - a - 1)
-        inside &= shard.firsts[a:b][block] <= found
-        blocks.append(np.where(inside, block, -1))
-        bounds.append(np.where(inside, w * shard.maxima[a:b][block], 0))
-    bounds, blocks = np.array(bounds), np.array(blocks)
+        block = a + np.searchsorted(shard.lasts[a:b], found)
+        inside = block < b
+        block = np.minimum(block, b - 1)
+        inside &= shard.firsts[block] <= found
+        blocks[i] = np.where(inside, block, -1)
+        bounds[i] = np.where(inside, w * shard.maxima[block], 0)
     hope = bounds.sum(axis=0)
-    for i, (term, w, _) in enumerate(rest):
-        keep = scores + hope >= bar
-        if not keep.all():
-            scores, found, hope, bounds, blocks = scores[keep], found[keep], hope[keep], bounds[:, keep], blocks[:, keep]
-        if not len(found):
-            break
-        hope = hope - bounds[i]
-        for number in np.unique(blocks[i][blocks[i] >= 0]).tolist():
-            documents, frequency = shard.block(term, number)
-            asked = np.flatnonzero(blocks[i] == number)
+    for i, (_, w, _) in enumerate(rest):
+        # who is out stays out, as the bar only rises and hope only falls
+        live = np.flatnonzero(scores + hope >= bar)
+        if not len(live):
+            return scores[live], found[live]
+        hope -= bounds[i]
+        own = blocks[i][live]
+        for number in np.unique(own[own >= 0]).tolist():
+            documents, gain = shard.block(number)
+            asked = live[own == number]
             spot = np.minimum(np.searchsorted(documents, found[asked]), len(documents) - 1)
             hit = documents[spot] == found[asked]
-            f, asked = frequency[spot[hit]], asked[hit]
-            scores[asked] += w * ((SCALE * f) // (FREQUENCY * f + damping[found[asked]]))
-        bar = raised(bar, scores, k)
+            scores[asked[hit]] += w * gain[spot[hit]]
+        bar = raised(bar, scores[live], k)
     return scores, found
 
 
@@ -293,9 +310,7 @@ def term_statistics(index: DataFrame, words: list[bytes], n_docs: int, n_terms:
                 at = pc.fill_null(pc.index_in(asked, shard.words), -1).to_numpy()
                 here = np.flatnonzero(at >= 0)
                 held[here] += shard.counts[at[here]]
-                if len(here):
-                    best = np.maximum.reduceat(shard.maxima, shard.starts)
-                    most[here] = np.maximum(most[here], best[at[here]])
+                most[here] = np.maximum(most[here], shard.best[at[here]])
         got = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(got), pa.array(held[got]), pa.array(most[got])], names=["word", "held", "most"])
 
@@ -321,12 +336,11 @@ def answer_block(index: DataFrame, block: list[tuple[int, int | None, list[bytes
             for row in range(batch.num_rows):
                 shard = Shard.of(batch, row, n_docs, n_terms)
                 at = pc.fill_null(pc.index_in(asked, shard.words), -1).to_numpy().tolist()
-                damping = LENGTH * damped(shard.lengths, n_docs, n_terms)
                 total = np.zeros(len(shard.ids), np.int64)
                 for heap, (*_, lists) in zip(heaps, plans):
                     here = [(at[i], w, b) for i, w, b in lists if at[i] >= 0]
                     if here:
-                        search_shard(shard, here, heap, total, damping)
+                        search_shard(shard, here, heap, total)
         found = [(place, item, doc, score) for h, (place, item, _) in zip(heaps, plans) for doc, score in zip(h.ids, h.scores.tolist())]
         columns = [pa.array(list(c), pa.int64()) for c in zip(*found)] or [pa.array([], pa.int64())] * 4
         yield pa.RecordBatch.from_arrays(columns, names=["place", "item_id", "doc_id", "score"])
