@@ -67,7 +67,9 @@ def spherical_means(sample: np.ndarray, cells: int, rounds: int = ROUNDS, seed:
 
 
 def points(vectors: DataFrame) -> DataFrame:
-    """``(point, times, label, v)``: rows of equal label and vector, named by their least id.
+    """``(point, tag, times, label, v)``: rows of equal label and vector, named by their least id.
+
+    The tag tells points apart that have the same least id, as rows may share one.
 
     Rows without a label or an id, zero vectors and those with a null or
     non-finite component take no part. Of a vector whose length is no finite
@@ -77,7 +79,8 @@ def points(vectors: DataFrame) -> DataFrame:
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = vectors.select("vec_id", "label", v.alias("v")).where("vec_id IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL")
     rows = rows.where(finite & F.exists("v", lambda x: x != 0))
-    return rows.groupBy("label", "v").agg(F.min("vec_id").alias("point"), F.count("*").alias("times"))
+    once = rows.groupBy("label", "v").agg(F.min("vec_id").alias("point"), F.count("*").alias("times"))
+    return once.withColumn("tag", F.xxhash64("label", "v"))
 
 
 def directions(found: pa.Array, width: int | None = None) -> np.ndarray:
@@ -134,8 +137,8 @@ def placed(found: DataFrame, centres: np.ndarray, link: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["cell", "home", *batch.schema.names])
 
     label = found.schema["label"].dataType.simpleString()
-    shape = f"cell int, home boolean, label {label}, v array<double>, point long, times long"
-    return found.select("label", "v", "point", "times").mapInArrow(place, shape)
+    shape = f"cell int, home boolean, label {label}, v array<double>, point long, tag long, times long"
+    return found.select("label", "v", "point", "tag", "times").mapInArrow(place, shape)
 
 
 def directions_cut(column: pa.Array, width: int) -> np.ndarray:
@@ -151,7 +154,7 @@ def directions_cut(column: pa.Array, width: int) -> np.ndarray:
 
 
 def blocks(cells: DataFrame, size: int) -> DataFrame:
-    """Points packed by label, length, cell and block: ``(key columns, home, block, blocks, points, times, vectors)``.
+    """Points packed by label, length, cell and block: ``(key columns, block, members, visitors, points, tags, times, vectors)``.
 
     Points are dealt out by hash to as many blocks as their number asks for.
     """
@@ -161,9 +164,8 @@ def blocks(cells: DataFrame, size: int) -> DataFrame:
         F.ceil(F.count_if("home") / size).cast("int").alias("members"), F.ceil(F.count_if(~F.col("home")) / size).cast("int").alias("visitors")
     )
     dealt = rows.join(counts.where("members > 0"), key)
-    of = F.when(F.col("home"), F.pmod(F.xxhash64("point", "v"), F.col("members"))).otherwise(
-        F.col("members") + F.pmod(F.xxhash64("point", "v"), F.col("visitors"))
-    )
+    dealt_by = F.xxhash64("point", "tag")
+    of = F.when(F.col("home"), F.pmod(dealt_by, F.col("members"))).otherwise(F.col("members") + F.pmod(dealt_by, F.col("visitors")))
     dealt = dealt.withColumn("block", of.cast("int"))
     group = [*key, "block", "members", "visitors"]
 
@@ -172,14 +174,14 @@ def blocks(cells: DataFrame, size: int) -> DataFrame:
         rows = directions(table.column("v").combine_chunks())
         first = {name: table.column(name)[:1] for name in group}
         return pa.table(first | {
-            "points": pa.array([table.column("point").to_numpy().tolist()], pa.list_(pa.int64())),
+            **{f"{c}s": pa.array([table.column(c).to_numpy().tolist()], pa.list_(pa.int64())) for c in ("point", "tag")},
             "times": pa.array([table.column("times").to_numpy().tolist()], pa.list_(pa.int64())),
             "vectors": pa.array([rows.tobytes()], pa.binary()),
         })
 
     kinds = {f.name: f.dataType.simpleString() for f in dealt.schema}
-    shape = ", ".join([*(f"{name} {kinds[name]}" for name in group), "points array<long>", "times array<long>", "vectors binary"])
-    return dealt.select(*group, "v", "point", "times").groupBy(*group).applyInArrow(gather, shape)
+    shape = ", ".join([*(f"{name} {kinds[name]}" for name in group), "points array<long>", "tags array<long>", "times array<long>", "vectors binary"])
+    return dealt.select(*group, "v", "point", "tag", "times").groupBy(*group).applyInArrow(gather, shape)
 
 
 def least_reachable(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -196,12 +198,12 @@ def least_reachable(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 
 def compared(left: tuple, right: tuple | None, link: float) -> tuple[np.ndarray, ...]:
-    """Links between two blocks, or within one (``right`` None): points and their numbers of links, and a forest (a, b).
+    """Links between two blocks, or within one (``right`` None): points, tags and numbers of links, and a forest (a, b).
 
-    A block is (points, times, unit rows). Cosines within rounding of ``link`` are summed again, in one order.
+    A block is (points, tags, times, unit rows). Cosines within rounding of ``link`` are summed again, in one order.
     """
-    names, times, rows = left
-    other_names, other_times, other = left if right is None else right
+    names, tags, times, rows = left
+    other_names, other_tags, other_times, other = left if right is None else right
     product = rows @ other.T
     linked = product >= link
     for i, j in zip(*np.nonzero(np.abs(product - link) <= ROUNDING)):
@@ -216,18 +218,18 @@ def compared(left: tuple, right: tuple | None, link: float) -> tuple[np.ndarray,
         n_links = np.concatenate([linked @ other_times, linked.T @ times])
         a, b = np.nonzero(linked)
         b = b + len(names)
-        nodes = np.concatenate([names, other_names])
+        nodes, tags = np.concatenate([names, other_names]), np.concatenate([tags, other_tags])
     root = least_reachable(a, b, len(nodes)) if len(a) else np.arange(len(nodes))
     tied = np.flatnonzero(root != np.arange(len(nodes)))
     some = np.flatnonzero(n_links)
-    return nodes[some], n_links[some], nodes[tied], nodes[root[tied]]
+    return nodes[some], tags[some], n_links[some], nodes[tied], nodes[root[tied]]
 
 
 def links(packed: DataFrame, link: float) -> DataFrame:
-    """``(a, b, n)``: a number ``n`` of links of point ``a`` (``b`` null), or one pair of a forest (``n`` null)."""
+    """``(a, b, n)``: a number ``n`` of links of the point ``a`` with tag ``b``, or one pair of a forest (``n`` null)."""
     key = ["label", "length", "cell"]
     last = F.col("members") + F.col("visitors") - 1
-    body = ["points", "times", "vectors"]
+    body = ["points", "tags", "times", "vectors"]
     # a pair (i, j) has i <= j, i a block of members; each block knows the pairs it is part of
     pairs = F.when(F.col("block") < F.col("members"), F.transform(F.sequence("block", last), lambda j: F.struct(F.col("block").alias("i"), j.alias("j")))).otherwise(
         F.array().cast("array<struct<i:int,j:int>>")
@@ -242,14 +244,15 @@ def links(packed: DataFrame, link: float) -> DataFrame:
         if names is None:
             return None
         rows = np.frombuffer(batch.column(f"{prefix}vectors")[row].as_py(), np.float64).reshape(len(names), -1)
-        return np.array(names, np.int64), np.array(batch.column(f"{prefix}times")[row].as_py(), np.int64), rows
+        tags, times = (np.array(batch.column(f"{prefix}{c}")[row].as_py(), np.int64) for c in ("tags", "times"))
+        return np.array(names, np.int64), tags, times, rows
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                some, n, a, b = compared(unpacked(batch, row, ""), unpacked(batch, row, "other_"), link)
+                some, tags, n, a, b = compared(unpacked(batch, row, ""), unpacked(batch, row, "other_"), link)
                 one = pa.array(np.concatenate([some, a]))
-                two = pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(b)])
+                two = pa.array(np.concatenate([tags, b]))
                 number = pa.concat_arrays([pa.array(n.astype(np.int64)), pa.nulls(len(a), pa.int64())])
                 yield pa.RecordBatch.from_arrays([one, two, number], names=["a", "b", "n"])
 
@@ -277,9 +280,9 @@ def near_duplicates(
     centres = fit_centres(found, sample, cell, most_cells)
     packed = staged(blocks(placed(found, centres, link), block), "blocks")
     made = staged(links(packed, link), "links")
-    counted = made.where("n IS NOT NULL").groupBy(F.col("a").alias("point")).agg(F.sum("n").alias("n"))
-    roots = components(made.where("b IS NOT NULL"), "a", "b").withColumnRenamed("node", "point")
-    known = found.join(counted, "point", "left").join(roots, "point", "left")
+    counted = made.where("n IS NOT NULL").groupBy(F.col("a").alias("point"), F.col("b").alias("tag")).agg(F.sum("n").alias("n"))
+    roots = components(made.where("n IS NULL"), "a", "b").withColumnRenamed("node", "point")
+    known = found.join(counted, ["point", "tag"], "left").join(roots, "point", "left")
     known = known.select(
         "label", "v", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("root", "point").alias("root")
     )
