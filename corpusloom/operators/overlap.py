@@ -1,14 +1,18 @@
 """Text overlap metrics: ROUGE-N, ROUGE-L, corpus BLEU.
 
-The compact texts are shuffled once by example. Word groups are then expanded,
-counted and matched inside that partitioning, so the expanded rows never move.
+Words are split by Spark. Their runs are numbered, counted and matched for a
+batch of examples at a time, without a shuffle; only sums per group move.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from corpusloom.functions.text import as_text
@@ -28,6 +32,9 @@ BLEU_SPLITS = (
 BLEU_BLANKS = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]+"
 BLEU_ORDER = 4
 
+PAIR_COST, WORD_COST = 400, 4000  # steps of a bit: what a pair of equal words and a word cost in the two ways
+RARE = 32  # places up to which a word's bits are set when they are needed, so that they need not be held
+
 
 def rouge_words(text: Column, ascii_only: bool = False) -> Column:
     """Lower-case words; a missing text reads ``None``. ``ascii_only`` is the classic rule, blind to other scripts."""
@@ -45,25 +52,60 @@ def bleu_words(text: Column) -> Column:
     return F.filter(words, lambda w: w != "")
 
 
-def _runs_of(words: Column, n: int, is_prediction: bool) -> Column:
-    p, r = (1, 0) if is_prediction else (0, 1)
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(
-        F.array().cast("array<int>")
-    )
-    return F.transform(
-        starts,
-        lambda i: F.struct(
-            F.lit(n).alias("n"),
-            F.array_join(F.slice(words, i, F.lit(n)), " ").alias("gram"),
-            F.lit(p).alias("p"),
-            F.lit(r).alias("r"),
-        ),
-    )
-
+def clipped_counts(predicted: pa.ListArray, expected: pa.ListArray, sizes: Sequence[int]) -> list[np.ndarray]:
+    """Per size three numbers for each row: clipped matches, runs on the left, runs on the right.
 
-def _word_groups(words: Column, sizes: Sequence[int], is_prediction: bool) -> Column:
-    """Every run of ``n`` words as ``(n, gram, p, r)`` with a 1 on the given side."""
-    return F.flatten(F.array(*[_runs_of(words, n, is_prediction) for n in sizes]))
+    All words of the batch are numbered once. A run of ``n`` words is the number
+    of the run of ``n - 1`` before it and its last word, numbered anew, so no
+    text is built and memory stays linear in the words. Runs of different rows
+    have different numbers from the start.
+    """
+    sides = (predicted, expected)
+    words = pc.dictionary_encode(pa.concat_arrays([s.flatten() for s in sides]))
+    codes = pc.fill_null(words.indices, len(words.dictionary)).to_numpy().astype(np.int64)
+    kinds = len(words.dictionary) + 1
+    rows = [np.repeat(np.arange(len(s)), pc.fill_null(pc.list_value_length(s), 0).to_numpy()) for s in sides]
+    cut, n_rows = len(rows[0]), len(predicted)
+    words_of, run_of = [codes[:cut], codes[cut:]], list(rows)
+    out, have = [], 0
+    for n in range(1, max(sizes) + 1):
+        for i, row in enumerate(rows):
+            last = max(len(row) - n + 1, 0)
+            run = run_of[i][:last]
+            inside = row[:last] == row[n - 1 :][:last]
+            # a run that leaves its row is no run; it keeps a place so that positions stay words
+            run_of[i] = np.where(inside & (run >= 0), run * kinds + words_of[i][n - 1 :][:last], -1)
+        distinct, at = np.unique(np.concatenate(run_of), return_inverse=True)
+        missing = int(len(distinct) > 0 and distinct[0] < 0)
+        at = at - missing  # -1 stays -1
+        run_of = [at[: len(run_of[0])], at[len(run_of[0]) :]]
+        have = len(distinct) - missing
+        if n in sizes:
+            valid = [run >= 0 for run in run_of]
+            times = [np.bincount(run[ok], minlength=have) for run, ok in zip(run_of, valid)]
+            owner = np.zeros(have, np.int64)
+            for run, ok, row in zip(run_of, valid, rows):
+                owner[run[ok]] = row[: len(run)][ok]
+            matches = np.bincount(owner, np.minimum(*times), n_rows).astype(np.int64)
+            totals = [np.bincount(row[: len(run)][ok], minlength=n_rows) for run, ok, row in zip(run_of, valid, rows)]
+            out += [matches, *totals]
+    return out
+
+
+def run_counts(predicted: Column, expected: Column, sizes: Sequence[int]) -> Column:
+    """Per row an array of ``(n, matches, pred_total, ref_total)`` for arrays of words; see :func:`clipped_counts`."""
+    sizes = sorted(set(sizes))
+    fields = ("n", "matches", "pred_total", "ref_total")
+
+    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField(f, T.LongType()) for f in fields])))
+    def count(p: pa.Array, r: pa.Array) -> pa.Array:
+        made = clipped_counts(p, r, sizes)
+        columns = [np.tile(np.array(sizes, np.int64), len(p))]
+        columns += [np.stack(made[k::3], axis=1).astype(np.int64).ravel() if len(p) else np.empty(0, np.int64) for k in range(3)]
+        flat = pa.StructArray.from_arrays([pa.array(c) for c in columns], names=list(fields))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * len(sizes)), flat)
+
+    return count(predicted, expected)
 
 
 def clipped_matches(
@@ -71,24 +113,10 @@ def clipped_matches(
 ) -> DataFrame:
     """``(key, by, n, matches, pred_total, ref_total)``: each run counts at most as often as on the other side.
 
-    Every example has a row for each size, also if a text is too short for it.
+    Every row of ``df`` is an example and gives a row for each size, also if a
+    text is too short for it. No row leaves its partition.
     """
-    spread = df.select(key, by, predicted.alias("__p"), expected.alias("__r")).repartition(key)
-    groups = F.concat(_word_groups(F.col("__p"), sizes, True), _word_groups(F.col("__r"), sizes, False))
-    blanks = F.array(
-        *[
-            F.struct(F.lit(n).alias("n"), F.lit("").alias("gram"), F.lit(0).alias("p"), F.lit(0).alias("r"))
-            for n in sizes
-        ]
-    )
-    counted = (
-        spread.select(key, by, F.inline(F.concat(groups, blanks)))
-        .groupBy(key, by, "n", "gram")
-        .agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
-    )
-    return counted.groupBy(key, by, "n").agg(
-        F.sum(F.least("p", "r")).alias("matches"), F.sum("p").alias("pred_total"), F.sum("r").alias("ref_total")
-    )
+    return df.select(key, by, F.inline(run_counts(predicted, expected, sizes)))
 
 
 def f_measure(matches: Column, pred_total: Column, ref_total: Column) -> Column:
@@ -116,21 +144,64 @@ def rouge_n(
 
 
 def common_length(left: Sequence, right: Sequence) -> int:
-    """Length of the longest common subsequence, one machine word at a time.
+    """Length of the longest common subsequence.
 
-    Bit ``j`` of ``open_`` is cleared once the subsequence can grow at ``left[j]``.
+    What both begin and end with belongs to it, and words of one side alone do
+    not matter; both are put aside. The rest goes by pairs of equal words where
+    these are few, and by bits otherwise.
     """
+    n = min(len(left), len(right))
+    head = next((i for i in range(n) if left[i] != right[i]), n)
+    tail = next((i for i in range(n - head) if left[-1 - i] != right[-1 - i]), n - head)
+    left, right = left[head : len(left) - tail], right[head : len(right) - tail]
+    shared = set(left) & set(right)
+    left, right = [w for w in left if w in shared], [w for w in right if w in shared]
+    if len(left) < len(right):
+        left, right = right, left
+    times = Counter(left)
+    pairs = sum(times[w] for w in right)
+    middle = _by_pairs(left, right) if pairs * PAIR_COST < len(right) * (len(left) + WORD_COST) else _by_bits(left, right)
+    return head + middle + tail
+
+
+def _by_pairs(left: Sequence, right: Sequence) -> int:
+    """Hunt and Szymanski: ``ends[k]`` is the least place in ``left`` where a common subsequence of k + 1 words ends."""
+    places: dict = {}
+    for j in range(len(left) - 1, -1, -1):
+        places.setdefault(left[j], []).append(j)
+    ends: list[int] = []
+    for word in right:
+        for j in places[word]:  # from the last to the first, so that a word of ``right`` is used once
+            at = bisect_left(ends, j)
+            if at == len(ends):
+                ends.append(j)
+            else:
+                ends[at] = j
+    return len(ends)
+
+
+def _by_bits(left: Sequence, right: Sequence) -> int:
+    """One machine word at a time: bit ``j`` of ``open_`` is cleared once the subsequence can grow at ``left[j]``."""
     places: dict = {}
     for j, word in enumerate(left):
-        places[word] = places.get(word, 0) | (1 << j)
+        places.setdefault(word, []).append(j)
+    masks = {word: _mask(own, len(left)) for word, own in places.items() if len(own) > RARE}
     full = (1 << len(left)) - 1
     open_ = full
     for word in right:
-        here = open_ & places.get(word, 0)
+        mask = masks.get(word)
+        here = open_ & (mask if mask is not None else _mask(places[word], len(left)))
         open_ = ((open_ + here) | (open_ - here)) & full
     return len(left) - open_.bit_count()
 
 
+def _mask(places: Sequence[int], size: int) -> int:
+    bits = bytearray(size // 8 + 1)
+    for j in places:
+        bits[j >> 3] |= 1 << (j & 7)
+    return int.from_bytes(bits, "little")
+
+
 @F.arrow_udf(T.IntegerType())
 def common_subsequence(left: pa.Array, right: pa.Array) -> pa.Array:
     """Dynamic programming per pair has no built-in form, hence one Arrow function."""

@@ -9,6 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from corpusloom.functions.text import pieces
+from corpusloom.operators.blocks import look_up_lists
 from corpusloom.operators.ordering import digest_buckets, running
 from corpusloom.session import staged
 
@@ -25,7 +26,6 @@ TARGET_END_DEFAULT = 50256
 
 BROADCAST_ROWS = 1 << 20  # a vocabulary of this size takes some 20 MB in a task
 MISS_SALTS = 16  # ways in which rows that miss the broadcast head are dealt out, so that a frequent one is split
-ID_BITS = 32
 
 
 def build_vocab(df: DataFrame, max_words: int | None = None, text: str = "text") -> DataFrame:
@@ -145,50 +145,23 @@ def tokenize(
     whole text is split all the same; the other pieces just need no lookup.
 
     With a vocabulary of up to ``limit`` rows nothing is shuffled. A larger one
-    is joined by :func:`lookup`, piece by piece, and the ids are regrouped by
-    row. Both ways give the same rows: keys may repeat, and a row that occurs
-    more than once comes out as often.
+    is joined by the distinct pieces of blocks of texts, see
+    :mod:`corpusloom.operators.blocks`. Both ways give the same rows: keys may
+    repeat, and a row that occurs more than once comes out as often.
     """
     wanted = {n: _wanted_pieces(t, (first or {}).get(n)) for n, t in texts.items()}
     code = vocab_column(vocab, "token", "id", UNK, limit)
     if code is not None:
         empty = F.array().cast("array<int>")
         return df.select(*key, *keep, *[F.coalesce(code(w), empty).alias(n) for n, w in wanted.items()])
-    return _tokenize_by_join(df, vocab, texts, key, keep, limit, first or {})
-
-
-def _tokenize_by_join(df, vocab, texts, key, keep, limit, first) -> DataFrame:
-    """Rows are told apart by all their columns and a digest of their texts; equal ones are counted and repeated."""
-    carried, names = [*key, *keep], list(texts)
-    digest = F.md5(F.to_json(F.array(*[texts[n] for n in names])))
-    fields = [_tagged(_wanted_pieces(texts[n], first.get(n)), i) for i, n in enumerate(names)]
-    long = df.select(*carried, digest.alias("__text"), F.posexplode_outer(F.flatten(F.array(*fields))).alias("pos", "piece"))
-    long = long.select(
-        *carried, "__text", "pos", F.col("piece.field").alias("field"), F.col("piece.token").alias("token")
-    )
-    coded = lookup(long, vocab.select("token", "id"), "token", limit + 1, limit)
-    # position and id in one long: half the memory of a struct, and it sorts by position
-    entry = F.shiftleft(F.col("pos").cast("long"), ID_BITS).bitwiseOR(F.coalesce("id", F.lit(UNK)).cast("long"))
-    first_of_row = F.coalesce("pos", F.lit(0)) == 0
-    grouped = coded.groupBy(*carried, "__text").agg(
-        F.count_if(first_of_row).cast("int").alias("__times"),
-        *[F.array_sort(F.collect_set(F.when(F.col("field") == i, entry))).alias(n) for i, n in enumerate(names)],
-    )
-    low = F.lit((1 << ID_BITS) - 1).cast("long")
-    ids = [F.transform(n, lambda x: x.bitwiseAND(low).cast("int")).alias(n) for n in names]
-    repeated = grouped.select("*", F.explode(F.array_repeat(F.lit(True), F.col("__times"))).alias("__copy"))
-    return repeated.select(*carried, *ids)
+    single = one_value(vocab, "token", "id")
+    return look_up_lists(df, wanted, single, "token", "id", UNK, [*key, *keep], limit)
 
 
 def _wanted_pieces(text: Column, first: int | None) -> Column:
     return F.slice(pieces(text), 1, first) if first else pieces(text)
 
 
-def _tagged(words: Column, field: int) -> Column:
-    tagged = F.transform(words, lambda p: F.struct(F.lit(field).alias("field"), p.alias("token")))
-    return F.coalesce(tagged, F.array().cast("array<struct<field:int,token:string>>"))
-
-
 def tokenize_corpus(
     df: DataFrame, vocab: DataFrame, text: str = "text", first: int | None = None, **options
 ) -> DataFrame:
@@ -204,15 +177,9 @@ def decode_tokens(
     name = vocab_column(vocab, "id", "token", unknown, limit)
     if name is not None:
         return df.select(*key, F.array_join(name(F.col(ids)), " ").alias("text"))
-    digest = F.md5(F.array_join(F.coalesce(F.col(ids), F.array().cast("array<int>")), ","))
-    long = df.select(*key, digest.alias("__ids"), F.posexplode_outer(ids).alias("pos", "id"))
-    named = lookup(long, vocab.select("id", "token"), "id", limit + 1, limit)
-    entry = F.struct("pos", F.coalesce("token", F.lit(unknown)).alias("token"))
-    words = F.array_sort(F.collect_set(F.when(F.col("pos").isNotNull(), entry)))["token"]
-    times = F.count_if(F.coalesce("pos", F.lit(0)) == 0).cast("int")
-    grouped = named.groupBy(*key, "__ids").agg(times.alias("__times"), F.array_join(words, " ").alias("text"))
-    repeated = grouped.select("*", F.explode(F.array_repeat(F.lit(True), F.col("__times"))).alias("__copy"))
-    return repeated.select(*key, "text")
+    single = one_value(vocab, "id", "token")
+    named = look_up_lists(df, {"text": F.col(ids)}, single, "id", "token", unknown, list(key), limit)
+    return named.select(*key, F.array_join("text", " ").alias("text"))
 
 
 def doc_token_stats(df: DataFrame, by: str, n_tokens: Column) -> DataFrame:
