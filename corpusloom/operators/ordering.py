@@ -59,6 +59,7 @@ def running(
     buckets: Sequence[Column],
     by: Sequence[str] = (),
     op: str = "sum",
+    starts: Sequence[tuple] | None = None,
 ) -> DataFrame:
     """Add ``name``: ``op`` of ``value`` over all rows that sort before this one.
 
@@ -66,6 +67,10 @@ def running(
     lower bucket sorts first. The first row of a group gets 0 for ``sum`` and
     null for ``min`` and ``max``. A null in ``by`` forms its own group.
 
+    ``starts`` has the coarsest bucket's values with what ``op`` gives before
+    each, where these few are known beforehand (without ``by``); they are then
+    not computed.
+
     The input is read twice, once for its key and value alone: pass a table, or
     stage what is costly to compute. All columns of ``df`` pass the window, so
     keep it narrow and join wide columns afterwards.
@@ -76,11 +81,15 @@ def running(
     rows = df.select("*", value.alias("__value"), *[b.alias(n) for b, n in zip(buckets, levels)])
     totals = {}
     below = rows
-    for depth in range(len(levels), 0, -1):
+    known = starts is not None
+    for depth in range(len(levels), int(known), -1):
         below = below.groupBy(*by, *levels[:depth]).agg(combine("__value").alias("__value"))
         totals[depth] = below
     seeds = None
-    for depth in range(1, len(levels) + 1):
+    if known:
+        kinds = [f"{levels[0]} {rows.schema[levels[0]].dataType.simpleString()}", f"__value {rows.schema['__value'].dataType.simpleString()}"]
+        seeds = df.sparkSession.createDataFrame(list(starts), ", ".join(kinds))
+    for depth in range(1 + known, len(levels) + 1):
         started = _scan(totals[depth], seeds, by + levels[: depth - 1], [F.col(levels[depth - 1])], combine)
         seeds = started.select(*by, *levels[:depth], F.col("__before").alias("__value"))
     result = _scan(rows, seeds, by + levels, list(order), combine)

@@ -9,13 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from corpusloom.functions.numbers import whole
 from corpusloom.functions.text import seeded_key
 from corpusloom.operators.ordering import id_buckets, running
 from corpusloom.session import staged
 
+MOST_PARTS = 1 << 20  # parts whose first documents are shared with the tasks, some 24 MB
 BLOCK = 128  # fixed value: tokens in one attention block
 
 
@@ -61,6 +64,75 @@ def cut_stream(
     return spans.select(*columns)
 
 
+def part_starts(offsets: DataFrame, size: int, key: str = "doc_id") -> DataFrame:
+    """``(part, key, start_pos)``: the document that holds the first id of each part of ``size`` ids."""
+    first, last = whole(F.col("start_pos") + (size - 1), size), whole(F.col("end_pos") - 1, size)
+    opening = offsets.where((F.col("end_pos") > F.col("start_pos")) & (first <= last))
+    return opening.select(F.explode(F.sequence(first, last)).alias("part"), key, "start_pos")
+
+
+def slices_by_part(
+    docs: DataFrame, offsets: DataFrame, size: int, key: str = "doc_id", limit: int = MOST_PARTS
+) -> DataFrame:
+    """``(part, key, ids)``: encoded documents cut at multiples of ``size``, without moving them.
+
+    ``docs`` has the ids, ``offsets`` the place of each document in the order of
+    ``key``, which is unique. A part is known by the document that opens it, so
+    one number and one key per part tell where any document belongs: only
+    documents that open a part can reach over its edge, and their places are in
+    that list. The list is fetched and shared with the tasks if it has at most
+    ``limit`` parts; otherwise documents are joined with their offsets, which
+    moves them once more.
+    """
+    starts = part_starts(offsets, size, key).limit(limit + 1).toArrow()
+    if starts.num_rows > limit:
+        placed = docs.join(offsets.select(key, "start_pos", "end_pos"), key)
+        return cut_stream(placed, size, "part", "ids", [key]).select("part", key, "ids")
+    starts = starts.sort_by("part")
+    columns = tuple(starts.column(c).to_numpy() for c in (key, "part", "start_pos"))
+    shared = docs.sparkSession.sparkContext.broadcast(columns)
+
+    @F.arrow_udf(T.StructType([T.StructField("part", T.LongType()), T.StructField("start", T.LongType())]))
+    def locate(keys: pa.Array) -> pa.Array:
+        openers, parts, places = shared.value
+        keys = keys.to_numpy(zero_copy_only=False)
+        at = np.searchsorted(openers, keys, side="right") - 1
+        opens = openers[at] == keys
+        return pa.StructArray.from_arrays([pa.array(parts[at]), pa.array(places[at], mask=~opens)], names=["part", "start"])
+
+    located = (docs if starts.num_rows else docs.limit(0)).select(key, "ids", locate(F.col(key)).alias("at"))
+    begin, n = F.col("at.start"), F.size("ids")
+    inside = F.array(F.col("at.part"))
+    across = F.sequence(whole(begin, size), whole(begin + n - 1, size))
+    parts = F.when(n == 0, F.array().cast("array<bigint>")).when(begin.isNull(), inside).otherwise(across)
+    spread = located.select(key, "ids", begin.alias("begin"), F.explode(parts).alias("part"))
+    low = F.greatest(F.col("part") * size - F.col("begin"), F.lit(0))
+    high = F.least(F.col("part") * size + size - F.col("begin"), n)
+    cut = F.slice("ids", (low + 1).cast("int"), (high - low).cast("int"))
+    return spread.select("part", key, F.when(F.col("begin").isNull(), F.col("ids")).otherwise(cut).alias("ids"))
+
+
+def gathered_parts(slices: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``(part, key, lo, hi, ids)``: the slices of a part together in one task, with their places in the part.
+
+    This is the one time that ids move; what groups by ``part`` and more stays there.
+    """
+    moved = slices.repartition("part").withColumn("n", F.size("ids").cast("long"))
+    before = Window.partitionBy("part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    lo = F.coalesce(F.sum("n").over(before), F.lit(0))
+    return moved.select("part", key, lo.alias("lo"), (lo + F.col("n")).alias("hi"), "ids")
+
+
+def sequences_of_parts(parts: DataFrame, size: int, length: int) -> DataFrame:
+    """``(part, seq, ids)``: gathered parts of ``size`` ids cut into sequences of ``length``, of which ``size`` is a multiple."""
+    if size % length:
+        raise ValueError("a part must hold whole sequences")
+    located = parts.select("part", F.col("lo").alias("start_pos"), F.col("hi").alias("end_pos"), "ids")
+    cut = cut_stream(located, length, "own", "ids", ["part"])
+    seq = F.col("part") * (size // length) + F.col("own")
+    return assemble(cut.select("part", seq.alias("seq"), "lo", "ids"), ["part", "seq"])
+
+
 def cut_shards(
     docs: DataFrame, shard_size: int, ids: str | None = None, keep: Sequence[str] = ("doc_id",)
 ) -> DataFrame:
@@ -78,25 +150,30 @@ def assemble(slices: DataFrame, group: Sequence[str]) -> DataFrame:
     return slices.groupBy(*group).agg(F.flatten(F.transform(ordered, lambda s: s["ids"])).alias("ids"))
 
 
-def train_batches(shards: DataFrame, length: int, world: int) -> DataFrame:
+def train_batches(shards: DataFrame, length: int, world: int, together: str | None = None) -> DataFrame:
     """Windows of ``length + 1`` ids per ``(file, batch, rank)``.
 
-    Input: slices ``(file, lo, ids)``, with ``hi`` if known. Neighbouring windows share one id, the
+    Input: slices ``(file, lo, ids)``, with ``hi`` if known. If they are already
+    partitioned by a column that a file has one value of, ``together`` names it,
+    and nothing moves. Neighbouring windows share one id, the
     target of the last input. A batch is whole only if one more id follows it,
     so the tail of a file that does not fill ``world`` windows is left out.
     """
     end = F.col("hi") if "hi" in shards.columns else F.col("lo") + F.size("ids")
-    located = shards.select("file", "ids", F.col("lo").alias("start_pos"), end.alias("end_pos"))
-    cut = cut_stream(located, length, "window", "ids", ["file"], overlap=1)
+    file = ["file"] if together is None else [together, "file"]
+    located = shards.select(*file, "ids", F.col("lo").alias("start_pos"), end.alias("end_pos"))
+    cut = cut_stream(located, length, "window", "ids", file, overlap=1)
     slices = cut.select(
-        "file",
+        *file,
         whole(F.col("window"), world).alias("batch"),
         (F.col("window") % world).cast("int").alias("rank"),
         "lo",
         "ids",
-    ).repartition("file", "batch")
-    windows = assemble(slices, ["file", "batch", "rank"])
-    filled = F.sum(F.size("ids")).over(Window.partitionBy("file", "batch"))
+    )
+    if together is None:
+        slices = slices.repartition("file", "batch")
+    windows = assemble(slices, [*file, "batch", "rank"])
+    filled = F.sum(F.size("ids")).over(Window.partitionBy(*file, "batch"))
     first = F.col("batch") * (length * world) + F.col("rank") * length
     return (
         windows.withColumn("__filled", filled)

@@ -25,6 +25,8 @@ TARGET_END_NAMES = ("<|endoftext|>", "<|eot_id|>", "<eos>", "</s>")
 TARGET_END_DEFAULT = 50256
 
 BROADCAST_ROWS = 1 << 20  # a vocabulary of this size takes some 20 MB in a task
+BUCKET_WORDS = 1 << 16  # words of one frequency that one task ranks, on average
+DIGEST_BITS, MOST_BITS = 48, 24  # of a digest's number, and of those that may tell buckets apart
 MISS_SALTS = 16  # ways in which rows that miss the broadcast head are dealt out, so that a frequent one is split
 
 
@@ -32,21 +34,35 @@ def build_vocab(df: DataFrame, max_words: int | None = None, text: str = "text")
     """Word-level vocabulary ``(token, id, cnt)`` by frequency; all pieces unless ``max_words`` says how many.
 
     Counting is pre-aggregated in the map tasks, so a frequent piece causes no
-    skew. Ids are ranks: a running count over buckets of equal frequency, split
-    by a digest of the token, which also orders tokens of equal frequency. No
-    task sees more than a bounded share of the vocabulary.
+    skew. Ids are ranks: a running count over buckets of equal frequency, which
+    a digest of the token, that also orders tokens of equal frequency, splits
+    as far as their number asks for. With ``max_words`` the numbers of words
+    between two powers of two tell first which frequencies matter, and no rarer
+    word is ranked.
     """
     counted = df.select(F.explode(pieces(F.col(text))).alias("token")).groupBy("token").agg(
         F.count(F.lit(1)).alias("cnt")
     )
-    keyed = staged(counted.withColumn("digest", F.md5("token")), "counts")
-    rarer = -F.floor(F.log2("cnt")).cast("long")
+    counted = staged(counted, "counts")
+    rarity = -F.floor(F.log2("cnt")).cast("long")
+    classes = counted.groupBy(rarity.alias("rarity")).agg(F.count(F.lit(1)).alias("n")).collect()  # 64 rows at most
+    starts, total = [], 0
+    for r in sorted(classes, key=lambda r: r["rarity"]):
+        if max_words is None or total < max_words:
+            starts.append((r["rarity"], total))
+        total += r["n"]
+    if max_words is not None and starts:
+        counted = counted.where(rarity <= starts[-1][0])
+    largest = max((r["n"] for r in classes), default=0)
+    bits = min(max(0, -(-largest // BUCKET_WORDS) - 1).bit_length(), MOST_BITS)
+    buckets = digest_buckets(F.col("digest"), [DIGEST_BITS - bits]) if bits else []
     ranked = running(
-        keyed,
+        counted.withColumn("digest", F.md5("token")),
         "before",
         F.lit(1).cast("long"),
         [F.desc("cnt"), F.col("digest"), F.col("token")],
-        [rarer, -F.col("cnt"), *digest_buckets(F.col("digest"))],
+        [rarity, -F.col("cnt"), *buckets],
+        starts=starts,
     )
     kept = ranked if max_words is None else ranked.where(F.col("before") < max_words)
     words = kept.select("token", (F.col("before") + FIRST_WORD_ID).cast("int").alias("id"), "cnt")
@@ -109,15 +125,16 @@ def vocab_column(vocab: DataFrame, source: str, target: str, missing, limit: int
     """Array lookup ``source`` values -> ``target`` values as a column function, or None above ``limit`` rows.
 
     At most ``limit`` + 1 rows are fetched, so the size is checked before anything
-    is shared with the tasks. Whole Arrow batches are looked up at once, and no
+    is shared with the tasks; repeated rows count. Whole Arrow batches are looked up at once, and no
     row leaves its partition; a join would need one row per piece and a regrouping.
     A ``source`` that is listed more than once has its least ``target``.
     """
-    held = one_value(vocab, source, target).limit(limit + 1).toArrow()
+    held = vocab.where(F.col(source).isNotNull()).select(source, target).limit(limit + 1).toArrow()
     if held.num_rows > limit:
         return None
+    held = held.group_by(source).aggregate([(target, "min")])
     shared = vocab.sparkSession.sparkContext.broadcast(
-        (held.column(source).combine_chunks(), held.column(target).combine_chunks())
+        (held.column(source).combine_chunks(), held.column(f"{target}_min").combine_chunks())
     )
 
     @F.arrow_udf(T.ArrayType(vocab.schema[target].dataType))

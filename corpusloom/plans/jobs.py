@@ -65,7 +65,7 @@ def corpus_to_shards(
 
     Encoded documents are stored with their length next to the ids, so that the
     offsets are computed from two thin columns; that table goes when the shards
-    are written. There are as many writing tasks as shards unless ``tasks`` says
+    are written. Ids move once, to the task that writes their shard. There are as many writing tasks as shards unless ``tasks`` says
     otherwise.
     """
     spark = docs.sparkSession
@@ -74,11 +74,14 @@ def corpus_to_shards(
     coded = code(docs, {"ids": as_text(text)}, [key]).select(key, ids.alias("ids"))
     with Scratch(spark) as scratch:
         stored = staged(coded.withColumn("n_ids", F.size("ids").cast("long")), "encoded", scratch)
+        total = stored.agg(F.sum("n_ids")).first()[0] or 0
         if tasks is None:
-            total = stored.agg(F.sum("n_ids")).first()[0] or 0
             tasks = max(1, -(-total // shard_size))
-        placed = stored.select(key, "ids").join(P.token_offsets(stored.select(key, "n_ids"), key), key)
-        SH.write_token_shards(P.cut_shards(placed, shard_size, "ids", [key]), path, version, tasks)
+        offsets = staged(P.token_offsets(stored.select(key, "n_ids"), key), "offsets", scratch)
+        slices = P.slices_by_part(stored.select(key, "ids"), offsets, shard_size, key)
+        due = F.least(F.lit(shard_size), F.lit(total) - F.col("part") * shard_size)
+        rows = slices.select(F.col("part").alias("shard"), F.col(key).alias("lo"), "ids", due.cast("long").alias("tokens"))
+        SH.write_token_shards(rows, path, version, tasks)
     return SH.scan_shard_headers(spark, path)
 
 

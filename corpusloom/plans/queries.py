@@ -31,6 +31,7 @@ TOP_WORDS = 50_000
 SHARD_SIZE = 50_000
 BATCH_LENGTH, WORLD = 512, 4
 SEQUENCE = 4096
+PART_SIZE = SEQUENCE * 64
 WINDOW_BLOCKS = 8
 CONTEXT, TARGET_MAX, MAX_NEW = 256, 32, 96
 WIDTH = 128
@@ -73,18 +74,22 @@ def offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.token_offsets(lengths(spark, sf_dir))
 
 
-def positioned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encoded documents with their place in the stream."""
-    return encoded(spark, sf_dir).join(offsets(spark, sf_dir), "doc_id")
+def parts(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
+    """The stream in parts of ``size`` ids, each in one task."""
+    ids = P.slices_by_part(encoded(spark, sf_dir), staged(offsets(spark, sf_dir), "offsets"), size)
+    return P.gathered_parts(ids)
 
 
 def shard_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.cut_shards(positioned(spark, sf_dir), SHARD_SIZE, "ids").withColumn("file", P.shard_file(F.col("shard")))
+    shard = F.col("part")
+    return parts(spark, sf_dir, SHARD_SIZE).select(
+        "part", P.split_name(shard).alias("split"), P.shard_file(shard).alias("file"), "doc_id", "lo", "hi", "ids"
+    )
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stream in sequences of 4,096 ids: ``(seq, ids)``."""
-    return P.assemble(P.cut_stream(positioned(spark, sf_dir), SEQUENCE, "seq", "ids"), ["seq"])
+    """The stream in sequences of 4,096 ids: ``(part, seq, ids)``."""
+    return P.sequences_of_parts(parts(spark, sf_dir, PART_SIZE), PART_SIZE, SEQUENCE)
 
 
 def vocab_top(spark, sf_dir):
@@ -150,12 +155,12 @@ def shard_summary(spark, sf_dir):
     weighted = F.aggregate(
         F.transform("ids", lambda x, i: x.cast("long") * ((F.col("lo") + i) % 1009)), F.lit(0).cast("long"), lambda a, x: a + x
     )
-    return slices.groupBy("file", "split").agg(
+    return slices.groupBy("part", "file", "split").agg(
         F.count(F.lit(1)).alias("docs"),
         F.sum(F.size("ids")).alias("tokens"),
         F.sum(unknown).alias("unknown"),
         F.sum(weighted).alias("checksum"),
-    )
+    ).drop("part")
 
 
 def iteration_plan(spark, sf_dir):
@@ -163,7 +168,7 @@ def iteration_plan(spark, sf_dir):
 
 
 def train_batches(spark, sf_dir):
-    batches = P.train_batches(shard_slices(spark, sf_dir), BATCH_LENGTH, WORLD)
+    batches = P.train_batches(shard_slices(spark, sf_dir), BATCH_LENGTH, WORLD, "part")
     return batches.select(
         "file",
         "batch",

@@ -237,7 +237,11 @@ class WrittenShards(WriterCommitMessage):
 
 
 class ShardWriter(DataSourceArrowWriter):
-    """Writes one file per run of equal ``file`` values; rows must be ordered by (file, lo)."""
+    """Writes one file per run of equal ``file`` values; rows must be ordered by (file, lo).
+
+    ``lo`` is the place of a slice in its shard or, if there is a column
+    ``tokens`` with the shard's size, any number that puts the slices in order.
+    """
 
     def __init__(self, options: dict, overwrite: bool):
         self.root = options["path"]
@@ -252,9 +256,11 @@ class ShardWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WrittenShards:
         fs, _ = _filesystem(self.root)
         fs.create_dir(self.folder, recursive=True)
-        written, name, slices, end = [], None, [], 0
+        written, name, slices, end, due = [], None, [], 0, None
 
         def flush():
+            if name is not None and due is not None and due != end:
+                raise ValueError(f"{name}: {end} ids for a shard of {due}")
             if name is not None:
                 self._write_file(fs, name, slices)
                 written.append(name)
@@ -263,11 +269,12 @@ class ShardWriter(DataSourceArrowWriter):
             names = batch.column(batch.schema.get_field_index("file")).to_pylist()
             starts = batch.column(batch.schema.get_field_index("lo")).to_pylist()
             ids = batch.column(batch.schema.get_field_index("ids"))
+            sizes = batch.column("tokens").to_pylist() if "tokens" in batch.schema.names else None
             for row, (file, lo) in enumerate(zip(names, starts)):
                 if file != name:
                     flush()
-                    name, slices, end = file, [], 0
-                if lo != end:
+                    name, slices, end, due = file, [], 0, sizes[row] if sizes else None
+                if due is None and lo != end:
                     raise ValueError(f"{file}: ids missing or doubled at position {min(lo, end)}")
                 values = ids[row].values.to_numpy(zero_copy_only=False)
                 slices.append(self._narrow(values, file))
@@ -371,14 +378,17 @@ def shard_version(vocab_size: int) -> int:
 def write_token_shards(
     pieces: DataFrame, path: str, version: int = 1, tasks: int | None = None, mode: str = "overwrite"
 ) -> None:
-    """Write the slices of :func:`cut_shards` as one file per shard.
+    """Write slices ``(shard, lo, ids)`` as one file per shard.
 
-    A shard goes to one task, which holds ``shard_size`` ids of 2 or 4 bytes;
+    ``lo`` is where a slice begins in its shard, as :func:`cut_shards` gives it;
+    slices that do not know it have their order in ``lo`` and the size of their
+    shard in ``tokens``. A shard goes to one task, which holds ``shard_size`` ids of 2 or 4 bytes;
     ordering inside it is Spark's sort, which spills. With ``tasks`` at the
     number of shards, each task has exactly one.
     """
     pieces.sparkSession.dataSource.register(TokenShards)
-    named = pieces.select("shard", shard_file(F.col("shard")).alias("file"), "lo", "ids")
+    sizes = ["tokens"] if "tokens" in pieces.columns else []
+    named = pieces.select("shard", shard_file(F.col("shard")).alias("file"), "lo", "ids", *sizes)
     dealt = named.repartitionById(tasks, F.col("shard").cast("int")) if tasks else named.repartition("file")
     ordered = dealt.drop("shard").sortWithinPartitions("file", "lo")
     ordered.write.format("token_shards").mode(mode).option("path", path).option("version", version).save()

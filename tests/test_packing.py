@@ -31,6 +31,43 @@ def test_shards_equal_a_plain_cut(spark, sizes):
     assert got == expected
 
 
+def cut_docs(spark, docs, size, limit):
+    df = spark.createDataFrame([(7 * i, d) for i, d in enumerate(docs)], "doc_id long, ids array<int>").repartition(3)
+    offsets = P.token_offsets(df.select("doc_id", F.size("ids").alias("n_ids")))
+    return P.gathered_parts(P.slices_by_part(df, offsets, size, limit=limit))
+
+
+@pytest.mark.parametrize("limit", [P.MOST_PARTS, 0])  # parts found from shared starts, or by a join
+@pytest.mark.parametrize("sizes", [[3, 3, 4], [5, 5], [25, 1, 2], [4], [1, 0, 9, 1], [0, 0, 12, 0, 5, 5, 3, 0], [0, 0], [2] * 40])
+def test_parts_hold_the_stream_in_order(spark, sizes, limit):
+    rng = random.Random(1)
+    docs = [[rng.randrange(100) for _ in range(n)] for n in sizes]
+    got = {}
+    for r in sorted(cut_docs(spark, docs, 5, limit).collect(), key=lambda r: (r.part, r.lo)):
+        assert r.lo == len(got.setdefault(r.part, [])) and r.hi == r.lo + len(r.ids) and r.ids
+        got[r.part] += r.ids
+    stream = stream_of(docs)
+    assert got == {i: stream[5 * i : 5 * i + 5] for i in range((len(stream) + 4) // 5)}
+
+
+def test_sequences_of_parts(spark):
+    docs = [list(range(i, i + 13)) for i in range(0, 260, 13)]
+    for limit in (P.MOST_PARTS, 0):
+        got = {r.seq: r.ids for r in P.sequences_of_parts(cut_docs(spark, docs, 40, limit), 40, 8).collect()}
+        assert got == {i: list(range(8 * i, min(8 * i + 8, 260))) for i in range(33)}
+    with pytest.raises(ValueError):
+        P.sequences_of_parts(None, 41, 8)
+
+
+def test_ids_move_once(spark):
+    parts = cut_docs(spark, [[1, 2, 3]] * 9, 6, P.MOST_PARTS)
+    rows = parts.select("part", F.format_string("f%d", "part").alias("file"), "lo", "hi", "ids")
+    for df in (P.train_batches(rows, 2, 2, "part"), P.sequences_of_parts(parts, 6, 3)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hash") == 1
+    together = {(r.file, r.batch, r.rank): r.ids for r in P.train_batches(rows, 2, 2, "part").collect()}
+    assert together == {(r.file, r.batch, r.rank): r.ids for r in P.train_batches(rows.drop("part"), 2, 2).collect()}
+
+
 def test_offsets_over_many_buckets(spark):
     df = spark.range(2000).select((F.col("id") * 1000).alias("doc_id"), (F.col("id") % 5).alias("n_ids"))
     got = [tuple(r) for r in P.token_offsets(df).orderBy("doc_id").select("start_pos", "end_pos").collect()]
