@@ -10,7 +10,6 @@ verdict, as a text is kept only if no rule rejects it.
 from __future__ import annotations
 
 import re
-import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import cached_property
@@ -98,18 +97,39 @@ def repeated_words(words: Sequence[bytes], window: int = WINDOW) -> int:
     return int((np.cumsum(edges[:-1]) > 0).sum())
 
 
+#: What a text's measures cost, in bytes or items looked at; each is paid once per text.
+COSTS: dict[str, Callable[[Text], int]] = {
+    "words": lambda t: len(t.data),
+    "lines": lambda t: len(t.data),
+    "word_chars": lambda t: len(t.data) // 4,
+    "symbols": lambda t: len(t.data) // 4,
+    "repeated_lines": lambda t: len(t.lines),
+    "repeated_words": lambda t: 16 * len(t.words),
+    "letter_words": lambda t: 2 * len(t.data),
+    "each_word": lambda t: len(t.words),
+    "each_line": lambda t: len(t.lines),
+}
+#: Measures that are reported for every text, and so are paid before any rule is asked.
+REPORTED = ("words", "word_chars", "symbols", "lines", "repeated_lines", "repeated_words")
+
+
 @dataclass(frozen=True)
 class Rule:
-    """Rejects a text whose measure lies outside ``[least, most]``."""
+    """Rejects a text whose measure lies outside ``[least, most]``; ``needs`` names what the measure is made of."""
 
     name: str
     measure: Callable[[Text], float]
     least: float = -np.inf
     most: float = np.inf
+    needs: tuple[str, ...] = ("words",)
 
     def rejects(self, text: Text) -> bool:
         return not self.least <= self.measure(text) <= self.most
 
+    def cost(self, text: Text, paid: set[str]) -> int:
+        """Work for this text beyond what is paid already; passes over words or lines are paid anew each time."""
+        return 1 + sum(COSTS[n](text) for n in self.needs if n not in paid or n.startswith("each_"))
+
 
 def _share(part: int, whole: int) -> float:
     return part / whole if whole else 0.0
@@ -117,31 +137,35 @@ def _share(part: int, whole: int) -> float:
 
 RULES = (
     Rule("word_count", lambda t: len(t.words), least=LEAST_WORDS),
-    Rule("repeated_words", lambda t: 100 * _share(t.repeated_words, len(t.words)), most=MOST_REPEATED),
-    Rule("mean_word_length", lambda t: _share(t.word_chars, len(t.words)), least=2, most=15),
-    Rule("symbols_per_word", lambda t: _share(t.symbols, len(t.words)), most=0.25),
-    Rule("repeated_lines", lambda t: _share(t.repeated_lines, len(t.lines)), most=0.5),
-    Rule("stuttered_words", lambda t: _share(sum(map(eq, t.words, t.words[1:])), len(t.words)), most=0.2),
-    Rule("words_with_letter", lambda t: _share(t.letter_words, len(t.words)), least=0.7),
-    Rule("bullet_lines", lambda t: _share(sum(x.lstrip().startswith(_BULLETS) for x in t.lines), len(t.lines)), most=0.9),
-    Rule("ellipsis_lines", lambda t: _share(sum(x.rstrip().endswith(_ELLIPSES) for x in t.lines), len(t.lines)), most=0.5),
-    Rule("longest_word", lambda t: max(map(len, t.words), default=0), most=2000),
+    Rule("repeated_words", lambda t: 100 * _share(t.repeated_words, len(t.words)), most=MOST_REPEATED, needs=("words", "repeated_words")),
+    Rule("mean_word_length", lambda t: _share(t.word_chars, len(t.words)), least=2, most=15, needs=("words", "word_chars")),
+    Rule("symbols_per_word", lambda t: _share(t.symbols, len(t.words)), most=0.25, needs=("words", "symbols")),
+    Rule("repeated_lines", lambda t: _share(t.repeated_lines, len(t.lines)), most=0.5, needs=("lines", "repeated_lines")),
+    Rule("stuttered_words", lambda t: _share(sum(map(eq, t.words, t.words[1:])), len(t.words)), most=0.2, needs=("words", "each_word")),
+    Rule("words_with_letter", lambda t: _share(t.letter_words, len(t.words)), least=0.7, needs=("words", "letter_words")),
+    Rule("bullet_lines", lambda t: _share(sum(x.lstrip().startswith(_BULLETS) for x in t.lines), len(t.lines)), most=0.9, needs=("lines", "each_line")),
+    Rule("ellipsis_lines", lambda t: _share(sum(x.rstrip().endswith(_ELLIPSES) for x in t.lines), len(t.lines)), most=0.5, needs=("lines", "each_line")),
+    Rule("longest_word", lambda t: max(map(len, t.words), default=0), most=2000, needs=("words", "each_word")),
 )
 
 
-def ordered(rules: Sequence[Rule], sample: Sequence[bytes], clock: Callable[[], float] = time.perf_counter) -> list[Rule]:
-    """The rules by expected rejections per second on the sample, best first; equal ones keep their order.
+def ordered(rules: Sequence[Rule], sample: Sequence[bytes], paid: Sequence[str] = REPORTED) -> list[Rule]:
+    """The rules one by one: the next has the most rejections per cost among texts that all earlier ones let pass.
 
-    Each text is measured afresh for each rule, so a rule's cost includes what it needs of the text.
+    A rule's cost on a text is what it needs beyond ``paid`` and what earlier
+    rules have made of that text. Costs are counts of work, so that the order is
+    the same on each run; of equal rules, the first listed goes first.
     """
-    if not sample:
-        return list(rules)
-    worth = []
-    for rule in rules:
-        start = clock()
-        rejected = sum(rule.rejects(Text(data)) for data in sample)
-        worth.append(rejected / max(clock() - start, 1e-9))
-    return [rules[i] for i in sorted(range(len(rules)), key=lambda i: -worth[i])]
+    left, order = list(rules), []
+    survivors = [(Text(data), set(paid)) for data in sample]
+    while left:
+        rejected = [[rule.rejects(t) for t, _ in survivors] for rule in left]
+        costs = [sum(rule.cost(t, p) for t, p in survivors) for rule in left]
+        best = max(range(len(left)), key=lambda i: (sum(rejected[i]) / max(costs[i], 1), -i))
+        rule = left.pop(best)
+        order.append(rule)
+        survivors = [(t, p | set(rule.needs)) for (t, p), out in zip(survivors, rejected[best]) if not out]
+    return order
 
 
 def first_failure(text: Text, rules: Sequence[Rule]) -> str | None:
@@ -149,10 +173,26 @@ def first_failure(text: Text, rules: Sequence[Rule]) -> str | None:
     return next((rule.name for rule in rules if rule.rejects(text)), None)
 
 
-def plan(docs: DataFrame, rules: Sequence[Rule] = RULES, sample: int = 300) -> list[Rule]:
-    """The rules in the order found on at most ``sample`` texts."""
-    picked = sample_texts(docs, docs.select("doc_id", F.lit("all").alias("grp")), sample, sample)
-    return ordered(rules, [r["text"].encode() for r in picked])
+def plan(docs: DataFrame, rules: Sequence[Rule] = RULES, sample: int = 300, paid: Sequence[str] = REPORTED) -> list[Rule]:
+    """The rules in the order found on at most ``sample`` texts; ``paid`` as in :func:`ordered`."""
+    usable = docs.where(F.length("text") > 0).select("doc_id", F.lit("all").alias("grp"))
+    picked = sample_texts(docs, usable, sample, sample)
+    return ordered(rules, [r["text"].encode() for r in picked], paid)
+
+
+def kept(docs: DataFrame, rules: Sequence[Rule] = RULES, sample: int = 300) -> DataFrame:
+    """The rows of ``docs`` that no rule rejects. Nothing is measured but what a rule asks for, until one rejects.
+
+    Null and empty texts are rejected by the word count, if that is among the rules.
+    """
+    small_batches(docs.sparkSession)
+    order = plan(docs, rules, sample, paid=())
+
+    @F.arrow_udf("boolean")
+    def passes(column: pa.Array) -> pa.Array:
+        return pa.array([first_failure(Text(data), order) is None for data in raw(column)], pa.bool_())
+
+    return docs.where(passes("text"))
 
 
 BASE = "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint,failed:string>"

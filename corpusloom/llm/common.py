@@ -42,7 +42,8 @@ def sample_texts(docs: DataFrame, groups: DataFrame, per_group: int, rows: int)
     """A bounded sample ``(doc_id, grp, text)`` of ``docs``, even over the column ``grp`` of ``groups`` (doc_id, grp).
 
     The first ``per_group`` ids of each group by a digest, ``rows`` in all; the
-    bounds are documented parameters of the callers. Groups are counted first,
+    bounds are documented parameters of the callers. ``groups`` should name only
+    ids whose text is not empty, as others would take up places for nothing. Groups are counted first,
     and only ids whose digest lies in the needed share of all digests (with some
     margin) are ranked, so that a frequent group does not meet in one task. Of
     rows with equal ids one is taken; null ids and null or empty texts are not.

@@ -113,7 +113,7 @@ def learn(
     ``trains`` says which rows may be learned from. Rows with a null or empty
     text or a null language are left out; without any row there is no model.
     """
-    known = docs.where(trains).select("doc_id", F.col("lang").alias("grp"))
+    known = docs.where(trains & (F.length("text") > 0)).select("doc_id", F.col("lang").alias("grp"))
     picked = sample_texts(docs, known, per_language, rows)
     if not picked:
         return None

@@ -139,6 +139,7 @@ def learn(docs: DataFrame, labels: DataFrame, trains: Column, per_label: int = 1
     """
     marked = labels.where(trains & F.col("quality").isin(0, 1)).groupBy("doc_id")
     marked = marked.agg(F.when(F.avg("quality") >= 0.5, 1).otherwise(0).alias("grp"))
+    marked = marked.join(docs.where(F.length("text") > 0).select("doc_id"), "doc_id", "left_semi")
     picked = sample_texts(docs, marked, per_label, 2 * per_label)
     if len({r["grp"] for r in picked}) < 2:
         return None

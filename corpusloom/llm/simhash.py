@@ -233,23 +233,38 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     small_batches(docs.sparkSession)
     made = staged(docs.select(F.col(id_column).alias("doc_id"), fingerprint_column(text_column).alias("fp")), "prints")
+    grouped = print_groups(made)
+    leasts = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = grouped.join(leasts, "root").select("fp", "component_id")
+    return made.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def print_groups(made: DataFrame) -> DataFrame:
+    """``(fp, least, root)`` of each fingerprint of ``made`` (doc_id, fp): its least id, and a name for its group."""
     prints = staged(made.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-prints")
     roots = components(links(prints), "a", "b")
     grouped = prints.join(roots, prints.fp == roots.node, "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
-    grouped = staged(grouped, "print-roots")
-    leasts = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = grouped.join(leasts, "root").select("fp", "component_id")
-    return made.join(named, "fp").select("doc_id", "fp", "component_id")
+    return staged(grouped, "print-roots")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents with one of each near-duplicate group left: the one with the least id.
+    """The rows of ``docs`` (doc_id, text) with one of each near-duplicate group left.
 
-    Rows of equal id count as one document. Rows without an id cannot be told
-    apart and all stay.
+    That is the one with the least id, a missing id being the greatest; of rows
+    that share it the one with the least digest of its text, then of all its
+    columns. So rows that share an id but not the text are documents of their
+    own, and rows without an id are compared like any other.
     """
-    kept = near_duplicates(docs.where("doc_id IS NOT NULL")).where("doc_id = component_id").select("doc_id").distinct()
-    numbered = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return numbered.unionByName(docs.where("doc_id IS NULL"))
+    small_batches(docs.sparkSession)
+    names = ["__id", "__no_id", "__text"]
+    key = [F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), F.md5(F.coalesce("text", F.lit("")))]
+    key = [c.alias(n) for c, n in zip(key, names)]
+    made = staged(docs.select("doc_id", *key, fingerprint_column("text").alias("fp")), "prints")
+    grouped = print_groups(made.select("doc_id", "fp")).select("fp", "root")
+    first = F.min(F.struct("__no_id", "__id", "__text")).alias("first")
+    kept = made.join(grouped, "fp").groupBy("root").agg(first).select("first.*").distinct()
+    rows = docs.select(*key, F.struct(*docs.columns).alias("__row"), F.xxhash64(*docs.columns).alias("__digest"))
+    found = rows.join(kept, names, "left_semi")
+    return found.groupBy(*names).agg(F.min_by("__row", "__digest").alias("__row")).select("__row.*")

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 import re
 
 from pyspark.sql import functions as F
@@ -52,14 +53,52 @@ def test_order_changes_no_verdict():
         assert (forward is None) == (cascade.first_failure(data, cascade.RULES[::-1]) is None)
 
 
-def test_rules_run_by_rejections_per_second():
-    ticks = iter([0, 8, 10, 11, 20, 21])
-    cheap, costly, useless = Rule("cheap", lambda t: 1, most=0), Rule("costly", lambda t: 1, most=0), Rule("useless", lambda t: 0)
-    order = cascade.ordered([useless, costly, cheap], [b"x"], clock=lambda: next(ticks))
-    assert [r.name for r in order] == ["costly", "cheap", "useless"]
+def test_rules_run_by_rejections_per_cost():
+    cheap, useless = Rule("cheap", lambda t: 1, most=0, needs=()), Rule("useless", lambda t: 0, needs=())
+    dear = Rule("dear", lambda t: 1, most=0, needs=("words", "repeated_words"))
+    assert [r.name for r in cascade.ordered([useless, dear, cheap], [b"x y"], paid=())] == ["cheap", "useless", "dear"]
+    assert [r.name for r in cascade.ordered([useless, dear, cheap], [b"x y"])] == ["dear", "useless", "cheap"]
     assert cascade.ordered([useless, cheap], []) == [useless, cheap]
 
 
+def test_selectivity_is_that_of_the_texts_left():
+    """``second`` rejects most of all texts, but nothing that ``first`` lets pass; ``third`` does."""
+    first = Rule("first", lambda t: len(t.words), least=3)
+    second = Rule("second", lambda t: len(t.words), least=2, needs=("words", "each_word"))
+    third = Rule("third", lambda t: t.data.count(b"z"), most=0, needs=("words", "each_word"))
+    sample = [b"a"] * 6 + [b"a b"] * 2 + [b"a b c z"] * 1 + [b"a b c d"] * 3
+    assert [r.name for r in cascade.ordered([second, third, first], sample)] == ["first", "third", "second"]
+
+
+def test_short_circuit_saves_calls_and_work():
+    calls = Counter()
+
+    def counting(rule):
+        def measure(text):
+            calls[rule.name] += 1
+            return rule.measure(text)
+
+        return Rule(rule.name, measure, rule.least, rule.most, rule.needs)
+
+    rules = [counting(rule) for rule in cascade.RULES]
+    junk = [b"le " * 40, b"a b", b"### %% ## " * 30, b"1 2 3 4 " * 9] * 50
+    prose = ["the river walks under an old bridge as morning light turns slowly into day".split()] * 20
+    sample = junk + [b" ".join(f"{w}{i}".encode() for i in range(3) for w in own) for own in prose]
+    for paid, share in (((), 0.5), (cascade.REPORTED, 0.7)):
+        order = cascade.ordered(rules, sample, paid)
+        calls.clear()
+        verdicts = [cascade.first_failure(Text(t), order) is None for t in sample]
+        assert sum(calls.values()) < share * len(rules) * len(sample)
+        assert verdicts == [all(not r.rejects(Text(t)) for r in cascade.RULES) for t in sample]
+
+
+def test_kept_equals_the_verdicts(spark):
+    rows = list(enumerate(texts()[:80]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    passed = {r.doc_id for r in cascade.judged(docs, cascade.RULES).where("__rules.failed IS NULL").collect()}
+    assert {r.doc_id for r in cascade.kept(docs).collect()} == passed
+
+
 def test_later_rules_are_not_asked():
     def fail(text):
         raise AssertionError("asked")

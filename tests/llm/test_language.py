@@ -55,3 +55,12 @@ def test_no_rows_to_learn_from(spark):
     assert model is None
     assert language.identify(docs, model).first()["__language"].lang_pred == "und"
     assert language.identify(docs.limit(0), model).count() == 0
+
+
+def test_empty_texts_take_no_places(spark):
+    rows = [(i, "" if i % 2 else None, "sparse") for i in range(600)] + [(1000 + i, f"zzq zq {i}", "sparse") for i in range(6)]
+    rows += [(2000 + i, f"the word {i}", "full") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(docs, F.lit(True), per_language=20, landmarks=10)
+    found = language.identify(docs.where("length(text) > 0"), model).select("lang", "__language.lang_pred").collect()
+    assert all(r.lang == r.lang_pred for r in found)

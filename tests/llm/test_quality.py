@@ -59,3 +59,10 @@ def test_without_both_labels_and_without_rows(spark):
     assert network is None
     assert [r[0] for r in quality.score(docs, network).select("__quality").collect()] == [0.5, 0.5]
     assert quality.score(docs.limit(0), network).count() == 0
+
+
+def test_labels_of_empty_or_absent_texts_take_no_places(spark):
+    rows = [(i, "" if i % 2 else None) for i in range(400)] + [(1000 + i, "good plain words here" if i % 2 else "%%% ### ***") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows] + [(5000 + i, i % 2) for i in range(300)], "doc_id long, quality int")
+    assert quality.learn(docs, labels, F.lit(True), per_label=10) is not None

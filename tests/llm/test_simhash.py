@@ -103,13 +103,17 @@ def test_large_groups_in_one_task_equal_brute_force():
     assert joined == {int(p) for p in prints} - alone
 
 
-def test_keep_one_keeps_rows_without_id_and_one_of_each_group(spark):
-    rows = [(3, "a b c d"), (1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (7, "other words stand here now"), (8, None)]
-    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted((r.doc_id or -1, r.text) for r in kept if r.text) == [
-        (-1, "a b c d"), (1, "a b c d"), (7, "other words stand here now"),
+def test_keep_one_of_each_group_whatever_the_ids(spark):
+    rows = [
+        (3, "a b c d", 1), (1, "a b c d", 1), (1, "a b c d", 1), (1, "quite another text under the same number", 1),
+        (None, "a b c d", 1), (None, "only copies without number here", 1), (None, "only copies without number here", 2),
+        (7, "other words stand here now", 1), (8, None, 1), (9, "", 1), (None, None, 1),
+    ]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, fp int").repartition(3)).collect()
+    assert sorted((r.doc_id or -1, r.text or "") for r in kept) == [
+        (-1, "only copies without number here"), (1, "a b c d"), (1, "quite another text under the same number"),
+        (7, "other words stand here now"), (8, ""),
     ]
-    assert [r.doc_id for r in kept if r.text is None] == [8]
 
 
 def test_empty_table(spark):
