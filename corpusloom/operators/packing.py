@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from corpusloom.functions.numbers import whole
-from corpusloom.functions.text import seeded_key
 from corpusloom.operators.ordering import id_buckets, running
+from corpusloom.operators.permutation import permuted
 from corpusloom.session import staged
 
 MOST_PARTS = 1 << 20  # parts whose first documents are shared with the tasks, some 24 MB
@@ -278,18 +278,16 @@ def block_overlap(ranges: DataFrame, window: int, key: str = "seq") -> DataFrame
 def file_order(files: DataFrame, epochs: int, seed: int = 0, reshuffle: bool = False) -> DataFrame:
     """``(epoch, rank, file)``: the same order in every pass, by name if ``seed`` is 0.
 
-    The table lists files, not data, so a window per pass stays small.
-    ``reshuffle`` draws a new order for each pass.
+    The table lists files, not data, so one window stays small. Shuffled ranks
+    are computed from ranks by name; ``reshuffle`` draws a new order for each pass.
     """
-    passes = files.select(F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"), "file")
-    if seed == 0:
-        order = [F.col("file")]
-    elif reshuffle:
-        order = [seeded_key(seed, F.col("epoch"), F.col("file")), F.col("file")]
-    else:
-        order = [seeded_key(seed, F.col("file")), F.col("file")]
-    rank = F.row_number().over(Window.partitionBy("epoch").orderBy(*order)) - 1
-    return passes.select("epoch", rank.cast("long").alias("rank"), "file")
+    alone = Window.partitionBy(F.lit(0))
+    named = files.select(
+        "file", (F.row_number().over(alone.orderBy("file")) - 1).cast("long").alias("rank"), F.count(F.lit(1)).over(alone).alias("n")
+    )
+    passes = named.select(F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"), "rank", "n", "file")
+    rank = permuted(F.col("rank"), F.col("n"), seed, F.col("epoch") if reshuffle else None) if seed else F.col("rank")
+    return passes.select("epoch", rank.alias("rank"), "file")
 
 
 def batch_schedule(

@@ -1,7 +1,8 @@
 """Reproducible sampling and mixing of languages.
 
-All draws come from digests of a seed and a key: no state, no order of
-execution, and a lost executor recomputes the same rows.
+All draws come from digests of a seed and a key, and shuffled places from a
+keyed permutation: no state, no order of execution, and a lost executor
+recomputes the same rows.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from corpusloom.functions.numbers import whole
 from corpusloom.functions.text import seeded_draw
 from corpusloom.operators.ordering import head_rows, row_index, shuffled_index
+from corpusloom.operators.permutation import permuted
 
 DRAW_CHUNK = 1 << 16
 ROW_REPEATS = 1 << 12
@@ -94,9 +96,19 @@ def _gather(numbers: DataFrame, df: DataFrame, key: str, by: Sequence[str], size
 
 
 def mix_natural(df: DataFrame, languages: Sequence[str], key: str, seed: int) -> DataFrame:
-    """All rows of the listed languages in shuffled order (``out_pos``). Keys may repeat over languages."""
+    """All rows of the listed languages in shuffled order (``out_pos``). Keys may repeat over languages.
+
+    A row's number is its place in its language behind the languages listed
+    before; its place in the shuffle is computed from that number.
+    """
+    sizes = language_sizes(df, languages)
+    earlier = Window.partitionBy(F.lit(0)).orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
+    starts = sizes.select("language", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__start"), total.alias("__total"))
     listed = df.where(F.col("language").isin(*languages))
-    return shuffled_index(listed, seed, ["language", key])
+    numbered = row_index(listed, key, ["language"], "__row").join(F.broadcast(starts), "language")
+    place = permuted(F.col("__start") + F.col("__row"), F.col("__total"), seed)
+    return numbered.select(*df.columns, place.alias("out_pos"))
 
 
 def mix_balanced(df: DataFrame, languages: Sequence[str], key: str, seed: int) -> DataFrame:
@@ -104,14 +116,17 @@ def mix_balanced(df: DataFrame, languages: Sequence[str], key: str, seed: int) -
 
     A language of that size is kept as it is; the others lose some rows and
     repeat others. A listed language without rows is an error. ``draw`` numbers
-    the rows of a language, ``out_pos`` is the shuffled position.
+    the rows of a language; ``out_pos`` is the shuffled position, computed from
+    language and draw alone.
     """
     sizes = language_sizes(df, languages)
     message = F.concat(F.lit("no rows for language "), F.col("language"))
     checked = sizes.withColumn(
         "n", F.when(F.col("n") > 0, F.col("n")).otherwise(F.raise_error(message).cast("long"))
     )
-    numbers = shuffled_index(draw_numbers(checked, "max_n", ["language"]), seed, ["language", "draw"])
+    number = F.col("position") * F.col("max_n") + F.col("draw")
+    place = permuted(number, F.col("max_n") * len(languages), seed)
+    numbers = draw_numbers(checked, "max_n", ["language"]).withColumn("out_pos", place)
     picked = seeded_draw(seed, F.lit("draw"), F.col("language"), F.col("draw")) % F.col("n")
     plan = numbers.withColumn("row_index", F.when(F.col("n") == F.col("max_n"), F.col("draw")).otherwise(picked))
     return _gather(plan, df.where(F.col("language").isin(*languages)), key, ["language"], checked)
@@ -147,6 +162,7 @@ def head_per_language(df: DataFrame, key: str, n: int) -> DataFrame:
     return head_rows(df, ["language"], [F.col(key)], n)
 
 
-def seeded_order(df: DataFrame, seed: int, key: Sequence[str]) -> DataFrame:
-    """A reproducible shuffle; ``out_pos`` is the position."""
-    return shuffled_index(df, seed, key)
+def seeded_order(df: DataFrame, seed: int, key: str) -> DataFrame:
+    """A reproducible shuffle by a unique integer key; ``out_pos`` is the position, computed from the key's rank."""
+    numbered = row_index(df, key, name="__row")
+    return numbered.select(*df.columns, permuted(F.col("__row"), df.count(), seed).alias("out_pos"))

@@ -476,7 +476,7 @@ def language_index(spark, sf_dir):
 
 
 def seeded_order(spark, sf_dir):
-    return S.seeded_order(table(spark, sf_dir, "orders").select("o_orderkey"), SEED, ["o_orderkey"])
+    return S.seeded_order(table(spark, sf_dir, "orders").select("o_orderkey"), SEED, "o_orderkey")
 
 
 def drawn_rows(spark, sf_dir):

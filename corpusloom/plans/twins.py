@@ -6,6 +6,8 @@ plain windows, where the Spark side uses slices, buckets and arithmetic.
 
 from __future__ import annotations
 
+from corpusloom.operators.permutation import FACTORS, MIDDLE, round_keys  # fixed values of the shuffle
+
 RE = r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+"
 
 
@@ -17,6 +19,24 @@ def digest(ids: str) -> str:
     return f"md5(array_to_string({ids}, ','))"
 
 
+def shuffled(source: str, columns: str, index: str, n: str, seed: int = 42) -> str:
+    """``columns`` and ``out_pos``, the place of number ``index`` of ``n``: round by round, walking on until it is below n."""
+    low = (1 << 32) - 1
+    rounds = f"""SELECT *, x % a AS l, x // a AS r FROM (SELECT *, (n + a - 1) // a AS b FROM
+        (SELECT *, greatest(ceil(sqrt(n)), 1)::BIGINT AS a FROM walk WHERE turn = 0 OR x >= n))"""
+    for i, key in enumerate(round_keys(seed)):
+        own, other, size = ("l", "r", "a") if i % 2 == 0 else ("r", "l", "b")
+        mixed = f"({other} + {key})"
+        for factor in FACTORS:
+            mixed = f"((({mixed} & {low}) * {factor}) >> {MIDDLE})"
+        rounds = f"SELECT * REPLACE (({own} + ({mixed} & {low})) % {size} AS {own}) FROM ({rounds})"
+    return f"""(
+        WITH RECURSIVE walk AS (
+          SELECT {columns}, ({index})::BIGINT AS x, ({n})::BIGINT AS n, 0 AS turn FROM {source}
+          UNION ALL SELECT {columns}, l + r * a, n, turn + 1 FROM ({rounds}))
+        SELECT {columns}, x AS out_pos FROM walk WHERE turn > 0 AND x < n)"""
+
+
 CTE: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
@@ -498,6 +518,10 @@ FORMS = {
 }
 SHUFFLE = "row_number() OVER (ORDER BY md5('42:'||doc_id), doc_id) - 1"
 
+SCHEDULED = """(SELECT file, (tokens - 1) // 2048 AS batches, row_number() OVER (ORDER BY file) - 1 AS i, count(*) OVER () AS m
+  FROM shard_totals WHERE file LIKE 'data_train%' AND tokens > 2048)"""
+
+
 TWINS: dict[str, str] = {
     "vocab_top": sql("SELECT token, id, cnt FROM vocab WHERE id < 50003", "vocab"),
     "vocab_all": sql("SELECT token, id, cnt FROM vocab", "vocab"),
@@ -563,15 +587,15 @@ TWINS: dict[str, str] = {
         "block_pairs",
     ),
     "file_plan": sql(
-        """SELECT epoch::INTEGER AS epoch, row_number() OVER (PARTITION BY epoch ORDER BY md5('42:'||file), file) - 1 AS rank, file
-           FROM (SELECT unnest(range(3)) AS epoch, file FROM shard_totals)""",
+        f"""SELECT epoch::INTEGER AS epoch, out_pos AS rank, file
+           FROM {shuffled("(SELECT file, row_number() OVER (ORDER BY file) - 1 AS i, count(*) OVER () AS m FROM shard_totals)", "file", "i", "m")},
+             (SELECT unnest(range(3)) AS epoch)""",
         "shard_totals",
     ),
     "batch_schedule": sql(
         f"""SELECT before + b.batch AS step, epoch::INTEGER AS epoch, f.file, b.batch, b.rank, b.inputs_md5
-           FROM (SELECT epoch, file, sum(batches) OVER (ORDER BY epoch, md5('42:'||file), file) - batches AS before
-                 FROM (SELECT unnest(range(3)) AS epoch, file, (tokens - 1) // 2048 AS batches FROM shard_totals
-                       WHERE file LIKE 'data_train%' AND tokens > 2048)) f
+           FROM (SELECT epoch, file, sum(batches) OVER (ORDER BY epoch, out_pos) - batches AS before
+                 FROM (SELECT unnest(range(3)) AS epoch, file, batches, out_pos FROM {shuffled(SCHEDULED, "file, batches", "i", "m")})) f
            JOIN (SELECT file, batch, rank, {digest('ids[1:512]')} AS inputs_md5
              FROM (SELECT w.file, w.batch, w.rank, list(s.id ORDER BY s.p) AS ids
                FROM (SELECT file, batch, rank::INTEGER AS rank, batch * 2048 + rank * 512 AS first_pos FROM
@@ -689,13 +713,19 @@ TWINS: dict[str, str] = {
         "cls_ids",
     ),
     "mix_natural": sql(
-        """SELECT row_number() OVER (ORDER BY md5('42:'||language||':'||doc_id), language, doc_id) - 1 AS out_pos, language, doc_id
-           FROM ex_sft""",
+        "SELECT out_pos, language, doc_id FROM "
+        + shuffled(
+            "(SELECT language, doc_id, row_number() OVER (ORDER BY language, doc_id) - 1 AS i, count(*) OVER () AS m FROM ex_sft)",
+            "language, doc_id", "i", "m",
+        ),
         "ex_sft",
     ),
     "mix_balanced": sql(
-        """SELECT row_number() OVER (ORDER BY md5('42:'||language||':'||draw), language, draw) - 1 AS out_pos, language, draw, doc_id
-           FROM mixed""",
+        "SELECT out_pos, language, draw, doc_id FROM "
+        + shuffled(
+            "(SELECT language, draw, doc_id, row_number() OVER (ORDER BY language, draw) - 1 AS i, count(*) OVER () AS m FROM mixed)",
+            "language, draw, doc_id", "i", "m",
+        ),
         "mixed",
     ),
     "language_sample": sql(
@@ -707,7 +737,8 @@ TWINS: dict[str, str] = {
     ),
     "language_head": sql("SELECT doc_id, language FROM ranked_docs WHERE row_index < 20", "ranked_docs"),
     "language_index": sql("SELECT doc_id, language, row_index FROM ranked_docs", "ranked_docs"),
-    "seeded_order": "SELECT o_orderkey, row_number() OVER (ORDER BY md5('42:'||o_orderkey), o_orderkey) - 1 AS out_pos FROM orders",
+    "seeded_order": "SELECT o_orderkey, out_pos FROM "
+    + shuffled("(SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS m FROM orders)", "o_orderkey", "i", "m"),
     "drawn_rows": f"""SELECT k.draw, r.doc_id, r.n_chars FROM (SELECT unnest(range(5000)) AS draw) k
         JOIN (SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents) r
         ON r.i = {draw("'draw:'||k.draw")} % r.n""",
