@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -155,11 +155,13 @@ def tokenize(
     keep: Sequence[str] = (),
     limit: int = BROADCAST_ROWS,
     first: Mapping[str, int] | None = None,
+    code: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Encode text columns: ``key``, ``keep`` and one ``array<int>`` per entry of ``texts``.
 
     ``first`` names columns of which only so many leading ids are wanted. The
     whole text is split all the same; the other pieces just need no lookup.
+    ``code`` is a :func:`vocab_column` of this vocabulary that is already there.
 
     With a vocabulary of up to ``limit`` rows nothing is shuffled. A larger one
     is joined by the distinct pieces of blocks of texts, see
@@ -167,7 +169,7 @@ def tokenize(
     repeat, and a row that occurs more than once comes out as often.
     """
     wanted = {n: _wanted_pieces(t, (first or {}).get(n)) for n, t in texts.items()}
-    code = vocab_column(vocab, "token", "id", UNK, limit)
+    code = code or vocab_column(vocab, "token", "id", UNK, limit)
     if code is not None:
         empty = F.array().cast("array<int>")
         return df.select(*key, *keep, *[F.coalesce(code(w), empty).alias(n) for n, w in wanted.items()])

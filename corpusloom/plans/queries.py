@@ -803,6 +803,22 @@ def stream_best(spark, sf_dir):
     return spark.read.parquet(f"{out}/result/improvements").select("run", "step", "val_loss", "prev_best")
 
 
+def stream_best_keyed(spark, sf_dir):
+    out = scratch_folder(spark, "best-keyed")
+    rows = evaluations(spark, sf_dir)
+    rows.write.parquet(f"{out}/evaluations")
+    stream = ST.read_stream(spark, f"{out}/evaluations", rows.schema)
+    ST.drain(ST.stream_best_by_key(stream, f"{out}/rows", f"{out}/state"))
+    return spark.read.parquet(f"{out}/rows").select("run", "step", "val_loss", "prev_best")
+
+
+def stream_shards(spark, sf_dir):
+    """Shards of all documents, counted by a stream of their headers."""
+    out = scratch_folder(spark, "shard-counts")
+    ST.drain(ST.stream_shard_counts(spark, written_shards(spark, sf_dir), f"{out}/totals", f"{out}/state"))
+    return ST.latest_by_key(spark, f"{out}/totals", ["split"])
+
+
 # --- complete jobs ------------------------------------------------------------------
 
 
@@ -861,7 +877,7 @@ def all_queries() -> dict[str, Query]:
         language_head, language_index, seeded_order, drawn_rows, concat_datasets, dataset_split, language_scan,
         prompts, packs, tight_packs, pack_counts, pack_files, pack_build, padded_batches, gen_prompts, token_loss,
         rouge_n, rouge_n_ascii, rouge_l, bleu, language_report, parsed_logs, run_summary, loss_windows,
-        best_checkpoint, checkpoint_files, best_so_far, width_rules, stream_tokens, stream_counts, stream_windows, stream_best,
+        best_checkpoint, checkpoint_files, best_so_far, width_rules, stream_tokens, stream_counts, stream_windows, stream_best, stream_best_keyed, stream_shards,
         corpus_job, pack_job, classifier_job, generation_job,
     ]
     return {query.__name__: query for query in listed}

@@ -854,6 +854,12 @@ TWINS: dict[str, str] = {
     ),
     "best_so_far": BEST,
     "stream_best": BEST,
+    "stream_best_keyed": BEST,
+    "stream_shards": sql(
+        """SELECT CASE WHEN file LIKE 'data_val%' THEN 'val' ELSE 'train' END AS split, count(*) AS files, sum(tokens)::BIGINT AS tokens
+           FROM shard_totals GROUP BY ALL""",
+        "shard_totals",
+    ),
     "corpus_job": sql(
         """SELECT file, sum(tokens)::BIGINT AS tokens FROM shard_totals WHERE file LIKE 'data_train%' GROUP BY ROLLUP (file)""",
         "shard_totals",

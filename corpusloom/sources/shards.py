@@ -27,6 +27,7 @@ from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
     DataSourceReader,
+    DataSourceStreamReader,
     EqualTo,
     Filter,
     GreaterThan,
@@ -156,18 +157,23 @@ class ShardReader(DataSourceReader):
             return False
         return all(_TESTS[kind](place[column], value) for kind, column, value in self.filters)
 
-    def partitions(self) -> list[ShardPart]:
+    def shards(self) -> list[tuple[str, str, int]]:
+        """``(path, name, size)`` of every shard that is there, wanted or not."""
         fs, root = _filesystem(self.root)
         listed = fs.get_file_info(pafs.FileSelector(shard_folder(fs, root)))
-        found = sorted((i.path, i.base_name, i.size) for i in listed if self._wanted(i.base_name))
+        return sorted((i.path, i.base_name, i.size) for i in listed if re.match(FILE_PATTERN, i.base_name))
+
+    def partitions(self) -> list[ShardPart]:
+        return self.tasks([entry for entry in self.shards() if self._wanted(entry[1])]) or [ShardPart([])]
+
+    def tasks(self, found: list[tuple[str, str, int]]) -> list[ShardPart]:
         if self.headers_only:
-            tasks = [ShardPart(found[i : i + HEADERS_PER_TASK]) for i in range(0, len(found), HEADERS_PER_TASK)]
-        else:
-            tasks = []
-            for entry in found:
-                parts = max(1, -(-(entry[2] - HEADER_BYTES) // self.task_bytes))
-                tasks.extend(ShardPart([entry], i, parts) for i in range(parts))
-        return tasks or [ShardPart([])]
+            return [ShardPart(found[i : i + HEADERS_PER_TASK]) for i in range(0, len(found), HEADERS_PER_TASK)]
+        tasks = []
+        for entry in found:
+            parts = max(1, -(-(entry[2] - HEADER_BYTES) // self.task_bytes))
+            tasks.extend(ShardPart([entry], i, parts) for i in range(parts))
+        return tasks
 
     def read(self, partition: ShardPart) -> Iterator[pa.RecordBatch]:
         fs, _ = _filesystem(self.root)
@@ -224,6 +230,36 @@ class ShardReader(DataSourceReader):
         yield pa.RecordBatch.from_arrays([columns[c]() for c in self.columns], self.columns)
 
 
+class ShardStreamReader(DataSourceStreamReader):
+    """Shards as they arrive. An offset is the first shard index that has not been read.
+
+    Indices count from 0 without gaps, so a shard behind a gap waits until the
+    gap is filled, and none is read twice or missed, whatever the order of
+    arrival. Files have their final name only when they are whole.
+    """
+
+    def __init__(self, options: dict):
+        self.reader = ShardReader(options)
+
+    def initialOffset(self) -> dict:
+        return {"next": 0}
+
+    def latestOffset(self) -> dict:
+        there = {ShardReader._place(name)[1] for _, name, _ in self.reader.shards()}
+        following = 0
+        while following in there:
+            following += 1
+        return {"next": following}
+
+    def partitions(self, start: dict, end: dict) -> list[ShardPart]:
+        new = range(start["next"], end["next"])
+        found = [e for e in self.reader.shards() if ShardReader._place(e[1])[1] in new and self.reader._wanted(e[1])]
+        return self.reader.tasks(found) or [ShardPart([])]
+
+    def read(self, partition: ShardPart) -> Iterator[pa.RecordBatch]:
+        yield from self.reader.read(partition)
+
+
 def _columns(options: dict) -> list[str]:
     """The columns asked for, in the order of the schema; all if none are named."""
     names = [c.split()[0] for c in _CHUNK_SCHEMA.split(", ")]
@@ -340,6 +376,9 @@ class TokenShards(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return ShardReader(self._options())
 
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
+        return ShardStreamReader(self._options())
+
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
         return ShardWriter(self._options(), overwrite)
 
@@ -355,6 +394,13 @@ def read_token_shards(
     return (reader.option("columns", ",".join(columns)) if columns else reader).load(path)
 
 
+def stream_token_shards(spark: SparkSession, path: str, split: str | None = None, headers: bool = False) -> DataFrame:
+    """A stream of the shards that are added to ``path``: chunks of ids, or ``headers``."""
+    spark.dataSource.register(TokenShards)
+    reader = spark.readStream.format("token_shards").option("mode", "header" if headers else "chunks")
+    return (reader.option("split", split) if split else reader).load(path)
+
+
 def scan_shard_headers(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
     """Headers only, 1 KB per file: ``(file, shard_index, split, version, bits, tokens)``.
 

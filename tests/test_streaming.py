@@ -1,6 +1,10 @@
 from datetime import datetime
 
+import pytest
+from pyspark.sql import functions as F
+
 from corpusloom.operators import vocabulary as V
+from corpusloom.sources import shards as SH
 from corpusloom.streaming import streams as ST
 
 
@@ -25,17 +29,21 @@ def test_tokens_and_counts_over_two_arrivals(spark, tmp_path):
     assert totals == {"en": (3, 5), "de": (1, 1)}
 
 
-def test_best_so_far_over_batches(spark, tmp_path):
+@pytest.mark.parametrize("keyed", [False, True])
+def test_best_so_far_over_batches(spark, tmp_path, keyed):
     schema = "run long, step long, val_loss double"
     arrivals = [
         [(0, 25, 5.0), (0, 50, 4.0), (1, 25, 7.0)],
         [(0, 75, 4.0), (0, 30, 1.0), (0, 100, 3.0), (1, 50, 8.0)],  # step 30 comes late
         [(1, 75, 6.0), (2, 25, 2.0)],
     ]
-    for rows in arrivals:
+    for rows in arrivals:  # every start continues from the checkpoint
         add(spark.createDataFrame(rows, schema), tmp_path / "in")
         stream = ST.read_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema)
-        ST.drain(ST.stream_best_so_far(stream, str(tmp_path / "out"), str(tmp_path / "state")))
+        if keyed:
+            ST.drain(ST.stream_best_by_key(stream, str(tmp_path / "out" / "improvements"), str(tmp_path / "state")))
+        else:
+            ST.drain(ST.stream_best_so_far(stream, str(tmp_path / "out"), str(tmp_path / "state")))
     got = spark.read.parquet(str(tmp_path / "out" / "improvements")).select("run", "step", "prev_best")
     assert sorted(tuple(r) for r in got.where("prev_best is not null").collect()) == [
         (0, 50, 5.0), (0, 100, 4.0), (1, 75, 7.0),
@@ -43,6 +51,43 @@ def test_best_so_far_over_batches(spark, tmp_path):
     assert sorted(tuple(r)[:2] for r in got.where("prev_best is null").collect()) == [(0, 25), (1, 25), (2, 25)]
 
 
+def test_vocabulary_is_fetched_once(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, "a b") for i in range(4)], "doc_id long, text string")
+    vocab, fetched = V.build_vocab(docs), []
+    monkeypatch.setattr(ST, "vocab_column", lambda *a, f=ST.vocab_column: fetched.append(1) or f(*a))
+    monkeypatch.setattr(V, "vocab_column", lambda *a: pytest.fail("fetched for a batch"))
+    for i in range(3):
+        add(docs.where(F.col("doc_id") == i), tmp_path / "in")
+    stream = ST.read_stream(spark, str(tmp_path / "in"), docs.schema, files_per_batch=1)
+    ST.drain(ST.stream_tokenize(stream, vocab, str(tmp_path / "out"), str(tmp_path / "s")))
+    assert spark.read.parquet(str(tmp_path / "out")).select("batch").distinct().count() == 3 and len(fetched) == 1
+
+
+def test_shards_are_counted_as_they_arrive(spark, tmp_path):
+    folder, out, state = (str(tmp_path / n) for n in ("shards", "out", "state"))
+
+    def put(*numbers):
+        pieces = [(n, 0, list(range(n + 5))) for n in numbers]
+        SH.write_token_shards(spark.createDataFrame(pieces, "shard long, lo long, ids array<int>"), folder, 1, mode="append")
+
+    def counted():
+        ST.drain(ST.stream_shard_counts(spark, folder, out, state))
+        return {r.split: (r.files, r.tokens) for r in ST.latest_by_key(spark, out, ["split"]).collect()}
+
+    put(0, 1, 2)
+    assert counted() == {"val": (1, 5), "train": (2, 13)}
+    put(4)  # waits for number 3
+    assert counted() == {"val": (1, 5), "train": (2, 13)}
+    put(3)
+    assert counted() == {"val": (1, 5), "train": (4, 30)}
+    headers = SH.scan_shard_headers(spark, folder).groupBy("split").agg(F.count("*"), F.sum("tokens"))
+    assert {r[0]: (r[1], r[2]) for r in headers.collect()} == counted()
+    chunks = SH.stream_token_shards(spark, folder, split="train").select("file", "ids")
+    query = chunks.writeStream.format("parquet").option("path", f"{out}-ids").option("checkpointLocation", f"{state}-ids")
+    ST.drain(query.trigger(availableNow=True).start())
+    assert {r.file: r.ids for r in spark.read.parquet(f"{out}-ids").collect()} == {f"data_train_{n:06d}.bin": list(range(n + 5)) for n in (1, 2, 3, 4)}
+
+
 def test_windows_drop_events_behind_the_watermark(spark, tmp_path):
     schema = "ts timestamp, loss double, correct boolean"
 
