@@ -686,7 +686,9 @@ TWINS: dict[str, str] = {
         "losses",
         "pred",
     ),
-    "ml_classifier": sql("SELECT count(*) AS rows, true AS beats_majority FROM ex_cls", "ex_cls"),
+    "ml_classifier": sql(
+        f"SELECT count(*) AS rows, true AS beats_majority FROM ex_cls WHERE {draw("'part:'||doc_id")} % 100 >= 75", "ex_cls"
+    ),
     "chosen_rows": """SELECT doc_id, n_chars FROM documents
         WHERE len(list_distinct(string_split(text, ''))) % 2 = 0""",
     "batch_function": """SELECT doc_id, batch_id, n_chars - min(n_chars) OVER (PARTITION BY batch_id) AS offset
