@@ -5,13 +5,13 @@
 1. Texts become chunks of word positions (``chunks``), written once.
 2. Words are counted over all training texts; a chunk deals its distinct words
    out by hash, and the rows of one hash bucket are added up in one task.
-3. Exchange clustering: the most frequent words move one at a time to the class
-   that raises the class-bigram likelihood most, until none moves. The pair
+3. Exchange clustering: the ``HEAD`` most frequent words move one at a time to
+   the class that raises the class-bigram likelihood most, until none moves. The pair
    counts of these words and of two stand-ins (text end, any other word) come
    from all training texts; their table has a fixed size.
 4. Every other word takes part in one exchange step: its neighbours' classes are
    counted over all training texts, bucket by bucket as before, and it joins the
-   class that explains them best. Nothing is capped.
+   class that explains them best. README has figures for other sizes of the head.
 5. Class and count of every word go back to the chunks that asked, transitions
    are counted over all training texts, and every text is scored.
 
@@ -34,8 +34,7 @@ from corpusloom.llm.common import small_batches
 from corpusloom.session import staged
 
 CLASSES = 48  # of words; the end of a text is a class of its own
-HEAD = 1024  # words that exchange clustering moves one at a time
-ROUNDS = 6
+HEAD = 2048  # words that exchange clustering moves one at a time
 BUCKETS = 128  # of the word hash, at least; a task holds one bucket, so there are more with more chunks
 CHUNK_BYTES = 1 << 23
 WORDS_AT_ONCE = 1 << 16
@@ -182,13 +181,15 @@ def _phi(values: np.ndarray) -> np.ndarray:
     return values * np.log(np.maximum(values, 1e-300))
 
 
-def exchange(pairs: np.ndarray, classes: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+def exchange(pairs: np.ndarray, classes: int, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Classes of the words, and the counts of class pairs.
 
     The last two rows of ``pairs`` are the end and any other word; they keep
     classes of their own, the last two. Words start in turn by frequency and are
     moved one at a time; each move takes the class with the greatest likelihood
-    of the class bigram; the first of equal ones.
+    of the class bigram; the first of equal ones. Without a number of
+    ``rounds`` over all words they go on until none moves, which comes to pass
+    as every move raises the likelihood.
     """
     words = len(pairs) - 2
     total = classes + 2
@@ -199,8 +200,9 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int = ROUNDS) -> tuple[np.
     table = member.T @ right
     mass_in, mass_out = table.sum(axis=0), table.sum(axis=1)
     free = np.arange(classes)
-    for _ in range(rounds):
-        moved = 0
+    moved, turn = words, 0
+    while moved and turn != rounds:
+        moved, turn = 0, turn + 1
         for w in range(words):
             old, own = of[w], pairs[w, w]
             before, behind = left[w].copy(), right[w].copy()
@@ -229,8 +231,6 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int = ROUNDS) -> tuple[np.
                 left[:, new] += pairs[w]
                 right[:, old] -= pairs[:, w]
                 right[:, new] += pairs[:, w]
-        if not moved:
-            break
     return of, table
 
 
