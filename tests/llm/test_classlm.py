@@ -51,6 +51,52 @@ def test_base_equals_brute_force_and_classes_beat_it(spark, monkeypatch, size):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def plain_scores(rows, classes):
+    """Score of every text, word by word with dictionaries; all training words are in the head."""
+    split = lambda t: [*(t or "").encode().lower().split(), b"\n"]
+    learned = [split(t) for i, t in rows if trains(i)]
+    counts = Counter(w for words in learned for w in words)
+    listed = sorted((w for w in counts if w != b"\n"), key=lambda w: (-counts[w], w)) + [b"\n"]
+    number = {w: i for i, w in enumerate(listed)}
+    pairs = np.zeros((len(listed) + 1, len(listed) + 1), np.int64)
+    for words in learned:
+        for a, b in zip([b"\n", *words], words):
+            pairs[number[a], number[b]] += 1
+    of = dict(zip(listed, classlm.exchange(pairs, classes)[0].tolist()))
+    mass, kinds, moves = Counter(), Counter(), Counter()
+    for w, n in counts.items():
+        mass[of[w]] += n
+        kinds[of[w]] += 1
+    for words in learned:
+        moves.update(zip([of[w] for w in [b"\n", *words]], [of[w] for w in words]))
+    once, twice = (sum(n == k for n in counts.values()) for k in (1, 2))
+    discount, total = once / (once + 2 * twice), sum(mass.values())
+
+    def chance(before, c):
+        seen = sum(moves[before, x] for x in mass) if before is not None else 0
+        return ((moves[before, c] if before is not None else 0) + classlm.PRIOR * mass[c] / total) / (seen + classlm.PRIOR)
+
+    out = {}
+    for i, t in rows:
+        score, before = 0.0, of[b"\n"]
+        for w in split(t):
+            if w in counts:
+                score += math.log10(chance(before, of[w]) * (counts[w] - discount) / mass[of[w]])
+                before = of[w]
+            else:
+                score += math.log10(sum(chance(before, c) * discount * kinds[c] / mass[c] for c in mass))
+                before = None
+        out[i] = score
+    return out
+
+
+def test_scores_equal_brute_force(spark):
+    rows = [r for r in corpus(80) if r[1] is None or "N2 v2" not in r[1]]
+    found = {r.doc_id: r.score for r in got(spark, rows, head=1000, classes=5)}
+    expected = plain_scores(rows, 5)
+    assert found.keys() == expected.keys() and all(found[i] == pytest.approx(expected[i], abs=1e-8) for i in found)
+
+
 def test_chunks_do_not_change_scores(spark, monkeypatch):
     rows = corpus(60)
     one = sorted((r.doc_id or -1, round(r.score, 8)) for r in got(spark, rows, head=20, classes=4))
