@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.llm.chunks import Numbers, chunked, dealt, pack, pack_words, unpack, word_array
@@ -38,6 +39,7 @@ HEAD = 2048  # words that exchange clustering moves one at a time
 BUCKETS = 128  # of the word hash, at least; a task holds one bucket, so there are more with more chunks
 CHUNK_BYTES = 1 << 23
 WORDS_AT_ONCE = 1 << 16
+PARTS = 512  # shares of the tasks whose pair counts are added up on their own first
 END = b"\n"  # no word holds a line break
 PRIOR = 20.0  # weight of the class frequencies in a transition
 
@@ -133,7 +135,9 @@ def head_pairs(chunks: DataFrame, numbers: dict[bytes, int], trains: Callable[[o
     """How often head word j follows head word i in training texts; the last index is any other word.
 
     ``numbers`` holds the end too. Each task sends one packed row of counts per
-    head word; rows are added up by head word. The table is bounded by the head.
+    head word; rows are added up by head word and a share of the tasks first,
+    then by head word, so that no task gets a row of every other one. The table
+    is bounded by the head.
     """
     size = len(numbers) + 1
     end = numbers[END]
@@ -147,15 +151,18 @@ def head_pairs(chunks: DataFrame, numbers: dict[bytes, int], trains: Callable[[o
                 before = np.concatenate([[end], heads[:-1]]) if len(heads) else heads
                 learned = _training(ids, trains)[owner]  # a text starts after an end, as the text before it has one
                 total += np.bincount((before * size + heads)[learned], minlength=size * size)
+        part = TaskContext.get().partitionId() % PARTS
         for i, counts in enumerate(total.reshape(size, size)):
             if counts.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([_squeeze(counts)])], names=["i", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([part]), pa.array([_squeeze(counts)])], names=["i", "part", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
         total = sum(_spread(c, size) for c in table.column("counts").to_pylist())
         return pa.table({"i": table.column("i")[:1], "counts": pa.array([_squeeze(total)])})
 
-    rows = chunks.mapInArrow(count, "i long, counts binary").groupBy("i").applyInArrow(add, "i long, counts binary")
+    rows = chunks.mapInArrow(count, "i long, part long, counts binary")
+    for group in (["i", "part"], ["i"]):
+        rows = rows.groupBy(*group).applyInArrow(add, "i long, counts binary")
     pairs = np.zeros((size, size))
     for r in rows.collect():
         pairs[r["i"]] = _spread(r["counts"], size)
