@@ -12,6 +12,7 @@ from corpusloom.operators import examples as E, vocabulary as V
 from corpusloom.operators.planning import SETUPS
 from corpusloom.operators.runs import best_per_group
 from corpusloom.plans import jobs
+from corpusloom.plans.display import evaluation_text
 from corpusloom.session import build_session, staged
 from corpusloom.sources import datasets as DS
 from corpusloom.sources import logs as LG
@@ -62,21 +63,36 @@ def build_packs(spark: SparkSession, args) -> None:
 
 def evaluate_generation(spark: SparkSession, args) -> None:
     rows = spark.read.parquet(args.generated)
+    scores = spark.read.parquet(args.token_scores) if args.token_scores else None
     jobs.evaluate_generation(
-        rows, rows_per_language=args.max_eval_samples_per_lang, split=args.split, path=args.output_dir, key=args.key
-    ).show(truncate=False)
+        rows, scores, args.max_eval_samples_per_lang, args.split, args.output_dir, args.key, args.ascii_only
+    ).show(1000, truncate=False)
 
 
 def evaluate(spark: SparkSession, args) -> None:
-    """Stored predictions of one or more datasets: columns ``label``, ``pred`` and, if there are, ``logits``."""
+    """One or more datasets, scored by ``--scorer``, or with stored predictions (``label``, ``pred`` and, if there are, ``logits``)."""
     names = args.datasets.split(",")
-    loaders = {name: lambda name=name: spark.read.format(args.format).load(name) for name in names}
     labels = args.labels.split(",") if args.labels else []
-    document = jobs.evaluate_predictions(loaders, args.output_dir, labels, args.label_column, args.pred_column)
-    for name, reason in document["skipped"].items():
-        print(f"{name}: {reason}")
-    for name, metrics in document["datasets"].items():
-        print(f"{name}: accuracy {metrics['accuracy']:.4f}, macro F2 {metrics['macro_f2']:.4f}, {metrics['examples']} examples")
+    if not args.scorer:
+        loaders = {name: lambda name=name: spark.read.format(args.format).load(name) for name in names}
+        document = jobs.evaluate_predictions(loaders, args.output_dir, labels, args.label_column, args.pred_column)
+    else:
+        if not args.tokenizer:
+            raise SystemExit("--scorer needs the --tokenizer of its model")
+        if args.key is None and args.format != "parquet":
+            raise SystemExit(f"{args.format} rows have no position of their own: name an integer column with --key")
+
+        def load(name: str):
+            rows = DS.read_dataset(spark, name, args.dataset_config, args.split, args.format)
+            return rows if args.key else DS.number_rows(rows)
+
+        document = jobs.evaluate_scored(
+            {name: lambda name=name: load(name) for name in names},
+            jobs.column_coder(PY.encoder(PY.tokenizer_json(spark, args.tokenizer))),
+            PY.scorer(PY.named_loader(args.scorer), args.batch_size), args.text_columns.split(","), args.label_column,
+            args.context_window, args.output_dir, labels, args.key or "doc_id",
+        )
+    print(evaluation_text(document))
 
 
 def best_checkpoint(spark: SparkSession, args) -> None:
@@ -118,8 +134,15 @@ def parser() -> argparse.ArgumentParser:
         force=False,
     )
     sub.add_argument("--vocab_words", type=int, help="default: all words")
-    job(evaluate, datasets=str, labels=None, output_dir=str, format="parquet", label_column="label", pred_column="pred")
-    job(evaluate_generation, generated=str, output_dir=str, split="test", max_eval_samples_per_lang=0, key="doc_id")
+    sub = job(
+        evaluate, datasets=str, labels=None, output_dir=str, format="parquet", label_column="label", pred_column="pred",
+        tokenizer=None, text_columns="text", context_window=1024, batch_size=256, key=None, dataset_config=None, split="test",
+    )
+    sub.add_argument("--scorer", help="module:function that returns a function from an id matrix to a score matrix")
+    sub = job(
+        evaluate_generation, generated=str, output_dir=str, split="test", max_eval_samples_per_lang=0, key="doc_id", ascii_only=False,
+    )
+    sub.add_argument("--token_scores", help="parquet with key, language, label, logp: one row per scored token")
     job(best_checkpoint, root=str)
     return top
 

@@ -98,6 +98,20 @@ def scorer(load: Callable, batch: int = 256) -> Callable[[Column | str], Column]
     return score
 
 
+def named_loader(name: str) -> Callable:
+    """Loader ``module:function`` for :func:`scorer`, imported by the tasks alone; ship the module with ``--py-files``."""
+    module, _, function = name.partition(":")
+    if not (module and function):
+        raise ValueError(f"not module:function: {name}")
+
+    def load() -> Callable:
+        from importlib import import_module
+
+        return getattr(import_module(module), function)()
+
+    return load
+
+
 def predicate(keep: Callable) -> Callable[..., Column]:
     """Boolean column from a Python test of one or more columns, for what no expression can say."""
 

@@ -27,6 +27,7 @@ from corpusloom.sources import datasets as DS
 from corpusloom.sources import shards as SH
 
 Coder = Callable[..., DataFrame]
+DOCUMENT_CELLS = 1 << 16  # label and prediction pairs that one evaluation document lists itself; tables have them all
 
 
 def vocabulary_coder(vocab: DataFrame) -> Coder:
@@ -171,11 +172,13 @@ def evaluate_classifier(
     width: int,
     path: str | None = None,
     key: str = "doc_id",
+    owner: Scratch | None = None,
 ) -> tuple[DataFrame, DataFrame, dict[str, list[str]]]:
     """Predictions and class report of each dataset, all in one plan.
 
     Returns ``(predictions, report, skipped)``. A dataset without the needed
-    columns is left out and named in ``skipped`` with what it lacks.
+    columns is left out and named in ``skipped`` with what it lacks. The stored
+    predictions go with ``owner``, if there is one.
     """
     usable, skipped = E.require_columns(datasets, [key, label_column, *text_columns])
     if not usable:
@@ -194,7 +197,7 @@ def evaluate_classifier(
     inputs = E.classification_examples(coded, width)
     scored = inputs.select("dataset", key, "label", score(F.col("input_ids")).alias("logits"))
     predictions = staged(
-        scored.select("dataset", key, "label", A.argmax_class(F.col("logits")).alias("pred"), "logits"), "predictions"
+        scored.select("dataset", key, "label", A.argmax_class(F.col("logits")).alias("pred"), "logits"), "predictions", owner
     )
     report = C.class_report(predictions, ["dataset"])
     if path:
@@ -260,6 +263,49 @@ def generation_document(report: DataFrame, metrics: Sequence[str], parameters: M
     }
 
 
+def loaded_datasets(
+    datasets: Mapping[str, Callable[[], DataFrame]], labels: Sequence[str] = ()
+) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """Datasets by display name, and why others cannot be read."""
+    from pyspark.errors import PySparkException
+
+    loaded, skipped = {}, {}
+    for name, shown in E.pair_with_labels(list(datasets), labels):
+        try:
+            loaded[shown] = datasets[name]()
+        except (PySparkException, OSError, ValueError) as error:
+            skipped[shown] = f"cannot be read: {str(error).splitlines()[0][:200]}"
+    return loaded, skipped
+
+
+def evaluate_scored(
+    datasets: Mapping[str, Callable[[], DataFrame]],
+    code: Coder,
+    score: Callable[[Column], Column],
+    text_columns: Sequence[str],
+    label_column: str,
+    width: int,
+    path: str,
+    labels: Sequence[str] = (),
+    key: str = "doc_id",
+) -> dict:
+    """Encode and score several datasets, then evaluate the predictions as :func:`evaluate_predictions` does.
+
+    Each dataset is loaded by its function; one that cannot be loaded or lacks a
+    text, label or key column is skipped and named with the reason. All others
+    are scored in one plan.
+    """
+    loaded, skipped = loaded_datasets(datasets, labels)
+    usable, lacking = E.require_columns(loaded, [key, label_column, *text_columns])
+    skipped |= {name: "lacks " + ", ".join(columns) for name, columns in lacking.items()}
+    if not usable:
+        raise ValueError(f"no usable dataset: {skipped}")
+    with Scratch(next(iter(usable.values())).sparkSession) as scratch:
+        predictions, _, _ = evaluate_classifier(usable, code, score, text_columns, label_column, width, key=key, owner=scratch)
+        parts = {name: lambda name=name: predictions.where(F.col("dataset") == name) for name in usable}
+        return evaluate_predictions(parts, path, list(usable), skipped=skipped)
+
+
 def evaluate_predictions(
     datasets: Mapping[str, Callable[[], DataFrame]],
     path: str,
@@ -268,25 +314,21 @@ def evaluate_predictions(
     pred_column: str = "pred",
     logits_column: str = "logits",
     classes: Sequence[int] | None = None,
+    skipped: Mapping[str, str] | None = None,
 ) -> dict:
     """Evaluate stored predictions of several datasets; writes and returns one JSON document.
 
     Each dataset is loaded by its function. One that cannot be loaded, or lacks
     the label or prediction column, is skipped and named with the reason. The
     rows of the others, with logits where they have them, go to
-    ``path``/predictions; the document has their counts, metrics, per-class
-    report and confusion matrix by display name.
+    ``path``/predictions, per-class report and confusion matrix to tables beside
+    it. The document has the counts and metrics by display name, and these two as
+    well if there are at most ``DOCUMENT_CELLS`` pairs of classes. ``skipped``
+    names datasets that the caller has left out already.
     """
-    from pyspark.errors import PySparkException
-
-    loaded, skipped = {}, {}
-    for name, shown in E.pair_with_labels(list(datasets), labels):
-        try:
-            loaded[shown] = datasets[name]()
-        except (PySparkException, OSError, ValueError) as error:
-            skipped[shown] = f"cannot be read: {str(error).splitlines()[0][:200]}"
+    loaded, unread = loaded_datasets(datasets, labels)
     usable, lacking = E.require_columns(loaded, [label_column, pred_column])
-    skipped |= {name: "lacks " + ", ".join(columns) for name, columns in lacking.items()}
+    skipped = dict(skipped or {}) | unread | {name: "lacks " + ", ".join(columns) for name, columns in lacking.items()}
     if not usable:
         raise ValueError(f"no usable dataset: {skipped}")
     spark = next(iter(usable.values())).sparkSession
@@ -308,10 +350,15 @@ def evaluate_predictions(
         for r in means:
             values = {c: r[c] for c in means[0].asDict() if c not in ("dataset", "support")}
             document["datasets"][r["dataset"]] = {"examples": r["support"], "loss": losses.get(r["dataset"]), **values}
-        for r in report.orderBy("dataset", "label").collect():
-            own = document["datasets"][r["dataset"]].setdefault("classes", {})
-            own[str(r["label"])] = {c: r[c] for c in ("precision", "recall", "f1", "f2", "support")}
-        for r in counts.orderBy("dataset", "label", "pred").collect():
-            document["datasets"][r["dataset"]].setdefault("confusion", []).append([r["label"], r["pred"], r["n"]])
+        document["skipped"] |= {name: "has no rows" for name in usable if name not in document["datasets"]}
+        report.write.mode("overwrite").json(f"{path}/classes")
+        counts.write.mode("overwrite").json(f"{path}/confusion")
+        document["tables"] = {"classes": f"{path}/classes", "confusion": f"{path}/confusion"}
+        if counts.count() <= DOCUMENT_CELLS:  # a class has at least one cell
+            for r in report.orderBy("dataset", "label").collect():
+                own = document["datasets"][r["dataset"]].setdefault("classes", {})
+                own[str(r["label"])] = {c: r[c] for c in ("precision", "recall", "f1", "f2", "support")}
+            for r in counts.orderBy("dataset", "label", "pred").collect():
+                document["datasets"][r["dataset"]].setdefault("confusion", []).append([r["label"], r["pred"], r["n"]])
     DS.write_document(spark, f"{path}/evaluation.json", document)
     return document

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom import __main__ as cli
 from corpusloom.functions import python as PY
 from corpusloom.operators import vocabulary as V
+from corpusloom.plans import display as D
 from corpusloom.plans import jobs as J
 from corpusloom.sources import datasets as DS, examples as EX, shards as SH
 
@@ -130,7 +131,7 @@ def test_packs_from_the_command_line_count_the_chosen_form(spark, tmp_path):
     assert len(packs) == 4 and not any(V.UNK in r.input_ids for r in packs)
 
 
-def test_stored_predictions_from_the_command_line(spark, tmp_path):
+def test_stored_predictions_from_the_command_line(spark, tmp_path, monkeypatch):
     rows = [(0, 0, [2.0, 1.0]), (1, 0, [1.0, 0.5]), (1, 1, [0.0, 3.0])]
     df = spark.createDataFrame(rows, "label long, pred long, logits array<double>")
     df.write.parquet(str(tmp_path / "good"))
@@ -144,6 +145,10 @@ def test_stored_predictions_from_the_command_line(spark, tmp_path):
     assert (one["examples"], one["accuracy"]) == (3, pytest.approx(2 / 3)) and one["loss"] == pytest.approx(np.mean(nll))
     assert one["confusion"] == [[0, 0, 1], [1, 0, 1], [1, 1, 1]] and one["classes"]["1"]["precision"] == 1.0
     assert spark.read.parquet(str(tmp_path / "out" / "predictions")).count() == 3
+    monkeypatch.setattr(J, "DOCUMENT_CELLS", 2)
+    many = J.evaluate_predictions({"a": lambda: df}, str(tmp_path / "many"))
+    assert "confusion" not in many["datasets"]["a"] and "many classes, see the tables" in D.evaluation_text(many)
+    assert spark.read.json(many["tables"]["classes"]).count() == 2
     with pytest.raises(ValueError, match="1 datasets but 2 labels"):
         J.evaluate_predictions({"a": lambda: df}, str(tmp_path / "no"), ["x", "y"])
 
@@ -169,6 +174,59 @@ def test_classifier_evaluation_skips_what_lacks_columns(spark, tmp_path, word_to
     assert cells.count() == 5 and cells.agg(F.sum("n")).first()[0] == 5
 
 
+def test_datasets_are_scored_from_the_command_line(spark, tmp_path, word_tokenizer, capsys):
+    path, _ = word_tokenizer
+    (tmp_path / "own_scores.py").write_text(
+        "import numpy as np\n\n\ndef load():\n    return lambda m: np.stack([np.zeros(len(m)), m[:, 0] - 3.5], axis=1)\n"
+    )
+    spark.sparkContext.addPyFile(str(tmp_path / "own_scores.py"))
+    data = [("a", "b", 0, "test"), ("c", None, 1, "test"), ("b", "g", 1, "test"), ("a", "a", 1, "train")]
+    rows = spark.createDataFrame(data, "p string, h string, y int, split string")
+    DS.write_partitioned(rows.coalesce(1), str(tmp_path / "rows"), ["split"])
+    rows.drop("h").write.parquet(str(tmp_path / "bare"))
+    rows.limit(0).write.parquet(str(tmp_path / "none"))
+    names = ",".join(str(tmp_path / n) for n in ("rows", "bare", "absent", "none"))
+    command = [
+        "evaluate", "--datasets", names, "--output_dir", str(tmp_path / "out"), "--scorer", "own_scores:load", "--label_column", "y",
+        "--text_columns", "p,h", "--context_window", "4",
+    ]
+    with pytest.raises(SystemExit, match="--tokenizer"):
+        cli.main(command)
+    with pytest.raises(SystemExit, match="--key"):
+        cli.main([*command, "--tokenizer", path, "--format", "json"])
+    cli.main([*command, "--tokenizer", path])
+    document = DS.read_document(spark, str(tmp_path / "out" / "evaluation.json"))
+    assert document["skipped"]["none"] == "has no rows" and spark.read.json(document["tables"]["confusion"]).count() == 3
+    assert document["skipped"]["bare"] == "lacks h" and document["skipped"]["absent"].startswith("cannot be read")
+    one = document["datasets"]["rows"]
+    assert set(document["datasets"]) == {"rows"} and (one["examples"], one["accuracy"]) == (3, pytest.approx(2 / 3))
+    margins = [-1.5, 0.5, -0.5]  # score of class 1; class 0 has 0
+    nll = [np.log1p(np.exp(m)) - m * y for m, (_, _, y, _) in zip(margins, data)]
+    assert one["loss"] == pytest.approx(np.mean(nll)) and one["confusion"] == [[0, 0, 1], [1, 0, 1], [1, 1, 1]]
+    shown = capsys.readouterr().out
+    assert "bare skipped: lacks h" in shown and "accuracy: 0.6667 (66.67 %)" in shown and "  1: 0.5000 (50.00 %)" in shown
+    with pytest.raises(ValueError, match="not module:function"):
+        PY.named_loader("own_scores")
+    with pytest.raises(ValueError, match="no usable dataset.*absent"):
+        J.evaluate_scored({"absent": lambda: spark.read.parquet(str(tmp_path / "no"))}, None, None, ["p"], "y", 4, str(tmp_path / "x"))
+
+
+def test_evaluation_as_text():
+    means = {f"{m}_{s}": 0.5 for m in ("macro", "weighted") for s in ("precision", "recall", "f1", "f2")}
+    own = {"precision": 0.5, "recall": 0.25, "f1": 1 / 3, "f2": 0.2777, "support": 4}
+    metrics = {"examples": 4, "accuracy": 0.25, "loss": None, **means, "classes": {"0": own, "10": own}, "confusion": [[0, 10, 3], [10, 10, 1]]}
+    lines = D.evaluation_text({"datasets": {"One": metrics}, "skipped": {"Two": "lacks y"}}).splitlines()
+    assert lines[0] == "Two skipped: lacks y" and "  mean loss: -" in lines
+    at = lines.index("confusion (lines: true class, columns: predicted)")
+    assert lines[at + 1 : at + 4] == ["      0  10", "   0  0   3", "  10  0   1"]
+    assert lines[at + 5] == "  0: 0.2500 (25.00 %)" and lines[-1].split() == ["One", "4", "0.2500", "(25.00", "%)", "0.5000", "0.5000", "0.5000"]
+    many = metrics | {"classes": {str(i): own for i in range(D.CLASSES_SHOWN + 7)}}
+    text = "\n".join(D.dataset_lines("Many", many))
+    assert "and 7 more classes" in text and f"{D.CLASSES_SHOWN + 7} classes, see the tables" in text
+    empty = {k: v for k, v in metrics.items() if k not in ("classes", "confusion")} | {"examples": 0, "accuracy": None}
+    assert "  accuracy: -" in D.dataset_lines("Empty", empty)
+
+
 def test_generation_report_files(spark, tmp_path):
     rows = spark.createDataFrame(
         [(0, "en", "a b c d", "a b c d"), (1, "en", "x", "y"), (2, "de", "a b c d e", "a b c d e")],
@@ -184,6 +242,15 @@ def test_generation_report_files(spark, tmp_path):
     document = DS.read_document(spark, str(tmp_path / "out" / "report.json"))
     assert set(document["per_language"]) == {"de", "en"} and document["macro"]["rouge1"] == 0.75
     assert document["parameters"] == {"split": "test", "rows_per_language": 0, "ascii_only": False}
+    tokens = [(0, "en", 5, -1.0), (0, "en", 6, -3.0), (2, "de", 5, -7.0), (2, "de", -100, 0.0)]
+    spark.createDataFrame(tokens, "doc_id long, language string, label int, logp double").write.parquet(str(tmp_path / "scores"))
+    cli.main(
+        ["evaluate-generation", "--generated", str(tmp_path / "gen"), "--output_dir", str(tmp_path / "out2"),
+         "--token_scores", str(tmp_path / "scores")]
+    )
+    document = DS.read_document(spark, str(tmp_path / "out2" / "report.json"))
+    losses = {name: line["token_loss"] for name, line in document["per_language"].items()}
+    assert losses == {"de": 7.0, "en": 2.0} and document["macro"]["token_loss"] == 4.5
 
 
 def test_loss_counts_the_evaluated_rows_only(spark):
