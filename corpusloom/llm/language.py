@@ -1,8 +1,9 @@
 """Language identification with string kernels.
 
 A text is the set of its byte n-grams, n from 1 to 3 (the blended spectrum, by
-presence). The kernel of two texts is the number of n-grams they share, divided
-by the root of the product of their set sizes. The Nyström method keeps a
+presence), of which those count that the model knows. The kernel of two texts is
+the number of n-grams they share, divided by the root of the product of their
+set sizes. The Nyström method keeps a
 bounded number of landmark texts; kernel ridge regression, one versus rest, is
 solved in the space they span. As scores are linear in the kernel, they are
 folded into one weight per n-gram and language, and a batch of texts is scored
@@ -26,6 +27,7 @@ CODES = (1 << 8) + (1 << 16) + (1 << 24)
 UNKNOWN = "und"
 BLOCK_BYTES = 1 << 22
 TEXTS_AT_ONCE = 256
+CELLS_AT_ONCE = 1 << 24  # of a presence matrix, whatever the number of n-grams
 
 
 @dataclass
@@ -74,6 +76,17 @@ def grams(text: str) -> np.ndarray:
     return np.unique(np.concatenate(list(gram_blocks(text))))
 
 
+def presence_blocks(columns: Sequence[np.ndarray], width: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The presence matrix of texts given by their sorted columns, some columns at a time: the first of them and the part."""
+    step = max(1, CELLS_AT_ONCE // max(len(columns), 1))
+    for low in range(0, width, step):
+        block = np.zeros((len(columns), min(step, width - low)), np.float32)
+        for row, own in enumerate(columns):
+            start, end = np.searchsorted(own, (low, low + step))
+            block[row, own[start:end] - low] = 1
+        yield low, block
+
+
 def fit(texts: Sequence[str], languages: Sequence[str], landmarks: int = 400, ridge: float = 1e-2) -> KernelModel:
     """Kernel ridge regression on at most ``landmarks`` of the given texts.
 
@@ -84,16 +97,18 @@ def fit(texts: Sequence[str], languages: Sequence[str], landmarks: int = 400, ri
     sets = [grams(t) for t in texts]
     codes, seen = np.unique(np.concatenate(sets), return_counts=True)
     codes = codes[seen >= min(2, len(sets))] if (seen >= 2).any() else codes
-    presence = np.zeros((len(sets), len(codes)), np.float32)
-    for row, own in enumerate(sets):
-        presence[row, np.searchsorted(codes, own[np.isin(own, codes)])] = 1
-    presence /= np.sqrt(np.maximum(presence.sum(axis=1, keepdims=True), 1))
-    marks = presence[:landmarks].astype(np.float64)
+    columns = [np.searchsorted(codes, own[np.isin(own, codes, assume_unique=True)]) for own in sets]
+    marked = columns[:landmarks]
+    shared = np.zeros((len(columns), len(marked)))
+    for low, block in presence_blocks(columns, len(codes)):
+        shared += block @ block[: len(marked)].T
+    roots = np.sqrt(np.maximum([len(own) for own in columns], 1))
+    kernel = shared / np.outer(roots, roots[: len(marked)])
     # Nyström features: kernel to the landmarks times the inverse root of the landmarks' own kernel
-    values, vectors = np.linalg.eigh(marks @ marks.T)
+    values, vectors = np.linalg.eigh(kernel[: len(marked)])
     usable = values > 1e-8 * values.max()
     basis = vectors[:, usable] / np.sqrt(values[usable])
-    features = (presence.astype(np.float64) @ marks.T) @ basis
+    features = kernel @ basis
     wanted = np.array([[1.0 if lang == name else -1.0 for name in names] for lang in languages])
     # frequent and rare languages weigh alike
     share = {name: max(1, sum(lang == name for lang in languages)) for name in names}
@@ -101,8 +116,11 @@ def fit(texts: Sequence[str], languages: Sequence[str], landmarks: int = 400, ri
     weight *= len(languages) / weight.sum()
     normal = features.T @ (features * weight[:, None]) + ridge * len(languages) * np.eye(features.shape[1])
     solved = np.linalg.solve(normal, features.T @ (wanted * weight[:, None]))
-    gram_weights = marks.T @ (basis @ solved)
-    return KernelModel(codes, gram_weights.astype(np.float32), names, sharpness=4.0)
+    per_mark = (basis @ solved) / roots[: len(marked), None]
+    gram_weights = np.zeros((len(codes), len(names)), np.float32)
+    for low, block in presence_blocks(marked, len(codes)):
+        gram_weights[low : low + block.shape[1]] = block.T @ per_mark
+    return KernelModel(codes, gram_weights, names, sharpness=4.0)
 
 
 def learn(
@@ -136,14 +154,21 @@ def with_letters(docs: DataFrame) -> DataFrame:
     return docs.where(has("text"))
 
 
-def predict(model: KernelModel | None, texts: Sequence[str | None]) -> tuple[list[str], np.ndarray]:
-    """Language and score (0 to 1) of each text; ``und`` and 0 without a letter or without a model."""
+def predict(
+    model: KernelModel | None, texts: Sequence[str | None], place: np.ndarray | None = None
+) -> tuple[list[str], np.ndarray]:
+    """Language and score (0 to 1) of each text; ``und`` and 0 without a letter or without a model.
+
+    ``place`` is the model's :meth:`KernelModel.places`, for callers with many batches.
+    """
     names, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
     if model is None:
         return names, score
-    usable, place = [i for i, t in enumerate(texts) if lettered(t)], model.places()
-    for start in range(0, len(usable), TEXTS_AT_ONCE):
-        part = usable[start : start + TEXTS_AT_ONCE]
+    usable = [i for i, t in enumerate(texts) if lettered(t)]
+    place = model.places() if place is None else place
+    step = min(TEXTS_AT_ONCE, max(1, CELLS_AT_ONCE // (len(model.codes) + 1)))
+    for start in range(0, len(usable), step):
+        part = usable[start : start + step]
         values = model.scores([texts[i] for i in part], place).astype(np.float64)
         soft = np.exp(model.sharpness * (values - values.max(axis=1, keepdims=True)))
         soft /= soft.sum(axis=1, keepdims=True)
@@ -163,8 +188,10 @@ def identify(docs: DataFrame, model: KernelModel | None) -> DataFrame:
     small_batches(docs.sparkSession)
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
-    def scored(text: pa.Array) -> pa.Array:
-        names, score = predict(model, text.to_pylist())
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score)], ["lang_pred", "score"])
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        place = model.places() if model else None  # once per task
+        for text in batches:
+            names, score = predict(model, text.to_pylist(), place)
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score)], ["lang_pred", "score"])
 
     return docs.withColumn("__language", scored("text"))

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from corpusloom.llm import language
@@ -42,6 +43,28 @@ def test_weights_per_ngram_equal_the_kernel_expansion():
     assert abs(whole[0] - by_hand).max() < 1e-4
 
 
+def test_matrices_in_parts_give_the_same_model_and_answers(monkeypatch):
+    texts, langs = [t for _, t, _ in rows(30)], [lang for *_, lang in rows(30)]
+    whole = language.fit(texts, langs, landmarks=9)
+    asked = [t for _, t, _ in rows(60)] + [None, "", "77"]
+    names, scores = language.predict(whole, asked)
+    monkeypatch.setattr(language, "CELLS_AT_ONCE", 100)
+    parts = language.fit(texts, langs, landmarks=9)
+    assert parts.codes.tolist() == whole.codes.tolist() and abs(parts.weights - whole.weights).max() < 1e-6
+    again, close = language.predict(parts, asked, parts.places())
+    assert again == names and abs(close - scores).max() < 1e-5
+
+
+def test_weights_equal_ridge_regression_on_the_plain_kernel():
+    texts, langs = [t for _, t, _ in rows(12)], [lang for *_, lang in rows(12)]
+    model = language.fit(texts, langs, landmarks=12, ridge=1e-2)
+    sets = [set(language.grams(t).tolist()) & set(model.codes.tolist()) for t in texts]
+    kernel = np.array([[len(a & b) / (len(a) * len(b)) ** 0.5 for b in sets] for a in sets])
+    wanted = np.array([[1.0 if lang == name else -1.0 for name in model.languages] for lang in langs])
+    expected = kernel @ np.linalg.solve(kernel + 1e-2 * len(texts) * np.eye(len(texts)), wanted)  # all texts are landmarks
+    assert abs(model.scores(texts, model.places()) - expected).max() < 1e-3
+
+
 def test_blocks_of_a_long_text_give_the_same_ngrams(monkeypatch):
     text = "abcdefgh" * 50 + "é"
     expected = language.grams(text).tolist()
