@@ -3,9 +3,13 @@
 A list column would have to be exploded to join its values, one row per value,
 and regrouped afterwards. Here a task gathers its rows into blocks first: a
 block has each *distinct* value once, and the lists as positions in those. Only
-the distinct values are joined; what they map to comes back as one array per
-block, and the lists are gathered from it, many at a time. So what is shuffled
-is a block's distinct values, and the packed blocks once.
+the distinct values are joined; what they map to meets the block's rows again in
+one task, and the lists are gathered from it. So what is shuffled is a block's
+distinct values, and the coded rows once.
+
+A block stays many rows, one for each row that went in, and is put together for
+one function call alone. A task holds the values of one block at a time,
+whatever the number of blocks that fall to it.
 """
 
 from __future__ import annotations
@@ -24,20 +28,29 @@ BLOCK_VALUES = 1 << 20  # list values in a block, or one row's if it has more
 BLOCKS_PER_TASK = 33  # bits for numbers of blocks within a task
 
 
+def _ends(lists: pa.ListArray) -> pa.Array:
+    """Offsets of ``lists`` in their flattened values, a null list having none."""
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    return pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+
+
 def coded_blocks(df: DataFrame, lists: Mapping[str, Column], carried: Sequence[str], values: int = BLOCK_VALUES) -> DataFrame:
-    """``(block, entries, rows)``: the distinct values of a block, and its rows with lists as positions in ``entries``.
+    """``(block, entries, <carried>, <lists>)``: the given rows, their lists as positions in the distinct values of the block.
 
-    A null list stays null and a null value is a null position. Block numbers
-    tell blocks apart and mean nothing else; they depend on how rows fell to
-    tasks, so store the result before it is read twice.
+    ``entries`` has these values in the first row of a block and is null in the
+    others; the other columns are named by their place. A null list stays null
+    and a null value is a null position. Block numbers tell blocks apart and
+    mean nothing else; they depend on how rows fell to tasks, so store the
+    result before it is read twice.
     """
     names = [f"__list{i}" for i in range(len(lists))]
     given = df.select(*carried, *[c.alias(n) for n, c in zip(names, lists.values())])
     value = given.schema[names[0]].dataType.elementType
     coded = T.ArrayType(T.IntegerType())
-    row = T.StructType([T.StructField(f"__{i}", coded if f.name in names else f.dataType) for i, f in enumerate(given.schema)])
     shape = T.StructType([
-        T.StructField("block", T.LongType()), T.StructField("entries", T.ArrayType(value)), T.StructField("rows", T.ArrayType(row)),
+        T.StructField("block", T.LongType()),
+        T.StructField("entries", T.ArrayType(value)),
+        *(T.StructField(f"__{i}", coded if f.name in names else f.dataType) for i, f in enumerate(given.schema)),
     ])
     where = [i for i, f in enumerate(given.schema) if f.name in names]
 
@@ -47,14 +60,14 @@ def coded_blocks(df: DataFrame, lists: Mapping[str, Column], carried: Sequence[s
         known = pc.dictionary_encode(pa.concat_arrays(flat))
         at = 0
         for i, values_ in zip(where, flat):
-            lengths = pc.fill_null(pc.list_value_length(columns[i]), 0).to_numpy()
-            ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
             mask = pc.is_null(columns[i]) if columns[i].null_count else None
-            columns[i] = pa.ListArray.from_arrays(ends, known.indices.slice(at, len(values_)), mask=mask)
+            columns[i] = pa.ListArray.from_arrays(_ends(columns[i]), known.indices.slice(at, len(values_)), mask=mask)
             at += len(values_)
-        rows = pa.StructArray.from_arrays(columns, names=[f"__{i}" for i in range(len(columns))])
-        one = lambda array: pa.ListArray.from_arrays(pa.array([0, len(array)], pa.int32()), array)
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), one(known.dictionary), one(rows)], names=["block", "entries", "rows"])
+        n = len(columns[0])
+        block = pa.repeat(pa.scalar(number, pa.int64()), n)
+        ends = pa.array([0, *[len(known.dictionary)] * n], pa.int32())
+        entries = pa.ListArray.from_arrays(ends, known.dictionary, mask=pa.array(np.arange(n) > 0))
+        return pa.RecordBatch.from_arrays([block, entries, *columns], names=shape.names)
 
     def parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, int]]:
         """Runs of rows with about ``values`` list values each."""
@@ -107,9 +120,6 @@ def look_up_lists(
     blocks = staged(coded_blocks(df, lists, carried), "coded-blocks")
     entries = blocks.select("block", F.posexplode("entries").alias("code", source)).where(F.col(source).isNotNull())
     found = joined_entries(entries, table, source, target, limit)
-    codes = found.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("code", target))).alias("found"))
-    codes = codes.select("block", F.col("found.code").alias("codes"), F.col(f"found.{target}").alias("targets"))
-    sized = blocks.select("block", F.size("entries").alias("n"), "rows").join(codes, "block", "left")
     kind = table.schema[target].dataType
     kinds = [f.dataType for f in df.select(*carried).schema]
     shape = T.StructType(
@@ -117,21 +127,21 @@ def look_up_lists(
     )
     n_carried, out_names = len(carried), [*carried, *lists]
 
-    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                rows, codes, targets = batch.column("rows")[i].values, batch.column("codes")[i], batch.column("targets")[i]
-                of_code = np.zeros(batch.column("n")[i].as_py(), np.int64)  # place 0 has what stands for unknown values
-                if codes.is_valid:
-                    of_code[codes.values.to_numpy()] = np.arange(1, len(codes) + 1)
-                known = pa.array([missing], batch.column("targets").type.value_type)
-                known = pa.concat_arrays([known, targets.values]) if targets.is_valid else known
-                columns = [rows.field(c) for c in range(len(out_names))]
-                for c in range(n_carried, len(out_names)):
-                    flat = pc.fill_null(pa.array(of_code).take(columns[c].flatten()), 0)
-                    lengths = pc.fill_null(pc.list_value_length(columns[c]), 0).to_numpy()
-                    ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-                    columns[c] = pa.ListArray.from_arrays(ends, known.take(flat))
-                yield pa.RecordBatch.from_arrays(columns, names=out_names)
-
-    return sized.drop("block").mapInArrow(gather, shape)
+    def gather(rows: pa.Table, found: pa.Table) -> pa.Table:
+        """One block: its rows, and what those of its values that are known map to."""
+        codes, targets = found.column("code").to_numpy(), found.column(target).combine_chunks()
+        most = max(pc.max(pc.list_flatten(rows.column(f"__{c}"))).as_py() or 0 for c in range(n_carried, len(out_names)))
+        of_code = np.zeros(max(most, codes.max(initial=0)) + 1, np.int64)  # place 0 has what stands for unknown values
+        of_code[codes] = np.arange(1, len(codes) + 1)
+        known = pa.concat_arrays([pa.array([missing], targets.type), targets])
+        places, made = pa.array(of_code), []
+        for part in rows.to_batches():
+            columns = [part.column(f"__{c}") for c in range(len(out_names))]
+            for c in range(n_carried, len(out_names)):
+                flat = pc.fill_null(places.take(columns[c].flatten()), 0)
+                columns[c] = pa.ListArray.from_arrays(_ends(columns[c]), known.take(flat))
+            made.append(pa.RecordBatch.from_arrays(columns, names=out_names))
+        return pa.Table.from_batches(made)
+
+    found = found.withColumnRenamed("block", "of_block")  # both sides come from one table
+    return blocks.drop("entries").groupBy("block").cogroup(found.groupBy("of_block")).applyInArrow(gather, shape)
