@@ -33,6 +33,7 @@ BLEU_BLANKS = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]+"
 BLEU_ORDER = 4
 
 PAIR_COST, WORD_COST = 400, 4000  # steps of a bit: what a pair of equal words and a word cost in the two ways
+BATCH_WORDS = 1 << 18  # words of both sides that are numbered at once, or one row's if it has more
 RARE = 32  # places up to which a word's bits are set when they are needed, so that they need not be held
 
 
@@ -92,6 +93,18 @@ def clipped_counts(predicted: pa.ListArray, expected: pa.ListArray, sizes: Seque
     return out
 
 
+def row_spans(predicted: pa.ListArray, expected: pa.ListArray, words: int = BATCH_WORDS) -> list[tuple[int, int]]:
+    """First and last (exclusive) rows of runs that hold about ``words`` words on both sides.
+
+    A batch has thousands of rows however long they are; numbering takes some
+    hundred bytes a word, so it goes by words.
+    """
+    sizes = sum(pc.fill_null(pc.list_value_length(side), 0).to_numpy().astype(np.int64) for side in (predicted, expected)) + 1
+    group = (np.cumsum(sizes) - sizes) // words
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(sizes) else []
+    return list(zip(map(int, starts), [*map(int, starts[1:]), len(sizes)]))
+
+
 def run_counts(predicted: Column, expected: Column, sizes: Sequence[int]) -> Column:
     """Per row an array of ``(n, matches, pred_total, ref_total)`` for arrays of words; see :func:`clipped_counts`."""
     sizes = sorted(set(sizes))
@@ -99,7 +112,8 @@ def run_counts(predicted: Column, expected: Column, sizes: Sequence[int]) -> Col
 
     @F.arrow_udf(T.ArrayType(T.StructType([T.StructField(f, T.LongType()) for f in fields])))
     def count(p: pa.Array, r: pa.Array) -> pa.Array:
-        made = clipped_counts(p, r, sizes)
+        parts = [clipped_counts(p.slice(a, b - a), r.slice(a, b - a), sizes) for a, b in row_spans(p, r)]
+        made = [np.concatenate(numbers) for numbers in zip(*parts)]
         columns = [np.tile(np.array(sizes, np.int64), len(p))]
         columns += [np.stack(made[k::3], axis=1).astype(np.int64).ravel() if len(p) else np.empty(0, np.int64) for k in range(3)]
         flat = pa.StructArray.from_arrays([pa.array(c) for c in columns], names=list(fields))
