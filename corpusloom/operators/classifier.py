@@ -16,6 +16,7 @@ from corpusloom.session import Scratch, staged
 
 PENALTIES = (1e-6, 1e-5, 1e-4, 1e-3, 1e-2)
 PARTS = ("train", "validation", "test")
+TASK_VALUES = 1 << 22  # values of feature vectors, of some 12 bytes, that a task of a fit holds
 LEAST_PROBABILITY = 1e-15  # so that a sure and wrong prediction has a finite loss
 
 
@@ -51,7 +52,25 @@ def fit_classifier(
     stages = _features(text, features)
     for stage in stages:
         weighted = stage.transform(weighted)
-    return PipelineModel([*stages, _fit(weighted, penalty, iterations)])
+    with Scratch(df.sparkSession) as scratch:
+        rows = staged(weighted.select("features", "label", "weight", _most_values(features)), "features", scratch)
+        return PipelineModel([*stages, _fit(dealt_rows(rows), penalty, iterations)])
+
+
+def _most_values(features: int):
+    """No fewer than the values of a row's vector: one for each word that differs."""
+    return F.least(F.size("words"), F.lit(features)).alias("n_values")
+
+
+def dealt_rows(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """``rows`` without ``n_values``, over as many tasks as these ask for.
+
+    A fit keeps the vectors in memory and reads them for each step, in the
+    partitions that it is given. Those of a stored table follow its files, and
+    one of them may expand to any size.
+    """
+    total = rows.agg(F.sum("n_values")).first()[0] or 0
+    return rows.drop("n_values").repartition(max(1, -(-total // (most or TASK_VALUES))))
 
 
 def _fit(weighted: DataFrame, penalty: float, iterations: int):
@@ -91,8 +110,9 @@ def choose_classifier(
         counted = stage.transform(counted)
     tried = []
     with Scratch(df.sparkSession) as scratch:
-        rows = staged(attach_weights(counted.select("features", "label", "part"), weights), "features", scratch)
+        rows = staged(attach_weights(counted.select("features", "label", "part", _most_values(features)), weights), "features", scratch)
         train, validation = (rows.where(F.col("part") == p) for p in PARTS[:2])
+        train = dealt_rows(train)
         for penalty in sorted(penalties, reverse=True):
             model = _fit(train, penalty, iterations)
             loss = weighted_loss(model.transform(validation)).first()["loss"]
