@@ -27,6 +27,7 @@ from corpusloom.sources import datasets as DS
 from corpusloom.sources import shards as SH
 
 Coder = Callable[..., DataFrame]
+TASK_IDS = 2 << 20  # ids that one task writes, or one shard's if it has more
 DOCUMENT_CELLS = 1 << 16  # label and prediction pairs that one evaluation document lists itself; tables have them all
 
 
@@ -66,8 +67,8 @@ def corpus_to_shards(
 
     Encoded documents are stored with their length next to the ids, so that the
     offsets are computed from two thin columns; that table goes when the shards
-    are written. Ids move once, to the task that writes their shard. There are as many writing tasks as shards unless ``tasks`` says
-    otherwise.
+    are written. Ids move once, to the task that writes their shard. A task writes shards of some
+    ``TASK_IDS`` ids one after the other, one shard if that is larger, unless ``tasks`` says how many tasks there are.
     """
     spark = docs.sparkSession
     version = SH.shard_version(vocab_size)
@@ -77,7 +78,7 @@ def corpus_to_shards(
         stored = staged(coded.withColumn("n_ids", F.size("ids").cast("long")), "encoded", scratch)
         total = stored.agg(F.sum("n_ids")).first()[0] or 0
         if tasks is None:
-            tasks = max(1, -(-total // shard_size))
+            tasks = max(1, -(-total // max(shard_size, TASK_IDS)))
         offsets = staged(P.token_offsets(stored.select(key, "n_ids"), key), "offsets", scratch)
         slices = P.slices_by_part(stored.select(key, "ids"), offsets, shard_size, key)
         due = F.least(F.lit(shard_size), F.lit(total) - F.col("part") * shard_size)

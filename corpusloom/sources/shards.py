@@ -51,6 +51,7 @@ FILE_PATTERN = r"^data_(val|train)_(\d{6,})\.bin$"
 
 CHUNK_TOKENS = 8192  # tokens per row
 TASK_BYTES = 32 << 20  # payload per read task
+LEAST_TASKS = 64  # small files share a task only if there are that many tasks without it
 HEADERS_PER_TASK = 64
 CURRENT = "_current"
 PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
@@ -112,7 +113,7 @@ class ShardHeader:
 
 @dataclass
 class ShardPart(InputPartition):
-    """Part ``part`` of ``parts`` of each listed ``(path, name, size)``."""
+    """Part ``part`` of ``parts`` of each listed ``(path, name, size)``; small files share a task."""
 
     files: list
     part: int = 0
@@ -169,11 +170,20 @@ class ShardReader(DataSourceReader):
     def tasks(self, found: list[tuple[str, str, int]]) -> list[ShardPart]:
         if self.headers_only:
             return [ShardPart(found[i : i + HEADERS_PER_TASK]) for i in range(0, len(found), HEADERS_PER_TASK)]
-        tasks = []
+        shared = min(self.task_bytes, sum(e[2] - HEADER_BYTES for e in found) // LEAST_TASKS)
+        tasks, small, held = [], [], 0
         for entry in found:
-            parts = max(1, -(-(entry[2] - HEADER_BYTES) // self.task_bytes))
-            tasks.extend(ShardPart([entry], i, parts) for i in range(parts))
-        return tasks
+            size = entry[2] - HEADER_BYTES
+            parts = max(1, -(-size // self.task_bytes))
+            if parts > 1:
+                tasks.extend(ShardPart([entry], i, parts) for i in range(parts))
+                continue
+            if small and held + size > shared:
+                tasks.append(ShardPart(small))
+                small, held = [], 0
+            small.append(entry)
+            held += size
+        return [*tasks, ShardPart(small)] if small else tasks
 
     def read(self, partition: ShardPart) -> Iterator[pa.RecordBatch]:
         fs, _ = _filesystem(self.root)

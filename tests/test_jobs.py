@@ -309,3 +309,13 @@ def test_vocabulary_coder_matches_tokenizer_path(spark):
     vocab = V.build_vocab(docs, 10)
     got = J.vocabulary_coder(vocab)(docs, {"ids": F.col("text")}, ["doc_id"], first={"ids": 1})
     assert {r.doc_id: r.ids for r in got.collect()} == {0: [4], 1: [3]}
+
+
+def test_small_shards_share_a_writing_task(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, "a b c") for i in range(30)], "doc_id long, text string")
+    vocab = spark.createDataFrame(V.build_vocab(docs).collect())
+    used, write = [], SH.write_token_shards
+    monkeypatch.setattr(SH, "write_token_shards", lambda rows, path, version, tasks: used.append(tasks) or write(rows, path, version, tasks))
+    headers = J.corpus_to_shards(docs, J.vocabulary_coder(vocab), str(tmp_path / "s"), V.EOT, 10, shard_size=7).collect()
+    assert used == [1]  # 120 ids do not need a task for each of 18 shards
+    assert sorted(r.tokens for r in headers) == [1] + [7] * 17

@@ -140,3 +140,15 @@ def test_failed_write_leaves_nothing(spark, tmp_path):
 
 def test_version_follows_vocabulary():
     assert SH.shard_version(65536) == 1 and SH.shard_version(65537) == 2
+
+
+def test_small_files_share_a_task_once_there_are_many():
+    reader = SH.ShardReader({"path": "shards"})
+    entry = lambda i, n: (f"shards/data_train_{i:06d}.bin", f"data_train_{i:06d}.bin", SH.HEADER_BYTES + n)
+    many = [entry(i, 200_000) for i in range(20_000)] + [entry(20_000, 3 * SH.TASK_BYTES)]
+    tasks = reader.tasks(many)
+    assert len(tasks) < 200
+    assert max(sum(f[2] - SH.HEADER_BYTES for f in t.files) for t in tasks if t.parts == 1) <= SH.TASK_BYTES
+    assert [f for t in tasks if t.parts == 1 for f in t.files] == many[:-1]
+    assert [(t.part, t.parts) for t in tasks if t.parts > 1] == [(i, 3) for i in range(3)]
+    assert [len(t.files) for t in reader.tasks(many[:10])] == [1] * 10  # few files keep a task each
