@@ -35,10 +35,10 @@ def _ends(lists: pa.ListArray) -> pa.Array:
 
 
 def coded_blocks(df: DataFrame, lists: Mapping[str, Column], carried: Sequence[str], values: int = BLOCK_VALUES) -> DataFrame:
-    """``(block, entries, <carried>, <lists>)``: the given rows, their lists as positions in the distinct values of the block.
+    """``(block, entries, counts, <carried>, <lists>)``: the given rows, their lists as positions in the distinct values of the block.
 
-    ``entries`` has these values in the first row of a block and is null in the
-    others; the other columns are named by their place. A null list stays null
+    ``entries`` has these values and ``counts`` their occurrences, in the first
+    row of a block; both are null in the others. The other columns are named by their place. A null list stays null
     and a null value is a null position. Block numbers tell blocks apart and
     mean nothing else; they depend on how rows fell to tasks, so store the
     result before it is read twice.
@@ -50,6 +50,7 @@ def coded_blocks(df: DataFrame, lists: Mapping[str, Column], carried: Sequence[s
     shape = T.StructType([
         T.StructField("block", T.LongType()),
         T.StructField("entries", T.ArrayType(value)),
+        T.StructField("counts", T.ArrayType(T.LongType())),
         *(T.StructField(f"__{i}", coded if f.name in names else f.dataType) for i, f in enumerate(given.schema)),
     ])
     where = [i for i, f in enumerate(given.schema) if f.name in names]
@@ -66,8 +67,10 @@ def coded_blocks(df: DataFrame, lists: Mapping[str, Column], carried: Sequence[s
         n = len(columns[0])
         block = pa.repeat(pa.scalar(number, pa.int64()), n)
         ends = pa.array([0, *[len(known.dictionary)] * n], pa.int32())
-        entries = pa.ListArray.from_arrays(ends, known.dictionary, mask=pa.array(np.arange(n) > 0))
-        return pa.RecordBatch.from_arrays([block, entries, *columns], names=shape.names)
+        others = pa.array(np.arange(n) > 0)
+        times = np.bincount(known.indices.drop_null().to_numpy(), minlength=len(known.dictionary)).astype(np.int64)
+        once = [pa.ListArray.from_arrays(ends, values_, mask=others) for values_ in (known.dictionary, pa.array(times))]
+        return pa.RecordBatch.from_arrays([block, *once, *columns], names=shape.names)
 
     def parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, int]]:
         """Runs of rows with about ``values`` list values each."""
@@ -118,10 +121,17 @@ def look_up_lists(
     whatever they hold; a null list gives an empty one, a null value ``missing``.
     """
     blocks = staged(coded_blocks(df, lists, carried), "coded-blocks")
+    return look_up_blocks(blocks, table, source, target, missing, carried, list(lists), limit)
+
+
+def look_up_blocks(
+    blocks: DataFrame, table: DataFrame, source: str, target: str, missing, carried: Sequence[str], lists: Sequence[str], limit: int
+) -> DataFrame:
+    """:func:`look_up_lists` for stored :func:`coded_blocks`, whose columns are to be named ``carried`` and ``lists``."""
     entries = blocks.select("block", F.posexplode("entries").alias("code", source)).where(F.col(source).isNotNull())
     found = joined_entries(entries, table, source, target, limit)
     kind = table.schema[target].dataType
-    kinds = [f.dataType for f in df.select(*carried).schema]
+    kinds = [blocks.schema[f"__{i}"].dataType for i in range(len(carried))]
     shape = T.StructType(
         [*(T.StructField(n, k) for n, k in zip(carried, kinds)), *(T.StructField(n, T.ArrayType(kind)) for n in lists)]
     )
@@ -144,4 +154,4 @@ def look_up_lists(
         return pa.Table.from_batches(made)
 
     found = found.withColumnRenamed("block", "of_block")  # both sides come from one table
-    return blocks.drop("entries").groupBy("block").cogroup(found.groupBy("of_block")).applyInArrow(gather, shape)
+    return blocks.drop("entries", "counts").groupBy("block").cogroup(found.groupBy("of_block")).applyInArrow(gather, shape)

@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from corpusloom.functions.text import pieces
-from corpusloom.operators.blocks import look_up_lists
+from corpusloom.operators.blocks import coded_blocks, look_up_blocks, look_up_lists
 from corpusloom.operators.ordering import digest_buckets, running
 from corpusloom.session import staged
 
@@ -30,7 +30,25 @@ DIGEST_BITS, MOST_BITS = 48, 24  # of a digest's number, and of those that may t
 MISS_SALTS = 16  # ways in which rows that miss the broadcast head are dealt out, so that a frequent one is split
 
 
-def build_vocab(df: DataFrame, max_words: int | None = None, text: str = "text") -> DataFrame:
+def text_blocks(df: DataFrame, text: str = "text", key: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """All texts split into pieces once and stored as blocks of positions.
+
+    For :func:`build_vocab` and :func:`tokenize_corpus` over the same texts, which
+    would each split them again. :func:`block_lengths` has the number of pieces.
+    """
+    return staged(coded_blocks(df, {"pieces": pieces(F.col(text))}, key), "text-blocks")
+
+
+def block_lengths(blocks: DataFrame, key: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """``key`` and ``n_pieces`` of the texts in :func:`text_blocks`; null for a null text."""
+    columns = [F.col(f"__{i}").alias(k) for i, k in enumerate(key)]
+    n = F.col(f"__{len(key)}")
+    return blocks.select(*columns, F.when(n.isNotNull(), F.size(n)).cast("long").alias("n_pieces"))
+
+
+def build_vocab(
+    df: DataFrame, max_words: int | None = None, text: str = "text", blocks: DataFrame | None = None
+) -> DataFrame:
     """Word-level vocabulary ``(token, id, cnt)`` by frequency; all pieces unless ``max_words`` says how many.
 
     Counting is pre-aggregated in the map tasks, so a frequent piece causes no
@@ -38,11 +56,17 @@ def build_vocab(df: DataFrame, max_words: int | None = None, text: str = "text")
     a digest of the token, that also orders tokens of equal frequency, splits
     as far as their number asks for. With ``max_words`` the numbers of words
     between two powers of two tell first which frequencies matter, and no rarer
-    word is ranked.
+    word is ranked. ``blocks`` are the :func:`text_blocks` of ``df``, if they
+    are there: their counts are then added up, and no text is split again.
     """
-    counted = df.select(F.explode(pieces(F.col(text))).alias("token")).groupBy("token").agg(
-        F.count(F.lit(1)).alias("cnt")
-    )
+    if blocks is None:
+        counted = df.select(F.explode(pieces(F.col(text))).alias("token")).groupBy("token").agg(
+            F.count(F.lit(1)).alias("cnt")
+        )
+    else:
+        counted = blocks.select(F.explode(F.arrays_zip("entries", "counts")).alias("e")).groupBy(
+            F.col("e.entries").alias("token")
+        ).agg(F.sum("e.counts").alias("cnt"))
     counted = staged(counted, "counts")
     rarity = -F.floor(F.log2("cnt")).cast("long")
     classes = counted.groupBy(rarity.alias("rarity")).agg(F.count(F.lit(1)).alias("n")).collect()  # 64 rows at most
@@ -182,9 +206,18 @@ def _wanted_pieces(text: Column, first: int | None) -> Column:
 
 
 def tokenize_corpus(
-    df: DataFrame, vocab: DataFrame, text: str = "text", first: int | None = None, **options
+    df: DataFrame, vocab: DataFrame, text: str = "text", first: int | None = None, blocks: DataFrame | None = None, **options
 ) -> DataFrame:
-    """Encode one text column into ``ids``; see :func:`tokenize`."""
+    """Encode one text column into ``ids``; see :func:`tokenize`.
+
+    ``blocks`` are the :func:`text_blocks` of ``df``, if they are there, keyed by
+    ``doc_id``; the texts are then not split again, and the blocks joined whatever the vocabulary's size.
+    """
+    if blocks is not None:
+        if first or options:
+            raise ValueError("stored blocks hold whole texts by doc_id and take no options")
+        single = one_value(vocab, "token", "id")
+        return look_up_blocks(blocks, single, "token", "id", UNK, ["doc_id"], ["ids"], BROADCAST_ROWS)
     return tokenize(df, vocab, {"ids": F.col(text)}, first={"ids": first} if first else None, **options)
 
 

@@ -50,14 +50,16 @@ def rounded(column: Column) -> Column:
 # --- corpus -----------------------------------------------------------------
 
 
-def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vocabulary(spark: SparkSession, sf_dir: str, blocks: DataFrame | None = None) -> DataFrame:
     """All pieces of all documents, counted once."""
-    return staged(V.build_vocab(texts(spark, sf_dir)), "vocabulary")
+    return staged(V.build_vocab(texts(spark, sf_dir), blocks=blocks), "vocabulary")
 
 
-def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(doc_id, ids)``, the document mark first, ids checked to fit in 31 bits."""
-    ids = V.tokenize_corpus(texts(spark, sf_dir), vocabulary(spark, sf_dir))
+def encoded(spark: SparkSession, sf_dir: str, blocks: DataFrame | None = None) -> DataFrame:
+    """``(doc_id, ids)``, the document mark first, ids checked to fit in 31 bits. Texts are split once."""
+    docs = texts(spark, sf_dir)
+    blocks = V.text_blocks(docs) if blocks is None else blocks
+    ids = V.tokenize_corpus(docs, vocabulary(spark, sf_dir, blocks), blocks=blocks)
     return ids.select("doc_id", A.checked_ids(A.prepend(F.col("ids"), V.EOT), 31, F.col("doc_id")).alias("ids"))
 
 
@@ -76,8 +78,10 @@ def offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parts(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
     """The stream in parts of ``size`` ids, each in one task."""
-    ids = P.slices_by_part(encoded(spark, sf_dir), staged(offsets(spark, sf_dir), "offsets"), size)
-    return P.gathered_parts(ids)
+    blocks = V.text_blocks(texts(spark, sf_dir))
+    counted = staged(V.block_lengths(blocks).select("doc_id", (F.col("n_pieces") + 1).alias("n_ids")), "lengths")
+    placed = staged(P.token_offsets(counted), "offsets")
+    return P.gathered_parts(P.slices_by_part(encoded(spark, sf_dir, blocks), placed, size))
 
 
 def shard_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,8 +117,10 @@ def encoded_docs(spark, sf_dir):
 
 
 def decoded_docs(spark, sf_dir):
-    vocab = vocabulary(spark, sf_dir)
-    ids = V.tokenize_corpus(texts(spark, sf_dir), vocab)
+    docs = texts(spark, sf_dir)
+    blocks = V.text_blocks(docs)
+    vocab = vocabulary(spark, sf_dir, blocks)
+    ids = V.tokenize_corpus(docs, vocab, blocks=blocks)
     return V.decode_tokens(ids, vocab).select("doc_id", F.md5("text").alias("text_md5"))
 
 

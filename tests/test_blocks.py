@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
-from corpusloom.operators import blocks as B
+from corpusloom.functions.text import piece_count
+from corpusloom.operators import blocks as B, vocabulary as V
 
 
 def lists_of(spark, n=400):
@@ -32,3 +33,19 @@ def test_values_of_a_block_meet_its_rows_without_an_array_of_them(spark):
     known = {f"w{i}": i for i in range(0, 23, 2)}
     expected = {r.doc_id: [known.get(w, -1) for w in r.words or []] for r in df.collect()}
     assert {r.doc_id: r.ids for r in got.collect()} == expected
+
+
+def test_texts_split_once_give_the_vocabulary_the_lengths_and_the_ids(spark):
+    texts = [(0, "a b, a"), (1, None), (2, ""), (3, "b 12 b c!! a"), (4, "été a")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    blocks = V.text_blocks(df)
+    vocab = V.build_vocab(df, blocks=blocks)
+    plain = V.build_vocab(df)
+    assert "regexp" not in vocab._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, vocab.collect())) == sorted(map(tuple, plain.collect()))
+    lengths = {r.doc_id: r.n_pieces for r in V.block_lengths(blocks).collect()}
+    assert lengths == {r.doc_id: r.n for r in df.select("doc_id", piece_count("text").alias("n")).collect()}
+    few = vocab.where("cnt <> 1")  # a token that the vocabulary lacks is unknown both ways
+    for words in (vocab, few):
+        got = {r.doc_id: r.ids for r in V.tokenize_corpus(df, words, blocks=blocks).collect()}
+        assert got == {r.doc_id: r.ids for r in V.tokenize_corpus(df, words).collect()}
