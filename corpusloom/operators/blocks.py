@@ -10,6 +10,10 @@ distinct values, and the coded rows once.
 A block stays many rows, one for each row that went in, and is put together for
 one function call alone. A task holds the values of one block at a time,
 whatever the number of blocks that fall to it.
+
+Spark sends a function its rows in batches of 10,000, which for long lists is
+many times a block. Lists go there in slices of bounded length, one a row, so a
+batch is about a block however long the lists are, and however many a task has.
 """
 
 from __future__ import annotations
@@ -22,18 +26,35 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from corpusloom.functions.numbers import whole
 from corpusloom.session import staged
 
-BLOCK_VALUES = 1 << 20  # list values in a block, or one row's if it has more
+BLOCK_VALUES = 1 << 20  # list values in a block, and what its last row has beyond them
+SLICE_VALUES = 128  # list values that one row takes to a function; some 2^20 in a batch
 BLOCKS_PER_TASK = 33  # bits for numbers of blocks within a task
 
 
-def _ends(lists: pa.ListArray) -> pa.Array:
-    """Offsets of ``lists`` in their flattened values, a null list having none."""
-    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+def _lengths(lists: pa.ListArray) -> np.ndarray:
+    """Numbers of values, a null list having none."""
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+
+
+def _ends(lengths: np.ndarray) -> pa.Array:
+    """Offsets of lists of these lengths in their flattened values."""
     return pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
 
 
+def sliced_lists(df: DataFrame, lists: Sequence[str], values: int = SLICE_VALUES) -> DataFrame:
+    """Each row as often as its longest list has slices of ``values``: the slices of its lists, in order, and their number as ``__at``.
+
+    A row without values is one row, where a null list is null.
+    """
+    longest = F.greatest(F.lit(1), *[F.size(n) for n in lists])
+    numbered = df.select("*", F.explode(F.sequence(F.lit(0), whole(longest - 1, values).cast("int"))).alias("__at"))
+    begin = F.col("__at") * values + 1
+    return numbered.withColumns({n: F.slice(n, begin, F.lit(values)) for n in lists})
+
+
 def coded_blocks(df: DataFrame, lists: Mapping[str, Column], carried: Sequence[str], values: int = BLOCK_VALUES) -> DataFrame:
     """``(block, entries, counts, <carried>, <lists>)``: the given rows, their lists as positions in the distinct values of the block.
 
@@ -56,15 +77,22 @@ def coded_blocks(df: DataFrame, lists: Mapping[str, Column], carried: Sequence[s
     where = [i for i, f in enumerate(given.schema) if f.name in names]
 
     def packed(number: int, batches: list[pa.RecordBatch]) -> pa.RecordBatch:
-        columns = [pa.concat_arrays([b.column(i) for b in batches]) for i in range(batches[0].num_columns)]
+        """A block of whole rows, given in slices."""
+        *columns, at = [pa.concat_arrays([b.column(i) for b in batches]) for i in range(batches[0].num_columns)]
+        firsts = np.flatnonzero(at.to_numpy() == 0)
         flat = [columns[i].flatten() for i in where]
         known = pc.dictionary_encode(pa.concat_arrays(flat))
-        at = 0
-        for i, values_ in zip(where, flat):
-            mask = pc.is_null(columns[i]) if columns[i].null_count else None
-            columns[i] = pa.ListArray.from_arrays(_ends(columns[i]), known.indices.slice(at, len(values_)), mask=mask)
-            at += len(values_)
-        n = len(columns[0])
+        low = 0
+        for i, column in enumerate(columns):
+            if i not in where:
+                columns[i] = column.take(pa.array(firsts))
+                continue
+            lengths = np.add.reduceat(_lengths(column), firsts)
+            mask = pc.is_null(column).take(pa.array(firsts)) if column.null_count else None
+            size = int(lengths.sum())
+            columns[i] = pa.ListArray.from_arrays(_ends(lengths), known.indices.slice(low, size), mask=mask)
+            low += size
+        n = len(firsts)
         block = pa.repeat(pa.scalar(number, pa.int64()), n)
         ends = pa.array([0, *[len(known.dictionary)] * n], pa.int32())
         others = pa.array(np.arange(n) > 0)
@@ -72,27 +100,23 @@ def coded_blocks(df: DataFrame, lists: Mapping[str, Column], carried: Sequence[s
         once = [pa.ListArray.from_arrays(ends, values_, mask=others) for values_ in (known.dictionary, pa.array(times))]
         return pa.RecordBatch.from_arrays([block, *once, *columns], names=shape.names)
 
-    def parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, int]]:
-        """Runs of rows with about ``values`` list values each."""
-        sizes = sum(pc.fill_null(pc.list_value_length(batch.column(i)), 0).to_numpy().astype(np.int64) for i in where) + 1
-        group = (np.cumsum(sizes) - sizes) // values
-        starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        for a, b in zip(starts, [*starts[1:], len(sizes)]):
-            yield batch.slice(a, b - a), int(sizes[a:b].sum())
-
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A block ends before the first row that finds ``values`` values in it."""
         number, held, size = TaskContext.get().partitionId() << BLOCKS_PER_TASK, [], 0
         for batch in batches:
-            for part, count in parts(batch) if batch.num_rows else ():
-                held.append(part)
-                size += count
-                if size >= values:
-                    yield packed(number, held)
-                    number, held, size = number + 1, [], 0
-        if held:
+            ends = np.cumsum(sum(_lengths(batch.column(i)) for i in where) + 1)
+            before = np.concatenate([[0], ends])  # values before each slice, and all of them
+            firsts = np.flatnonzero(batch.column(batch.num_columns - 1).to_numpy() == 0)
+            low = 0
+            while (at := np.searchsorted(before[firsts], values - size + before[low])) < len(firsts):
+                yield packed(number, [*held, batch.slice(low, firsts[at] - low)])
+                number, held, size, low = number + 1, [], 0, firsts[at]
+            held.append(batch.slice(low))
+            size += before[-1] - before[low]
+        if size:
             yield packed(number, held)
 
-    return given.mapInArrow(make, shape)
+    return sliced_lists(given, names).mapInArrow(make, shape)
 
 
 def joined_entries(entries: DataFrame, table: DataFrame, source: str, target: str, limit: int) -> DataFrame:
@@ -149,7 +173,7 @@ def look_up_blocks(
             columns = [part.column(f"__{c}") for c in range(len(out_names))]
             for c in range(n_carried, len(out_names)):
                 flat = pc.fill_null(places.take(columns[c].flatten()), 0)
-                columns[c] = pa.ListArray.from_arrays(_ends(columns[c]), known.take(flat))
+                columns[c] = pa.ListArray.from_arrays(_ends(_lengths(columns[c])), known.take(flat))
             made.append(pa.RecordBatch.from_arrays(columns, names=out_names))
         return pa.Table.from_batches(made)
 

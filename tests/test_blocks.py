@@ -49,3 +49,30 @@ def test_texts_split_once_give_the_vocabulary_the_lengths_and_the_ids(spark):
     for words in (vocab, few):
         got = {r.doc_id: r.ids for r in V.tokenize_corpus(df, words, blocks=blocks).collect()}
         assert got == {r.doc_id: r.ids for r in V.tokenize_corpus(df, words).collect()}
+
+
+def test_long_lists_reach_the_function_in_slices_and_come_out_whole(spark):
+    made = "transform(sequence(1, cast((id * 37) % 400 as int) + 1), x -> concat('w', (id * x) % 61))"
+    df = spark.range(0, 120, numPartitions=2).select(
+        F.col("id").alias("doc_id"),
+        F.expr(f"case when id % 9 = 0 then null when id % 9 = 1 then cast(array() as array<string>) else {made} end").alias("a"),
+        F.expr("case when id % 4 > 0 then transform(sequence(1, cast(id % 3 as int) + 1), x -> if(x = 2, null, concat('v', x))) end").alias("b"),
+    )
+    sliced = B.sliced_lists(df, ["a", "b"], 16)
+    assert sliced.agg(F.max(F.size("a"))).first()[0] == 16  # a batch is bounded, whatever the lists
+    at = B.coded_blocks(df, {"a": F.col("a"), "b": F.col("b")}, ["doc_id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" in at[at.index("MapInArrow") :]
+    expected = {r.doc_id: (r.a, r.b) for r in df.collect()}
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    kept = spark.conf.get(name)
+    try:
+        for batch in ("3", "10000"):  # rows over several batches, several rows in one
+            spark.conf.set(name, batch)
+            got = B.coded_blocks(df, {"a": F.col("a"), "b": F.col("b")}, ["doc_id"], values=700).collect()
+            entries = {r.block: r.entries for r in got if r.entries is not None}
+            assert len(entries) > 8
+            named = lambda r, n: None if r[n] is None else [None if c is None else entries[r.block][c] for c in r[n]]
+            assert sorted(r["__0"] for r in got) == sorted(expected)
+            assert {r["__0"]: (named(r, "__1"), named(r, "__2")) for r in got} == expected
+    finally:
+        spark.conf.set(name, kept)
