@@ -32,6 +32,7 @@ from corpusloom.session import staged
 BLOCK_VALUES = 1 << 20  # list values in a block, and what its last row has beyond them
 SLICE_VALUES = 128  # list values that one row takes to a function; some 2^20 in a batch
 BLOCKS_PER_TASK = 33  # bits for numbers of blocks within a task
+HEAD_ROWS = 1 << 16  # of a table that are broadcast: the driver holds some 150 bytes for each, several times over
 
 
 def _lengths(lists: pa.ListArray) -> np.ndarray:
@@ -122,10 +123,11 @@ def coded_blocks(df: DataFrame, lists: Mapping[str, Column], carried: Sequence[s
 def joined_entries(entries: DataFrame, table: DataFrame, source: str, target: str, limit: int) -> DataFrame:
     """``(block, code, target)`` of each entry that ``table`` (source, target; one row per source) has.
 
-    The first ``limit`` ids, the most frequent entries, are broadcast after
+    The first ``limit`` ids (at most ``HEAD_ROWS``), the most frequent entries, are broadcast after
     they were counted; only what misses them is shuffled. A value is one row per
     block at most, so a frequent one that misses is no multiple of its occurrences.
     """
+    limit = min(limit, HEAD_ROWS)
     columns = ["block", "code", target]
     number = "id" if "id" in (source, target) else target
     frequent = table.where(F.col(number) < limit)

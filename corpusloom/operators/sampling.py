@@ -64,16 +64,22 @@ def draw_with_replacement(df: DataFrame, key: str, draws: int, seed: int) -> Dat
     numbers = draw_numbers(sizes, "max_n").withColumn(
         "row_index", seeded_draw(seed, F.lit("draw"), F.col("draw")) % F.col("n")
     )
-    return _gather(numbers, whole_table, key, ["__all"], sizes).select("draw", *df.columns)
+    return _gather(numbers, whole_table, key, ["__all"], sizes, draws).select("draw", *df.columns)
 
 
-def _gather(numbers: DataFrame, df: DataFrame, key: str, by: Sequence[str], sizes: DataFrame) -> DataFrame:
+def _gather(
+    numbers: DataFrame, df: DataFrame, key: str, by: Sequence[str], sizes: DataFrame, draws: int | None = None
+) -> DataFrame:
     """Rows of ``df`` at the drawn positions ``(by, row_index)``.
 
     Only keys are numbered and drawn; full rows are fetched by key at the end.
     Where few rows take many draws, each row is copied so often that a copy
     serves some ``ROW_REPEATS`` draws: no task gets all draws of one row.
     ``sizes`` has one row per listed group, so it may be broadcast.
+
+    Numbers are made from chunks, and the size of these few rows is all that
+    Spark knows of them: it would broadcast any number of draws. So a merge join
+    is asked for, unless ``draws`` says that there are few.
     """
     by = list(by)
     salts = (whole(F.col("max_n"), ROW_REPEATS) / F.greatest(F.col("n"), F.lit(1))).cast("long") + 1
@@ -89,6 +95,8 @@ def _gather(numbers: DataFrame, df: DataFrame, key: str, by: Sequence[str], size
         return counted.select(*counted.columns, chunk).select(*rows.columns, salt)
 
     index = row_index(df.select(*by, key), key, by)
+    if draws is None or draws > DRAW_CHUNK:
+        salted = salted.hint("merge")
     chosen = salted.join(copied(index), [*by, "row_index", "__salt"]).drop("row_index")
     if set(df.columns) <= {*by, key}:
         return chosen.drop("__salt")

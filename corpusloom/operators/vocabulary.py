@@ -148,15 +148,14 @@ def lookup(
 def vocab_column(vocab: DataFrame, source: str, target: str, missing, limit: int = BROADCAST_ROWS):
     """Array lookup ``source`` values -> ``target`` values as a column function, or None above ``limit`` rows.
 
-    At most ``limit`` + 1 rows are fetched, so the size is checked before anything
-    is shared with the tasks; repeated rows count. Whole Arrow batches are looked up at once, and no
+    Rows are counted before any is fetched; repeated rows count. Whole Arrow batches are looked up at once, and no
     row leaves its partition; a join would need one row per piece and a regrouping.
     A ``source`` that is listed more than once has its least ``target``.
     """
-    held = vocab.where(F.col(source).isNotNull()).select(source, target).limit(limit + 1).toArrow()
-    if held.num_rows > limit:
+    listed = vocab.where(F.col(source).isNotNull()).select(source, target)
+    if listed.count() > limit:
         return None
-    held = held.group_by(source).aggregate([(target, "min")])
+    held = listed.toArrow().group_by(source).aggregate([(target, "min")])
     shared = vocab.sparkSession.sparkContext.broadcast(
         (held.column(source).combine_chunks(), held.column(f"{target}_min").combine_chunks())
     )

@@ -35,6 +35,17 @@ def test_values_of_a_block_meet_its_rows_without_an_array_of_them(spark):
     assert {r.doc_id: r.ids for r in got.collect()} == expected
 
 
+def test_only_the_head_of_a_large_table_is_broadcast(spark, monkeypatch):
+    table = spark.range(70_000).selectExpr("concat('w', id) AS token", "CAST(id AS int) AS id")
+    lists = {0: ["w1", "w65535", "w65536", "x"], 1: ["w69999", "w1"]}
+    df = spark.createDataFrame(list(lists.items()), "doc_id long, words array<string>")
+    sent = []
+    monkeypatch.setattr(B.F, "broadcast", lambda d, f=B.F.broadcast: sent.append(d.count()) or f(d))
+    got = B.look_up_lists(df, {"ids": F.col("words")}, table, "token", "id", -1, ["doc_id"], 1 << 20)
+    assert {r.doc_id: r.ids for r in got.collect()} == {0: [1, 65535, 65536, -1], 1: [69999, 1]}
+    assert sent and max(sent) <= 1 << 16
+
+
 def test_texts_split_once_give_the_vocabulary_the_lengths_and_the_ids(spark):
     texts = [(0, "a b, a"), (1, None), (2, ""), (3, "b 12 b c!! a"), (4, "été a")]
     df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)

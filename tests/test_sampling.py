@@ -86,6 +86,15 @@ def test_few_rows_with_many_draws_make_their_copies_in_chunks(spark, monkeypatch
     assert sizes(S.mix_balanced(df, ("de", "fr"), "doc_id", 3)) == {"de": 40, "fr": 40}
 
 
+def test_drawn_numbers_are_not_broadcast(spark):
+    df = spark.range(3000).selectExpr("id AS doc_id", "IF(id % 3 = 0, 'de', 'fr') AS language")
+    mixed = S.mix_balanced(df, ("de", "fr"), "doc_id", 5)
+    assert sizes(mixed) == {"de": 2000, "fr": 2000}
+    plan = mixed._jdf.queryExecution().executedPlan().toString()  # as it ran
+    joins = [line for line in plan.splitlines() if "Join" in line and "row_index" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+
+
 @pytest.mark.parametrize("repeats,chunk", [(1 << 12, 1 << 16), (3, 7)])
 def test_draws(spark, monkeypatch, repeats, chunk):
     monkeypatch.setattr(S, "ROW_REPEATS", repeats)

@@ -61,6 +61,12 @@ def test_codes_unknown_and_empty(docs, limit):
     assert {r.doc_id: r.ids for r in got.collect()} == {9: [], 0: [4, 3, 4], 1: [], 2: [5, 3, 2, 2], 3: [2]}
 
 
+def test_a_vocabulary_too_large_to_share_is_not_fetched(docs, monkeypatch):
+    vocab = V.build_vocab(docs, 3)
+    monkeypatch.setattr(type(vocab), "toArrow", lambda *_: pytest.fail("fetched"))
+    assert V.vocab_column(vocab, "token", "id", V.UNK, 5) is None
+
+
 @pytest.mark.parametrize("limit", [1 << 18, 4])
 def test_two_columns_and_leading_ids(spark, docs, limit):
     vocab = V.build_vocab(docs, 3)
