@@ -44,13 +44,15 @@ def draw_numbers(counts: DataFrame, how_many: str, by: Sequence[str] = ()) -> Da
     """``by`` and ``draw`` = 0 .. ``how_many`` - 1 for each row of a small table.
 
     Numbers are made in chunks that are spread over the tasks first, so a large
-    group is not produced by one of them.
+    group is not produced by one of them. The number of tasks is given, as Spark
+    would put the few rows of the chunks together again in one.
     """
+    tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks = whole(F.col(how_many) - 1, DRAW_CHUNK)
     spread = (
         counts.where(F.col(how_many) > 0)
         .select(*counts.columns, F.explode(F.sequence(F.lit(0).cast("long"), chunks)).alias("__chunk"))
-        .repartition(*by, "__chunk")
+        .repartition(tasks, *by, "__chunk")
     )
     low = F.col("__chunk") * DRAW_CHUNK
     high = F.least(low + (DRAW_CHUNK - 1), F.col(how_many) - 1)

@@ -95,6 +95,14 @@ def test_drawn_numbers_are_not_broadcast(spark):
     assert joins and all("SortMergeJoin" in line for line in joins)
 
 
+def test_numbers_are_made_by_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(S, "DRAW_CHUNK", 7)
+    counts = spark.createDataFrame([("de", 300), ("fr", 5)], "language string, n long")
+    made = S.draw_numbers(counts, "n", ["language"]).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.language, r.draw) for r in made) == [("de", i) for i in range(300)] + [("fr", i) for i in range(5)]
+    assert len({r.task for r in made}) > 1
+
+
 @pytest.mark.parametrize("repeats,chunk", [(1 << 12, 1 << 16), (3, 7)])
 def test_draws(spark, monkeypatch, repeats, chunk):
     monkeypatch.setattr(S, "ROW_REPEATS", repeats)
